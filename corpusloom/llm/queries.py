@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import exact_dedup, mixing, quality_rules, sharding
+from corpusloom.llm import exact_dedup, mixing, packing, quality_rules, sharding, simhash
 from corpusloom.llm.common import table
 
 
@@ -26,8 +26,18 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.best_fit(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_dedup(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_rules, op5_sharding, op6_exact_dedup, op8_mixing)}
+    return {f.__name__: f for f in (op2_quality_rules, op5_sharding, op6_exact_dedup, op8_mixing, op9_best_fit_packing, op10_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
