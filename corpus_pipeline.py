@@ -1,15 +1,64 @@
-"""A pipeline from raw documents to packed sequences."""
+"""A pipeline from raw documents to packed sequences: each stage applies one operator to all that its predecessor kept."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from corpusloom.llm import exact_dedup, mixing, packing, quality_rules, simhash
+from corpusloom.llm.common import stored, table
+
+#: No SQL expresses the packing stage; tests hold run() against a plain version.
 ORACLE_SQL = None
 
 
+def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of docs whose id is among the kept ones (null counts as an id). Rows that share an id stay or go together."""
+    ids = kept.select(F.col("doc_id").alias("__kept"))
+    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["__kept"]), "left_semi")
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    return _only(docs, quality_rules.judge(docs).filter("kept"))
+
+
+def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the document with the largest id."""
+    return _only(docs, exact_dedup.exact_dedup(docs).filter("kept"))
+
+
+def distinct_fingerprints(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates, the document with the smallest id."""
+    return _only(docs, simhash.near_dedup(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it (rows are repeated; not taken: no row)."""
+    taken = mixing.mix(docs).filter("copies > 0").groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").alias("__copies"))
+    joined = docs.join(stored(taken), docs["doc_id"].eqNullSafe(F.col("__id")))
+    return joined.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1).cast("long"), "__copies")).alias("__copy")).drop("__copy")
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents (copies included) with their sequences."""
+    return packing.best_fit(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality rules", good_quality),
+    ("exact dedup", distinct_texts),
+    ("simhash near-dedup", distinct_fingerprints),
+    ("mixing", mixed),
+    ("best-fit packing", packed),
+]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = stored(docs)
     return docs

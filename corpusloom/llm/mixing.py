@@ -70,7 +70,8 @@ def mix(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id", text_col: st
     taken = rows.withColumn("upto", run).join(parts, ["s", "part"]).join(F.broadcast(plan), "s")
     rest = F.col("target") - F.col("epochs") * F.col("source_size")
     extra = F.when(F.col("start") + F.col("upto") - F.col("size") / 2 <= rest, F.col("size")).otherwise(F.lit(0))
+    copies = F.col("epochs") + (extra > 0).cast("long")
     return taken.select(
         F.col("id").alias(id_col), "size", "source_size", "target", (F.col("epochs") * F.col("size") + extra).cast("long").alias("taken"),
-        F.col("weight").alias("quality_weight"),
+        copies.alias("copies"), F.col("weight").alias("quality_weight"),
     )
