@@ -43,19 +43,37 @@ def cuts(keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return which, np.append(first, len(keys))
 
 
-def sent(block: int, keys: np.ndarray, n: int, **columns: np.ndarray):
-    """An Arrow table: for each bucket, the block and the slices of keys and of other arrays, as binary columns."""
+def packed(keys: np.ndarray) -> bytes:
+    """Sorted keys as their differences, in as few bytes each as the largest needs; without loss."""
+    steps = np.diff(keys, prepend=keys[:1])
+    width = max(1, (int(steps.max()).bit_length() + 7) // 8)
+    return keys[:1].tobytes() + bytes([width]) + steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    width = data[8]
+    steps = np.zeros(((len(data) - 9) // width, 8), np.uint8)
+    steps[:, :width] = np.frombuffer(data, np.uint8, offset=9).reshape(-1, width)
+    with np.errstate(over="ignore"):
+        return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64) + np.frombuffer(data, np.uint64, 1)[0]
+
+
+def sent(block: int, keys: np.ndarray, of: int, **columns: np.ndarray):
+    """An Arrow table: for each bucket, the block, its slice of the sorted keys, packed, and slices of other arrays, as
+    binary columns."""
     import pyarrow as pa
 
-    which, edges = cuts(keys, n)
+    which, edges = cuts(keys, of)
     part = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(edges, edges[1:], strict=False)], pa.binary())
-    arrays = {"bucket": pa.array(which, pa.int32()), "block": pa.array(np.full(len(which), block), pa.int32()), "keys": part(keys)}
+    arrays = {"bucket": pa.array(which, pa.int32()), "block": pa.array(np.full(len(which), block), pa.int32())}
+    arrays["keys"] = pa.array([packed(keys[a:b]) for a, b in zip(edges, edges[1:], strict=False)], pa.binary())
     return pa.table(arrays | {k: part(v) for k, v in columns.items()})
 
 
 def gathered(table, column: str, dtype) -> tuple[np.ndarray, np.ndarray]:
     """A binary column's arrays, one after another, and how many entries each has."""
-    arrays = [np.frombuffer(x, dtype) for x in table.column(column).to_pylist()]
+    read = unpacked if column == "keys" else lambda x: np.frombuffer(x, dtype)
+    arrays = [read(x) for x in table.column(column).to_pylist()]
     sizes = np.array([len(x) for x in arrays], np.int64)
     return (np.concatenate(arrays) if arrays else np.zeros(0, dtype)), sizes
 

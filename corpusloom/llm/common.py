@@ -30,10 +30,10 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, *partitions: str) -> DataFrame:
     """The rows, written as Parquet to the shared folder and read back: lineage ends, any executor can be lost."""
     path = scratch(df.sparkSession)
-    df.write.parquet(path)
+    df.write.partitionBy(*partitions).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import chat, classifier, exact_dedup, mixing, packing, quality_rules, sharding, simhash, substring_dedup
+from corpusloom.llm import chat, classifier, exact_dedup, katz, mixing, packing, quality_rules, sharding, simhash, substring_dedup
 from corpusloom.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op4_katz_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(table(spark, sf_dir, "documents"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.interleave(table(spark, sf_dir, "documents"))
 
@@ -51,7 +55,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_quality_rules, op3_substring_dedup, op5_sharding, op6_exact_dedup, op7_chat_perspectives, op8_mixing, op9_best_fit_packing, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_quality_rules, op3_substring_dedup, op4_katz_scoring, op5_sharding, op6_exact_dedup, op7_chat_perspectives, op8_mixing, op9_best_fit_packing, op10_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
