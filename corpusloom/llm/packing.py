@@ -21,18 +21,18 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: i
     """
     import pyarrow as pa
 
-    from corpusloom.llm.tokenize import WordEncoder
+    from corpusloom.llm.tokenize import encoder
 
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     kind = rows.schema["id"].dataType
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(vocabulary)
+        words = encoder(vocabulary)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
                 ids, found = part.column(0), ([], [], [], [], [])
-                for k, tokens in enumerate(encoder.encode(part.column(1).to_pylist())):
+                for k, tokens in enumerate(words.encode(part.column(1).to_pylist())):
                     tokens = np.append(tokens, np.uint32(end_id)).astype("<u4")
                     n = len(tokens)
                     edges = [0, *range(n % capacity or min(n, capacity), n + 1, capacity)]

@@ -2,21 +2,32 @@
 
 from __future__ import annotations
 
+import os
+from functools import lru_cache
+
 import numpy as np
 
 #: Code points whose class (letter, number, white space, other) all Unicode versions agree on; texts with others are encoded whole.
 KNOWN = 0x250
-CHUNK = 1 << 19
+CHUNK, LEARN = 1 << 18, 4096
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str) -> WordEncoder:
+    """The Python worker's own encoder: kept, with the words it has learnt, from task to task."""
+    return WordEncoder(path)
+
+
 class WordEncoder:
     """Ids as Tokenizer.encode gives them, for a byte-level BPE whose words follow the usual pattern
     ('s|'t|'re|'ve|'m|'ll|'d| ?letters| ?numbers| ?others|white space). At most `most` words are kept."""
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 400_000):
         import unicodedata
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -40,7 +51,7 @@ class WordEncoder:
         return [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def _learn(self, keys: list[int], words: list[str]):
-        ids = [x.ids for x in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+        ids = [x.ids for at in range(0, len(words), LEARN) for x in self.tokenizer.encode_batch_fast(words[at : at + LEARN], add_special_tokens=False)]
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         ends = self.at[-1] + np.cumsum(lengths)
         if ends[-1] > len(self.flat):
