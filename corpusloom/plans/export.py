@@ -1,0 +1,87 @@
+"""Exports of a chunked and bundled corpus: manifest, chunk records, source map, overview, bundle files."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from corpusloom.functions.text import document_id, estimate_tokens, identity_header, table_cell, word_count
+from corpusloom.operators.chunking import Settings, chunk_array, heading_paths, overlap
+from corpusloom.functions.text import strip
+
+DIVIDER = "\n\n<!-- ================================================== -->\n\n"
+
+
+def manifest(docs: DataFrame) -> DataFrame:
+    """docs (place, source_file, source_path, extension, file_type, body, status, notes) as manifest rows."""
+    ident = document_id(F.col("place"))
+    header = identity_header(ident, F.col("source_file"), F.col("source_path"), F.col("extension"))
+    return docs.select(
+        ident.alias("doc_id"), "source_file", "source_path", F.col("extension").alias("original_extension"), "file_type", "status",
+        estimate_tokens(F.concat(header, F.lit("\n"), F.col("body"))).alias("token_estimate"), F.length("body").alias("char_count"), word_count(F.col("body")).alias("word_count"), "notes",
+    )
+
+
+def manifest_totals(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("status").agg(F.count("*").alias("files"), F.sum("token_estimate").alias("tokens"))
+
+
+def chunk_records(docs: DataFrame, s: Settings, overlap_tokens: int = 0, path_mode: str = "off") -> DataFrame:
+    """docs (doc_id, source_file, source_path, body): a row per chunk as it is exported. Paths are those of the chunks before
+    they overlap; the estimate is that of the final text. A blank body still gives one empty chunk."""
+    d = docs.withColumn("__c", chunk_array(strip(F.coalesce("body", F.lit(""))), s)).withColumn("__p", heading_paths(F.transform("__c", lambda c: c["text"])))
+    empty = F.array(F.struct(F.lit("").alias("text"), F.lit("").alias("reason")))
+    d = d.withColumn("__o", F.when(F.size("__c") == 0, empty).otherwise(overlap(F.col("__c"), overlap_tokens)))
+    rows = d.select("doc_id", "source_file", "source_path", "__p", F.posexplode("__o").alias("__i", "__t"))
+    crumb = F.array_join(F.coalesce(F.get("__p", F.col("__i")), F.array().cast("array<string>")), " > ")
+    text = F.col("__t.text")
+    if path_mode in ("prefix", "both"):
+        text = F.when(crumb != "", F.concat(crumb, F.lit("\n\n"), text)).otherwise(text)
+    out = rows.withColumn("text", text).withColumn("heading_path", crumb)
+    chunk_id = F.concat("doc_id", F.lit("__c"), F.when(F.col("__i") < 999, F.lpad((F.col("__i") + 1).cast("string"), 3, "0")).otherwise((F.col("__i") + 1).cast("string")))
+    columns = [chunk_id.alias("chunk_id"), "doc_id", "source_file", "source_path", "text", estimate_tokens(F.col("text")).alias("token_estimate")]
+    return out.select(*columns, *(["heading_path"] if path_mode in ("metadata", "both") else []))
+
+
+def json_lines(rows: DataFrame) -> DataFrame:
+    return rows.select(F.to_json(F.struct(*rows.columns)).alias("value"))
+
+
+def source_map(records: DataFrame) -> DataFrame:
+    ids = F.sort_array(F.collect_list("chunk_id"))
+    return records.groupBy("doc_id", "source_file", "source_path").agg(ids.alias("chunk_ids"), F.sum("token_estimate").alias("token_estimate"))
+
+
+def overview(rows: DataFrame, bundles: DataFrame) -> DataFrame:
+    """A Markdown table row for each document that is ok, with its bundle."""
+    joined = rows.filter("status = 'ok'").join(bundles.select("doc_id", "bundle"), "doc_id", "left")
+    name = F.coalesce(F.format_string("BUNDLE_%03d", "bundle"), F.lit(""))
+    return joined.select("doc_id", F.concat(F.lit("| "), F.array_join(F.array("doc_id", table_cell(F.col("source_file")), F.col("token_estimate").cast("string"), name), " | "), F.lit(" |")).alias("line"))
+
+
+def rendered(header: Column, body: Column) -> Column:
+    """A document as a bundle holds it."""
+    return F.concat(header, F.lit("\n"), F.rtrim(body), F.lit("\n"))
+
+
+def write_bundles(docs: DataFrame, path: str) -> None:
+    """docs (bundle, place, markdown) as text files, one folder per bundle, in order; each task writes its part by itself."""
+    parts = docs.select("bundle", "place", F.concat(F.lit(DIVIDER), F.col("markdown")).alias("value"))
+    parts.repartition("bundle").sortWithinPartitions("bundle", "place").select("bundle", "value").write.partitionBy("bundle").option("lineSep", "").text(path)
+
+
+def places(docs: DataFrame, order: list[str]) -> DataFrame:
+    """docs with place, from 1, in order: numbered by range, so no task holds all rows."""
+    ranged = docs.repartitionByRange(*order).sortWithinPartitions(*order)
+    # zipWithIndex counts each partition once and numbers rows where they are.
+    rows = ranged.rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + 1))
+    from pyspark.sql import types as T
+
+    return docs.sparkSession.createDataFrame(rows, T.StructType([*docs.schema.fields, T.StructField("place", T.LongType())]))
+
+
+def unique_names(files: DataFrame, folder_col: str, name_col: str) -> DataFrame:
+    """Files with the names they get in a shared folder: _1, _2, ... before the extension of repeated ones."""
+    k = F.row_number().over(Window.partitionBy(folder_col, name_col).orderBy("path")) - 1
+    stem, ext = F.regexp_extract(name_col, r"\A(.+?)(\.[^.]*)?\z", 1), F.regexp_extract(name_col, r"\A.+?(\.[^.]*)?\z", 1)
+    return files.withColumn("unique_name", F.when(k == 0, F.col(name_col)).otherwise(F.concat(stem, F.lit("_"), k.cast("string"), ext)))
