@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import chat, classifier, exact_dedup, katz, mixing, packing, quality_rules, sharding, simhash, substring_dedup
 from corpusloom.llm.common import table
+from corpusloom.llm.oracles import ORACLES
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,7 +17,8 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.judge(table(spark, sf_dir, "documents"))
+    judged = quality_rules.judge(table(spark, sf_dir, "documents"))
+    return judged.withColumns({c: F.round(c, 9) for c in ("class_distance", "common_distance")})
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,4 +61,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
