@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import document_id, estimate_tokens, identity_header, table_cell, word_count
+from corpusloom.functions.text import document_id, estimate_tokens, identity_header, strip, table_cell, word_count
+from corpusloom.operators.bundling import stored
 from corpusloom.operators.chunking import Settings, chunk_array, heading_paths, overlap
-from corpusloom.functions.text import strip
 
 DIVIDER = "\n\n<!-- ================================================== -->\n\n"
 
@@ -64,20 +64,33 @@ def rendered(header: Column, body: Column) -> Column:
     return F.concat(header, F.lit("\n"), F.rtrim(body), F.lit("\n"))
 
 
-def write_bundles(docs: DataFrame, path: str) -> None:
-    """docs (bundle, place, markdown) as text files, one folder per bundle, in order; each task writes its part by itself."""
-    parts = docs.select("bundle", "place", F.concat(F.lit(DIVIDER), F.col("markdown")).alias("value"))
-    parts.repartition("bundle").sortWithinPartitions("bundle", "place").select("bundle", "value").write.partitionBy("bundle").option("lineSep", "").text(path)
+def bundle_heads(docs: DataFrame, budget: int) -> DataFrame:
+    """bundle, place (before all documents) and the lines that open each bundle's file. A bundle's list of ids is as short as
+    its budget."""
+    ids = F.transform(F.sort_array(F.collect_list(F.struct("place", "doc_id"))), lambda x: x["doc_id"])
+    by = docs.groupBy("bundle").agg(F.count("*").alias("n"), F.sum("token_estimate").alias("t"), F.array_join(ids, ", ").alias("ids"))
+    lines = [("Bundle", F.col("bundle")), ("Estimated tokens", F.col("t")), ("Token budget", F.lit(budget)), ("Documents in bundle", F.col("n")), ("Included DOC_IDs", F.col("ids"))]
+    items = F.concat_ws("\n", *[F.concat(F.lit(f"- **{k}:** "), v.cast("string")) for k, v in lines])
+    cite = "## How to cite\n\nName the `DOC_ID` and the `SOURCE_FILE` of each document that an answer rests on, and quote figures and dates exactly.\n"
+    return by.select("bundle", F.lit(0).cast("long").alias("place"), F.concat(F.format_string("# BUNDLE_%03d\n\n", "bundle"), items, F.lit(f"\n\n{cite}")).alias("markdown"))
 
 
-def places(docs: DataFrame, order: list[str]) -> DataFrame:
-    """docs with place, from 1, in order: numbered by range, so no task holds all rows."""
-    ranged = docs.repartitionByRange(*order).sortWithinPartitions(*order)
-    # zipWithIndex counts each partition once and numbers rows where they are.
-    rows = ranged.rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + 1))
-    from pyspark.sql import types as T
+def write_bundles(docs: DataFrame, path: str, budget: int) -> None:
+    """docs (bundle, place, doc_id, token_estimate, markdown) as text, a folder for each bundle, in order; each task writes its
+    own bundles."""
+    parts = docs.select("bundle", "place", F.concat(F.lit(DIVIDER), F.col("markdown")).alias("markdown")).unionByName(bundle_heads(docs, budget))
+    # The writer ends each row with a line end of its own.
+    rows = parts.select("bundle", "place", F.regexp_replace("markdown", r"\n\z", "").alias("value"))
+    rows.repartition("bundle").sortWithinPartitions("bundle", "place").select("bundle", "value").write.mode("overwrite").partitionBy("bundle").text(path)
+
 
-    return docs.sparkSession.createDataFrame(rows, T.StructType([*docs.schema.fields, T.StructField("place", T.LongType())]))
+def places(docs: DataFrame, order: list[str]) -> DataFrame:
+    """docs with place, from 1, in order: rows are numbered within ranges, whose counts give each range its start."""
+    ranged = stored(docs.repartitionByRange(*order).withColumn("__r", F.spark_partition_id()))
+    counts = ranged.groupBy("__r").agg(F.count("*").alias("__n"))  # a row for each range
+    starts = counts.select("__r", F.coalesce(F.sum("__n").over(Window.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__s"))
+    within = F.row_number().over(Window.partitionBy("__r").orderBy(*order))
+    return ranged.withColumn("__k", within).join(F.broadcast(starts), "__r").withColumn("place", F.col("__s") + F.col("__k")).select(*docs.columns, "place")
 
 
 def unique_names(files: DataFrame, folder_col: str, name_col: str) -> DataFrame:

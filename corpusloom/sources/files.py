@@ -26,7 +26,7 @@ def scan(spark: SparkSession, folder: str, extensions: list[str], excluded: tupl
     """path, rel_path, ext, file_type, size, content of a folder's files in any store that Spark reads; names that begin with
     a dot or underscore too. Files of other extensions are kept if their type is unsupported, so that they are recorded."""
     # Spark's file sources skip hidden names, so the listing goes through the store's own file system.
-    jvm, root = spark.sparkContext._jvm, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     store = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     base = store.makeQualified(root).toString().rstrip("/")
     found, open_ = [], [root]
@@ -38,7 +38,6 @@ def scan(spark: SparkSession, folder: str, extensions: list[str], excluded: tupl
                 open_.append(s.getPath())
             else:
                 found.append((s.getPath().toString(), s.getPath().toString()[len(base) + 1 :], s.getLen()))
-    del jvm
     rows = spark.createDataFrame(found, "path string, rel_path string, size long")
     rows = rows.withColumn("ext", F.lower(F.regexp_extract("rel_path", r"[^/](\.[^./]*)\z", 1))).withColumn("file_type", file_type(F.col("ext")))
     return rows.filter((F.col("file_type") == "unsupported") | F.lower("ext").isin([e.lower() for e in extensions]))
@@ -182,11 +181,27 @@ def convert(kind: Column, content: Column, name: Column) -> Column:
     return read(kind, content, name)
 
 
+def _bytes(spark: SparkSession, path: str) -> bytes:
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    stream = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(at)
+    try:
+        return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+    finally:
+        stream.close()
+
+
 def read_files(files: DataFrame, spark: SparkSession) -> DataFrame:
     """The scanned files with markdown, status and notes. Contents are read by Spark, a path at a time."""
     paths = [r["path"] for r in files.select("path").toLocalIterator()]
     if not paths:
         return files.select("*", F.lit("").alias("markdown"), F.lit("").alias("status"), F.lit("").alias("notes"))
-    content = spark.read.format("binaryFile").load(paths).select(F.col("path").alias("__p"), "content")
+    # Spark's readers leave out names that begin with a dot or underscore, however they are given; those few files are opened
+    # one by one through the store's file system.
+    plain = [p for p in paths if p.rsplit("/", 1)[-1][0] not in "._"]
+    hidden = [(p, _bytes(spark, p)) for p in paths if p.rsplit("/", 1)[-1][0] in "._"]
+    content = spark.createDataFrame(hidden, "__p string, content binary")
+    if plain:
+        content = content.unionByName(spark.read.format("binaryFile").load(plain).select(F.col("path").alias("__p"), "content"))
     joined = files.join(content, F.regexp_replace("path", "^file:/+", "/") == F.regexp_replace("__p", "^file:/+", "/"), "left")
     return joined.withColumn("__r", convert(F.col("file_type"), F.col("content"), F.regexp_extract("rel_path", r"([^/]*)\z", 1))).select(*files.columns, "__r.*")
