@@ -22,7 +22,7 @@ FEW = 64
 #: The guards: with fewer characters or words a histogram says too little to be held against a document.
 MIN_CHARS_FOR_CLASSES, MIN_WORDS_FOR_COMMON = 200, 100
 #: The largest Jensen-Shannon distances (base 2, 0 to 1) of a kept document.
-MAX_CLASSES, MAX_COMMON = 0.25, 0.26
+MAX_CLASSES, MAX_COMMON = 0.3, 0.26
 
 
 def _repeated() -> Column:
