@@ -527,11 +527,9 @@ def html_to_markdown(s, d):
     return _docs(s, d, "pages").select("page_id", r.alias("r")).select("page_id", "r.*")
 
 
-@query(f"""select event_id, '## ' || k || {_NL} || {_NL} || coalesce(json_extract_string(props, '$.' || k), '(null)') as text from (select event_id, props, json_keys(props)[1] as k from events where len(json_keys(props)) = 1)""")
+@query(f"""select event_id, array_to_string(list_transform(json_keys(props), lambda k: '## ' || k || {_NL} || {_NL} || coalesce(json_extract_string(props, '$.' || k), '(null)')), {_NL} || {_NL}) as text from events""")
 def json_to_markdown(s, d):
-    e = _docs(s, d, "events").withColumn("k", F.json_object_keys("props")).filter(F.size("k") == 1)
-    keys = [r[0] for r in e.select(F.explode("k")).distinct().limit(1000).collect()]
-    return e.select("event_id", json_text.flat_object(F.col("props"), sorted(keys)).alias("text"))
+    return _docs(s, d, "events").select("event_id", json_text.flat_object(F.col("props")).alias("text"))
 
 
 _PAGED = lambda t: F.array_join(F.transform(F.split(t, "\n"), lambda x, i: F.concat(F.when(i % 3 == 0, F.concat(F.lit("## Page "), (i / 3 + 1).cast("int").cast("string"), F.lit("\nRunning Header\n"))).otherwise(""), x)), "\n")

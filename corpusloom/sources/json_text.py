@@ -6,8 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def flat_object(json: Column, keys: list[str]) -> Column:
-    """A heading for each of the keys that is there, with its value; null as (null); text that is no object: failed."""
+def flat_object(json: Column) -> Column:
+    """A heading for each key, in order, with its value; null as (null); null for a text that is no object."""
     parsed = F.from_json(json, "map<string,string>")
-    part = lambda k: F.when(F.map_contains_key(parsed, k), F.concat(F.lit(f"## {k}\n\n"), F.coalesce(F.try_element_at(parsed, F.lit(k)), F.lit("(null)"))))
-    return F.when(parsed.isNotNull(), F.array_join(F.filter(F.array(*map(part, keys)), lambda x: x.isNotNull()), "\n\n"))
+    part = lambda e: F.concat(F.lit("## "), e["key"], F.lit("\n\n"), F.coalesce(e["value"], F.lit("(null)")))
+    return F.array_join(F.transform(F.map_entries(parsed), part), "\n\n")
