@@ -96,23 +96,24 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     alone: the sweeps run over the counts of lengths (`capacity` numbers, whatever the input), and every piece then finds
     its place from its rank among its length, which comes from counts of hash ranges. No task or driver holds the pieces.
     """
-    import pandas as pd
+    import pyarrow as pa
 
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
     table = plan(counts, capacity)
     ranked = rank_in(cut, ["length"], unit("pack", F.col("id"), F.col("piece"), F.col("start")), ["id", "piece"], "rank", 256)
     keys = (table[:, 0] << 44) + table[:, 1]
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            length, rank = b["length"].to_numpy(), b.pop("rank").to_numpy()
+            length, rank = (b.column(b.schema.get_field_index(c)).to_numpy() for c in ("length", "rank"))
             row = table[np.searchsorted(keys, (length << 44) + rank, side="right") - 1]
-            nth, place = np.divmod(rank - row[:, 1], row[:, 3])
-            yield b.assign(sequence_id=row[:, 2] + nth, offset=row[:, 4] + place * length)
+            nth, at = np.divmod(rank - row[:, 1], row[:, 3])
+            arrays = [*b.columns[:-1], pa.array(row[:, 2] + nth), pa.array(row[:, 4] + at * length)]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*b.schema.names[:-1], "sequence_id", "offset"])
 
     columns = [c for c in ranked.columns if c != "rank"]
     shape = ", ".join(f"`{c}` {t}" for c, t in ranked.dtypes if c != "rank")
-    return ranked.select(*columns, "rank").mapInPandas(place, f"{shape}, sequence_id long, offset long")
+    return ranked.select(*columns, "rank").mapInArrow(place, f"{shape}, sequence_id long, offset long")
 
 
 def best_fit(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
