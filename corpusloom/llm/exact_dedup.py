@@ -28,7 +28,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Every document with the one that stays of its equals (the largest id), their number, and its text's SHA-256.
 
     Texts are equal when they are the same after lower-casing A-Z. Null counts as empty; empty texts equal one another.
-    Repeated ids: a row each, all counted; rows that tie for the largest id are all marked kept. Other columns are not read.
+    Repeated ids: a row each, all counted; rows that tie for the largest id are all marked kept. Null is the smallest id. Other columns are not read.
     """
     found = groups(docs, id_col, text_col, salts)
     by_digest = stored(
@@ -43,4 +43,4 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         texts = docs.select(F.col(id_col).alias("id"), ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).alias("norm")).withColumn("digest", F.unhex(F.sha2("norm", 256)))
         apart = found.join(clashes.select("digest"), "digest", "left_semi")
         out = out.unionByName(texts.join(apart, ["digest", "norm"]).select("id", "keep_id", "group_size", "digest"))
-    return out.select(F.col("id").alias(id_col), "keep_id", F.col("group_size").cast("long").alias("group_size"), (F.col("id") == F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    return out.select(F.col("id").alias(id_col), "keep_id", F.col("group_size").cast("long").alias("group_size"), F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))

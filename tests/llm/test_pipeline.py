@@ -38,8 +38,10 @@ def test_stages_on_nothing(spark, data):
 
 def test_null_ids_stay(spark, data):
     docs = spark.createDataFrame([(None, "some words here", "en", "s", 15), (1, "other words here", "en", "s", 16)], "doc_id long, text string, lang string, source string, n_chars long")
-    assert corpus_pipeline.distinct_texts(spark, docs, data).filter("doc_id = 1").count() == 1
-    assert exact_dedup.exact_dedup(docs).count() == 2
+    assert corpus_pipeline.distinct_texts(spark, docs, data).count() == 2
+    assert corpus_pipeline.distinct_fingerprints(spark, docs, data).count() == 2
+    assert {r["doc_id"] for r in corpus_pipeline.mixed(spark, docs, data).collect()} == {None, 1}
+    assert exact_dedup.exact_dedup(docs).filter("kept").count() == 2
 
 
 @pytest.mark.parametrize("name", ORACLES)
