@@ -159,3 +159,9 @@ def canary_code(i: Column) -> Column:
     """Four letters from the low bits of i times a fixed odd number."""
     v = (i.cast("long") * 2654435761).bitwiseAND((1 << 32) - 1)
     return F.concat(F.lit("PROBE-"), *[F.substring(F.lit(CANARY), (F.shiftrightunsigned(v, 5 * k).bitwiseAND(31) + 1).cast("int"), F.lit(1)) for k in range(4)])
+
+
+def preview(text: Column, most: int = 160) -> Column:
+    """The text on one line, cut with an ellipsis."""
+    t = strip(F.regexp_replace(text, WS + "+", " "))
+    return F.when(F.length(t) > most, F.concat(F.substring(t, 1, most), F.lit("…"))).otherwise(t)

@@ -213,6 +213,19 @@ def structure(text: Column) -> Column:
     )
 
 
+def described(s: Column) -> Column:
+    """A structure in words; what there is none of is left out, but for paragraphs."""
+    some = lambda n, what: F.when(n > 0, F.concat(n.cast("string"), F.lit(f" {what}(s)")))
+    paragraphs_ = F.concat(s["paragraph_count"].cast("string"), F.lit(" paragraph(s)"))
+    return F.concat_ws(", ", some(F.size(s["headings"]), "heading"), paragraphs_, some(s["list_item_count"], "list item"), some(s["table_row_count"], "table row"))
+
+
+def outline(text: Column) -> Column:
+    """level and title of each heading line, those in fences too."""
+    found = F.filter(F.split(text, "\n"), lambda x: x.rlike(rf"\A#{{1,6}}{WS}"))
+    return F.transform(found, lambda x: F.struct(F.length(F.regexp_extract(x, "^(#+)", 1)).alias("level"), strip(F.regexp_extract(x, rf"\A#{{1,6}}{WS}+(.*)\z", 1)).alias("title")))
+
+
 def heading_paths(texts: Column) -> Column:
     """For each text, the titles that enclose it: of each level the last before it, unless a higher one came later."""
     empty = F.array_repeat(F.lit(None).cast("string"), 6)

@@ -127,3 +127,16 @@ def neighbours(chunks: DataFrame, doc_col: str = "doc_id", order_col: str = "idx
     """Each chunk with the places of those before and after it."""
     w = Window.partitionBy(doc_col).orderBy(order_col)
     return chunks.select(doc_col, order_col, F.lag(order_col).over(w).alias("previous"), F.lead(order_col).over(w).alias("next"))
+
+
+def assembled(chunks: DataFrame) -> DataFrame:
+    """Documents put together from their chunks, in order."""
+    parts = F.sort_array(F.collect_list(F.struct("idx", "text")))
+    return chunks.groupBy("doc_id").agg(F.array_join(F.transform(parts, lambda c: c["text"]), "\n\n").alias("text"), F.count("*").alias("chunks"))
+
+
+def listing(manifest: DataFrame, status: str | None = None, most: int = 0) -> DataFrame:
+    """Manifest rows, the largest first, of one status if given; at most so many unless 0."""
+    rows = manifest.filter(F.col("status") == status) if status else manifest
+    rows = rows.orderBy(F.col("token_estimate").desc(), "doc_id")
+    return rows.limit(most) if most else rows

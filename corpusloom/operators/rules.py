@@ -55,3 +55,10 @@ def _rebuilt(marked: DataFrame, what: str) -> DataFrame:
     gone = F.col("total") - F.col("kept")
     note = F.when(gone > 0, F.concat(gone.cast("string"), F.lit(" of "), F.col("total").cast("string"), F.lit(f" {what}"))).otherwise("")
     return by.select("doc_id", "total", "kept", "body", F.when(F.col("kept") == 0, "skipped").otherwise("ok").alias("status"), estimate_tokens(F.col("body")).alias("token_estimate"), note.alias("note"))
+
+
+def partial_selections(chunks: DataFrame, selected: DataFrame) -> DataFrame:
+    """Documents of which some but not all chunks are selected, with both numbers."""
+    marks = selected.select("doc_id", "idx").distinct().withColumn("__sel", F.lit(True))
+    by = chunks.join(marks, ["doc_id", "idx"], "left").groupBy("doc_id").agg(F.count("__sel").alias("selected"), F.count("*").alias("total"))
+    return by.filter((F.col("selected") > 0) & (F.col("selected") < F.col("total")))

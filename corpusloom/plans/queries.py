@@ -578,3 +578,61 @@ def human_sizes(s, d):
 def markdown_tables(s, d):
     rows = F.array(F.array(F.col("p_name"), F.col("p_size").cast("string"), F.lit("left out")))
     return _docs(s, d, "part").select("p_partkey", T.markdown_table(["Name", "Size"], rows).alias("text"))
+
+
+@query(_sql_plain(SMALL) + f"select doc_id, string_agg(txt, {_NL} || {_NL} order by idx) as text, count(*) as chunks from chunks group by doc_id")
+def get_documents(s, d):
+    return retrieval.assembled(_chunks(_md(s, d), C.Settings(SMALL)))
+
+
+@query(_sql_plain(SMALL) + f"select doc_id, idx::int as idx, case when length(t) > 160 then substr(t, 1, 160) || '…' else t end as preview from (select doc_id, idx, trim(regexp_replace(txt, '\\s+', ' ', 'g')) as t from chunks)")
+def chunk_previews(s, d):
+    return _chunks(_md(s, d), C.Settings(SMALL)).select("doc_id", "idx", T.preview(F.col("text")).alias("preview"))
+
+
+@query(_sql_plain(SMALL) + _SQL_STRUCTURE + """select doc_id, idx::int as idx, concat_ws(', ', case when n_headings > 0 then n_headings || ' heading(s)' end, paras || ' paragraph(s)', case when items > 0 then items || ' list item(s)' end, case when rows_ > 0 then rows_ || ' table row(s)' end) as described from structure""")
+def structure_descriptions(s, d):
+    return _audited(s, d).select("doc_id", "idx", C.described(F.col("structure")).alias("described"))
+
+
+@query(f"""with {_SQL_MD}, l as (select doc_id, i, line from (select doc_id, unnest(string_split(txt, {_NL})) as line, generate_subscripts(string_split(txt, {_NL}), 1) as i from md))
+select doc_id, row_number() over (partition by doc_id order by i)::int as k, length(regexp_extract(line, '^#+'))::int as level, trim(regexp_extract(line, '^#{{1,6}}\\s+(.*)$', 1)) as title from l where regexp_matches(line, '^#{{1,6}}\\s+.*$')""")
+def page_outline(s, d):
+    rows = _md(s, d).select("doc_id", F.posexplode(C.outline(T.strip(F.col("text")))).alias("i", "h"))
+    return rows.select("doc_id", (F.col("i") + 1).alias("k"), "h.level", "h.title")
+
+
+@query("select doc_id, greatest(1, strlen(coalesce(text, '')) // 4)::int as tokens from documents")
+def rough_tokens(s, d):
+    return _docs(s, d).select("doc_id", F.greatest(F.lit(1), F.floor(F.octet_length(F.coalesce("text", F.lit(""))) / 4)).cast("int").alias("tokens"))
+
+
+@query(_SQL_BUNDLED + """, b as (select bundle, count(*) as n, sum(m.token_estimate) as t, sum(m.char_count) as c from g join m using (o) group by bundle)
+select count(*) as bundles, (sum(t) // greatest(1, count(*)))::bigint as mean_tokens, max(t)::bigint as largest, round(sum(c) / 1048576.0, 6)::double as megabytes from b""")
+def bundle_averages(s, d):
+    b = bundling.summary(bundling.greedy(export.manifest(_manifest(s, d)), 4000, ["doc_id"]), 4000, "char_count")
+    return b.agg(F.count("*").alias("bundles"), F.expr("sum(tokens) div greatest(1, count(*))").alias("mean_tokens"), F.max("tokens").alias("largest"), F.round(F.sum("bytes") / 1048576, 6).alias("megabytes"))
+
+
+@query(_sql_plain(SMALL) + """select doc_id, count(*) filter (idx % 2 = 1) as selected, count(*) as total from chunks where doc_id % 3 = 0 group by doc_id having count(*) filter (idx % 2 = 1) < count(*)""")
+def partial_selections(s, d):
+    c = _chunks(_md(s, d), C.Settings(SMALL))
+    return rules.partial_selections(c, c.filter("doc_id % 3 = 0 and idx % 2 = 1").select("doc_id", "idx"))
+
+
+@query("""select k, case when n = 1 then name else regexp_extract(name, '^(.+?)(\\.[^.]*)?$', 1) || '_' || (n - 1) || coalesce(regexp_extract(name, '(\\.[^.]*)$', 1), '') end as unique_name
+ from (select p_partkey as k, name, row_number() over (partition by folder, name order by path) as n from (select p_partkey, p_brand as folder, 'file' || (p_size % 7) || '.txt' as name, lpad(p_partkey::varchar, 9, '0') as path from part))""")
+def unique_names(s, d):
+    p = _docs(s, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_brand").alias("folder"), F.concat(F.lit("file"), (F.col("p_size") % 7).cast("string"), F.lit(".txt")).alias("name"), F.lpad(F.col("p_partkey").cast("string"), 9, "0").alias("path"))
+    return export.unique_names(p, "folder", "name").select("k", "unique_name")
+
+
+@query(f"select doc_id, source_file, token_estimate from ({_SQL_MANIFEST}) where status = 'ok' order by token_estimate desc, doc_id limit 25")
+def list_documents(s, d):
+    return retrieval.listing(export.manifest(_manifest(s, d)), "ok", 25).select("doc_id", "source_file", "token_estimate")
+
+
+@query("select c_name, o_orderkey from customer join orders on o_custkey = c_custkey where o_orderstatus = 'F' order by o_orderkey limit 100")
+def record_limit(s, d):
+    o = _docs(s, d, "orders").filter("o_orderstatus = 'F'")
+    return o.join(_docs(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("c_name", "o_orderkey").orderBy("o_orderkey").limit(100)
