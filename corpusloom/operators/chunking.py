@@ -104,7 +104,7 @@ def _starts(units: Column, budget: int) -> Column:
         sentence = u["kind"] == "s"
         cost = F.when(sentence, F.length(u["text"])).otherwise(estimate_tokens(u["text"])).cast("long")
         joined = F.when(sentence, a["sum"] + 1 + cost).otherwise(a["sum"] + cost)
-        fits = (a["i"] > 0) & (a["par"] == u["par"]) & (a["line"] == u["line"]) & (F.when(sentence, F.floor((joined + 3) / 4)).otherwise(joined) <= budget)
+        fits = (a["i"] > 0) & (a["par"] == u["par"]) & (a["line"] == u["line"]) & (F.when(sentence, F.shiftright(joined + 3, 2)).otherwise(joined) <= budget)
         at = F.when(fits, a["at"]).otherwise(F.concat(a["at"], F.array(a["i"])))
         return F.struct((a["i"] + 1).alias("i"), F.when(fits, joined).otherwise(cost).alias("sum"), u["par"].alias("par"), u["line"].alias("line"), at.alias("at"))
 

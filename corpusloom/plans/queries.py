@@ -29,7 +29,10 @@ def query(sql: str | None = None):
 
 
 def _docs(s: SparkSession, d: str, name: str = "documents") -> DataFrame:
-    return s.read.parquet(f"{d}/{name}.parquet")
+    df = s.read.parquet(f"{d}/{name}.parquet")
+    # A small table may lie in one row group, which is one task. Large tables have parts enough and stay where they are.
+    cores = s.sparkContext.defaultParallelism
+    return df.repartition(cores) if name == "documents" and df.rdd.getNumPartitions() < cores else df
 
 
 def markdown(text: Column) -> Column:
