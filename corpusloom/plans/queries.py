@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,8 +48,20 @@ def markdown(text: Column) -> Column:
     return F.array_join(F.transform(F.split(text, "\n"), line), "\n\n")
 
 
-def _md(s: SparkSession, d: str) -> DataFrame:
-    return _docs(s, d).select("doc_id", markdown(F.coalesce("text", F.lit(""))).alias("text"))
+def whole_markdown(text: Column) -> Column:
+    """As markdown(), with every line whole: the line itself is the title, the heading or the list item."""
+    line = lambda x, i: (
+        F.when(i % 12 == 0, F.concat(F.lit("# "), x))
+        .when(i % 4 == 1, F.concat(F.lit("## "), x))
+        .when(i % 10 == 5, F.concat(F.lit("```\n"), x, F.lit("\n\n# in a fence\n```")))
+        .when(i % 6 == 3, F.concat(F.lit("- "), x))
+        .otherwise(x)
+    )
+    return F.array_join(F.transform(F.split(text, "\n"), line), "\n\n")
+
+
+def _md(s: SparkSession, d: str, md: Callable[[Column], Column] = markdown) -> DataFrame:
+    return _docs(s, d).select("doc_id", md(F.coalesce("text", F.lit(""))).alias("text"))
 
 
 # SQL parts. est: tokens of a text.
@@ -67,6 +80,10 @@ _SQL_MD = f"""md as (select doc_id, {_strip(f'''array_to_string(list_transform(s
   when (i - 1) % 12 = 0 then '# ' || substr(x, 1, 30) when (i - 1) % 4 = 1 then '## ' || substr(x, 1, 24)
   when (i - 1) % 10 = 5 then '```' || {_NL} || x || {_NL} || {_NL} || '# in a fence' || {_NL} || '```'
   when (i - 1) % 6 = 3 then '- ' || substr(x, 1, 40) else x end), {_NL} || {_NL})''')} as txt from documents)"""
+_SQL_MD_WHOLE = f"""md as (select doc_id, {_strip(f'''array_to_string(list_transform(string_split(coalesce(text, ''), {_NL}), lambda x, i: case
+  when (i - 1) % 12 = 0 then '# ' || x when (i - 1) % 4 = 1 then '## ' || x
+  when (i - 1) % 10 = 5 then '```' || {_NL} || x || {_NL} || {_NL} || '# in a fence' || {_NL} || '```'
+  when (i - 1) % 6 = 3 then '- ' || x else x end), {_NL} || {_NL})''')} as txt from documents)"""
 _SQL_RAW = f"md as (select doc_id, {_strip('''coalesce(text, '')''')} as txt from documents)"
 _SQL_HEAD = "regexp_matches(trim(line), '^#{1,%d}\\s+\\S')"
 
@@ -184,8 +201,8 @@ def chunk_lines(s, d):
 
 
 @query(_sql_plain(SMALL) + _CHUNK_ROWS)
-def chunk_paragraphs(s, d):
-    return _chunks(_md(s, d), C.Settings(SMALL))
+def chunk_paragraphs(s, d, md=markdown):
+    return _chunks(_md(s, d, md), C.Settings(SMALL))
 
 
 @query(_sql_plain(24, _SQL_RAW, True) + _CHUNK_ROWS)
@@ -194,14 +211,14 @@ def chunk_sentences(s, d):
 
 
 @query(_sql_headed(BUDGET, LEVEL) + _CHUNK_ROWS)
-def chunk_headings(s, d):
-    return _chunks(_md(s, d), C.Settings(BUDGET, "headings", LEVEL))
+def chunk_headings(s, d, md=markdown):
+    return _chunks(_md(s, d, md), C.Settings(BUDGET, "headings", LEVEL))
 
 
 @query(f"""with recursive {_SQL_MD}, {_sql_sections(LEVEL)} select doc_id, k::int as k, txt as section, headed from sections""")
-def heading_sections(s, d):
+def heading_sections(s, d, md=markdown):
     t = T.strip(F.col("text"))
-    rows = _md(s, d).filter(t != "").select("doc_id", F.posexplode(C.sections(t, LEVEL)).alias("i", "section"))
+    rows = _md(s, d, md).filter(t != "").select("doc_id", F.posexplode(C.sections(t, LEVEL)).alias("i", "section"))
     return rows.select("doc_id", (F.col("i") + 1).alias("k"), "section", F.substring_index("section", "\n", 1).rlike(r"^\s*#{1,2}\s+\S").alias("headed"))
 
 
@@ -209,17 +226,17 @@ def heading_sections(s, d):
  union all select c.doc_id, c.idx, case when {(join_ := f"({_est('c.txt')} < 30 or {_est('g.txt')} < 30) and {_est(f'(g.txt || {_NL} || {_NL} || c.txt)')} <= {BUDGET}")} then g.txt || {_NL} || {_NL} || c.txt else c.txt end,
  case when {join_} then '{C.MERGED}' else c.reason end, case when {join_} then g.m else g.m + 1 end from merged g join chunks c on c.doc_id = g.doc_id and c.idx = g.idx + 1)
 select doc_id, m::int as idx, arg_max(txt, idx) as text, {_est('arg_max(txt, idx)')}::int as token_estimate, arg_max(reason, idx) as reason from merged group by doc_id, m""")
-def chunk_merged(s, d):
-    return _chunks(_md(s, d), C.Settings(BUDGET, "headings", LEVEL, least=30))
+def chunk_merged(s, d, md=markdown):
+    return _chunks(_md(s, d, md), C.Settings(BUDGET, "headings", LEVEL, least=30))
 
 
 @query(_sql_plain(SMALL) + f""", tails as (select doc_id, idx, txt, coalesce({_strip(f'''(select string_agg(line, {_NL} order by i) from (select line, i, sum({_est('line')}) over (order by i desc) - {_est('line')} as after_
    from (select unnest(string_split(prev, {_NL})) as line, generate_subscripts(string_split(prev, {_NL}), 1) as i)) where after_ < 12)''')}, '') as tail
    from (select doc_id, idx, txt, lag(txt) over (partition by doc_id order by idx) as prev from chunks))
 select doc_id, idx::int as idx, case when tail = '' then txt else tail || {_NL} || {_NL} || txt end as text from tails""")
-def chunk_overlap(s, d):
+def chunk_overlap(s, d, md=markdown):
     t = T.strip(F.col("text"))
-    rows = _md(s, d).select("doc_id", F.posexplode(C.overlap(C.chunk_array(t, C.Settings(SMALL)), 12)).alias("i", "c"))
+    rows = _md(s, d, md).select("doc_id", F.posexplode(C.overlap(C.chunk_array(t, C.Settings(SMALL)), 12)).alias("i", "c"))
     return rows.select("doc_id", (F.col("i") + 1).alias("idx"), F.col("c.text").alias("text"))
 
 
@@ -232,8 +249,8 @@ heads as (select doc_id, k as idx, i, length(regexp_extract(trim(line), '^#+'))
 live as (select b.* from before_ b where not exists (select 1 from before_ o where o.doc_id = b.doc_id and o.idx = b.idx and o.level < b.level and o.at > b.at))
 select c.doc_id, c.idx::int as idx, coalesce(p.path, '') as heading_path from chunks c left join (
   select l.doc_id, l.idx, string_agg(h.title, ' > ' order by l.level) as path from live l join heads h on h.doc_id = l.doc_id and (h.idx, h.i) = l.at group by all) p using (doc_id, idx)""")
-def heading_paths(s, d):
-    return _chunks(_md(s, d), C.Settings(SMALL), paths=True).select("doc_id", "idx", F.array_join("heading_path", " > ").alias("heading_path"))
+def heading_paths(s, d, md=markdown):
+    return _chunks(_md(s, d, md), C.Settings(SMALL), paths=True).select("doc_id", "idx", F.array_join("heading_path", " > ").alias("heading_path"))
 
 
 _SQL_STRUCTURE = f""", {_SQL_CHUNK_HEADS}, plain as (select doc_id, k as idx, line from clines where f % 2 = 0 and not starts_with(ltrim(line), '```') and not regexp_matches(trim(line), '^#{{1,6}}\\s+\\S')),
@@ -244,8 +261,8 @@ structure as (select c.doc_id, c.idx, c.txt, c.reason, {_est('c.txt')} as tok, c
 
 
 @query(_sql_plain(SMALL) + _SQL_STRUCTURE + "select doc_id, idx::int as idx, n_headings::int as headings, first_heading, paras::int as paragraphs, items::int as list_items, rows_::int as table_rows from structure")
-def structure_summary(s, d):
-    c = _chunks(_md(s, d), C.Settings(SMALL), structures=True)
+def structure_summary(s, d, md=markdown):
+    c = _chunks(_md(s, d, md), C.Settings(SMALL), structures=True)
     x = F.col("structure")
     return c.select("doc_id", "idx", F.size(x["headings"]).alias("headings"), F.coalesce(F.get(x["headings"], F.lit(0)), F.lit("")).alias("first_heading"), x["paragraph_count"].alias("paragraphs"), x["list_item_count"].alias("list_items"), x["table_row_count"].alias("table_rows"))
 
@@ -253,53 +270,53 @@ def structure_summary(s, d):
 @query(f"""with {_SQL_MD}, {_sql_lines("(select doc_id, 0 as k, txt from md where txt <> '')")},
 grouped as (select *, sum(case when f % 2 = 0 and trim(line) = '' then 1 else 0 end) over (partition by doc_id order by i) as g from lines)
 select doc_id, row_number() over (partition by doc_id order by g)::int as k, txt as paragraph from (select doc_id, g, {_strip(f"string_agg(line, {_NL} order by i) filter (not (f % 2 = 0 and trim(line) = ''))")} as txt from grouped group by doc_id, g) where txt <> ''""")
-def fence_paragraphs(s, d):
+def fence_paragraphs(s, d, md=markdown):
     t = T.strip(F.col("text"))
-    return _md(s, d).select("doc_id", F.posexplode(C.paragraphs(t, True)).alias("i", "paragraph")).select("doc_id", (F.col("i") + 1).alias("k"), "paragraph")
+    return _md(s, d, md).select("doc_id", F.posexplode(C.paragraphs(t, True)).alias("i", "paragraph")).select("doc_id", (F.col("i") + 1).alias("k"), "paragraph")
 
 
 @query()
-def chunk_fence_aware(s, d):
-    return _chunks(_md(s, d), C.Settings(40, "headings", LEVEL, 20, True, True), paths=True).withColumn("heading_path", F.array_join("heading_path", " > "))
+def chunk_fence_aware(s, d, md=markdown):
+    return _chunks(_md(s, d, md), C.Settings(40, "headings", LEVEL, 20, True, True), paths=True).withColumn("heading_path", F.array_join("heading_path", " > "))
 
 
-def _audited(s, d):
-    return _chunks(_md(s, d), C.Settings(SMALL), structures=True)
+def _audited(s, d, md=markdown):
+    return _chunks(_md(s, d, md), C.Settings(SMALL), structures=True)
 
 
 @query(_sql_plain(SMALL) + f"""select count(*) as chunk_count, sum({_est('txt')})::bigint as total_tokens, sum(strlen(txt))::bigint as total_bytes, min({_est('txt')})::int as smallest,
  list_sort(list({_est('txt')}))[count(*) // 2 + 1]::int as median, max({_est('txt')})::int as largest, count(*) filter ({_est('txt')} > {SMALL})::bigint as over_budget from chunks""")
-def chunk_stats(s, d):
-    return audit.statistics(_chunks(_md(s, d), C.Settings(SMALL)), SMALL)
+def chunk_stats(s, d, md=markdown):
+    return audit.statistics(_chunks(_md(s, d, md), C.Settings(SMALL)), SMALL)
 
 
 @query(_sql_plain(SMALL) + "select reason, count(*) as n from chunks group by reason")
-def reason_histogram(s, d):
-    return audit.reasons(_chunks(_md(s, d), C.Settings(SMALL)))
+def reason_histogram(s, d, md=markdown):
+    return audit.reasons(_chunks(_md(s, d, md), C.Settings(SMALL)))
 
 
 @query(_sql_plain(SMALL) + f"select (case when t > {SMALL} then 4 else least(4 * t // {SMALL}, 3) end)::int as bucket, count(*) as n from (select {_est('txt')} as t from chunks) group by 1")
-def size_histogram(s, d):
-    return audit.size_histogram(_chunks(_md(s, d), C.Settings(SMALL)), SMALL)
+def size_histogram(s, d, md=markdown):
+    return audit.size_histogram(_chunks(_md(s, d, md), C.Settings(SMALL)), SMALL)
 
 
 @query(_sql_plain(SMALL) + _SQL_STRUCTURE + f"select doc_id, count(*) as chunks, sum(tok)::bigint as tokens, max(tok)::int as largest, count(*) filter (tok > {SMALL}) as over_budget, sum(n_headings)::bigint as headings, count(*) = 1 as single from structure group by doc_id")
-def chunk_audit(s, d):
-    return audit.per_document(_audited(s, d), SMALL)
+def chunk_audit(s, d, md=markdown):
+    return audit.per_document(_audited(s, d, md), SMALL)
 
 
 @query(_sql_plain(SMALL) + _SQL_STRUCTURE + """select lower(first_heading) as heading_key, arg_min(first_heading, (doc_id, idx)) as heading, count(*) as chunk_count, sum(tok)::bigint as token_estimate, count(distinct doc_id) as document_count,
  round(100.0 * sum(tok) / greatest(sum(sum(tok)) over (), 1), 4)::double as token_share from structure group by lower(first_heading)""")
-def heading_summary(s, d):
-    return audit.heading_summary(_audited(s, d))
+def heading_summary(s, d, md=markdown):
+    return audit.heading_summary(_audited(s, d, md))
 
 
 @query(_sql_plain(SMALL) + _SQL_STRUCTURE + f""", by_doc as (select doc_id, count(*) as n, count(*) filter (tok > {SMALL}) as over_, sum(n_headings) as heads, count(*) filter (tok < 30) as tiny from structure group by doc_id),
 one as (select count(*) as docs, sum(n) as n, sum(over_) as over_, sum(heads) as heads, sum(tiny) as tiny, count(*) filter (n = 1) as single from by_doc)
 select 'over_budget' as tip, over_::bigint as figure from one where over_ > 0 union all select 'heading_rich', heads::bigint from one where heads >= 3 * docs
 union all select 'single_chunk_documents', single from one where single > docs // 2 and docs > 1""")
-def guidance(s, d):
-    return audit.guidance(_audited(s, d), SMALL, "tokens", "rag")
+def guidance(s, d, md=markdown):
+    return audit.guidance(_audited(s, d, md), SMALL, "tokens", "rag")
 
 
 _GLOBS = ["*the*", "e[a-m]*", "*.", "[!a-s]*"]
@@ -309,8 +326,8 @@ _SQL_GLOB = "(h like '%the%' or regexp_matches(h, '^e[a-m].*') or h like '%.' or
 @query(_sql_plain(SMALL) + _SQL_STRUCTURE + f""", m as (select *, not (first_heading <> '' and {_SQL_GLOB.replace('h like', 'lower(first_heading) like').replace('(h,', '(lower(first_heading),')}) as keep from structure),
 b as (select doc_id, count(*) as total, count(*) filter (keep) as kept, coalesce(string_agg(txt, {_NL} || {_NL} order by idx) filter (keep), '') as body from m group by doc_id)
 select doc_id, total, kept, body, case when kept = 0 then 'skipped' else 'ok' end as status, {_est('body')}::int as token_estimate, case when total > kept then (total - kept) || ' of ' || total || ' chunk(s) excluded by heading rules' else '' end as note from b""")
-def heading_rules(s, d):
-    return rules.apply_heading_rules(_audited(s, d), _GLOBS)
+def heading_rules(s, d, md=markdown):
+    return rules.apply_heading_rules(_audited(s, d, md), _GLOBS)
 
 
 @query(_sql_plain(SMALL) + f""", sel as (select doc_id, idx from chunks where doc_id % 3 = 0 and idx % 2 = 1 union select doc_id, 100000 from documents where doc_id % 5 = 0),
@@ -318,8 +335,8 @@ v as (select c.doc_id, count(s.idx) as valid, bool_or(n.doc_id is not null) as n
 m as (select c.*, not named or valid = 0 or s.idx is not null as keep from chunks c join v using (doc_id) left join sel s on s.doc_id = c.doc_id and s.idx = c.idx),
 b as (select doc_id, count(*) as total, count(*) filter (keep) as kept, coalesce(string_agg(txt, {_NL} || {_NL} order by idx) filter (keep), '') as body from m group by doc_id)
 select doc_id, total, kept, body, case when kept = 0 then 'skipped' else 'ok' end as status, {_est('body')}::int as token_estimate, case when total > kept then (total - kept) || ' of ' || total || ' chunk(s) deselected' else '' end as note from b""")
-def chunk_selection(s, d):
-    c = _chunks(_md(s, d), C.Settings(SMALL))
+def chunk_selection(s, d, md=markdown):
+    c = _chunks(_md(s, d, md), C.Settings(SMALL))
     chosen = c.filter("doc_id % 3 = 0 and idx % 2 = 1").select("doc_id", "idx")
     other = _docs(s, d).filter("doc_id % 5 = 0").select("doc_id", F.lit(100000).alias("idx"))
     return rules.apply_selection(c, chosen.unionByName(other))
@@ -382,9 +399,9 @@ def bundle_tiered(s, d):
 
 
 @query()
-def bundle_medium(s, d):
+def bundle_medium(s, d, md=markdown):
     m = _manifest(s, d)
-    full = export.manifest(m).join(m.select(T.document_id(F.col("place")).alias("doc_id"), markdown(F.col("body")).alias("body"), "extension"), "doc_id")
+    full = export.manifest(m).join(m.select(T.document_id(F.col("place")).alias("doc_id"), md(F.col("body")).alias("body"), "extension"), "doc_id")
     parts = bundling.split_at_headings(full.select("doc_id", "source_file", "source_path", "extension", "body", "notes", "token_estimate"), 2000)
     return bundling.greedy(parts, 2000, ["doc_id"]).select("doc_id", "part", "notes", "token_estimate", "bundle")
 
@@ -437,19 +454,19 @@ _SQL_RAG = _sql_headed(BUDGET, LEVEL) + f""", recs as (select 'DOC_' || lpad((do
 rag as (select d || '__c' || case when idx < 1000 then lpad(idx::varchar, 3, '0') else idx::varchar end as chunk_id, d as doc_id, source || '_' || recs.doc_id || '.txt' as source_file, lang || '/' || source || '_' || recs.doc_id || '.txt' as source_path, txt as text, {_est('txt')}::int as token_estimate from recs join documents on documents.doc_id = recs.doc_id)"""
 
 
-def _rag(s, d):
-    m = _manifest(s, d).select(T.document_id(F.col("place")).alias("doc_id"), "source_file", "source_path", markdown(F.col("body")).alias("body"))
+def _rag(s, d, md=markdown):
+    m = _manifest(s, d).select(T.document_id(F.col("place")).alias("doc_id"), "source_file", "source_path", md(F.col("body")).alias("body"))
     return export.chunk_records(m, C.Settings(BUDGET, "headings", LEVEL))
 
 
 @query(_SQL_RAG.replace("lpad((doc_id + 1)::varchar, 4, '0')", "case when doc_id + 1 < 10000 then lpad((doc_id + 1)::varchar, 4, '0') else (doc_id + 1)::varchar end") + "select * from rag")
-def rag_export(s, d):
-    return _rag(s, d)
+def rag_export(s, d, md=markdown):
+    return _rag(s, d, md)
 
 
 @query(_SQL_RAG.replace("lpad((doc_id + 1)::varchar, 4, '0')", "case when doc_id + 1 < 10000 then lpad((doc_id + 1)::varchar, 4, '0') else (doc_id + 1)::varchar end") + "select doc_id, source_file, source_path, string_agg(chunk_id, ',' order by chunk_id) as chunk_ids, sum(token_estimate)::bigint as token_estimate from rag group by all")
-def source_map(s, d):
-    return export.source_map(_rag(s, d)).withColumn("chunk_ids", F.array_join("chunk_ids", ","))
+def source_map(s, d, md=markdown):
+    return export.source_map(_rag(s, d, md)).withColumn("chunk_ids", F.array_join("chunk_ids", ","))
 
 
 @query(_SQL_BUNDLED + "select doc_id, '| ' || doc_id || ' | ' || source_file || ' | ' || m.token_estimate || ' | BUNDLE_' || lpad(bundle::varchar, greatest(3, length(bundle::varchar))::int, '0') || ' |' as line from m join g using (doc_id) where status = 'ok'")
@@ -520,8 +537,8 @@ def hybrid_search(s, d):
 
 
 @query(_sql_plain(SMALL) + "select doc_id, idx::int as idx, (lag(idx) over w)::int as previous, (lead(idx) over w)::int as next from chunks window w as (partition by doc_id order by idx)")
-def chunk_neighbours(s, d):
-    return retrieval.neighbours(_chunks(_md(s, d), C.Settings(SMALL)))
+def chunk_neighbours(s, d, md=markdown):
+    return retrieval.neighbours(_chunks(_md(s, d, md), C.Settings(SMALL)))
 
 
 @query()
@@ -584,24 +601,24 @@ def markdown_tables(s, d):
 
 
 @query(_sql_plain(SMALL) + f"select doc_id, string_agg(txt, {_NL} || {_NL} order by idx) as text, count(*) as chunks from chunks group by doc_id")
-def get_documents(s, d):
-    return retrieval.assembled(_chunks(_md(s, d), C.Settings(SMALL)))
+def get_documents(s, d, md=markdown):
+    return retrieval.assembled(_chunks(_md(s, d, md), C.Settings(SMALL)))
 
 
 @query(_sql_plain(SMALL) + f"select doc_id, idx::int as idx, case when length(t) > 160 then substr(t, 1, 160) || '…' else t end as preview from (select doc_id, idx, trim(regexp_replace(txt, '\\s+', ' ', 'g')) as t from chunks)")
-def chunk_previews(s, d):
-    return _chunks(_md(s, d), C.Settings(SMALL)).select("doc_id", "idx", T.preview(F.col("text")).alias("preview"))
+def chunk_previews(s, d, md=markdown):
+    return _chunks(_md(s, d, md), C.Settings(SMALL)).select("doc_id", "idx", T.preview(F.col("text")).alias("preview"))
 
 
 @query(_sql_plain(SMALL) + _SQL_STRUCTURE + """select doc_id, idx::int as idx, concat_ws(', ', case when n_headings > 0 then n_headings || ' heading(s)' end, paras || ' paragraph(s)', case when items > 0 then items || ' list item(s)' end, case when rows_ > 0 then rows_ || ' table row(s)' end) as described from structure""")
-def structure_descriptions(s, d):
-    return _audited(s, d).select("doc_id", "idx", C.described(F.col("structure")).alias("described"))
+def structure_descriptions(s, d, md=markdown):
+    return _audited(s, d, md).select("doc_id", "idx", C.described(F.col("structure")).alias("described"))
 
 
 @query(f"""with {_SQL_MD}, l as (select doc_id, i, line from (select doc_id, unnest(string_split(txt, {_NL})) as line, generate_subscripts(string_split(txt, {_NL}), 1) as i from md))
 select doc_id, row_number() over (partition by doc_id order by i)::int as k, length(regexp_extract(line, '^#+'))::int as level, trim(regexp_extract(line, '^#{{1,6}}\\s+(.*)$', 1)) as title from l where regexp_matches(line, '^#{{1,6}}\\s+.*$')""")
-def page_outline(s, d):
-    rows = _md(s, d).select("doc_id", F.posexplode(C.outline(T.strip(F.col("text")))).alias("i", "h"))
+def page_outline(s, d, md=markdown):
+    rows = _md(s, d, md).select("doc_id", F.posexplode(C.outline(T.strip(F.col("text")))).alias("i", "h"))
     return rows.select("doc_id", (F.col("i") + 1).alias("k"), "h.level", "h.title")
 
 
@@ -618,8 +635,8 @@ def bundle_averages(s, d):
 
 
 @query(_sql_plain(SMALL) + """select doc_id, count(*) filter (idx % 2 = 1) as selected, count(*) as total from chunks where doc_id % 3 = 0 group by doc_id having count(*) filter (idx % 2 = 1) < count(*)""")
-def partial_selections(s, d):
-    c = _chunks(_md(s, d), C.Settings(SMALL))
+def partial_selections(s, d, md=markdown):
+    c = _chunks(_md(s, d, md), C.Settings(SMALL))
     return rules.partial_selections(c, c.filter("doc_id % 3 = 0 and idx % 2 = 1").select("doc_id", "idx"))
 
 
@@ -639,3 +656,15 @@ def list_documents(s, d):
 def record_limit(s, d):
     o = _docs(s, d, "orders").filter("o_orderstatus = 'F'")
     return o.join(_docs(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("c_name", "o_orderkey").orderBy("o_orderkey").limit(100)
+
+
+#: The queries over Markdown; each is also registered as NAME_whole, over lines that are not shortened.
+OVER_MARKDOWN = [
+    "chunk_paragraphs", "chunk_headings", "heading_sections", "chunk_merged", "chunk_overlap", "heading_paths", "structure_summary", "fence_paragraphs", "chunk_fence_aware",
+    "chunk_stats", "reason_histogram", "size_histogram", "chunk_audit", "heading_summary", "guidance", "heading_rules", "chunk_selection", "bundle_medium",
+    "rag_export", "source_map", "chunk_neighbours", "get_documents", "chunk_previews", "structure_descriptions", "page_outline", "partial_selections",
+]
+for _name in OVER_MARKDOWN:
+    QUERIES[f"{_name}_whole"] = partial(QUERIES[_name], md=whole_markdown)
+    if _name in SQL:
+        SQL[f"{_name}_whole"] = SQL[_name].replace(_SQL_MD, _SQL_MD_WHOLE)
