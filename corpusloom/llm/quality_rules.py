@@ -64,14 +64,20 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     classes = F.array(*[a - b for a, b in zip(sizes, sizes[1:], strict=False)], sizes[-1])
     lists = F.coalesce(F.element_at(F.create_map(*[x for k, v in COMMON.items() for x in (F.lit(k), F.array(*map(F.lit, v)))]), F.col("lang")), F.array(*map(F.lit, OTHER)))
     every = sorted({w for v in COMMON.values() for w in v} | set(OTHER))
-    t = t.withColumn("list", lists)
     of_any = F.filter("w", lambda x: x.isin(every))
+    # Without a language: that of the list which has most of the text's words; none if no list has any.
+    of = lambda v: F.size(F.filter("any", lambda x: x.isin(v)))
+    hits = [F.struct(of(v).alias("n"), F.lit(k).alias("k")) for k, v in COMMON.items()]
+    t = t.withColumn("given", F.col("lang") != "").withColumn("any", F.when(~F.col("given"), of_any))
+    t = t.withColumn("best", F.when(~F.col("given"), F.array_max(F.array(*hits))))
+    t = t.withColumn("lang", F.when(F.col("best.n") > 0, F.col("best.k")).otherwise(F.col("lang")))
+    t = t.withColumn("list", lists)
     t = t.withColumn("found", F.filter(of_any, lambda x: F.array_contains("list", x)))
     common = F.transform("list", lambda k: F.size(F.filter("found", lambda x: x == k)).cast("long"))
     # `found` is read twice on purpose: Spark then computes it once, not once for each word of the list.
     common = F.concat(common, F.array((n - F.size("found")).cast("long")))
     return t.select(
-        "id", "lang", "n_words", sizes[0].alias("word_chars"), (sizes[4] - sizes[5]).alias("n_symbols"),
+        "id", "lang", "given", "n_words", sizes[0].alias("word_chars"), (sizes[4] - sizes[5]).alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.coalesce(F.when(F.size("twice") > 0, _repeated()), F.lit(0)).cast("long").alias("n_repeat_words"),
         classes.alias("classes"), common.alias("common"),
@@ -90,10 +96,14 @@ def _distance(p: Column, q: Column) -> Column:
 
 
 def references(counted: DataFrame) -> DataFrame:
-    """Of each language, the mean shares over its documents that pass the base rules and the guards: a row each."""
-    sound = counted.filter(~F.col("base_failed") & (F.col("word_chars") >= MIN_CHARS_FOR_CLASSES) & (F.col("n_words") >= MIN_WORDS_FOR_COMMON))
+    """Of each language, the mean shares over its documents that pass the base rules and the guards: a row each.
+
+    Documents whose language is a guess count only where no other document has that language. Those without any: no row.
+    """
+    sound = counted.filter((F.col("lang") != "") & ~F.col("base_failed") & (F.col("word_chars") >= MIN_CHARS_FOR_CLASSES) & (F.col("n_words") >= MIN_WORDS_FOR_COMMON))
     n_common = len(COMMON["en"]) + 1
-    means = [F.avg(F.get("p_classes", F.lit(i))).alias(f"c{i}") for i in range(6)] + [F.avg(F.get("p_common", F.lit(i))).alias(f"w{i}") for i in range(n_common)]
+    share = lambda c, i: F.coalesce(F.avg(F.when(F.col("given"), F.get(c, F.lit(i)))), F.avg(F.get(c, F.lit(i))))
+    means = [share("p_classes", i).alias(f"c{i}") for i in range(6)] + [share("p_common", i).alias(f"w{i}") for i in range(n_common)]
     r = sound.groupBy("lang").agg(*means)
     return r.select("lang", F.array(*[f"c{i}" for i in range(6)]).alias("q_classes"), F.array(*[f"w{i}" for i in range(n_common)]).alias("q_common"))
 
@@ -101,8 +111,8 @@ def references(counted: DataFrame) -> DataFrame:
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Base counts, the two distances to the language's reference, and the verdict of every document.
 
-    A row per input row (repeated ids: a row each). Null or empty text: no words, so base_failed. Null language: a
-    language of its own. A document that the guards exempt, or whose language has no reference, has null distances
+    A row per input row (repeated ids: a row each). Null or empty text: no words, so base_failed. Null or
+    empty language: that of COMMON with most of the text's words; no reference if the text has none of them. A document that the guards exempt, or whose language has no reference, has null distances
     and is kept if the base rules keep it. Distances equal to a threshold keep. Other columns are not read.
     The references are one row a language, joined by language; texts are never shuffled.
     """
