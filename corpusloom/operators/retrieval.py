@@ -14,6 +14,8 @@ _MARKED = [chr(c) for c in range(0xC0, 0x250) if len(unicodedata.normalize("NFD"
 _BARE = [unicodedata.normalize("NFD", c)[0] for c in _MARKED]
 #: BM25: saturation and length normalisation of the reference's index, its least idf, and the fusion's offset.
 K1, B, LEAST_IDF, FUSION = 1.2, 0.75, 1e-6, 60
+#: Searches by many queries: rows and queries in a block at about most, and the least number of blocks of rows.
+BLOCK_ROWS, BLOCK_QUERIES, BLOCKS = 16384, 2048, 16
 
 
 def terms(text: Column) -> Column:
@@ -107,6 +109,63 @@ def vector_search(vectors: DataFrame, query: list[float], k: int, id_col: str, v
     return top(scored, k, F.col("score").desc())
 
 
+def _dealt(df: DataFrame, id_col: str, vector_col: str, blocks: int, block: str) -> DataFrame:
+    v = F.col(vector_col).cast("array<double>")
+    return df.select(F.col(id_col).alias("id"), v.alias("v"), F.pmod(F.xxhash64(F.col(id_col), v), F.lit(blocks)).cast("int").alias(block))
+
+
+def vector_search_all(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vector_col: str) -> DataFrame:
+    """query, id, score, rank: the k rows (1 to 100) nearest to each query by cosine, exactly; ties by id.
+
+    Both are dealt into blocks by hash; each pair of blocks is one group, which keeps k rows a query, and these are merged.
+    Queries of one id count apart if their vectors differ. Null vectors and those of length zero have the score 0.
+    """
+    k = max(1, min(100, k))
+    id_type = vectors.schema[id_col].dataType.simpleString()
+    n_rows, n_queries = max(BLOCKS, -(-vectors.count() // BLOCK_ROWS)), max(1, -(-queries.count() // BLOCK_QUERIES))
+    rows = _dealt(vectors, id_col, vector_col, n_rows, "i").withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))))
+    asked = _dealt(queries, id_col, vector_col, n_queries, "j").dropDuplicates().withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n_rows - 1))))
+    asked = asked.withColumn("h", F.xxhash64("v"))
+
+    def unit(column):
+        import numpy as np
+
+        lists = column.to_pylist()
+        width = max((len(x) for x in lists if x), default=0)
+        m = np.array([x or [0.0] * width for x in lists], np.float64).reshape(len(lists), width)
+        norms = np.sqrt((m * m).sum(axis=1, keepdims=True))
+        return m / np.where(norms > 0, norms, 1)
+
+    def nearest(left, right):
+        import numpy as np
+        import pyarrow as pa
+
+        left = left.combine_chunks().sort_by([("id", "ascending")])
+        out = {"query": [], "h": [], "id": [], "score": []}
+        if len(left) and len(right):
+            a, b, ids = unit(left.column("v")), unit(right.column("v")), left.column("id").to_pylist()
+            asked_ids, hashes = right.column("id").to_pylist(), right.column("h").to_pylist()
+            m = min(k, len(ids))
+            for at in range(0, len(asked_ids), 256):
+                part = b[at : at + 256]
+                width = a.shape[1] if part.shape[1] == a.shape[1] else 0
+                scores = np.round(part[:, :width] @ a[:, :width].T, 6) + 0.0
+                least = np.partition(scores, len(ids) - m, axis=1)[:, len(ids) - m]
+                for q, (row, low) in enumerate(zip(scores, least, strict=True)):
+                    found = np.flatnonzero(row >= low)
+                    found = found[np.argsort(-row[found], kind="stable")[:m]]  # rows are in the order of ids
+                    out["query"] += [asked_ids[at + q]] * m
+                    out["h"] += [hashes[at + q]] * m
+                    out["id"] += [ids[x] for x in found]
+                    out["score"] += row[found].tolist()
+        of_id = left.schema.field("id").type
+        return pa.table({"query": pa.array(out["query"], of_id), "h": pa.array(out["h"], pa.int64()), "id": pa.array(out["id"], of_id), "score": pa.array(out["score"], pa.float64())})
+
+    best = rows.groupBy("i", "j").cogroup(asked.groupBy("i", "j")).applyInArrow(nearest, f"query {id_type}, h long, id {id_type}, score double")
+    place = F.row_number().over(Window.partitionBy("query", "h").orderBy(F.col("score").desc(), F.col("id").asc_nulls_last()))
+    return best.withColumn("rank", place).filter(F.col("rank") <= k).drop("h")
+
+
 def sparse_search(vectors: DataFrame, query: DataFrame, k: int) -> DataFrame:
     """The k nearest of sparse unit vectors (id, dim, value) to one (dim, value)."""
     q = query.select(F.col("dim").alias("qd"), F.col("value").alias("qv"))

@@ -527,6 +527,13 @@ def vector_search(s, d):
     return retrieval.vector_search(e, q, 20, "vec_id", "embedding")
 
 
+@query("""select query, id, score, rank from (select *, row_number() over (partition by query order by score desc, id)::int as rank from (select q.vec_id as query, v.vec_id as id, round(list_cosine_similarity(v.embedding::double[], q.embedding::double[]), 6) as score
+ from embeddings v, embeddings q where q.vec_id % 20 = 0)) where rank <= 20""")
+def vector_search_all(s, d):
+    e = _docs(s, d, "embeddings")
+    return retrieval.vector_search_all(e, e.filter("vec_id % 20 = 0"), 20, "vec_id", "embedding")
+
+
 @query(_sql_bm25(_WORDS) + f""", kw as (select id, row_number() over (order by round(score, 9), id) as rank from scored qualify rank <= 50), {_SQL_EMBED},
 q as (select dim, value from vec where id = 3), vs as (select id, row_number() over (order by score desc, id) as rank from (select v.id, round(sum(v.value * q.value), 6) as score from vec v join q using (dim) group by v.id) qualify rank <= 50)
 select id, round(sum(1.0 / (60 + rank)), 9)::double as score, row_number() over (order by round(sum(1.0 / (60 + rank)), 9) desc, id)::int as rank from (select * from kw union all select * from vs) group by id order by 2 desc, id limit 10""")

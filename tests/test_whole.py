@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from corpusloom.llm import quality_rules
+from corpusloom.operators import retrieval
 from corpusloom.plans import queries as Q
 
 
@@ -34,3 +35,15 @@ def test_quality_rules_without_languages(spark):
     foreign = [(i, " ".join(f"слово{i * 1000 + k}" for k in range(150)), None) for i in range(3)]
     rows = quality_rules.judge(spark.createDataFrame(foreign, "doc_id long, text string, lang string")).collect()
     assert all(r["kept"] for r in rows)
+
+
+def test_vector_search_of_many(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "BLOCK_QUERIES", 3)
+    rows = [(i, [float(i % 7), 1.0, float(i % 3)]) for i in range(200)] + [(500, None), (501, [0.0, 0.0, 0.0]), (None, [1.0, 1.0, 1.0])]
+    e = spark.createDataFrame(rows, "id int, v array<float>")
+    got = {}
+    for r in retrieval.vector_search_all(e, e.filter("id % 20 = 0"), 5, "id", "v").orderBy("query", "rank").collect():
+        got.setdefault(r["query"], []).append(r["id"])
+    assert set(got) == {i for i in range(0, 200, 20)} | {500}
+    for q in range(0, 200, 20):
+        assert got[q] == [r["id"] for r in retrieval.vector_search(e, rows[q][1], 5, "id", "v").orderBy("rank").collect()]
