@@ -35,16 +35,23 @@ def phrases(query: str) -> list[list[str]]:
     return found
 
 
-def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """term, id, tf, positions; and the document's length on each row."""
-    t = docs.select(F.col(id_col).alias("id"), terms(F.coalesce(F.col(text_col), F.lit(""))).alias("w"))
-    rows = t.select("id", F.size("w").alias("dl"), F.posexplode("w").alias("at", "term"))
+def postings(docs: DataFrame, id_col: str, text_col: str, file_col: str | None = None) -> DataFrame:
+    """term, id, tf, positions; and the document's length on each row. With file_col, terms of both columns: the text's
+    places begin one after the file name's end, so that no phrase crosses."""
+    t = docs.select(F.col(id_col).alias("id"), terms(F.coalesce(F.col(text_col), F.lit(""))).alias("w"), _of_file(file_col).alias("n"))
+    t = t.select("id", (F.size("n") + F.size("w")).alias("dl"), F.size("n").alias("of"), F.posexplode(F.concat("n", F.array(F.lit("")), "w")).alias("at", "term"))
+    rows = t.filter("term <> ''").withColumn("at", F.when(F.col("of") > 0, F.col("at")).otherwise(F.col("at") - 1))
     return rows.groupBy("term", "id", "dl").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("at")).alias("positions"))
 
 
-def lengths(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row: the number of documents and their mean length in terms."""
-    return docs.agg(F.count("*").alias("n_docs"), F.avg(F.size(terms(F.coalesce(F.col(text_col), F.lit(""))))).alias("avgdl"))
+def _of_file(file_col: str | None) -> Column:
+    return terms(F.coalesce(F.col(file_col), F.lit(""))) if file_col else F.array().cast("array<string>")
+
+
+def lengths(docs: DataFrame, id_col: str, text_col: str, file_col: str | None = None) -> DataFrame:
+    """One row: the number of documents and their mean length in terms (of both columns, with file_col)."""
+    size = F.size(terms(F.coalesce(F.col(text_col), F.lit("")))) + F.size(_of_file(file_col))
+    return docs.agg(F.count("*").alias("n_docs"), F.avg(size).alias("avgdl"))
 
 
 def bm25(index: DataFrame, stats: DataFrame, query: str) -> DataFrame:

@@ -198,7 +198,7 @@ def run(docs: DataFrame, p: Profile) -> Result:
         records = export.chunk_records(good, p.settings, p.chunk_overlap_tokens, p.chunk_heading_path_mode)
         tables = {}
         if p.target == "cowork":
-            tables = {"postings": retrieval.postings(records, "chunk_id", "text"), "lengths": retrieval.lengths(records, "chunk_id", "text"), "vectors": retrieval.hash_embedding(records, "chunk_id", "text")}
+            tables = {"postings": retrieval.postings(records, "chunk_id", "text", "source_file"), "lengths": retrieval.lengths(records, "chunk_id", "text", "source_file"), "vectors": retrieval.hash_embedding(records, "chunk_id", "text")}
         return Result(manifest, records=records, tables=tables, warnings=p.warnings())
     header = T.identity_header(F.col("doc_id"), F.col("source_file"), F.col("source_path"), F.col("extension"))
     sized = good.withColumn("token_estimate", T.estimate_tokens(F.concat(header, F.lit("\n"), F.col("body")))).withColumn("part", F.lit(0))

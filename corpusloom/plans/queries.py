@@ -499,6 +499,16 @@ def bm25_search(s, d):
     return retrieval.bm25(*_index(s, d), '"with" from').select("id", F.round("score", 9).alias("score"))
 
 
+_OF_FILE = _TERMS.replace("text", "source || '_' || doc_id || '.txt'")
+
+
+@query(_sql_bm25(("with", "txt")).replace(f"{_TERMS} as w", f"list_concat({_OF_FILE}, {_TERMS}) as w") + "select id, round(score, 9) as score from scored")
+def bm25_search_files(s, d):
+    docs = _docs(s, d).withColumn("source_file", F.concat("source", F.lit("_"), F.col("doc_id").cast("string"), F.lit(".txt")))
+    index, stats = (f(docs, "doc_id", "text", "source_file") for f in (retrieval.postings, retrieval.lengths))
+    return retrieval.bm25(index, stats, "with txt").select("id", F.round("score", 9).alias("score"))
+
+
 @query(f"""with {_SQL_POST}, hits as (select a.doc_id, a.dl, count(*) as tf from post a join post b on b.doc_id = a.doc_id and b.at = a.at + 1 and b.term = 'the' where a.term = 'of' group by all),
  df as (select count(*) as df from hits) select doc_id as id, round(-(case when ln((n_docs - df + 0.5) / (df + 0.5)) <= 0 then 1e-6 else ln((n_docs - df + 0.5) / (df + 0.5)) end) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)), 9) as score from hits, df, st""")
 def bm25_phrase(s, d):

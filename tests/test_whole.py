@@ -47,3 +47,12 @@ def test_vector_search_of_many(spark, monkeypatch):
     assert set(got) == {i for i in range(0, 200, 20)} | {500}
     for q in range(0, 200, 20):
         assert got[q] == [r["id"] for r in retrieval.vector_search(e, rows[q][1], 5, "id", "v").orderBy("rank").collect()]
+
+
+def test_search_in_file_names(spark):
+    df = spark.createDataFrame([(1, "Budget_2024.txt", "state of the art"), (2, None, "budget plan"), (3, "art.md", None)], "id int, f string, t string")
+    index, stats = retrieval.postings(df, "id", "t", "f"), retrieval.lengths(df, "id", "t", "f")
+    found = lambda q: {r["id"] for r in retrieval.bm25(index, stats, q).collect()}
+    assert found("budget") == {1, 2} and found("2024 art") == {1} and found("art") == {1, 3}
+    assert found("budget-2024-txt") == {1} and found("txt-state") == set() and found("state-of-the-art") == {1}
+    assert stats.first()["avgdl"] == (7 + 2 + 2) / 3
