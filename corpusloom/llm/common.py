@@ -20,11 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder's path in the cluster's shared checkpoint folder (a temporary one where none is set, as in tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """A new folder's path in the cluster's shared checkpoint folder. Where none is set: on one machine, as in tests, a
+    temporary folder; on a cluster, whose machines would not share it, an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        checkpoint = spark.sparkContext.getCheckpointDir()
-        base = checkpoint or tempfile.mkdtemp(prefix="corpusloom-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        base = tempfile.mkdtemp(prefix="corpusloom-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
@@ -34,7 +36,16 @@ def stored(df: DataFrame, *partitions: str) -> DataFrame:
     """The rows, written as Parquet to the shared folder and read back: lineage ends, any executor can be lost."""
     path = scratch(df.sparkSession)
     df.write.partitionBy(*partitions).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def released(*tables: DataFrame) -> None:
+    """Deletes what stored() wrote for these tables, once nothing that is still to run reads them."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._scratch)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ascii_lower(text: Column) -> Column:
@@ -57,12 +68,32 @@ def unit(*seeded: Column | str) -> Column:
     return (bits.cast("double") + 0.5) / F.lit(float(1 << 53))
 
 
-def rank_in(df: DataFrame, group: list[str], key: Column, ties: list[str], out: str, buckets: int = 1024) -> DataFrame:
+#: Groups of over one in HOTTEST rows are joined by broadcast: there can be at most HOTTEST of them.
+HOTTEST = 10_000
+
+
+def hot_join(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+    """The rows with the columns of their group (a row for each key, in a stored table; `size`: its number of rows).
+
+    A group that holds over one in HOTTEST of all rows would be a hot key of the exchange. Such groups are HOTTEST at the
+    most, whatever the input, so they are broadcast; all others are joined by key."""
+    most = (groups.agg(F.sum(size)).first()[0] or 0) // HOTTEST
+    hot = groups.filter(F.col(size) > F.greatest(F.lit(most), F.lit(1)))
+    named = rows.join(F.broadcast(hot.select(key, F.lit(True).alias("__hot"), F.struct(*[c for c in groups.columns if c != key]).alias("__g"))), key, "left")
+    columns = [c for c in groups.columns if c != key]
+    direct = named.filter("__hot").select(*rows.columns, *[F.col("__g")[c].alias(c) for c in columns])
+    others = named.filter("__hot is null").drop("__hot", "__g").join(groups, key)
+    return direct.unionByName(others.select(*rows.columns, *columns))
+
+
+def rank_in(df: DataFrame, group: list[str], key: Column, ties: list[str], out: str, per_part: int = 200_000) -> DataFrame:
     """`out`: the row's place, from 0, in the order of `key` (0 to 1, spread evenly) and `ties` within its group.
 
-    A group is cut at fixed steps of the key into `buckets` parts. Parts are counted (one row each), their counts
-    summed in order, and rows are numbered within their part: no task holds a group, however large it is.
+    A group is cut at fixed steps of the key into parts: 1024, or more where the input has over `per_part` rows for each.
+    Parts are counted (one row each), their counts summed in order, and rows are numbered within their part: no task holds a
+    group, however large it is.
     """
+    buckets = max(1024, -(-df.count() // per_part))
     cut = df.withColumn("__key", key).withColumn("__part", F.least(F.lit(buckets - 1), F.floor(F.col("__key") * buckets)).cast("int"))
     part = [*group, "__part"]
     counts = cut.groupBy(*part).agg(F.count("*").alias("__n"))
