@@ -1,6 +1,6 @@
 """Blocks of whole documents, and questions that blocks put to buckets of hashes.
 
-A block is a group of whole documents, chosen by the hash of the id; a bucket is a range of hashes. A block sends each
+A block is a group of whole documents, chosen by the hash of id and text; a bucket is a range of hashes. A block sends each
 distinct hash of its texts once, as sorted arrays cut by bucket; a bucket's task sees what all blocks sent it and sends
 back an array in the same order. A hash that is everywhere costs a bucket one entry per block, never one per occurrence.
 """
@@ -18,18 +18,22 @@ LOWEST = -(1 << 63)
 
 
 def blocked(docs: DataFrame, id_col: str, text_col: str, *more) -> tuple[DataFrame, int]:
-    """Columns block, id (long; null becomes the lowest), t (bytes of the whole text) and any more; and the number of blocks."""
+    """Columns block, id (long), t (bytes of the whole text) and any more; and the number of blocks. Rows of one id (null
+    or not) are spread over blocks by their texts."""
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     n = max(LEAST, -(-size // BLOCK_BYTES))
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST))
-    return docs.select(F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("block"), key.alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("t"), *more), n
+    key, text = F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(F.pmod(F.xxhash64(key, text), F.lit(n)).cast("int").alias("block"), key.alias("id"), text.cast("binary").alias("t"), *more), n
 
 
 def in_order(block):
-    """The block's rows by id, then text; ids; and the bytes and offsets of the texts."""
-    block = block.combine_chunks().sort_by([("id", "ascending"), ("t", "ascending")])
+    """The block's rows by id (null first), then text; ids (null: the lowest); and the bytes and offsets of the texts."""
+    import pyarrow.compute as pc
+
+    block = block.combine_chunks()
+    block = block.append_column("key", pc.fill_null(block.column("id"), LOWEST)).sort_by([("key", "ascending"), ("t", "ascending")])
     data, offsets = flat(block.column("t"))
-    return block, block.column("id").to_numpy(), data, offsets
+    return block, block.column("key").to_numpy(), data, offsets
 
 
 def buckets(keys: np.ndarray, n: int) -> np.ndarray:

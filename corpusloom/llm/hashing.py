@@ -5,9 +5,16 @@ from __future__ import annotations
 import numpy as np
 
 SPAN = 1 << 20
-_STEP = 0x9E3779B97F4A7C15
+#: Longer words are hashed one by one.
+LONG = 256
+_ODD = 0x9E3779B97F4A7C15
+_MASK = (1 << 64) - 1
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: Ones in the lowest bytes: as many as the index says.
+_PART = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -18,26 +25,34 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-class Hasher:
-    """Polynomial hashes modulo 2**64 of runs of bytes or numbers, from prefix sums."""
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of each ordered pair: scrambled between the two, so that no sum of parts cancels out."""
+    with np.errstate(over="ignore"):
+        return mix(mix(a * np.uint64(_ODD) + np.uint64(1)) ^ b)
+
+
+def runs(hashes: np.ndarray, wide: int) -> np.ndarray:
+    """The hash of each run of `wide` neighbours, from runs of half the width, then the rest; shorter input: none."""
+    if len(hashes) < wide:
+        return hashes[:0]
+    have, width, out, done = hashes, 1, None, 0
+    n = len(hashes) - wide + 1
+    while True:
+        if wide & width:
+            part = have[done : done + n]
+            out = part if out is None else joined(out, part)
+            done += width
+        width *= 2
+        if width > wide:
+            return out
+        have = joined(have[: -(width // 2)], have[width // 2 :])
 
-    def __init__(self, seed: int = 1):
-        self.values = mix(np.arange(256, dtype=np.uint64) + np.uint64(seed << 8))
-        self.step = (_STEP * (2 * seed + 1) | 1) % (1 << 64)
-        self._grow(SPAN)
 
-    def _grow(self, n: int):
-        back = pow(self.step, -1, 1 << 64)
-        with np.errstate(over="ignore"):
-            self.power = np.cumprod(np.concatenate(([np.uint64(1)], np.full(n, self.step, np.uint64))), dtype=np.uint64)
-            self.inverse = np.cumprod(np.concatenate(([np.uint64(1)], np.full(n, back, np.uint64))), dtype=np.uint64)
+class Hasher:
+    """64-bit hashes of words, eight bytes after eight, scrambled after each: seeds give independent ones."""
 
-    def runs(self, values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        if len(values) >= len(self.power):
-            self._grow(2 * len(values))
-        with np.errstate(over="ignore"):
-            sums = np.concatenate(([np.uint64(0)], np.cumsum(values * self.power[: len(values)], dtype=np.uint64)))
-            return mix((sums[ends] - sums[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64))
+    def __init__(self, seed: int = 1):
+        self.seed = seed
 
     def words(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """The hash of each word of each text, and how many words each text has. data: the texts' UTF-8 bytes, one after
@@ -74,9 +89,26 @@ class Hasher:
         begins[cuts] = word[cuts]
         ends[cuts - 1] = word[cuts - 1]
         starts = np.flatnonzero(begins)
-        if lower:
-            data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
-        return self.runs(self.values[data], starts, np.flatnonzero(ends) + 1), starts
+        return self._hashed(_LOWER[data] if lower else data, starts, np.flatnonzero(ends) + 1), starts
+
+    def _hashed(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        import xxhash
+
+        padded = np.concatenate((data, np.zeros(8, np.uint8)))
+        eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each place on
+        size = ends - starts
+        with np.errstate(over="ignore"):
+            # The length comes in first: words that only differ in closing zero bytes stay apart.
+            out = mix(size.astype(np.uint64) + np.uint64(_ODD * (2 * self.seed + 1) & _MASK))
+            out = mix(out ^ (eight[starts] & _PART[np.minimum(size, 8)]))
+        more, at = np.flatnonzero((size > 8) & (size <= LONG)), 8
+        while len(more):
+            rest = size[more] - at
+            out[more] = joined(out[more], eight[starts[more] + at] & _PART[np.minimum(rest, 8)])
+            more, at = more[rest > 8], at + 8
+        for k in np.flatnonzero(size > LONG).tolist():
+            out[k] = xxhash.xxh3_64_intdigest(data[starts[k] : ends[k]].tobytes(), self.seed)
+        return out
 
 
 def flat(column) -> tuple[np.ndarray, np.ndarray]:

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from corpusloom.llm import blocks
-from corpusloom.llm.hashing import Hasher
+from corpusloom.llm.hashing import Hasher, runs
 
 WINDOW = 20
 #: A difference cover: any difference modulo PERIOD is one of two members. So two equal windows of WINDOW words hold, at
@@ -18,9 +18,9 @@ ANCHOR = WINDOW - PERIOD + 1
 class _Block:
     """A block's words and anchors, the same on each pass."""
 
-    def __init__(self, table, hasher: Hasher):
+    def __init__(self, table):
         self.table, self.ids, self.data, self.offsets = blocks.in_order(table)
-        self.words, self.counts = hasher.words(self.data, self.offsets)
+        self.words, self.counts = Hasher(1).words(self.data, self.offsets)
         first = np.concatenate(([0], np.cumsum(self.counts)))
         self.first = first
         self.owner = np.repeat(np.arange(len(self.counts)), self.counts)
@@ -29,7 +29,7 @@ class _Block:
         cover = np.zeros(PERIOD, bool)
         cover[list(COVER)] = True
         self.at = np.flatnonzero(cover[self.place % PERIOD] & (self.left >= ANCHOR) & (self.counts[self.owner] >= WINDOW))
-        self.anchors = Hasher(2).runs(self.words, self.at, self.at + ANCHOR)
+        self.anchors = runs(self.words, ANCHOR)[self.at]
 
     def windows(self, repeated: np.ndarray):
         """Starts of the windows around repeated anchors, in order; their two hashes; their order by hash (equal ones by
@@ -39,7 +39,7 @@ class _Block:
         seen = np.cumsum(seen)
         start = np.flatnonzero(self.left >= WINDOW)
         start = start[seen[start + PERIOD] > seen[start]]
-        one, two = Hasher(3).runs(self.words, start, start + WINDOW), Hasher(4).runs(self.words, start, start + WINDOW)
+        one, two = runs(self.words, WINDOW)[start], runs(Hasher(2).words(self.data, self.offsets)[0], WINDOW)[start]
         order = np.lexsort((two, one))
         a, b = one[order], two[order]
         new = np.ones(len(order), bool)
@@ -51,10 +51,10 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """Every document's words, less those in a window of WINDOW words that also starts earlier in the corpus.
 
     Returns id, n_words, n_removed and kept (the kept words joined by a space). Earlier: smaller id, or the same document and
-    an earlier start; windows are judged on the input. A null id counts as the lowest; rows that share an id come in the
-    order of their texts. Null or empty text: no words. Fewer than WINDOW words: nothing is removed. Other columns are not read.
+    an earlier start; windows are judged on the input. A null id (returned as it is) counts as the lowest; rows that share an
+    id come in the order of the hash of id and text, then of their texts. Null or empty text: no words. Fewer than WINDOW words: nothing is removed. Other columns are not read.
 
-    Words are compared byte for byte by 64-bit hashes, windows by 128 bits. One pass hashes windows of ANCHOR words at cover
+    Anchors are told apart by a 64-bit hash of their words, windows by two independent ones (128 bits). One pass hashes windows of ANCHOR words at cover
     places and learns which anchors occur twice; a second extends around those to whole windows and learns which occurrence
     is the first; a third drops words. Texts are shuffled once, into blocks; all passes share that exchange.
     """
@@ -63,7 +63,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     rows, n = blocks.blocked(docs, id_col, text_col)
 
     def anchors(key, table):
-        keys, count = np.unique(_Block(table, Hasher()).anchors, return_counts=True)
+        keys, count = np.unique(_Block(table).anchors, return_counts=True)
         return blocks.sent(key[0].as_py(), keys, n, more=count > 1)
 
     def repeated(key, table):
@@ -73,7 +73,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         return blocks.answered(table, sizes, twice=(count[back] > 1) | more)
 
     def found(table, said):
-        block = _Block(table, Hasher())
+        block = _Block(table)
         _, back = np.unique(block.anchors, return_inverse=True)
         return block, *block.windows(blocks.answer(said, "twice", bool)[back])
 
@@ -86,7 +86,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         one, sizes = blocks.gathered(table, "keys", np.uint64)
         two, _ = blocks.gathered(table, "two", np.uint64)
         ids, _ = blocks.gathered(table, "id", np.int64)
-        order = np.lexsort((ids, two, one))
+        block = np.repeat(table.column("block").to_numpy(), sizes)
+        order = np.lexsort((block, ids, two, one))
         lead = np.ones(len(order), bool)
         lead[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
         first = np.zeros(len(order), bool)
