@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 SYSTEM, UNNAMED = "system", "unknown"
+#: The turns of a rendered part: what one cell holds is bounded, however long a dialogue is.
+PART = 1024
 
 
 def perspectives(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -35,3 +37,20 @@ def perspectives(conversations: DataFrame, conv_col: str = "conv_id", turn_col:
         F.col("c").alias(conv_col), "speaker", F.col("turn").alias(turn_col), "chat_role", "name", "segment",
         F.when(trained, F.length("head")).otherwise(0).cast("long").alias("mask_start"), F.when(trained, F.length("segment") - 1).otherwise(0).cast("long").alias("mask_end"),
     )
+
+
+def dialogues(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+    """The renderings of perspectives() as whole texts: conversation, speaker, part, text and masks.
+
+    text is the segments in the order of turn (ties: of segment); masks are the trained runs of code points in it (from, to).
+    Turns 0 to PART - 1 are part 0, the next part 1 and so on (null turns: part null); a rendering is its parts joined in order, and most
+    dialogues have one. Nulls, repeats and empty input: as in perspectives().
+    """
+    rows = perspectives(conversations, conv_col, turn_col, role_col, text_col).withColumn("part", F.floor(F.col(turn_col) / PART).cast("long"))
+    group = [conv_col, "speaker", "part"]
+    before = F.sum(F.length("segment")).over(Window.partitionBy(*group).orderBy(turn_col, "segment").rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("at", F.coalesce(before, F.lit(0)))
+    parts = rows.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("at", "segment", "mask_start", "mask_end"))).alias("p"))
+    trained = F.filter("p", lambda x: x["mask_end"] > x["mask_start"])
+    masks = F.transform(trained, lambda x: F.struct((x["at"] + x["mask_start"]).alias("from"), (x["at"] + x["mask_end"]).alias("to")))
+    return parts.select(*group, F.array_join(F.col("p.segment"), "").alias("text"), masks.alias("masks"))

@@ -111,13 +111,13 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     (FEATURES squared numbers a fold, whatever the input) solves the ridge. The folds' sums also give the held-back errors
     that choose the penalty and the models that score each fold from the others for calibration, on counts in BINS bins.
     Null or empty text: scored like any other. Null labels: not used; several labels of one id: their mean. No labels at
-    all: score 0.5. Repeated ids: a row each (and each trains). Other columns are not read.
+    all: score 0.5. Repeated ids: a row each (and each trains). Null id: not held out, no label. Other columns are not read.
     """
     import pandas as pd
     import pyarrow as pa
 
     spark = docs.sparkSession
-    rows = stored(described(docs, id_col, text_col).withColumn("held_out", remainder(F.col("id"), 5) == 0).withColumn("fold", remainder(F.concat(F.lit("fold"), F.col("id").cast("string")), FOLDS).cast("int")))
+    rows = stored(described(docs, id_col, text_col).withColumn("held_out", F.coalesce(remainder(F.col("id"), 5) == 0, F.lit(False))).withColumn("fold", remainder(F.concat(F.lit("fold"), F.coalesce(F.col("id").cast("string"), F.lit(""))), FOLDS).cast("int")))
     known = labels.filter(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.avg(label_col).alias("y"))
     train = stored(rows.filter("not held_out").join(known, "id").select("f", "fold", "y"))
 

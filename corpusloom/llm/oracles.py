@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.llm.quality_rules import COMMON, MAX_CLASSES, MAX_COMMON, MIN_CHARS_FOR_CLASSES, MIN_WORDS, MIN_WORDS_FOR_COMMON, OTHER
+from corpusloom.llm.quality_rules import COMMON, MAX_CLASSES, MAX_COMMON, MIN_CHARS_FOR_CLASSES, MIN_WORDS, MIN_WORDS_FOR_COMMON
 
 _SPACES = "[\\x20\\x09-\\x0D]+"
 _WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
@@ -28,6 +28,9 @@ z as (select *, '<|im_start|>' || chat_role || case when name is null then '' el
 select c as conv_id, speaker, turn, chat_role, name, head || txt || '<|im_end|>' || chr(10) as segment,
  (case when chat_role = 'assistant' then length(head) else 0 end)::bigint as mask_start, (case when chat_role = 'assistant' then length(head) + length(txt) + 10 else 0 end)::bigint as mask_end from z"""
 
+DIALOGUES = f"""with s as ({CHAT}), a as (select *, turn // 1024 as part, coalesce(sum(length(segment)) over (partition by conv_id, speaker, turn // 1024 order by turn, segment rows between unbounded preceding and 1 preceding), 0) as at from s)
+select conv_id, speaker, part::bigint as part, string_agg(segment, '' order by at, segment) as text, coalesce(string_agg((at + mask_start)::bigint || '-' || (at + mask_end)::bigint, ',' order by at, segment) filter (mask_end > mask_start), '') as masks from a group by conv_id, speaker, part"""
+
 
 def _list(words: list[str]) -> str:
     return "[" + ", ".join(f"'{w}'" for w in words) + "]"
@@ -43,6 +46,8 @@ def _distance(p: str, q: str) -> str:
 
 
 _N = len(COMMON["en"])
+#: Words for a language without a list: a fixed value.
+OTHER = ["the", "der", "de", "of", "die", "la", "and", "und", "le", "que", "to", "den", "et", "el", "in", "von"]
 _CLASSES = ["\\p{Ll}", "\\p{Lu}", "\\p{N}", "[.,;:?''\"()-]", "[#*$%&|<>]"]
 _BY_LANG = "case lang " + " ".join(f"when '{k}' then {_list(v)}" for k, v in COMMON.items()) + f" else {_list(OTHER)} end"
 QUALITY = f"""with w as (select doc_id, coalesce(lang, '') as lang, coalesce(text, '') as t, {_WORDS} as w from documents),
@@ -62,4 +67,4 @@ j as (select s.*, case when word_chars >= {MIN_CHARS_FOR_CLASSES} then {_distanc
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and coalesce(class_distance, 0) <= {MAX_CLASSES} and coalesce(common_distance, 0) <= {MAX_COMMON} as kept,
  round(class_distance, 9) as class_distance, round(common_distance, 9) as common_distance from j"""
 
-ORACLES = {"op2_quality_rules": QUALITY, "op3_substring_dedup": SUBSTRING, "op6_exact_dedup": EXACT, "op7_chat_perspectives": CHAT}
+ORACLES = {"op2_quality_rules": QUALITY, "op3_substring_dedup": SUBSTRING, "op6_exact_dedup": EXACT, "op7_chat_perspectives": CHAT, "chat_dialogues": DIALOGUES}

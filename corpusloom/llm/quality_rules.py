@@ -14,8 +14,8 @@ COMMON = {
     "fr": ["de", "la", "le", "et", "les", "des", "en", "un", "du", "une", "est", "pour", "que", "dans", "qui", "par"],
     "es": ["de", "la", "que", "el", "en", "y", "a", "los", "del", "se", "las", "por", "un", "con", "una", "para"],
 }
-#: Of any other language: a few of each.
-OTHER = [w for k in range(4) for w in (COMMON["en"][k], COMMON["de"][k], COMMON["fr"][k], COMMON["es"][k])]
+#: Of any other language: the first of each in turn, none twice, as many as a language has.
+OTHER = list(dict.fromkeys(w for four in zip(*COMMON.values(), strict=True) for w in four))[: len(COMMON["en"])]
 
 MIN_WORDS = 50
 FEW = 64
@@ -35,12 +35,12 @@ def _repeated() -> Column:
     return F.aggregate(places, start, lambda a, i: F.struct(i.alias("last"), (a["n"] + F.least(F.lit(3), i - a["last"])).alias("n")), lambda a: a["n"])
 
 
-def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", carry: tuple[str, ...] = ()) -> DataFrame:
     """The counts of every whole text: base rules, character classes, common words (last: all others). One pass, no shuffle.
 
     Windows of three words are compared by their 64-bit hash within one document.
     """
-    t = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    t = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("t"), F.struct(F.lit(0), *carry).alias("carry"))
     t = t.withColumn("w", words(F.col("t")))
     n = F.size("w")
     t = t.withColumn("n_words", n.cast("long")).withColumn("bare", F.array_join("w", ""))
@@ -80,7 +80,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
         "id", "lang", "given", "n_words", sizes[0].alias("word_chars"), (sizes[4] - sizes[5]).alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.coalesce(F.when(F.size("twice") > 0, _repeated()), F.lit(0)).cast("long").alias("n_repeat_words"),
-        classes.alias("classes"), common.alias("common"),
+        classes.alias("classes"), common.alias("common"), "carry",
     )
 
 
@@ -108,15 +108,17 @@ def references(counted: DataFrame) -> DataFrame:
     return r.select("lang", F.array(*[f"c{i}" for i in range(6)]).alias("q_classes"), F.array(*[f"w{i}" for i in range(n_common)]).alias("q_common"))
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", carry: tuple[str, ...] = ()) -> DataFrame:
     """Base counts, the two distances to the language's reference, and the verdict of every document.
 
     A row per input row (repeated ids: a row each). Null or empty text: no words, so base_failed. Null or
-    empty language: that of COMMON with most of the text's words; no reference if the text has none of them. A document that the guards exempt, or whose language has no reference, has null distances
-    and is kept if the base rules keep it. Distances equal to a threshold keep. Other columns are not read.
+    empty language: that of COMMON with most of the text's words; no reference if the text has none of them. A document
+    that the guards exempt, or whose language has no reference, has null distances
+    and is kept if the base rules keep it. Distances equal to a threshold keep. `carry`: further columns to return; no others
+    are read.
     The references are one row a language, joined by language; texts are never shuffled.
     """
-    f = features(docs, id_col, text_col, lang_col)
+    f = features(docs, id_col, text_col, lang_col, carry)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     f = stored(
         f.withColumn("base_failed", failed)
@@ -130,5 +132,5 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     sound = (F.coalesce("class_distance", F.lit(0.0)) <= MAX_CLASSES) & (F.coalesce("common_distance", F.lit(0.0)) <= MAX_COMMON)
     return j.select(
         F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & sound).alias("kept"), "class_distance", "common_distance",
+        (~F.col("base_failed") & sound).alias("kept"), "class_distance", "common_distance", *[F.col("carry")[c].alias(c) for c in carry],
     )

@@ -42,6 +42,11 @@ def op7_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.perspectives(table(spark, sf_dir, "conversations"))
 
 
+def chat_dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = chat.dialogues(table(spark, sf_dir, "conversations"))
+    return d.withColumn("masks", F.array_join(F.transform("masks", lambda m: F.concat(m["from"].cast("string"), F.lit("-"), m["to"].cast("string"))), ","))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -57,7 +62,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_quality_rules, op3_substring_dedup, op4_katz_scoring, op5_sharding, op6_exact_dedup, op7_chat_perspectives, op8_mixing, op9_best_fit_packing, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_quality_rules, op3_substring_dedup, op4_katz_scoring, op5_sharding, op6_exact_dedup, op7_chat_perspectives, op8_mixing, op9_best_fit_packing, op10_simhash_near_dedup, chat_dialogues)}
 
 
 def oracle_sql() -> dict[str, str]:

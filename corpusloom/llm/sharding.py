@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import rank_in, stored, unit
+from corpusloom.llm.common import hot_join, rank_in, stored, unit
 
 
 def interleave(docs: DataFrame, shards: int = 8, seed: str = "shards", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -25,8 +25,8 @@ def interleave(docs: DataFrame, shards: int = 8, seed: str = "shards", id_col: s
     )
     rows = stored(rows)
     ranked = rank_in(rows, ["s"], unit(seed, F.col("id"), F.col("text_crc32")), ["id", "text_crc32"], "r")
-    sizes = rows.groupBy("s").agg(F.count("*").alias("n"))
-    ranked = stored(ranked.join(sizes, "s").withColumn("f", (F.col("r") + 0.5) / F.col("n")))
+    sizes = stored(rows.groupBy("s").agg(F.count("*").alias("n")))
+    ranked = stored(hot_join(ranked, sizes, "s", "n").withColumn("f", (F.col("r") + 0.5) / F.col("n")))
     total = ranked.count()
     placed = rank_in(ranked.withColumn("all", F.lit(0)), ["all"], F.col("f"), ["s", "r"], "g")
     # Shard k takes the places from ceil(k * total / shards) on.

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import ascii_lower, stored, words
+from corpusloom.llm.common import ascii_lower, hot_join, stored, words
 from corpusloom.llm.components import components
 
 #: The generator polynomial of the binary Golay code (23, 12, 7): a fixed value.
@@ -40,13 +40,14 @@ def majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return set_bits.reshape(-1).view("<u8").astype(np.uint64)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and fp (the 64 bits as a long; zero for a text without words) of every whole text."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """id, fp (the 64 bits as a long; zero for a text without words) and carry (a struct of further columns) of every whole text."""
     import pyarrow as pa
 
     split, hashes = shingle_hashes(F.coalesce(F.col("t"), F.lit("")))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).select("id", split.alias("w")).select("id", hashes.alias("h"))
-    kind = rows.schema["id"].dataType
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.struct(F.lit(0).alias("none"), *carry).alias("carry"))
+    rows = rows.select("id", split.alias("w"), "carry").select("id", hashes.alias("h"), "carry")
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in ("id", "carry")}
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -54,9 +55,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             at = lists.offsets.to_numpy()
             flat = lists.values.slice(at[0], at[-1] - at[0]).to_numpy().view(np.uint64)
             fp = majority(flat, np.diff(at))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64)), b.column(2)], names=["id", "fp", "carry"])
 
-    return rows.mapInArrow(fold, f"id {kind.simpleString()}, fp long")
+    return rows.mapInArrow(fold, f"id {kinds['id']}, fp long, carry {kinds['carry']}")
 
 
 class Golay:
@@ -116,8 +117,8 @@ def links(fps: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp[row])], names=["key", "fp"])
 
     keys = stored(fps.select("fp").mapInArrow(spread, "key long, fp long"))
-    sizes = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = stored(keys.join(sizes, "key"))
+    sizes = stored(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
+    shared = stored(hot_join(keys, sizes, "key", "n"))
     small = shared.filter(F.col("n") <= SMALL).groupBy("key").agg(F.collect_list("fp").alias("m"))
     m = F.col("m")
     near = lambda x, i: F.transform(F.filter(F.slice(m, i + 2, F.lit(SMALL)), lambda y: F.bit_count(x.bitwiseXOR(y)) <= 2), lambda y: F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")))
@@ -129,17 +130,22 @@ def links(fps: DataFrame) -> DataFrame:
     return pairs.unionByName(stars).distinct()
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every document's fingerprint (16 hex digits) and component_id: the smallest id reachable over links.
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Every document's fingerprint (16 hex digits), component_id (the smallest id reachable over links) and kept.
 
     Fingerprints are linked at two or fewer differing bits; texts without words (null, empty, white space) have the
-    fingerprint zero and are linked like any other. Repeated rows: a row each. Other columns are not read. Copies of a
-    fingerprint count once until the end, so a group of copies costs one row.
+    fingerprint zero and are linked like any other. Repeated rows: a row each. A null id is never the smallest if there is
+    another. Exactly one row of each component is kept: of those with the smallest id, any one. `carry`: further columns to
+    return; no others are read. Copies of a fingerprint count once until the end, so a group of copies costs one row.
     """
-    marked = stored(fingerprints(docs, id_col, text_col))
-    fps = stored(marked.groupBy("fp").agg(F.min("id").alias("least")))
+    marked = stored(fingerprints(docs, id_col, text_col, carry).withColumn("row", F.monotonically_increasing_id()))
+    least = F.struct(F.col("id").isNull().alias("none"), "id", "row")
+    fps = stored(marked.groupBy("fp").agg(F.min(least).alias("least"), F.count("*").alias("n")))
     linked = components(links(fps))
     named = fps.join(linked.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    roots = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_fp = named.join(roots, "component").select("fp", "component_id")
-    return marked.join(of_fp, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    named = stored(named)
+    roots = stored(named.groupBy("component").agg(F.min("least").alias("root"), F.count("*").alias("members")))
+    of_fp = stored(hot_join(named.select("fp", "n", "component"), roots, "component", "members").select("fp", "n", "root"))
+    return hot_join(marked, of_fp, "fp", "n").select(
+        F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("root.id").alias("component_id"), (F.col("row") == F.col("root.row")).alias("kept"), *[F.col("carry")[c].alias(c) for c in carry]
+    )
