@@ -3,14 +3,17 @@
 import hashlib
 import math
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from corpusloom.llm import chat, classifier, exact_dedup, katz, mixing, packing, quality_rules, sharding, simhash, substring_dedup
+from corpusloom.llm import chat, classifier, exact_dedup, hashing, katz, mixing, packing, quality_rules, sharding, simhash, substring_dedup
 from corpusloom.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -57,10 +60,17 @@ def test_exact_dedup(which, request):
     groups = defaultdict(list)
     for i, t in texts(df):
         groups[lower(t or "")].append(i)
-    want = sorted((i, max(g), len(g), i == max(g), hashlib.sha256(t.encode()).hexdigest()) for t, g in groups.items() for i in g)
+    want = sorted((i, max(g), len(g), i == max(g) and k == g.index(i), hashlib.sha256(t.encode()).hexdigest()) for t, g in groups.items() for k, i in enumerate(g))
     assert sorted(tuple(r) for r in exact_dedup.exact_dedup(df, salts=3).collect()) == want
 
 
+def test_exact_dedup_keeps_one_of_equal_rows(spark):
+    df = spark.createDataFrame([(5, "same", k) for k in range(3)] + [(None, "alone", 3), (None, "ALONE", 4), (4, "same", 5)], "doc_id long, text string, n int")
+    got = exact_dedup.exact_dedup(df, carry=("n",)).collect()
+    kept = [r for r in got if r["kept"]]
+    assert len(got) == 6 and sorted(r["doc_id"] or 0 for r in kept) == [0, 5] and {r["n"] for r in got} == set(range(6))
+
+
 def test_exact_dedup_of_nothing(none):
     assert exact_dedup.exact_dedup(none).collect() == []
 
@@ -110,13 +120,50 @@ def test_sharding(which, request):
             assert max(n) - min(n) <= 1
 
 
+def test_sharding_by_hand(small):
+    """Ranks anew, in plain Python, from Spark's hash function alone."""
+    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+    hashed = small.select("doc_id", "source", F.shiftrightunsigned(F.xxhash64(F.lit("shards"), "doc_id", crc), 11).alias("u")).collect()
+    of = defaultdict(list)
+    for r in hashed:
+        of[r["source"]].append((r["u"], r["doc_id"]))
+    placed = sorted(((k + 0.5) / len(x), s, k, i) for s, x in of.items() for k, (_, i) in enumerate(sorted(x)))
+    n = len(placed)
+    want, slots = {}, Counter()
+    for g, (_, _, _, i) in enumerate(placed):
+        shard = g * 8 // n
+        want[i] = (shard, slots[shard])
+        slots[shard] += 1
+    assert {r["doc_id"]: (r["shard"], r["slot"]) for r in sharding.interleave(small).collect()} == want
+
+
 def test_sharding_of_nothing(none):
     assert sharding.interleave(none).collect() == []
 
 
-def test_targets():
-    assert mixing.targets([("a", 100), ("b", 100), ("c", 100)]) == [200.0, 250 / 3, 500 / 3]
-    assert mixing.targets([("a", 0), ("b", 10)]) == [0.0, 15.0]
+def plain_targets(sizes):
+    """Of (name, size) in order: 1.5 times all sizes shared by weight, at most twice a size each, the excess shared anew."""
+    weight = [(3, 1, 2)[i % 3] for i in range(len(sizes))]
+    fixed = {}
+    while len(fixed) < len(sizes):
+        left = 1.5 * sum(n for _, n in sizes) - sum(fixed.values())
+        w = sum(weight[i] for i in range(len(sizes)) if i not in fixed)
+        over = {i: 2.0 * sizes[i][1] for i in range(len(sizes)) if i not in fixed and left * weight[i] / w > 2.0 * sizes[i][1]}
+        if not over:
+            return [fixed.get(i, left * weight[i] / w) for i in range(len(sizes))]
+        fixed |= over
+    return [fixed[i] for i in range(len(sizes))]
+
+
+def test_targets(spark):
+    rng = np.random.default_rng(4)
+    cases = [[("a", 100), ("b", 100), ("c", 100)], [("a", 0), ("b", 10)], [("a", 5), (None, 7)], [(f"s{i:03}é", int(rng.integers(0, 10**6))) for i in range(200)]]
+    assert plain_targets(cases[0]) == [200.0, 250 / 3, 500 / 3] and plain_targets(cases[1]) == [0.0, 15.0]
+    for case in cases:
+        df = spark.createDataFrame([([s], n) for s, n in case], "s array<string>, n long").repartition(3)
+        got = {r["s"][0]: r for r in mixing.targets(df).collect()}
+        for (s, n), t in zip(case, plain_targets(case), strict=True):
+            assert math.isclose(got[s]["target"], t, rel_tol=1e-12) and got[s]["source_size"] == n and got[s]["epochs"] == (t // n if n else 0)
 
 
 @pytest.mark.parametrize("which", ["docs", "small"])
@@ -129,7 +176,7 @@ def test_mixing(which, request):
     for r in got:
         of[source[r["doc_id"]]].append(r)
     order = sorted(of, key=lambda s: (s is None, s or ""))
-    want = mixing.targets([(s, sum(r["size"] for r in of[s])) for s in order])
+    want = plain_targets([(s, sum(r["size"] for r in of[s])) for s in order])
     for s, t in zip(order, want, strict=True):
         assert {round(r["target"], 6) for r in of[s]} == {round(t, 6)}
         assert all(0 <= r["taken"] <= 2 * r["size"] for r in of[s])
@@ -138,6 +185,31 @@ def test_mixing(which, request):
     assert again == Counter(tuple(r) for r in got)
 
 
+@pytest.mark.parametrize("which", ["docs", "small"])
+def test_mixing_by_hand(which, request):
+    """Keys, order and budget anew, in plain Python, from Spark's hash function alone."""
+    df = request.getfixturevalue(which)
+    hashed = df.select("doc_id", "source", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
+    hashed = hashed.withColumn("u", (F.shiftrightunsigned(F.xxhash64(F.lit("mix"), "doc_id", "h"), 11) + 0.5) / 2.0**53).collect()
+    of = defaultdict(list)
+    for r in hashed:
+        t = r["text"] or ""
+        size = len(WORD.findall(t))
+        odd = sum(not (c in " \t\n\x0b\f\r.,;:?'\"()-" or c.islower() and unicodedata.category(c) == "Ll" or unicodedata.category(c) in ("Lo", "Lm", "Lt") or unicodedata.category(c)[0] in "MN") for c in t)
+        weight = 0.1 + 0.9 * max(0.0, 1 - 4 * odd / len(t)) if t and size else 0.1
+        of[r["source"]].append((-math.log(r["u"]) / weight, r["doc_id"], r["h"], size))
+    order = sorted(of, key=lambda s: (s is None, s or ""))
+    want = Counter()
+    for s, t in zip(order, plain_targets([(s, sum(x[3] for x in of[s])) for s in order]), strict=True):
+        total, before = sum(x[3] for x in of[s]), 0
+        epochs = int(t // total) if total else 0
+        for _, i, _, size in sorted(of[s]):
+            extra = size if before + size / 2 <= t - epochs * total else 0
+            want[i, epochs * size + extra] += 1
+            before += size
+    assert Counter((r["doc_id"], r["taken"]) for r in mixing.mix(df).collect()) == want
+
+
 def test_mixing_of_nothing(none):
     assert mixing.mix(none).collect() == []
 
@@ -170,7 +242,9 @@ def test_near_dedup(which, request):
     fp = {i: plain_fingerprint(t) for i, t in all_}
     near = [(a, b) for a in fp for b in fp if a < b and (fp[a] ^ fp[b]).bit_count() <= 2]
     root = classes(near, fp)
-    assert sorted(tuple(r) for r in simhash.near_dedup(df).collect()) == sorted((i, f"{fp[i]:016x}", root[i]) for i, _ in all_)
+    got = simhash.near_dedup(df).collect()
+    assert sorted((r["doc_id"], r["fingerprint"], r["component_id"]) for r in got) == sorted((i, f"{fp[i]:016x}", root[i]) for i, _ in all_)
+    assert sorted(r["doc_id"] for r in got if r["kept"]) == sorted(set(root.values()))
 
 
 @pytest.mark.parametrize("small_bucket", [64, 2])
@@ -231,6 +305,52 @@ def plain_substring(all_):
     return sorted((i, *x) for i, xs in out.items() for x in xs)
 
 
+def waves(n):
+    """The first n letters of the Thue-Morse word over a and b, and the same with a and b exchanged."""
+    t = "".join("ab"[k.bit_count() & 1] for k in range(n))
+    return t, t.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_are_told_apart(spark):
+    one, other = waves(1024)
+    d, o = hashing.flat(pa.array([f"{one} {other} {one[:256]} {other[:256]} {one[:64]} {other[:64]} \0 \0\0 x y"]))
+    hashes, counts = hashing.Hasher().words(d, o)
+    assert counts.tolist() == [10] and len(set(hashes.tolist())) == 10
+    head = " ".join(f"h{i}" for i in range(19))
+    df = spark.createDataFrame([(1, f"{head} {one}"), (2, f"{head} {other}")], "doc_id long, text string")
+    assert [r["n_removed"] for r in substring_dedup.dedup(df).collect()] == [0, 0]
+    trained = [i for i in range(99) if zlib.crc32(str(i).encode()) % 5 != 1][:2]
+    got = katz.score(spark.createDataFrame([(trained[0], one), (trained[1], other)], "doc_id long, text string")).collect()
+    assert {round(r["base_score"], 9) for r in got} == {round(math.log10(1.5 / 6) + math.log10(2.5 / 6), 9)}
+
+
+def test_runs():
+    h = np.random.default_rng(1).integers(0, 1 << 63, 60, dtype=np.uint64)
+    for wide in (1, 2, 7, 8, 20):
+        got = hashing.runs(np.concatenate((h, h[7:40])), wide)
+        assert len(got) == 94 - wide and (got[7 : 41 - wide] == got[60 : 94 - wide]).all() and len(set(got[: 61 - wide].tolist())) == 61 - wide
+    assert len(hashing.runs(h[:3], 8)) == 0
+
+
+def test_long_texts_and_null_ids(spark, monkeypatch):
+    """Texts above the span of hashing, and rows without an id: kept, and spread over blocks."""
+    long = " ".join(f"w{i}" for i in range(300_000))
+    df = spark.createDataFrame([(None, f"{PASSAGE} x{k}") for k in range(20)] + [(7, long), (8, long + " more"), (None, None)], "doc_id long, text string")
+    got = substring_dedup.dedup(df).collect()
+    assert sum(r["doc_id"] is None for r in got) == 21
+    removed = sorted(r["n_removed"] for r in got if r["doc_id"] is None)
+    assert removed == [0, 0] + [60] * 19
+    assert sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in got if r["doc_id"]) == [(7, 300_000, 0), (8, 300_001, 300_000)]
+    scored = katz.score(df).collect()
+    assert sorted((r["doc_id"] or 0, r["n_tokens"]) for r in scored) == sorted([(0, 62)] * 20 + [(0, 1), (7, 300_001), (8, 300_002)])
+    assert not any(r["held_out"] for r in scored if r["doc_id"] is None)
+    df = df.withColumn("lang", F.lit(None).cast("string")).withColumn("source", F.lit(None).cast("string"))
+    for f in (lambda: classifier.classify(df, spark.createDataFrame([(7, 1), (8, 0)], "doc_id long, quality int")), lambda: quality_rules.judge(df), lambda: sharding.interleave(df), lambda: mixing.mix(df)):
+        rows_ = f().collect()
+        assert len(rows_) == 23 and sum(r["doc_id"] is None for r in rows_) == 21
+        assert "held_out" not in rows_[0].asDict() or all(r["held_out"] is not None for r in rows_)
+
+
 @pytest.mark.parametrize("which", ["docs", "small"])
 def test_substring_dedup(which, request):
     df = request.getfixturevalue(which)
@@ -247,52 +367,64 @@ def test_substring_dedup_of_nothing(none):
 
 
 class PlainKatz:
-    def __init__(self, trained):
-        self.c, self.pairs, self.context = Counter(), defaultdict(Counter), Counter()
+    """Katz in plain Python, for any order."""
+
+    def __init__(self, trained, order):
+        self.order, self.grams, self.after = order, {k: Counter() for k in range(1, order + 1)}, {k: defaultdict(dict) for k in range(2, order + 1)}
         for w in trained:
-            self.c.update(w)
-            for h, x in zip([1, *w], w, strict=False):
-                self.pairs[h][x] += 1
-                self.context[h] += 1
+            for i in range(len(w)):
+                for k in self.grams:
+                    self.grams[k][self.gram(w, i, k)] += 1
+        self.c = Counter({g[0]: r for g, r in self.grams[1].items()})
         self.n = sum(self.c.values())
+        for k in self.after:
+            for g, r in self.grams[k].items():
+                self.after[k][g[:-1]][g[-1]] = r
         of = lambda counts: np.array([sum(v == r for v in counts) for r in range(1, 7)], float)
-        every = [v for m in self.pairs.values() for v in m.values()]
-        self.d1, self.d2 = katz.discounts(of(self.c.values())), katz.discounts(of(every))
-        p = {w: self.d1[min(v, 6)] * v / max(self.n, 1) for w, v in self.c.items()}
+        self.d = {k: katz.discounts(of(g.values())) for k, g in self.grams.items()}
+        p = {w: self.d[1][min(v, 6)] * v / max(self.n, 1) for w, v in self.c.items()}
         least = 1 / (self.n + 1)
         scale = (1 - least) / sum(p.values()) if sum(p.values()) > 1 - least else 1
         self.p = {w: v * scale for w, v in p.items()}
         self.unknown = 1 - sum(self.p.values())
+        self.left = {}
+
+    @staticmethod
+    def gram(w, i, k):
+        return tuple(w[j] if j >= 0 else -1 for j in range(i - k + 1, i + 1))
 
-    def __call__(self, h, x):
-        one = self.p.get(x, self.unknown)
-        m, c = self.pairs.get(h), self.context[h]
+    def __call__(self, gram):
+        if len(gram) == 1:
+            return self.p.get(gram[0], self.unknown)
+        k, h = len(gram), gram[:-1]
+        m = self.after[k].get(h)
         if not m:
-            return one
-        seen = sum(self.d2[min(v, 6)] * v for v in m.values())
-        keep = c / (c + 1) if seen > c * (1 - 1e-9) else 1
-        if x in m:
-            return keep * self.d2[min(m[x], 6)] * m[x] / c
-        return (1 - keep * seen / c) / (1 - sum(self.p[y] for y in m)) * one
+            return self(gram[1:])
+        if h not in self.left:
+            c, seen = sum(m.values()), sum(self.d[k][min(v, 6)] * v for v in m.values())
+            keep = 1 / (c + 1) if seen > c * (1 - 1e-9) else 1 / c
+            self.left[h] = keep, (1 - keep * seen) / (1 - sum(self((*h[1:], y)) for y in m))
+        keep, backoff = self.left[h]
+        return keep * self.d[k][min(m[gram[-1]], 6)] * m[gram[-1]] if gram[-1] in m else backoff * self(gram[1:])
 
 
-@pytest.mark.parametrize("which", ["docs", "small"])
-def test_katz(which, request):
+@pytest.mark.parametrize(("which", "order"), [("docs", 2), ("small", 2), ("docs", 1), ("docs", 3), ("small", 3)])
+def test_katz(which, order, request):
     df = request.getfixturevalue(which)
     tokens = [(i, [*WORD.findall(lower(t or "")), 0]) for i, t in texts(df)]
-    model = PlainKatz([w for i, w in tokens if zlib.crc32(str(i).encode()) % 5 != 1])
+    model = PlainKatz([w for i, w in tokens if zlib.crc32(str(i).encode()) % 5 != 1], order)
     n, v = model.n, len(model.c)
     want = defaultdict(list)
     for i, w in tokens:
         base = sum(math.log10((model.c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w)
-        want[i].append((len(w), sum(x in model.c for x in w), base, sum(math.log10(model(h, x)) for h, x in zip([1, *w], w, strict=False))))
-    got = katz.score(df).collect()
+        want[i].append((len(w), sum(x in model.c for x in w), base, sum(math.log10(model(model.gram(w, j, order))) for j in range(len(w)))))
+    got = katz.score(df, order=order).collect()
     assert Counter(r["doc_id"] for r in got) == Counter(i for i, _ in tokens)
     for r in got:
         assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 1) and r["train_tokens"] == n
         assert any((r["n_tokens"], r["n_known"]) == x[:2] and math.isclose(r["base_score"], x[2], rel_tol=1e-9) and math.isclose(r["score"], x[3], rel_tol=1e-7, abs_tol=1e-9) for x in want[r["doc_id"]])
-    for h in list(model.pairs)[:20]:  # exactly normalised, with one class for what is unknown
-        assert math.isclose(sum(model(h, x) for x in model.c) + model(h, "never seen"), 1, rel_tol=1e-9)
+    for h in list(model.after[order])[:20] if order > 1 else []:  # exactly normalised, with one class for what is unknown
+        assert math.isclose(sum(model((*h, x)) for x in model.c) + model((*h, "never seen")), 1, rel_tol=1e-9)
 
 
 def test_katz_beats_its_base(small):
@@ -338,7 +470,6 @@ def test_packing(which, request):
     df = request.getfixturevalue(which)
     path = public_tokenizers.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     want, total = Counter(), 0
     for i, text in texts(df):
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 0]
@@ -348,39 +479,73 @@ def test_packing(which, request):
             want[i, p, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())] += 1
     got = packing.best_fit(df, path).collect()
     assert Counter(tuple(r[c] for c in ("doc_id", "piece", "start", "length", "ids_crc32")) for r in got) == want
+    assert fill(got, 2048) <= 1.02 * -(-total // 2048) + 1
+
+
+def fill(rows_, capacity):
+    """Sequences with their pieces end to end; none above the capacity."""
     by = defaultdict(list)
-    for r in got:
+    for r in rows_:
         by[r["sequence_id"]].append((r["offset"], r["length"]))
     for places in by.values():
         at = 0
         for offset, length in sorted(places):
             assert offset == at
             at += length
-        assert at <= 2048
-    assert len(by) <= 1.02 * -(-total // 2048) + 1
+        assert at <= capacity
+    return len(by)
 
 
-def test_plan():
+@pytest.mark.parametrize("lengths", ["any", "one", "halves", "short", "hot"])
+def test_pack(spark, lengths):
     rng = np.random.default_rng(2)
-    for capacity in (7, 64):
-        counts = {int(k): int(v) for k, v in zip(range(1, capacity + 1), rng.integers(0, 50, capacity), strict=True) if v}
-        table = packing.plan(counts, capacity)
-        fill = Counter()
-        for k, n in counts.items():
-            rows_ = table[table[:, 0] == k]
-            for rank in range(n):
-                _, first, seq, each, offset = rows_[np.searchsorted(rows_[:, 1], rank, side="right") - 1]
-                s, place = seq + (rank - first) // each, offset + (rank - first) % each * k
-                fill[int(s)] += k
-                assert place + k <= capacity
-        assert max(fill.values()) <= capacity and sum(fill.values()) == sum(k * n for k, n in counts.items())
-        gaps = []  # best fit, one piece at a time, in descending order
-        for k in sorted((k for k, n in counts.items() for _ in range(n)), reverse=True):
-            fits = [g for g in gaps if g >= k]
-            if fits:
-                gaps.remove(min(fits))
-            gaps.append((min(fits) if fits else capacity) - k)
-        assert len(fill) == len(gaps)
+    of = {"any": rng.integers(1, 65, 900), "one": np.full(500, 21), "halves": np.full(60, 33), "short": rng.integers(1, 4, 900), "hot": np.where(rng.random(600) < 0.4, 30, rng.integers(1, 65, 600))}[lengths].tolist()
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(of)], "id long, length long")
+    got = packing.pack(df, 64, per_task=100).collect()
+    assert sorted((r["id"], r["length"]) for r in got) == list(enumerate(of))
+    gaps = []  # best fit, one piece at a time, in descending order
+    for k in sorted(of, reverse=True):
+        fits = [g for g in gaps if g >= k]
+        if fits:
+            gaps.remove(min(fits))
+        gaps.append((min(fits) if fits else 64) - k)
+    assert fill(got, 64) <= 1.02 * len(gaps) + 1
+
+
+def test_matched():
+    """A piece takes the smallest gap that holds it, one piece after another in descending order."""
+    rng = np.random.default_rng(5)
+    for _ in range(50):
+        items = sorted((-int(s), bool(k)) for s, k in zip(rng.integers(1, 30, 40), rng.random(40) < 0.5, strict=True))
+        taking, taken, rest, _ = packing.matched(np.array([k for _, k in items]))
+        stack, want = [], {}
+        for j, (_, piece) in enumerate(items):
+            if not piece:
+                stack.append(j)
+            elif stack:
+                want[j] = stack.pop()
+        assert dict(zip(taking.tolist(), taken.tolist(), strict=True)) == want
+        assert sorted([*taking.tolist(), *taken.tolist(), *rest.tolist()]) == list(range(40))
+
+
+def test_encoder():
+    """Ids as the library gives them: every code point, added tokens, repeated letters, long texts and white space."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from corpusloom.llm.tokenize import Encoder
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t, e = Tokenizer.from_file(path), Encoder(path)
+    assert e.fast
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+    all_ = ["".join(f"a{c}a 1{c}1 !{c}! {c}  {c} x" for c in points[k : k + 5000]) for k in range(0, len(points), 5000)]
+    all_ += ["hello <|endoftext|> world", *waves(1024), "don't we'll\n\n x \t y", " " * 60_000 + "x", "é" * 30_000, " ".join(f"w{i}, it's" for i in range(200_000)), ""]
+    for x in all_:
+        assert e.ids(x).tolist() == t.encode(x, add_special_tokens=False).ids
+    assert e.ids("hello <|endoftext|> world").tolist() == [31373, 220, 50256, 995]
+    assert not Encoder(public_tokenizers.path("word_bpe_49k.json")).fast
+    assert Encoder(public_tokenizers.path("word_bpe_49k.json")).ids("Some words").tolist() == Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")).encode("Some words", add_special_tokens=False).ids
 
 
 def test_packing_of_nothing(none):
@@ -399,3 +564,8 @@ def test_chat(spark):
     as_ann = next(r for r in got if r["speaker"] == "ann" and r["turn"] == 3)
     assert as_ann["segment"][as_ann["mask_start"] : as_ann["mask_end"]] == "é!<|im_end|>"
     assert chat.perspectives(df.limit(0)).collect() == []
+    whole = {(r["conv_id"], r["speaker"]): r for r in chat.dialogues(df).collect()}
+    ann = whole[1, "ann"]
+    assert ann["text"] == "<|im_start|>system\nbe kind<|im_end|>\n<|im_start|>assistant\nhi<|im_end|>\n<|im_start|>user name=bob\n<|im_end|>\n" + 2 * "<|im_start|>assistant\né!<|im_end|>\n"
+    assert [ann["text"][m["from"] : m["to"]] for m in ann["masks"]] == ["hi<|im_end|>", "é!<|im_end|>", "é!<|im_end|>"]
+    assert len(whole) == 4 and chat.dialogues(df.limit(0)).collect() == []
