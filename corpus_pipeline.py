@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,32 +14,47 @@ from corpusloom.llm.common import stored, table
 ORACLE_SQL = None
 
 
-def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of docs whose id is among the kept ones (null counts as an id). Rows that share an id stay or go together."""
-    ids = kept.select(F.col("doc_id").alias("__kept"))
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["__kept"]), "left_semi")
+#: Where a row is in the files it is read from: tells rows apart that are equal in everything else.
+KEY = ("__file", "__place")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with KEY. Rows that are not read from files are written to some first."""
+    try:
+        return docs.select("*", F.xxhash64("_metadata.file_path").alias(KEY[0]), F.col("_metadata.row_index").alias(KEY[1]))
+    except AnalysisException:
+        return _keyed(stored(docs))
+
+
+def _only(keyed: DataFrame, kept: DataFrame) -> DataFrame:
+    """The kept rows, told apart by KEY: of rows that share an id, those that are kept themselves."""
+    return keyed.join(kept.filter("kept").select(*KEY), list(KEY), "left_semi").drop(*KEY)
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return _only(docs, quality_rules.judge(docs).filter("kept"))
+    keyed = _keyed(docs)
+    return _only(keyed, quality_rules.judge(keyed, carry=KEY))
 
 
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document with the largest id."""
-    return _only(docs, exact_dedup.exact_dedup(docs).filter("kept"))
+    """Of equal texts, one document: that with the largest id (any one of rows that tie)."""
+    keyed = _keyed(docs)
+    return _only(keyed, exact_dedup.exact_dedup(keyed, carry=KEY))
 
 
 def distinct_fingerprints(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates, the document with the smallest id."""
-    return _only(docs, simhash.near_dedup(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    """Of each group of near-duplicates, one document: that with the smallest id (any one of rows that tie)."""
+    keyed = _keyed(docs)
+    return _only(keyed, simhash.near_dedup(keyed, carry=KEY))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it (rows are repeated; not taken: no row)."""
-    taken = mixing.mix(docs).filter("copies > 0").groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").alias("__copies"))
-    joined = docs.join(stored(taken), docs["doc_id"].eqNullSafe(F.col("__id")))
-    return joined.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1).cast("long"), "__copies")).alias("__copy")).drop("__copy")
+    keyed = _keyed(docs)
+    taken = stored(mixing.mix(keyed, carry=KEY).filter("copies > 0").select(*KEY, F.col("copies").alias("__copies")))
+    joined = keyed.join(taken, list(KEY))
+    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), "__copies")).alias("__copy")).drop("__copy")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
