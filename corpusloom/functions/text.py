@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: White space as Python's str methods see it; Java's own class is narrower.
@@ -15,6 +15,14 @@ WS = rf"[\s{_BLANKS}]"
 HS = rf"[\t\x0b\f\r {_BLANKS}]"
 
 
+def exploded(df: DataFrame, array: Column, *columns: str | Column, at: str = "__i", each: str = "__c") -> DataFrame:
+    """The columns with a row for each element: its place from 0 and the element. No row for an empty or null array.
+
+    The plain explode lets the optimiser infer that the array is not empty and work it out once more below, on whatever
+    partitions are there; the outer one does not, and what it adds is filtered out after it."""
+    return df.select(*columns, F.posexplode_outer(array).alias(at, each)).filter(F.col(at).isNotNull())
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), with the value computed once however often the body reads it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -149,10 +157,11 @@ def bundle_name(place: Column, total: Column) -> Column:
 
 
 def human_size(n: Column) -> Column:
+    """Bytes in the largest unit below them, to one digit; halves go to the even digit."""
     out = F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B")))
     for k, unit in enumerate(("KB", "MB", "GB"), 1):
-        out = out.when(n < 1024 ** (k + 1), F.format_string(f"%.1f {unit}", n / float(1024**k)))
-    return out.otherwise(F.format_string("%.1f TB", n / float(1024**4)))
+        out = out.when(n < 1024 ** (k + 1), F.format_string(f"%.1f {unit}", F.bround(n / float(1024**k), 1)))
+    return out.otherwise(F.format_string("%.1f TB", F.bround(n / float(1024**4), 1)))
 
 
 #: The letters of canary codes: a fixed value.

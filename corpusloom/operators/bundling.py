@@ -6,17 +6,22 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import CATEGORIES, bundle_name, estimate_tokens, identity_header, strip
+from corpusloom.functions.text import CATEGORIES, bundle_name, estimate_tokens, exploded, identity_header, strip
 from corpusloom.operators.chunking import pack_sections
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """The rows written to the shared checkpoint folder and read back."""
+    """The rows written to the shared checkpoint folder (a temporary one where none is set and there is one machine only) and
+    read back."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpusloom-")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        base = tempfile.mkdtemp(prefix="corpusloom-")
     path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -28,29 +33,47 @@ def _next(sums: np.ndarray, budget: int) -> np.ndarray:
     return np.maximum(np.arange(n) + 1, np.searchsorted(sums, sums[:-1] + budget, side="right") - 1)
 
 
+#: About how many documents a range of a fold holds.
+RANGE = 200_000
+
+
+def _ends(after: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each document at which a bundle begins: what is open at the end of the range, and how many bundles began. The
+    chain of beginnings is followed by doubling its steps."""
+    n = len(after)
+    at, began = np.append(after, n), np.append(np.ones(n, np.int64), 0)
+    last = np.append(np.arange(n), n)  # the last beginning on the way
+    while (at < n).any():
+        last = np.where(at < n, last[np.minimum(at, n)], last)
+        began, at = began + began[at], at[at]
+    return np.append(sums[n] - sums[:n], 0)[last], began
+
+
 def greedy(docs: DataFrame, budget: int, order: list[str], tokens_col: str = "token_estimate") -> DataFrame:
     """docs with bundle (from 1): documents in order join the open bundle while it fits; one above the budget stands alone.
 
     Exact at any size: rows are range-partitioned in order, and each range says, for every document at which the bundle that
     comes in may break off, what stays open at its end and how many bundles began (as many entries as a bundle has documents).
     The driver chains these short lists; a second pass numbers the documents of each range. Only keys and tokens take part.
+    Documents with equal keys come in any order, each once.
     """
     import pandas as pd
 
-    keys = [F.col(c).alias(f"__o{i}") for i, c in enumerate(order)]
     names = [f"__o{i}" for i in range(len(order))]
-    narrow = docs.select(*keys, F.col(tokens_col).cast("long").alias("__t"))
-    ranged = stored(narrow.repartitionByRange(*names).withColumn("__r", F.spark_partition_id()))
+    narrow = stored(docs.select(*[F.col(c).alias(n) for c, n in zip(order, names, strict=True)], F.coalesce(F.col(tokens_col).cast("long"), F.lit(0)).alias("__t")))
+    spark = docs.sparkSession
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-narrow.count() // RANGE))
+    tied = not narrow.groupBy(*names).agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
+    if tied:  # rows that tie are numbered on both sides, by their tokens
+        narrow = narrow.withColumn("__tie", F.row_number().over(Window.partitionBy(*names).orderBy("__t")))
+        names.append("__tie")
+    ranged = stored(narrow.repartitionByRange(ranges, *names).withColumn("__r", F.spark_partition_id()))
 
     def summary(pdf: pd.DataFrame) -> pd.DataFrame:
         sums = np.concatenate(([0], np.cumsum(pdf.sort_values(names)["__t"].to_numpy())))
-        n, after = len(pdf), _next(sums, budget)
-        still, began = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
-        for i in range(n - 1, -1, -1):
-            j = after[i]
-            still[i], began[i] = (sums[n] - sums[i], 1) if j >= n else (still[j], began[j] + 1)
+        still, began = _ends(_next(sums, budget), sums)
         few = int(np.searchsorted(sums, budget, side="right"))
-        return pd.DataFrame({"r": [int(pdf["__r"].iloc[0])], "n": [n], "sums": [sums[:few].tolist()], "still": [still[:few].tolist()], "began": [began[:few].tolist()]})
+        return pd.DataFrame({"r": [int(pdf["__r"].iloc[0])], "n": [len(pdf)], "sums": [sums[:few].tolist()], "still": [still[:few].tolist()], "began": [began[:few].tolist()]})
 
     entries, still, count = {}, None, 0
     for x in ranged.groupBy("__r").applyInPandas(summary, "r int, n long, sums array<long>, still array<long>, began array<long>").orderBy("r").toLocalIterator():
@@ -61,22 +84,26 @@ def greedy(docs: DataFrame, budget: int, order: list[str], tokens_col: str = "to
         else:
             still, count = x["still"][at], count + x["began"][at]
 
-    shape = ", ".join(f"{n} {t}" for n, t in ranged.dtypes if n.startswith("__o")) + ", bundle long"
+    shape = ", ".join(f"{n} {t}" for n, t in ranged.dtypes if n in names) + ", bundle long"
 
     def number(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(names)
         sums = np.concatenate(([0], np.cumsum(pdf["__t"].to_numpy())))
         came, bundle = entries[int(pdf["__r"].iloc[0])]
         at = 0 if came is None else max(0, int(np.searchsorted(sums, budget - came, side="right")) - 1)
-        out, after = np.full(len(pdf), bundle, np.int64), _next(sums, budget)
-        while at < len(pdf):
-            bundle += 1
-            out[at : after[at]] = bundle
+        begins, after = np.zeros(len(pdf), np.int64), _next(sums, budget)
+        while at < len(pdf):  # a step for each bundle
+            begins[at] = 1
             at = after[at]
-        return pdf[names].assign(bundle=out)
+        return pdf[names].assign(bundle=bundle + np.cumsum(begins))
 
     numbered = ranged.groupBy("__r").applyInPandas(number, shape)
-    return docs.join(numbered, [docs[c].eqNullSafe(numbered[n]) for c, n in zip(order, names, strict=True)]).drop(*names)
+    keys = [docs[c].eqNullSafe(numbered[n]) for c, n in zip(order, names, strict=False)]
+    if tied:
+        left = docs.withColumn("__own", F.row_number().over(Window.partitionBy(*order).orderBy(F.coalesce(F.col(tokens_col).cast("long"), F.lit(0)))))
+        keys = [left[c].eqNullSafe(numbered[n]) for c, n in zip(order, names, strict=False)] + [left["__own"] == numbered["__tie"]]
+        return left.join(numbered, keys).drop("__own", *names)
+    return docs.join(numbered, keys).drop(*names)
 
 
 def split_at_headings(docs: DataFrame, target: int, level: int = 2) -> DataFrame:
@@ -85,7 +112,7 @@ def split_at_headings(docs: DataFrame, target: int, level: int = 2) -> DataFrame
     parts = docs.withColumn("__p", F.when(F.col("token_estimate") > target, pack_sections(strip(F.col("body")), target, level)))
     whole = F.col("__p").isNull() | (F.size("__p") <= 1)
     rows = parts.withColumn("__p", F.when(whole, F.array(F.struct(F.col("body").alias("text"), F.lit("").alias("reason")))).otherwise(F.col("__p")))
-    rows = rows.select("*", whole.alias("__whole"), F.size("__p").alias("__n"), F.posexplode("__p").alias("__i", "__c")).withColumn("__i", F.col("__i") + 1)
+    rows = exploded(rows, F.col("__p"), "*", whole.alias("__whole"), F.size("__p").alias("__n")).withColumn("__i", F.col("__i") + 1)
     doc_id = F.when(F.col("__whole"), F.col("doc_id")).otherwise(F.concat("doc_id", F.lit("_p"), F.lpad(F.col("__i").cast("string"), 2, "0")))
     note = F.concat(F.lit("Part "), F.col("__i").cast("string"), F.lit(" of "), F.col("__n").cast("string"), F.lit(" (medium heading split)"))
     rows = rows.withColumn("doc_id", doc_id).withColumn("body", F.col("__c.text")).withColumn("notes", F.when(F.col("__whole"), F.col("notes")).otherwise(F.trim(F.concat(F.trim("notes"), F.lit(" "), note))))

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import HS, WS, estimate_tokens, let, strip
+from corpusloom.functions.text import HS, WS, estimate_tokens, exploded, let, strip
 
 #: Why a chunk ends or begins where it does: fixed values.
 WHOLE = "entire document fits in one chunk"
@@ -96,19 +96,42 @@ def _units(text: Column, budget: int, sentences: bool, fence_aware: bool) -> Col
     return F.flatten(F.transform(paragraphs(text, fence_aware), of_paragraph))
 
 
+#: How many elements a fold gathers before they are set aside: an append copies no more, however long the result.
+RUN = 256
+
+
+def _gathered(kind: str) -> list[Column]:
+    """What a fold gathers elements in: the open run and the full ones."""
+    return [F.array().cast(f"array<{kind}>").alias("run"), F.array().cast(f"array<array<{kind}>>").alias("full")]
+
+
+def _with(a: Column, x: Column) -> list[Column]:
+    room = F.size(a["run"]) < RUN
+    return [F.when(room, F.concat(a["run"], F.array(x))).otherwise(F.array(x)).alias("run"), F.when(room, a["full"]).otherwise(F.concat(a["full"], F.array(a["run"]))).alias("full")]
+
+
+def _all(a: Column) -> Column:
+    return F.flatten(F.concat(a["full"], F.array(a["run"])))
+
+
 def _starts(units: Column, budget: int) -> Column:
     """The places of the units that begin a chunk: those that may not join the one before or no longer fit."""
-    state = F.struct(F.lit(0).alias("i"), F.lit(0).cast("long").alias("sum"), F.lit(-2).alias("par"), F.lit(-2).alias("line"), F.array().cast("array<int>").alias("at"))
+    state = F.struct(F.lit(0).alias("i"), F.lit(0).cast("long").alias("sum"), F.lit(-2).alias("par"), F.lit(-2).alias("line"), *_gathered("int"))
 
     def step(a: Column, u: Column) -> Column:
         sentence = u["kind"] == "s"
         cost = F.when(sentence, F.length(u["text"])).otherwise(estimate_tokens(u["text"])).cast("long")
-        joined = F.when(sentence, a["sum"] + 1 + cost).otherwise(a["sum"] + cost)
-        fits = (a["i"] > 0) & (a["par"] == u["par"]) & (a["line"] == u["line"]) & (F.when(sentence, F.shiftright(joined + 3, 2)).otherwise(joined) <= budget)
-        at = F.when(fits, a["at"]).otherwise(F.concat(a["at"], F.array(a["i"])))
-        return F.struct((a["i"] + 1).alias("i"), F.when(fits, joined).otherwise(cost).alias("sum"), u["par"].alias("par"), u["line"].alias("line"), at.alias("at"))
 
-    return F.aggregate(units, state, step, lambda a: a["at"])
+        def of_cost(c: Column) -> Column:
+            joined = F.when(sentence, a["sum"] + 1 + c).otherwise(a["sum"] + c)
+            fits = (a["i"] > 0) & (a["par"] == u["par"]) & (a["line"] == u["line"]) & (F.when(sentence, F.shiftright(joined + 3, 2)).otherwise(joined) <= budget)
+            on = lambda same, *new: F.when(fits, F.struct((a["i"] + 1).alias("i"), joined.alias("sum"), *same)).otherwise(F.struct((a["i"] + 1).alias("i"), c.alias("sum"), *new))
+            group = [u["par"].alias("par"), u["line"].alias("line")]
+            return on([*group, a["run"].alias("run"), a["full"].alias("full")], *group, *_with(a, a["i"]))
+
+        return let(cost, of_cost)
+
+    return F.aggregate(units, state, step, _all)
 
 
 def pack(text: Column, budget: int, sentences: bool = False, fence_aware: bool = False) -> Column:
@@ -157,15 +180,18 @@ def merge_small(chunks: Column, least: int, budget: int) -> Column:
     if least <= 0:
         return chunks
 
-    def step(done: Column, c: Column) -> Column:
-        last = F.element_at(done, -1)
-        both = F.concat(last["text"], F.lit("\n\n"), c["text"])
+    state = F.struct(F.lit(None).cast("struct<text:string,reason:string>").alias("last"), *_gathered("struct<text:string,reason:string>"))
+
+    def step(a: Column, c: Column) -> Column:
+        last = a["last"]
         small = (estimate_tokens(c["text"]) < least) | (estimate_tokens(last["text"]) < least)
-        fits = F.lit(True) if budget <= 0 else estimate_tokens(both) <= budget
-        joined = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.struct(both.alias("text"), F.lit(MERGED).alias("reason"))))
-        return F.when(F.size(done) == 0, F.array(c)).otherwise(F.when(small & fits, joined).otherwise(F.concat(done, F.array(c))))
+        fits = F.lit(True) if budget <= 0 else F.shiftright(F.length(last["text"]) + F.length(c["text"]) + 5, 2) <= budget
+        both = F.struct(F.concat(last["text"], F.lit("\n\n"), c["text"]).alias("text"), F.lit(MERGED).alias("reason"))
+        same = [a["run"].alias("run"), a["full"].alias("full")]
+        first = F.struct(c.alias("last"), *same)
+        return F.when(last.isNull(), first).when(small & fits, F.struct(both.alias("last"), *same)).otherwise(F.struct(c.alias("last"), *_with(a, last)))
 
-    return F.aggregate(chunks, F.array().cast(_CHUNKS), step)
+    return F.aggregate(chunks, state, step, lambda a: F.when(a["last"].isNull(), F.array().cast(_CHUNKS)).otherwise(F.concat(_all(a), F.array(a["last"]))))
 
 
 def overlap(chunks: Column, tokens: int) -> Column:
@@ -233,13 +259,13 @@ def heading_paths(texts: Column) -> Column:
     def push(stack: Column, h: Column) -> Column:
         return F.transform(stack, lambda t, i: F.when(i + 1 < h["level"], t).when(i + 1 == h["level"], h["title"]))
 
-    state = F.struct(empty.alias("stack"), F.array().cast("array<array<string>>").alias("paths"))
+    state = F.struct(empty.alias("stack"), *_gathered("array<string>"))
 
     def step(a: Column, text: Column) -> Column:
         now = F.aggregate(headings(text), a["stack"], push)
-        return F.struct(now.alias("stack"), F.concat(a["paths"], F.array(F.filter(a["stack"], lambda t: t.isNotNull()))).alias("paths"))
+        return F.struct(now.alias("stack"), *_with(a, F.filter(a["stack"], lambda t: t.isNotNull())))
 
-    return F.aggregate(texts, state, step, lambda a: a["paths"])
+    return F.aggregate(texts, state, step, _all)
 
 
 @dataclass(frozen=True)
@@ -264,7 +290,7 @@ def chunk_documents(docs: DataFrame, s: Settings, text_col: str = "text", paths:
     cut = docs.withColumn("__body", strip(F.coalesce(F.col(text_col), F.lit("")))).withColumn("__chunks", chunk_array(F.col("__body"), s))
     if paths:
         cut = cut.withColumn("__paths", heading_paths(F.transform("__chunks", lambda c: c["text"])))
-    rows = cut.select(*others, F.posexplode("__chunks").alias("__i", "__c"), *(["__paths"] if paths else []))
+    rows = exploded(cut, F.col("__chunks"), *others, *(["__paths"] if paths else []))
     text = F.col("__c.text")
     out = [*others, (F.col("__i") + 1).alias("idx"), text.alias("text"), estimate_tokens(text).alias("token_estimate"), F.col("__c.reason").alias("reason")]
     if paths:

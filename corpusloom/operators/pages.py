@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import HS, WS, strip, word_count
+from corpusloom.functions.text import HS, WS, exploded, let, strip, word_count
 
 #: What repeats on this share of the pages (two at least, of four pages or more) is a running header, if it is short.
 SHARE, LONGEST, LEAST_PAGES = 0.35, 60, 4
@@ -19,17 +19,26 @@ def pages(text: Column) -> Column:
     return F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
 
 
+def running(text: Column) -> Column:
+    """The short lines that are on many pages of a text. Within the row: each page's distinct lines are sorted together, so a
+    line is on so many pages if it still stands that many places on."""
+    lines = lambda p: F.filter(F.array_distinct(F.transform(F.split(p, "\n"), strip)), lambda x: (F.length(x) > 0) & (F.length(x) <= LONGEST) & ~x.rlike(_NUMBER))
+
+    def of_pages(p: Column) -> Column:
+        most = F.greatest(F.lit(2), F.floor(F.size(p) * SHARE).cast("int"))
+        often = let(F.sort_array(F.flatten(F.transform(p, lines))), lambda all_: F.array_distinct(F.filter(all_, lambda x, i: x == F.get(all_, i + most - 1))))
+        return F.when(F.size(p) >= LEAST_PAGES, often).otherwise(F.array().cast("array<string>"))
+
+    return let(pages(text), of_pages)
+
+
 def boilerplate(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id and line: short lines that are on many of a document's pages."""
-    p = docs.select(F.col(id_col).alias("id"), pages(F.col(text_col)).alias("p")).withColumn("n", F.size("p")).filter(F.col("n") >= LEAST_PAGES)
-    lines = F.array_distinct(F.transform(F.split("page", "\n"), strip))
-    rows = p.select("id", "n", F.explode("p").alias("page")).select("id", "n", F.explode(lines).alias("line"))
-    rows = rows.filter((F.length("line") > 0) & (F.length("line") <= LONGEST) & ~F.col("line").rlike(_NUMBER))
-    counts = rows.groupBy("id", "n", "line").agg(F.count("*").alias("found"))
-    return counts.filter(F.col("found") >= F.greatest(F.lit(2), F.floor(F.col("n") * SHARE))).select("id", "line")
+    return exploded(docs, running(F.col(text_col)), F.col(id_col).alias("id"), each="line").select("id", "line")
 
 
 def _rendered(line: Column) -> Column:
+    # What tells a chapter, a lettered heading and a bullet in the text of a page: fixed values.
     chapter = line.rlike(r"\AChapter\s+\d+:\s+[A-Z]") & ~line.contains("....") & ~line.rlike(r"[.;,]\z")
     letter = line.rlike(r"\A[A-Z]\.\s+[A-Z(]") & (F.length(line) <= 80) & ~line.contains("....") & (word_count(line) <= 10) & ~line.rlike(r"[.:;]\z")
     bullet = F.concat(F.lit("- "), strip(F.regexp_replace(line, rf"\A[•▪●]{WS}*", "")))
@@ -40,9 +49,8 @@ def _rendered(line: Column) -> Column:
 def restructure(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id and text: without running headers and page numbers, headings and bullets marked, wrapped lines joined into
     paragraphs. A text without page markers is unchanged."""
-    running = boilerplate(docs, id_col, text_col).groupBy("id").agg(F.collect_set("line").alias("running"))
-    d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(running, "id", "left")
-    d = d.withColumn("running", F.coalesce("running", F.array().cast("array<string>"))).withColumn("lines", F.transform(F.flatten(F.transform(pages(F.col("t")), lambda p: F.split(p, "\n"))), strip))
+    d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), running(F.col(text_col)).alias("running"))
+    d = d.withColumn("lines", F.transform(F.flatten(F.transform(pages(F.col("t")), lambda p: F.split(p, "\n"))), strip))
     kept = F.filter("lines", lambda x: ~F.array_contains("running", x) & ~x.rlike(_NUMBER))
     alone = lambda x: x.startswith("#") | F.ltrim(x).startswith("- ")
     # Headings and list items stand alone: blank lines on both sides; then blank lines part the blocks.

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import WS
+from corpusloom.functions.text import WS, exploded, let, preview
+from corpusloom.operators.bundling import stored
 
-#: Letters with marks, and the letters that are left without: from Unicode's own decompositions.
-_MARKED = [chr(c) for c in range(0xC0, 0x250) if len(unicodedata.normalize("NFD", chr(c))) > 1]
-_BARE = [unicodedata.normalize("NFD", c)[0] for c in _MARKED]
+#: Latin letters with marks, and the letters that are left without: from Unicode's own decompositions.
+_MARKED = [c for c in map(chr, range(0xC0, 0x2000)) if len(d := unicodedata.normalize("NFD", c)) > 1 and d[0].isascii()]
+_BARE = [unicodedata.normalize("NFD", c)[0].lower() for c in _MARKED]
+_MARKS = "[\u0300-\u036f]+"
 #: BM25: saturation and length normalisation of the reference's index, its least idf, and the fusion's offset.
 K1, B, LEAST_IDF, FUSION = 1.2, 0.75, 1e-6, 60
 #: Searches by many queries: rows and queries in a block at about most, and the least number of blocks of rows.
@@ -19,17 +23,17 @@ BLOCK_ROWS, BLOCK_QUERIES, BLOCKS = 16384, 2048, 16
 
 
 def terms(text: Column) -> Column:
-    """Lower-case runs of letters and digits, without marks."""
+    """Lower-case runs of letters and digits; Latin letters without marks."""
     bare = F.translate(F.lower(text), "".join(_MARKED), "".join(_BARE))
-    return F.regexp_extract_all(F.regexp_replace(bare, "[̀-ͯ]+", ""), F.lit(r"([\p{L}\p{N}]+)"), 1)
+    return F.regexp_extract_all(F.regexp_replace(bare, _MARKS, ""), F.lit(r"([\p{L}\p{N}]+)"), 1)
 
 
 def phrases(query: str) -> list[list[str]]:
     """The phrases that must all occur: each white-space part of the query, as terms; parts without terms are ignored."""
     found = []
     for part in query.replace('"', " ").split():
-        bare = "".join(c for c in unicodedata.normalize("NFD", part.lower()) if not unicodedata.combining(c))
-        words = "".join(c if c.isalnum() else " " for c in bare).split()
+        bare = re.sub(_MARKS, "", part.lower().translate(dict(zip(map(ord, _MARKED), _BARE, strict=True))))
+        words = "".join(c if unicodedata.category(c)[0] in "LN" else " " for c in bare).split()
         if words:
             found.append(words)
     return found
@@ -39,7 +43,7 @@ def postings(docs: DataFrame, id_col: str, text_col: str, file_col: str | None =
     """term, id, tf, positions; and the document's length on each row. With file_col, terms of both columns: the text's
     places begin one after the file name's end, so that no phrase crosses."""
     t = docs.select(F.col(id_col).alias("id"), terms(F.coalesce(F.col(text_col), F.lit(""))).alias("w"), _of_file(file_col).alias("n"))
-    t = t.select("id", (F.size("n") + F.size("w")).alias("dl"), F.size("n").alias("of"), F.posexplode(F.concat("n", F.array(F.lit("")), "w")).alias("at", "term"))
+    t = exploded(t, F.concat("n", F.array(F.lit("")), "w"), "id", (F.size("n") + F.size("w")).alias("dl"), F.size("n").alias("of"), at="at", each="term")
     rows = t.filter("term <> ''").withColumn("at", F.when(F.col("of") > 0, F.col("at")).otherwise(F.col("at") - 1))
     return rows.groupBy("term", "id", "dl").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("at")).alias("positions"))
 
@@ -54,6 +58,22 @@ def lengths(docs: DataFrame, id_col: str, text_col: str, file_col: str | None =
     return docs.agg(F.count("*").alias("n_docs"), F.avg(size).alias("avgdl"))
 
 
+def searched(docs: DataFrame, id_col: str, text_col: str, query: str, file_col: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """What postings() and lengths() would give bm25() for this query, from one pass over the documents without a shuffle: of
+    each row its length and the places of the query's terms alone are kept."""
+    every = sorted({w for p in phrases(query) for w in p})
+    words = let(F.struct(_of_file(file_col).alias("n"), terms(F.coalesce(F.col(text_col), F.lit(""))).alias("w")), lambda t: F.struct(
+        (F.size(t["n"]) + F.size(t["w"])).alias("dl"),
+        F.filter(F.transform(F.when(F.size(t["n"]) > 0, F.concat(t["n"], F.array(F.lit("")), t["w"])).otherwise(t["w"]), lambda x, i: F.when(x.isin(every), F.struct(x.alias("term"), i.alias("at")))), lambda x: x.isNotNull()).alias("found"),
+    ))
+    rows = stored(docs.select(F.col(id_col).alias("id"), words.alias("x")).select("id", "x.dl", "x.found"))
+    places = lambda w: F.transform(F.filter("found", lambda x: x["term"] == w), lambda x: x["at"])
+    index = [rows.select(F.lit(w).alias("term"), "id", "dl", places(w).alias("positions")).filter(F.size("positions") > 0) for w in every]
+    none = rows.filter("false").select(F.lit("").alias("term"), "id", "dl", F.array().cast("array<int>").alias("positions"))
+    index = reduce(DataFrame.unionByName, index, none).withColumn("tf", F.size("positions").cast("long"))
+    return index, rows.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
+
+
 def bm25(index: DataFrame, stats: DataFrame, query: str) -> DataFrame:
     """id and score (more negative: better) of the documents that hold every phrase of the query."""
     wanted = phrases(query)
@@ -78,6 +98,7 @@ def bm25(index: DataFrame, stats: DataFrame, query: str) -> DataFrame:
             one = met.select("id", "dl", F.size(both).cast("long").alias("tf")).filter("tf > 0")
         one = one.withColumn("k", F.lit(k))
         hits = one if hits is None else hits.unionByName(one)
+    hits = stored(hits)
     df_ = hits.groupBy("k").agg(F.count("*").alias("df"))
     rows = hits.join(F.broadcast(df_), "k").join(F.broadcast(stats))  # a row for each phrase, and one
     idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -86,21 +107,21 @@ def bm25(index: DataFrame, stats: DataFrame, query: str) -> DataFrame:
     return rows.groupBy("id").agg(F.count("*").alias("m"), (-F.sum(part)).alias("score")).filter(F.col("m") == len(wanted)).select("id", "score")
 
 
-def top(scored: DataFrame, k: int, best_first: Column) -> DataFrame:
-    """The k best rows (1 to 100) with their rank; ties by id."""
-    k = max(1, min(100, k))
+def top(scored: DataFrame, k: int, best_first: Column, most: int = 100) -> DataFrame:
+    """The k best rows (1 to `most`) with their rank; ties by id."""
+    k = max(1, min(most, k))
     return scored.orderBy(best_first, "id").limit(k).withColumn("rank", F.row_number().over(Window.orderBy(best_first, "id")))
 
 
 def hash_embedding(docs: DataFrame, id_col: str, text_col: str, dims: int = 256) -> DataFrame:
     """id, dim, value: each lower-case word adds or takes one at a place that its MD5 gives; rows of a unit length."""
     w = F.array_remove(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), WS + "+"), "")
-    rows = docs.select(F.col(id_col).alias("id"), F.explode(w).alias("w")).withColumn("h", F.md5(F.col("w").cast("binary")))
+    rows = exploded(docs, w, F.col(id_col).alias("id"), each="w").withColumn("h", F.md5(F.col("w").cast("binary")))
     four = F.concat(*[F.substring("h", i, 2) for i in (7, 5, 3, 1)])
     rows = rows.select("id", (F.conv(four, 16, 10).cast("long") % dims).cast("int").alias("dim"), F.when(F.conv(F.substring("h", 9, 2), 16, 10).cast("int") % 2 == 1, 1).otherwise(-1).alias("s"))
     sums = rows.groupBy("id", "dim").agg(F.sum("s").alias("s")).filter("s <> 0")
-    norm = sums.groupBy("id").agg(F.sqrt(F.sum(F.col("s") * F.col("s"))).alias("norm"))
-    return sums.join(norm, "id").select("id", "dim", (F.col("s") / F.col("norm")).alias("value"))
+    norm = F.sqrt(F.sum(F.col("s") * F.col("s")).over(Window.partitionBy("id")))  # `dims` rows at most
+    return sums.select("id", "dim", (F.col("s") / norm).alias("value"))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -189,6 +210,45 @@ def fuse(*ranked: DataFrame, k: int) -> DataFrame:
     return top(rows.groupBy("id").agg(F.round(F.sum("s"), 9).alias("score")), k, F.col("score").desc())
 
 
+def hybrid(keyword: DataFrame, vectors: DataFrame | None, query: DataFrame | None, k: int) -> DataFrame:
+    """The k best of a keyword search (id, score: more negative is better) and a vector search fused; each gives the best
+    max(5 k, 50). Without vectors or a query vector: the keyword search alone."""
+    pool = max(5 * max(1, min(100, k)), 50)
+    lists = [top(keyword, pool, F.col("score"), pool)]
+    if vectors is not None and query is not None:
+        q = query.select(F.col("dim").alias("qd"), F.col("value").alias("qv"))
+        scored = vectors.join(F.broadcast(q), F.col("dim") == F.col("qd")).groupBy("id").agg(F.round(F.sum(F.col("value") * F.col("qv")), 6).alias("score"))  # `dims` rows at most
+        lists.append(top(scored, pool, F.col("score").desc(), pool))
+    return fuse(*lists, k=k)
+
+
+def snippet(text: Column, query: str, before: int = 60, after: int = 160) -> Column:
+    """The text on one line around the first term of the query, which is in brackets; its beginning where none is found. Terms
+    are looked for as they are written, without regard to case."""
+    every = sorted({w for p in phrases(query) for w in p}, key=len, reverse=True)
+    flat = F.regexp_replace(text, WS + "+", " ")
+    if not every:
+        return preview(flat, after)
+    word = rf"(?i)(?<![\p{{L}}\p{{N}}])({'|'.join(every)})(?![\p{{L}}\p{{N}}])"
+
+    def around(t: Column) -> Column:
+        at = F.regexp_instr(t, F.lit(word))
+        start = F.greatest(F.lit(1), at - before)
+        cut = F.substring(t, start, F.lit(before + after))
+        marked = F.regexp_replace(cut, word, "[$1]")
+        dots = F.concat(F.when(start > 1, "…").otherwise(""), marked, F.when(start + before + after <= F.length(t), "…").otherwise(""))
+        return F.when(at > 0, dots).otherwise(preview(t, after))
+
+    return let(flat, around)
+
+
+def chunk(chunks: DataFrame, chunk_id: str, around: int = 0, id_col: str = "chunk_id", doc_col: str = "doc_id", order_col: str = "idx") -> DataFrame:
+    """The chunk of an id, with so many before and after it in its document; no rows for an unknown id."""
+    one = chunks.filter(F.col(id_col) == chunk_id).select(F.col(doc_col).alias("__d"), F.col(order_col).alias("__k")).limit(1)
+    near = (F.col(doc_col) == F.col("__d")) & F.col(order_col).between(F.col("__k") - around, F.col("__k") + around)
+    return chunks.join(F.broadcast(one), near).drop("__d", "__k").orderBy(order_col)
+
+
 def neighbours(chunks: DataFrame, doc_col: str = "doc_id", order_col: str = "idx") -> DataFrame:
     """Each chunk with the places of those before and after it."""
     w = Window.partitionBy(doc_col).orderBy(order_col)

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import document_id, estimate_tokens, identity_header, strip, table_cell, word_count
+from corpusloom.functions.text import _EACH, document_id, estimate_tokens, exploded, identity_header, strip, table_cell, word_count
 from corpusloom.operators.bundling import stored
 from corpusloom.operators.chunking import Settings, chunk_array, heading_paths, overlap
 
+#: What stands between documents in a bundle: a fixed value.
 DIVIDER = "\n\n<!-- ================================================== -->\n\n"
 
 
@@ -32,7 +33,7 @@ def chunk_records(docs: DataFrame, s: Settings, overlap_tokens: int = 0, path_mo
     d = docs.withColumn("__c", chunk_array(strip(F.coalesce("body", F.lit(""))), s)).withColumn("__p", heading_paths(F.transform("__c", lambda c: c["text"])))
     empty = F.array(F.struct(F.lit("").alias("text"), F.lit("").alias("reason")))
     d = d.withColumn("__o", F.when(F.size("__c") == 0, empty).otherwise(overlap(F.col("__c"), overlap_tokens)))
-    rows = d.select("doc_id", "source_file", "source_path", "__p", F.posexplode("__o").alias("__i", "__t"))
+    rows = exploded(d, F.col("__o"), "doc_id", "source_file", "source_path", "__p", each="__t")
     crumb = F.array_join(F.coalesce(F.get("__p", F.col("__i")), F.array().cast("array<string>")), " > ")
     text = F.col("__t.text")
     if path_mode in ("prefix", "both"):
@@ -48,7 +49,8 @@ def json_lines(rows: DataFrame) -> DataFrame:
 
 
 def source_map(records: DataFrame) -> DataFrame:
-    ids = F.sort_array(F.collect_list("chunk_id"))
+    # Ids of one document differ in their number alone: the longer is the later.
+    ids = F.transform(F.array_sort(F.collect_list(F.struct(F.length("chunk_id").alias("n"), F.col("chunk_id").alias("id")))), lambda x: x["id"])
     return records.groupBy("doc_id", "source_file", "source_path").agg(ids.alias("chunk_ids"), F.sum("token_estimate").alias("token_estimate"))
 
 
@@ -61,7 +63,7 @@ def overview(rows: DataFrame, bundles: DataFrame) -> DataFrame:
 
 def rendered(header: Column, body: Column) -> Column:
     """A document as a bundle holds it."""
-    return F.concat(header, F.lit("\n"), F.rtrim(body), F.lit("\n"))
+    return F.concat(header, F.lit("\n"), F.rtrim(body, F.lit(_EACH)), F.lit("\n"))
 
 
 def bundle_heads(docs: DataFrame, budget: int) -> DataFrame:
@@ -94,7 +96,37 @@ def places(docs: DataFrame, order: list[str]) -> DataFrame:
 
 
 def unique_names(files: DataFrame, folder_col: str, name_col: str) -> DataFrame:
-    """Files with the names they get in a shared folder: _1, _2, ... before the extension of repeated ones."""
+    """Files (with path, unique in its folder) and the names they get in a shared folder, in the order of paths: a name that is
+    taken gets _1, _2, ... before its extension, the first that is free.
+
+    Where no such name is itself a file's, the k-th of a name gets _k. Only files whose names do get in each other's way
+    (a.txt twice and a_1.txt) are gone through one by one, by the name that is left without such endings.
+    """
+    import pandas as pd
+
+    stem, ext = F.regexp_extract(name_col, r"(?s)\A(.+?)(\.[^.]*)?\z", 1), F.regexp_extract(name_col, r"(?s)\A.+?(\.[^.]*)?\z", 1)
+    files = files.withColumn("__stem", stem).withColumn("__ext", ext).withColumn("__root", F.regexp_replace(stem, r"(_\d+)+\z", ""))
+    family = [folder_col, "__root", "__ext"]
+    names = files.groupBy(*family, F.col("__stem")).agg(F.count("*").alias("n"))
+    parents = names.filter("n > 1").select(*family, F.col("__stem").alias("__of")).distinct()
+    made = names.withColumn("__of", F.regexp_replace("__stem", r"_\d+\z", "")).filter(F.col("__of") != F.col("__stem"))
+    entangled = stored(made.join(parents, [*family, "__of"], "left_semi").select(*family).distinct())
     k = F.row_number().over(Window.partitionBy(folder_col, name_col).orderBy("path")) - 1
-    stem, ext = F.regexp_extract(name_col, r"\A(.+?)(\.[^.]*)?\z", 1), F.regexp_extract(name_col, r"\A.+?(\.[^.]*)?\z", 1)
-    return files.withColumn("unique_name", F.when(k == 0, F.col(name_col)).otherwise(F.concat(stem, F.lit("_"), k.cast("string"), ext)))
+    plain = files.join(entangled, family, "left_anti").withColumn("unique_name", F.when(k == 0, F.col(name_col)).otherwise(F.concat("__stem", F.lit("_"), k.cast("string"), "__ext")))
+    columns = [*files.columns, "unique_name"]
+
+    def one_by_one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, used, last, out = pdf.sort_values("path"), set(), {}, []
+        for base, end in zip(pdf["__stem"], pdf["__ext"], strict=True):
+            name, n = f"{base}{end}", last.get(base, 0)
+            while name in used:
+                n += 1
+                name = f"{base}_{n}{end}"
+            last[base] = n
+            used.add(name)
+            out.append(name)
+        return pdf.assign(unique_name=out)
+
+    shape = ", ".join(f"`{c}` {t}" for c, t in files.dtypes) + ", unique_name string"
+    others = files.join(entangled, family, "left_semi").groupBy(*family).applyInPandas(one_by_one, shape)
+    return plain.select(*columns).unionByName(others).drop("__stem", "__ext", "__root")

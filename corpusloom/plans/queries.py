@@ -218,7 +218,7 @@ def chunk_headings(s, d, md=markdown):
 @query(f"""with recursive {_SQL_MD}, {_sql_sections(LEVEL)} select doc_id, k::int as k, txt as section, headed from sections""")
 def heading_sections(s, d, md=markdown):
     t = T.strip(F.col("text"))
-    rows = _md(s, d, md).filter(t != "").select("doc_id", F.posexplode(C.sections(t, LEVEL)).alias("i", "section"))
+    rows = T.exploded(_md(s, d, md).filter(t != ""), C.sections(t, LEVEL), "doc_id", at="i", each="section")
     return rows.select("doc_id", (F.col("i") + 1).alias("k"), "section", F.substring_index("section", "\n", 1).rlike(r"^\s*#{1,2}\s+\S").alias("headed"))
 
 
@@ -236,7 +236,7 @@ def chunk_merged(s, d, md=markdown):
 select doc_id, idx::int as idx, case when tail = '' then txt else tail || {_NL} || {_NL} || txt end as text from tails""")
 def chunk_overlap(s, d, md=markdown):
     t = T.strip(F.col("text"))
-    rows = _md(s, d, md).select("doc_id", F.posexplode(C.overlap(C.chunk_array(t, C.Settings(SMALL)), 12)).alias("i", "c"))
+    rows = T.exploded(_md(s, d, md), C.overlap(C.chunk_array(t, C.Settings(SMALL)), 12), "doc_id", at="i", each="c")
     return rows.select("doc_id", (F.col("i") + 1).alias("idx"), F.col("c.text").alias("text"))
 
 
@@ -272,7 +272,7 @@ grouped as (select *, sum(case when f % 2 = 0 and trim(line) = '' then 1 else 0
 select doc_id, row_number() over (partition by doc_id order by g)::int as k, txt as paragraph from (select doc_id, g, {_strip(f"string_agg(line, {_NL} order by i) filter (not (f % 2 = 0 and trim(line) = ''))")} as txt from grouped group by doc_id, g) where txt <> ''""")
 def fence_paragraphs(s, d, md=markdown):
     t = T.strip(F.col("text"))
-    return _md(s, d, md).select("doc_id", F.posexplode(C.paragraphs(t, True)).alias("i", "paragraph")).select("doc_id", (F.col("i") + 1).alias("k"), "paragraph")
+    return T.exploded(_md(s, d, md), C.paragraphs(t, True), "doc_id", at="i", each="paragraph").select("doc_id", (F.col("i") + 1).alias("k"), "paragraph")
 
 
 @query()
@@ -464,7 +464,7 @@ def rag_export(s, d, md=markdown):
     return _rag(s, d, md)
 
 
-@query(_SQL_RAG.replace("lpad((doc_id + 1)::varchar, 4, '0')", "case when doc_id + 1 < 10000 then lpad((doc_id + 1)::varchar, 4, '0') else (doc_id + 1)::varchar end") + "select doc_id, source_file, source_path, string_agg(chunk_id, ',' order by chunk_id) as chunk_ids, sum(token_estimate)::bigint as token_estimate from rag group by all")
+@query(_SQL_RAG.replace("lpad((doc_id + 1)::varchar, 4, '0')", "case when doc_id + 1 < 10000 then lpad((doc_id + 1)::varchar, 4, '0') else (doc_id + 1)::varchar end") + "select doc_id, source_file, source_path, string_agg(chunk_id, ',' order by length(chunk_id), chunk_id) as chunk_ids, sum(token_estimate)::bigint as token_estimate from rag group by all")
 def source_map(s, d, md=markdown):
     return export.source_map(_rag(s, d, md)).withColumn("chunk_ids", F.array_join("chunk_ids", ","))
 
@@ -489,14 +489,14 @@ scored as (select doc_id as id, -sum((case when ln((n_docs - df + 0.5) / (df + 0
 _WORDS = ("with", "from")
 
 
-def _index(s, d):
-    docs = _docs(s, d)
-    return retrieval.postings(docs, "doc_id", "text"), retrieval.lengths(docs, "doc_id", "text")
+def _bm25(s, d, query: str):
+    """id and score, from one pass over the documents."""
+    return retrieval.bm25(*retrieval.searched(_docs(s, d), "doc_id", "text", query), query).select("id", F.round("score", 9).alias("score"))
 
 
 @query(_sql_bm25(_WORDS) + "select id, round(score, 9) as score from scored")
 def bm25_search(s, d):
-    return retrieval.bm25(*_index(s, d), '"with" from').select("id", F.round("score", 9).alias("score"))
+    return _bm25(s, d, '"with" from')
 
 
 _OF_FILE = _TERMS.replace("text", "source || '_' || doc_id || '.txt'")
@@ -505,14 +505,13 @@ _OF_FILE = _TERMS.replace("text", "source || '_' || doc_id || '.txt'")
 @query(_sql_bm25(("with", "txt")).replace(f"{_TERMS} as w", f"list_concat({_OF_FILE}, {_TERMS}) as w") + "select id, round(score, 9) as score from scored")
 def bm25_search_files(s, d):
     docs = _docs(s, d).withColumn("source_file", F.concat("source", F.lit("_"), F.col("doc_id").cast("string"), F.lit(".txt")))
-    index, stats = (f(docs, "doc_id", "text", "source_file") for f in (retrieval.postings, retrieval.lengths))
-    return retrieval.bm25(index, stats, "with txt").select("id", F.round("score", 9).alias("score"))
+    return retrieval.bm25(*retrieval.searched(docs, "doc_id", "text", "with txt", "source_file"), "with txt").select("id", F.round("score", 9).alias("score"))
 
 
 @query(f"""with {_SQL_POST}, hits as (select a.doc_id, a.dl, count(*) as tf from post a join post b on b.doc_id = a.doc_id and b.at = a.at + 1 and b.term = 'the' where a.term = 'of' group by all),
  df as (select count(*) as df from hits) select doc_id as id, round(-(case when ln((n_docs - df + 0.5) / (df + 0.5)) <= 0 then 1e-6 else ln((n_docs - df + 0.5) / (df + 0.5)) end) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)), 9) as score from hits, df, st""")
 def bm25_phrase(s, d):
-    return retrieval.bm25(*_index(s, d), "of-the !").select("id", F.round("score", 9).alias("score"))
+    return _bm25(s, d, "of-the !")
 
 
 @query(f"with {_SQL_POST} select term, count(distinct doc_id) as documents, count(*) as occurrences from post group by term")
@@ -548,9 +547,8 @@ def vector_search_all(s, d):
 q as (select dim, value from vec where id = 3), vs as (select id, row_number() over (order by score desc, id) as rank from (select v.id, round(sum(v.value * q.value), 6) as score from vec v join q using (dim) group by v.id) qualify rank <= 50)
 select id, round(sum(1.0 / (60 + rank)), 9)::double as score, row_number() over (order by round(sum(1.0 / (60 + rank)), 9) desc, id)::int as rank from (select * from kw union all select * from vs) group by id order by 2 desc, id limit 10""")
 def hybrid_search(s, d):
-    kw = retrieval.top(retrieval.bm25(*_index(s, d), "with from").select("id", F.round("score", 9).alias("score")), 50, F.col("score"))
-    v = retrieval.hash_embedding(_docs(s, d), "doc_id", "text")
-    return retrieval.fuse(kw, retrieval.sparse_search(v, v.filter("id = 3"), 50), k=10)
+    v = bundling.stored(retrieval.hash_embedding(_docs(s, d), "doc_id", "text"))
+    return retrieval.hybrid(_bm25(s, d, "with from"), v, v.filter("id = 3"), 10)
 
 
 @query(_sql_plain(SMALL) + "select doc_id, idx::int as idx, (lag(idx) over w)::int as previous, (lead(idx) over w)::int as next from chunks window w as (partition by doc_id order by idx)")
@@ -635,7 +633,7 @@ def structure_descriptions(s, d, md=markdown):
 @query(f"""with {_SQL_MD}, l as (select doc_id, i, line from (select doc_id, unnest(string_split(txt, {_NL})) as line, generate_subscripts(string_split(txt, {_NL}), 1) as i from md))
 select doc_id, row_number() over (partition by doc_id order by i)::int as k, length(regexp_extract(line, '^#+'))::int as level, trim(regexp_extract(line, '^#{{1,6}}\\s+(.*)$', 1)) as title from l where regexp_matches(line, '^#{{1,6}}\\s+.*$')""")
 def page_outline(s, d, md=markdown):
-    rows = _md(s, d, md).select("doc_id", F.posexplode(C.outline(T.strip(F.col("text")))).alias("i", "h"))
+    rows = T.exploded(_md(s, d, md), C.outline(T.strip(F.col("text"))), "doc_id", at="i", each="h")
     return rows.select("doc_id", (F.col("i") + 1).alias("k"), "h.level", "h.title")
 
 

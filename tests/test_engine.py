@@ -13,7 +13,7 @@ from corpusloom.functions import text as T
 from corpusloom.operators import bundling, retrieval
 from corpusloom.operators.chunking import Settings
 from corpusloom.operators.pages import restructure
-from corpusloom.plans import job, probe
+from corpusloom.plans import export, job, probe
 from corpusloom.sources import files
 from corpusloom.streaming import ingest
 
@@ -165,3 +165,69 @@ def test_stream(spark, data, tmp_path):
     stream = spark.readStream.schema(docs.schema).parquet(str(tmp_path / "in"))
     ingest.to_parquet(ingest.chunk_stream(stream, Settings(100)), str(tmp_path / "out"), str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == ingest.chunk_documents(docs, Settings(100)).count()
+
+
+def test_greedy_with_equal_keys(spark):
+    df = spark.createDataFrame([("a", 3), ("a", 3), ("b", 5), ("b", 1), (None, 9)], "k string, token_estimate int")
+    got = bundling.greedy(df, 8, ["k"]).collect()
+    assert len(got) == 5 and sorted((r["k"] or "", r["token_estimate"]) for r in got) == [("", 9), ("a", 3), ("a", 3), ("b", 1), ("b", 5)]
+    sums = {}
+    for r in got:
+        sums[r["bundle"]] = sums.get(r["bundle"], 0) + r["token_estimate"]
+    assert all(v <= 9 for v in sums.values())
+
+
+def test_human_size(spark):
+    for n in (0, 1023, 1024, 1280, 1792, 1536, 10_000_000, 5 * 2**40):
+        size, unit = float(n), "B"
+        for unit in ("B", "KB", "MB", "GB", "TB"):
+            if size < 1024 or unit == "TB":
+                break
+            size /= 1024
+        assert one(spark, T.human_size, n) == (f"{n} B" if unit == "B" else f"{size:.1f} {unit}")
+
+
+def test_unique_names(spark):
+    rng = random.Random(3)
+    for names in (["a.txt", "a.txt", "a_1.txt"], ["a_1.txt", "a.txt", "a.txt"], ["x", "x", "x_1", "x_1", "x_1_1"], [rng.choice(["b.md", "b_1.md", "b_2.md", "b_1_1.md", "c.md", "c_7.md"]) for _ in range(60)]):
+        rows = [(f"p{i:03}", "f" if i % 5 else "g", n) for i, n in enumerate(names)]
+        want, used = {}, set()
+        for p, folder, n in rows:
+            stem, dot, ext = n.partition(".")
+            free, k = n, 0
+            while (folder, free) in used:
+                k += 1
+                free = f"{stem}_{k}{dot}{ext}"
+            used.add((folder, free))
+            want[p] = free
+        got = {r["path"]: r["unique_name"] for r in export.unique_names(spark.createDataFrame(rows, "path string, folder string, name string"), "folder", "name").collect()}
+        assert got == want
+
+
+def test_source_map_of_many_chunks(spark):
+    rows = [("D", "f", "p", f"D__c{i:03}", 1) for i in range(1, 1102)]
+    df = spark.createDataFrame(rows, "doc_id string, source_file string, source_path string, chunk_id string, token_estimate int").repartition(3)
+    assert export.source_map(df).first()["chunk_ids"] == [r[3] for r in rows]
+
+
+def test_search_in_one_pass(spark):
+    df = spark.createDataFrame([(1, "a.txt", "tiếng Việt của tôi"), (2, "b.txt", "viet tieng"), (3, "c.txt", None), (4, "d.txt", "Việt, Việt!")], "id int, f string, t string")
+    for query in ("việt", "tieng-viet", "a-txt tieng", "none", "!"):
+        for file in (None, "f"):
+            index, stats = retrieval.postings(df, "id", "t", file), retrieval.lengths(df, "id", "t", file)
+            want = {(r["id"], round(r["score"], 12)) for r in retrieval.bm25(index, stats, query).collect()}
+            got = {(r["id"], round(r["score"], 12)) for r in retrieval.bm25(*retrieval.searched(df, "id", "t", query, file), query).collect()}
+            assert got == want
+    assert {r["id"] for r in retrieval.bm25(*retrieval.searched(df, "id", "t", "việt"), "việt").collect()} == {1, 2, 4}
+    assert one(spark, lambda t: retrieval.snippet(t, "fox"), "x " * 60 + "the quick Fox\njumps " + "y " * 200).count("[Fox] jumps") == 1
+    assert one(spark, lambda t: retrieval.snippet(t, "fox"), "nothing here") == "nothing here"
+
+
+def test_hybrid_and_chunk(spark):
+    kw = spark.createDataFrame([(i, -float(i)) for i in range(1, 80)], "id int, score double")
+    v = spark.createDataFrame([(1, 0, 1.0), (2, 0, 0.6), (2, 1, 0.8)], "id int, dim int, value double")
+    assert [r["id"] for r in retrieval.hybrid(kw, None, None, 3).orderBy("rank").collect()] == [79, 78, 77]
+    both = {r["id"]: r["score"] for r in retrieval.hybrid(kw, v, v.filter("id = 1"), 80).collect()}
+    assert len(both) == 79 and math.isclose(both[1], round(1 / 61 + 1 / 139, 9)) and math.isclose(both[79], round(1 / 61, 9))
+    chunks = spark.createDataFrame([(f"d__c{i}", "d", i) for i in range(5)], "chunk_id string, doc_id string, idx int")
+    assert [r["idx"] for r in retrieval.chunk(chunks, "d__c2", 1).collect()] == [1, 2, 3] and retrieval.chunk(chunks, "zz").count() == 0

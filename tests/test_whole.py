@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from corpusloom.llm import quality_rules
 from corpusloom.operators import retrieval
 from corpusloom.plans import queries as Q
 
@@ -24,19 +23,6 @@ def test_each_query_over_markdown_has_a_whole_one():
     assert all(Q.SQL[f"{n}_whole"] != Q.SQL[n] for n in Q.OVER_MARKDOWN if n in Q.SQL)
 
 
-def test_quality_rules_without_languages(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    clean = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").filter("quality = 1").select("doc_id")
-    docs = docs.join(clean, "doc_id")
-    given = {r["doc_id"] for r in quality_rules.judge(docs).filter("kept").collect()}
-    for some in ("null", "''", "case when doc_id % 2 = 0 then lang end"):
-        got = {r["doc_id"] for r in quality_rules.judge(docs.withColumn("lang", F.expr(some))).filter("kept").collect()}
-        assert got == given
-    foreign = [(i, " ".join(f"слово{i * 1000 + k}" for k in range(150)), None) for i in range(3)]
-    rows = quality_rules.judge(spark.createDataFrame(foreign, "doc_id long, text string, lang string")).collect()
-    assert all(r["kept"] for r in rows)
-
-
 def test_vector_search_of_many(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "BLOCK_QUERIES", 3)
     rows = [(i, [float(i % 7), 1.0, float(i % 3)]) for i in range(200)] + [(500, None), (501, [0.0, 0.0, 0.0]), (None, [1.0, 1.0, 1.0])]
