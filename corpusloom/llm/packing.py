@@ -89,8 +89,8 @@ def _swept(batches):
         yield from t.combine_chunks().to_batches()
 
 
-def _round(left: DataFrame, gaps: DataFrame, longest: int, most: int, capacity: int, tasks: int) -> tuple[DataFrame, DataFrame]:
-    """A sweep and its outcome: (pieces without a gap, slots of all gaps with the pieces placed there).
+def _round(left: DataFrame, gaps: DataFrame, longest: int, most: int, capacity: int, tasks: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A sweep and its outcome: pieces without a gap, slots of all gaps with the pieces placed there, and the table under the first.
 
     A gap that holds the longest piece several times offers as many slots (`most` at the most) of equal size."""
     n = F.when(F.col("gap") >= longest, F.least(F.floor(F.col("gap") / longest), F.lit(most))).otherwise(F.lit(1)).cast("int")
@@ -116,9 +116,8 @@ def _round(left: DataFrame, gaps: DataFrame, longest: int, most: int, capacity:
     used = F.coalesce(F.sum("p.length").over(of.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     whole = F.coalesce(F.sum("p.length").over(of), F.lit(0))
     settled = stored(rows.select("p", "seq", "slot", (capacity - F.col("gap") + used).alias("offset"), (F.col("gap") - whole).cast("int").alias("rest")))
-    remaining = stored(crossed.filter("p is not null and g is null").select("p", F.col("p.length").cast("int").alias("size")))
-    released(swept, crossed)
-    return remaining, settled
+    released(swept)
+    return crossed.filter("p is not null and g is null").select("p", F.col("p.length").cast("int").alias("size")), settled, crossed
 
 
 def _needed(lengths: dict[int, int], capacity: int) -> int:
@@ -126,9 +125,12 @@ def _needed(lengths: dict[int, int], capacity: int) -> int:
     return max(-(-sum(k * n for k, n in lengths.items()) // capacity), sum(n for k, n in lengths.items() if 2 * k > capacity))
 
 
-def _counts(df: DataFrame, column: str) -> dict[int, int]:
-    """Rows by length or gap: `capacity` numbers at most, whatever the input."""
-    return {r[0]: r[1] for r in df.groupBy(column).agg(F.count("*")).collect()}
+def _counts(left: DataFrame, settled: DataFrame) -> tuple[dict[int, int], dict[int, int]]:
+    """Pieces by length and gaps by size: `capacity` numbers each at most, whatever the input."""
+    sizes = left.select("size", F.lit(0).alias("kind")).unionByName(settled.filter("slot = 0").select(F.col("rest").alias("size"), F.lit(1).alias("kind")))
+    found = sizes.groupBy("kind", "size").agg(F.count("*").alias("n")).collect()
+    lengths = {r["size"]: r["n"] for r in found if r["kind"] == 0}
+    return lengths, {r["size"]: r["n"] for r in found if r["kind"] == 1 and lengths and r["size"] >= min(lengths)}
 
 
 def pack(cut: DataFrame, capacity: int = CAPACITY, per_task: int = PER_TASK) -> DataFrame:
@@ -142,9 +144,10 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, per_task: int = PER_TASK) ->
     Empty input: no rows. Equal pieces are placed each.
     """
     spark = cut.sparkSession
-    left = stored(cut.select(F.struct(*cut.columns).alias("p"), F.col("length").cast("int").alias("size")))
+    table = left = stored(cut.select(F.struct(*cut.columns).alias("p"), F.col("length").cast("int").alias("size")))
     out = left.filter("false").select("p.*", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    lengths, open_, opened, settled, few = _counts(left, "size"), {}, 0, None, False
+    lengths = {r["size"]: r["n"] for r in left.groupBy("size").agg(F.count("*").alias("n")).collect()}
+    open_, opened, settled, few = {}, 0, None, False
     while lengths:
         n, longest, largest = sum(lengths.values()), max(lengths), max(open_, default=0)
         new = _needed({k: c for k, c in lengths.items() if k > largest}, capacity)
@@ -156,12 +159,11 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, per_task: int = PER_TASK) ->
         opened += new
         fitting = new + sum(c for k, c in open_.items() if k >= longest)
         tasks = max(TASKS, -(-(2 * n + new + sum(open_.values())) // per_task))
-        before = left
-        left, settled = _round(left, gaps, longest, -(-n // max(fitting, 1)), capacity, tasks)
+        before = table
+        left, settled, table = _round(left, gaps, longest, -(-n // max(fitting, 1)), capacity, tasks)
         released(before)
         out = out.unionByName(settled.filter("p is not null").select("p.*", F.col("seq").alias("sequence_id"), F.col("offset").cast("long").alias("offset")))
-        lengths = _counts(left, "size")
-        open_ = {k: c for k, c in _counts(settled.filter("slot = 0"), "rest").items() if lengths and k >= min(lengths)}
+        lengths, open_ = _counts(left, settled)
         few = bool(lengths) and sum(lengths.values()) > 0.875 * n and max(lengths) > 0.75 * longest
     return out
 
