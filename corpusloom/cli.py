@@ -7,7 +7,8 @@ import sys
 
 from pyspark.sql import SparkSession
 
-from corpusloom.plans import job
+from corpusloom.plans import job, probe
+from corpusloom.sources import records
 
 
 def parser() -> argparse.ArgumentParser:
@@ -23,6 +24,10 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--profile")
     p.add_argument("--profiles-dir")
     p.add_argument("--list-profiles", action="store_true")
+    p.add_argument("--appeals-db", help="a SQLite file of case records, in place of a source folder")
+    p.add_argument("--limit", type=int, help="with --appeals-db: the first records only")
+    p.add_argument("--context-probe", type=int, nargs="?", const=8, metavar="N", help="write N bundles with canaries, and their key, and nothing else")
+    p.add_argument("--embedding-model", help="hashing or hashing:<dimensions>")
     return p
 
 
@@ -35,7 +40,7 @@ def settings(args: argparse.Namespace) -> job.Profile:
     dotted = lambda xs: tuple(x.lower() if x.startswith(".") else f".{x.lower()}" for x in xs) if xs else None
     return job.with_overrides(
         base, target=args.target, mode=args.mode, max_bundle_tokens=args.max_bundle_tokens, project_name=args.project_name, default_source_folder=args.source,
-        default_output_folder=args.output, include_extensions=dotted(names(args.include_extensions)), exclude_dirs=names(args.exclude_dirs),
+        default_output_folder=args.output, include_extensions=dotted(names(args.include_extensions)), exclude_dirs=names(args.exclude_dirs), embedding_model=args.embedding_model,
     ).validate()
 
 
@@ -46,14 +51,19 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         return 0
     try:
         p = settings(args)
-        if not p.default_source_folder:
+        if not p.default_source_folder and not args.appeals_db and not args.context_probe:
             raise ValueError("a source folder is needed")
     except ValueError as e:
         print(f"error: {e}", file=sys.stderr)
         return 2
     try:
         spark = spark or SparkSession.builder.appName("corpusloom").getOrCreate()
-        result = job.run(job.documents(spark, p.default_source_folder, p), p)
+        if args.context_probe:
+            probe.write(spark, p.default_output_folder, args.context_probe, p.max_bundle_tokens or probe.TOKENS)
+            return 0
+        said: list[str] = []
+        docs = job.records_of(records.sqlite_tables(spark, args.appeals_db), args.limit) if args.appeals_db else job.documents(spark, p.default_source_folder, p, said)
+        result = job.run(docs, p, said)
         result.write(p.default_output_folder)
         for said in result.warnings:
             print(f"warning: {said}")

@@ -41,6 +41,10 @@ def clean(value: Column) -> Column:
     return F.coalesce(strip(value.cast("string")), F.lit(""))
 
 
+#: How tokens are counted, as results say it.
+ESTIMATOR = "characters / 4"
+
+
 def estimate_tokens(text: Column) -> Column:
     """A token for every four code points or fewer; none for an empty text."""
     return F.shiftright(F.length(text) + 3, 2)
@@ -120,6 +124,11 @@ def category(path: Column) -> Column:
     return F.when(some(POLICY), "policy").when(p.rlike(DISASTER) | some(APPEAL), "appeal").otherwise("other")
 
 
+def path_key(path: Column) -> Column:
+    """A path as it is compared: forward slashes, none around it, lower case."""
+    return F.lower(F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), r"\A/+|/+\z", ""))
+
+
 def glob_pattern(glob: str) -> str:
     """A shell pattern (* ? [seq] [!seq]) as a regular expression over the whole lower-cased text."""
     out, i, glob = [], 0, glob.strip().lower()

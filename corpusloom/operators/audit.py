@@ -81,3 +81,14 @@ def type_counts(files: DataFrame, type_col: str, kinds: list[str]) -> DataFrame:
     order = spark.createDataFrame([(k, i) for i, k in enumerate(kinds)], f"{type_col} string, place int")
     counts = files.groupBy(type_col).agg(F.count("*").alias("n"))
     return order.join(counts, type_col, "left").select(type_col, "place", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def tier_counts(docs: DataFrame, order_col: str, category_col: str = "category") -> DataFrame:
+    """Documents by category, in the order in which the categories are first met."""
+    return docs.groupBy(category_col).agg(F.count("*").alias("documents"), F.min(order_col).alias("first_seen"))
+
+
+def folder_listing(spark, folder: str, pattern: str = "*") -> DataFrame:
+    """path, size and modification time of the files that an export wrote; names alone are read, not contents."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder)
+    return files.select("path", F.col("length").alias("size"), "modificationTime")

@@ -138,3 +138,9 @@ def summary(bundled: DataFrame, budget: int, bytes_col: str) -> DataFrame:
     total = per.agg(F.max("bundle").alias("__n"))
     named = per.join(F.broadcast(total))  # one row
     return named.select("bundle", bundle_name(F.col("bundle"), F.col("__n")).alias("name"), "doc_count", "tokens", "bytes", (F.col("tokens") > budget).alias("over_budget"))
+
+
+def rough_bundles(files: DataFrame, budget: int, order: list[str], size_col: str = "size") -> DataFrame:
+    """One row: how many bundles files of these sizes would fill, at four bytes a token."""
+    rough = files.select(*order, F.greatest(F.lit(1), F.floor(F.col(size_col) / 4)).cast("long").alias("token_estimate"))
+    return greedy(rough, budget, order).agg(F.coalesce(F.max("bundle"), F.lit(0)).cast("long").alias("bundles"))

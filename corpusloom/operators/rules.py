@@ -5,17 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import estimate_tokens, glob_pattern, matching_globs, strip
+from corpusloom.functions.text import CATEGORIES, category, estimate_tokens, glob_pattern, matching_globs, path_key, strip
 
 
 def include_paths(files: DataFrame, wanted: DataFrame, path_col: str) -> DataFrame:
     """Files whose path is among `wanted` (column path), ignoring case."""
-    keys = wanted.select(F.lower("path").alias("__k"))
-    return files.join(keys, F.lower(path_col) == F.col("__k"), "left_semi")
+    keys = wanted.select(path_key(F.col("path")).alias("__k"))
+    return files.join(keys, path_key(F.col(path_col)) == F.col("__k"), "left_semi")
 
 
 def missing_paths(files: DataFrame, wanted: DataFrame, path_col: str) -> DataFrame:
-    return wanted.join(files.select(F.lower(path_col).alias("__k")), F.lower("path") == F.col("__k"), "left_anti")
+    """The wanted paths (path, in the form in which they are compared) that no file has."""
+    keys = wanted.select(path_key(F.col("path")).alias("path")).distinct()
+    return keys.join(files.select(path_key(F.col(path_col)).alias("__k")), F.col("path") == F.col("__k"), "left_anti")
+
+
+def categories(files: DataFrame, overrides: DataFrame, path_col: str) -> DataFrame:
+    """The files with category: what an override (path, category) says, `other` if it says none that is known; without an
+    override, what the path tells. Several overrides of a path: the first by name."""
+    said = F.lower(strip(F.col("category")))
+    known = overrides.select(path_key(F.col("path")).alias("__k"), F.when(said.isin(*CATEGORIES), said).otherwise("other").alias("__c"))
+    known = known.groupBy("__k").agg(F.min("__c").alias("__c"))
+    joined = files.join(known, path_key(F.col(path_col)) == F.col("__k"), "left")
+    return joined.withColumn("category", F.coalesce("__c", category(F.col(path_col)))).drop("__k", "__c")
 
 
 def exclude_paths(files: DataFrame, globs: list[str], path_col: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import _EACH, document_id, estimate_tokens, exploded, identity_header, strip, table_cell, word_count
@@ -61,6 +61,50 @@ def overview(rows: DataFrame, bundles: DataFrame) -> DataFrame:
     return joined.select("doc_id", F.concat(F.lit("| "), F.array_join(F.array("doc_id", table_cell(F.col("source_file")), F.col("token_estimate").cast("string"), name), " | "), F.lit(" |")).alias("line"))
 
 
+def overview_tiers(rows: DataFrame, bundles: DataFrame) -> DataFrame:
+    """As overview(), with the category of the document's bundle (bundles: doc_id, bundle, category)."""
+    joined = rows.filter("status = 'ok'").join(bundles.select("doc_id", "bundle", "category"), "doc_id", "left")
+    name = F.coalesce(F.format_string("BUNDLE_%03d", "bundle"), F.lit(""))
+    cells = F.array("doc_id", table_cell(F.col("source_file")), F.coalesce("category", F.lit("-")), F.col("token_estimate").cast("string"), name)
+    return joined.select("doc_id", F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |")).alias("line"))
+
+
+#: Chunk records as they are written, one JSON object a line.
+RECORD = "chunk_id string, doc_id string, source_file string, source_path string, text string, token_estimate int, heading_path string"
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """Chunk records read back from JSON lines, with idx (from 1, by id) in their document; blank and broken lines are left out."""
+    rows = spark.read.schema(RECORD).option("mode", "DROPMALFORMED").json(path).filter("chunk_id is not null")
+    order = Window.partitionBy("doc_id").orderBy(F.length("chunk_id"), "chunk_id")
+    return rows.withColumn("idx", F.row_number().over(order))
+
+
+#: How to use an export, by target. {project}, {documents} and {parts} are filled in.
+INSTRUCTIONS = {
+    "chatgpt": "Upload the {parts} bundle files of {project} to one project. Ask it to answer from them alone and to name DOC_ID and SOURCE_FILE with each fact.",
+    "claude": "Add the {parts} bundle files of {project} as project knowledge. Have answers rest on the {documents} documents in them, quoted with DOC_ID and SOURCE_FILE.",
+    "generic": "Paste or attach the {parts} bundle files of {project}, one at a time if space is short. Each document opens with its DOC_ID, to be cited.",
+    "rag": "Load chunks_jsonl ({parts} records of {documents} documents) into the index. Keep chunk_id and doc_id with each vector; source_map leads back to the documents.",
+    "cowork": "Query the tables postings, lengths and vectors of {project} with the functions of operators/retrieval.py; {parts} chunks of {documents} documents are in them.",
+}
+#: What matters where an export goes.
+ADVICE = {
+    "claude_project": ("Few, whole files serve best: the place cuts and indexes them itself.", "Leave chunk settings alone and choose contents with care."),
+    "chatgpt_project": ("Files are cut anew on arrival, so bundles by topic serve better than chunks.", "Mind the number of files that fit."),
+    "chatgpt_enterprise": ("Files of middle size: much beyond 110,000 tokens is found by search alone.", "Split very long documents at headings and put overviews first."),
+    "self_hosted_rag": ("The chunk is what is found: cut at headings, merge scraps.", "Keep the path of headings with each chunk; search by words and vectors together."),
+}
+
+
+def instructions(target: str, project: str, documents: int, parts: int, destination: str = "") -> str:
+    """The Markdown file that tells how to use an export."""
+    lines = [f"# How to use {project or 'this export'}", "", INSTRUCTIONS[target].format(project=project or "the project", documents=documents, parts=parts)]
+    if destination in ADVICE:
+        lines += ["", "## Advice", "", *[f"- {x}" for x in ADVICE[destination]]]
+    return "\n".join(lines) + "\n"
+
+
 def rendered(header: Column, body: Column) -> Column:
     """A document as a bundle holds it."""
     return F.concat(header, F.lit("\n"), F.rtrim(body, F.lit(_EACH)), F.lit("\n"))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import json
 from dataclasses import asdict, dataclass, field, fields, replace
-from pathlib import Path
+from datetime import datetime
+from pathlib import Path, PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as T
 from corpusloom.operators import bundling, chunking, pages, retrieval, rules
 from corpusloom.plans import export
-from corpusloom.sources import files
+from corpusloom.sources import files, records
 
 #: Token budgets by target and mode: fixed values.
 MODES = ("lean", "balanced", "full", "visual_manual")
@@ -34,6 +35,14 @@ def budget(target: str, mode: str) -> int:
     return BUDGETS[target][MODES.index(mode)]
 
 
+def embedder(spec: str) -> int:
+    """The dimensions of the hashing embedder that `hashing` or `hashing:N` names; other kinds need a network and are errors."""
+    kind, _, model = (spec.strip() or "hashing").partition(":")
+    if kind.lower() == "hashing":
+        return int(model) if model.isdigit() and int(model) else 256
+    raise ValueError(f"unknown embedder {kind!r}: only 'hashing' or 'hashing:<dimensions>' is built")
+
+
 @dataclass(frozen=True)
 class Profile:
     """All settings of a job. Lists are tuples; a missing budget is the target's and mode's own."""
@@ -61,6 +70,7 @@ class Profile:
     destination: str = ""
     embedding_model: str = ""
     classify_documents: bool = False
+    included_files: tuple[str, ...] = ()
 
     def validate(self) -> Profile:
         checks = [
@@ -80,6 +90,8 @@ class Profile:
         for good, said in checks:
             if not good:
                 raise ValueError(said)
+        if self.embedding_model:
+            embedder(self.embedding_model)
         return self
 
     @property
@@ -110,22 +122,20 @@ class Profile:
         return cls(**found)
 
 
-TEMPLATES = {
-    p.profile_name: p
-    for p in (
-        Profile("Balanced project bundles"),
-        Profile("Full project bundles", target="claude", mode="full"),
-        Profile("Visual manual", target="claude", mode="visual_manual"),
-        Profile("Retrieval export", target="rag", chunk_token_budget=800),
-        Profile("Lean single chat", target="generic", mode="lean"),
-        Profile("Project A", target="claude", destination="claude_project"),
-        Profile("Project B", destination="chatgpt_project"),
-        Profile("Enterprise", mode="full", max_bundle_tokens=110_000, bundling_mode="medium", destination="chatgpt_enterprise"),
-        Profile("Policy and appeals", mode="full", max_bundle_tokens=110_000, bundling_mode="medium", destination="chatgpt_enterprise", classify_documents=True),
-        Profile("Self-hosted retrieval", target="rag", chunk_token_budget=512, chunk_strategy="headings", chunk_min_tokens=64, chunk_heading_path_mode="both", destination="self_hosted_rag"),
-        Profile("Local hybrid retrieval", target="cowork", chunk_strategy="headings", chunk_min_tokens=64, chunk_heading_path_mode="both", destination="self_hosted_rag", embedding_model="hashing"),
-    )
-}
+def _templates() -> dict[str, Profile]:
+    """A template for each target as it is, and some for common ends."""
+    plain = [Profile(f"{target} bundles", target=target) for target in BUDGETS if target not in CHUNKED]
+    ends = [
+        Profile("short chunks", target="rag", chunk_token_budget=400, chunk_strategy="headings", chunk_min_tokens=40, chunk_heading_path_mode="metadata"),
+        Profile("sentence chunks", target="rag", chunk_token_budget=256, chunk_split_sentences=True, chunk_fence_aware=True),
+        Profile("local search", target="cowork", chunk_strategy="headings", chunk_min_tokens=50, chunk_heading_path_mode="both", embedding_model="hashing"),
+        Profile("large files split at headings", target="claude", mode="full", bundling_mode="medium"),
+        Profile("by authority", target="claude", classify_documents=True),
+    ]
+    return {p.profile_name: p for p in (*plain, *ends)}
+
+
+TEMPLATES = _templates()
 
 
 def save(profile: Profile, folder: str) -> Path:
@@ -135,15 +145,26 @@ def save(profile: Profile, folder: str) -> Path:
     return path
 
 
+def delete(name: str, folder: str) -> bool:
+    """Removes the saved profiles of this name; whether there were any."""
+    gone = [path for path in Path(folder).glob("*.json") if name in saved_in(path)]
+    for path in gone:
+        path.unlink()
+    return bool(gone)
+
+
+def saved_in(path: Path) -> dict[str, Profile]:
+    """The profile of a file by its name; none if the file is broken."""
+    try:
+        p = Profile.from_json(path.read_text(encoding="utf-8")).validate()
+    except (ValueError, TypeError):
+        return {}
+    return {p.profile_name: p}
+
+
 def saved(folder: str) -> dict[str, Profile]:
     """The profiles of a folder by name, in order without regard to case; broken files are left out."""
-    found = {}
-    for path in Path(folder).glob("*.json"):
-        try:
-            p = Profile.from_json(path.read_text(encoding="utf-8")).validate()
-        except (ValueError, TypeError):
-            continue
-        found[p.profile_name] = p
+    found = {name: p for path in Path(folder).glob("*.json") for name, p in saved_in(path).items()}
     return dict(sorted(found.items(), key=lambda kv: kv[0].lower()))
 
 
@@ -157,9 +178,12 @@ class Result:
     tables: dict[str, DataFrame] = field(default_factory=dict)
     warnings: list[str] = field(default_factory=list)
     budget: int = 0
+    guide: str = ""
 
     def write(self, path: str) -> None:
-        self.manifest.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}/manifest_csv")
+        self.manifest.write.mode("overwrite").option("header", True).csv(f"{path}/manifest_csv")
+        if self.guide:
+            self.manifest.sparkSession.createDataFrame([(self.guide,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/instructions")
         self.manifest.write.mode("overwrite").json(f"{path}/manifest_json")
         if self.bundles is not None:
             export.write_bundles(self.bundles, f"{path}/bundles", self.budget)
@@ -170,11 +194,28 @@ class Result:
             df.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
-def documents(spark: SparkSession, folder: str, p: Profile) -> DataFrame:
+#: The most misses that a warning names one by one.
+NAMED = 100
+
+
+def documents(spark: SparkSession, folder: str, p: Profile, said: list[str] | None = None) -> DataFrame:
     """The folder's files, converted, in the order of their paths: place, source_file, source_path, extension, file_type,
-    body, status, notes, category."""
-    found = files.scan(spark, folder, list(p.include_extensions), files.EXCLUDED + p.exclude_dirs)
-    read = files.read_files(rules.exclude_paths(found, list(p.exclude_files), "rel_path"), spark)
+    body, status, notes, category. The output folder, if it lies in the source, is passed over. Files that are asked for but not there, and
+    patterns that match nothing, are told in `said`."""
+    said = [] if said is None else said
+    own = PurePosixPath(p.default_output_folder)
+    inside = own.parent == PurePosixPath(folder) or PurePosixPath(folder) in own.parents
+    extensions = [*p.include_extensions, *{PurePosixPath(f).suffix.lower() for f in p.included_files}]
+    found = files.scan(spark, folder, extensions, files.EXCLUDED + p.exclude_dirs + ((own.relative_to(folder).parts[0],) if inside else ()))
+    if p.included_files:
+        wanted = spark.createDataFrame([(f,) for f in p.included_files], "path string")
+        lost = rules.missing_paths(found, wanted, "rel_path").orderBy("path").limit(NAMED).collect()
+        said += [f"included file was not found: {r['path']}" for r in lost]
+        found = rules.include_paths(found, wanted, "rel_path")
+    globs = [g.strip() for g in p.exclude_files if g.strip()]
+    if globs:
+        said += [f"exclusion pattern matched no files: {r['pattern']!r}" for r in rules.glob_hits(found, globs, "rel_path").filter("hits = 0").collect()]
+    read = files.read_files(rules.exclude_paths(found, globs, "rel_path"), spark)
     rows = export.places(read.withColumn("__o", F.lower("rel_path")).drop("content"), ["__o"])
     rows = rows.select(
         "place", F.regexp_extract("rel_path", r"([^/]*)\z", 1).alias("source_file"), F.col("rel_path").alias("source_path"), F.col("ext").alias("extension"), "file_type",
@@ -185,30 +226,66 @@ def documents(spark: SparkSession, folder: str, p: Profile) -> DataFrame:
     return rows.join(repaired, "place", "left").withColumn("body", F.coalesce("__b", "body")).drop("__b")
 
 
-def run(docs: DataFrame, p: Profile) -> Result:
-    """The job over documents (as documents() or the record source gives them)."""
+def records_of(tables: dict[str, DataFrame], limit: int | None = None) -> DataFrame:
+    """The documents of a case database, as run() takes them: numbered in the order of final_id."""
+    return export.places(records.documents(tables, limit), ["final_id"])
+
+
+def run(docs: DataFrame, p: Profile, said: list[str] | None = None, overrides: DataFrame | None = None, selected: DataFrame | None = None) -> Result:
+    """The job over documents (as documents() or records_of() gives them). `said`: warnings so far. `overrides` (path, category)
+    decide on categories. `selected` (doc_id, idx): the chunks to keep of the documents that it names."""
     p.validate()
+    said = [*(said or []), *p.warnings()]
+    if overrides is not None:
+        docs = rules.categories(docs.drop("category"), overrides, "source_path")
     manifest = export.manifest(docs)
     good = docs.filter("status = 'ok'").withColumn("doc_id", T.document_id(F.col("place")))
-    if p.chunk_exclude_headings:
+    if p.chunk_exclude_headings or selected is not None:
         cut = chunking.chunk_documents(good.select("doc_id", F.col("body").alias("text")), p.settings)
-        kept = rules.apply_heading_rules(cut, list(p.chunk_exclude_headings)).filter("status = 'ok'").select("doc_id", F.col("body").alias("__b"))
-        good = good.join(kept, "doc_id").withColumn("body", F.col("__b")).drop("__b")
+        rebuilt = rules.apply_heading_rules(cut, list(p.chunk_exclude_headings))
+        if selected is not None:  # a document with a selection goes by that alone
+            named = selected.select("doc_id").distinct()
+            rebuilt = rebuilt.join(named, "doc_id", "left_anti").unionByName(rules.apply_selection(cut.join(named, "doc_id", "left_semi"), selected))
+        rebuilt = rebuilt.select("doc_id", F.col("body").alias("__b"), F.col("status").alias("__s"), F.col("note").alias("__n"))
+        manifest = manifest.join(rebuilt.drop("__b"), "doc_id", "left").withColumn("status", F.coalesce("__s", "status"))
+        manifest = manifest.withColumn("notes", F.trim(F.concat_ws(" ", "notes", "__n"))).drop("__s", "__n")
+        good = good.join(rebuilt.filter("__s = 'ok'").drop("__s", "__n"), "doc_id").withColumn("body", F.col("__b")).drop("__b")
     if p.target in CHUNKED:
-        records = export.chunk_records(good, p.settings, p.chunk_overlap_tokens, p.chunk_heading_path_mode)
+        chunks = export.chunk_records(good, p.settings, p.chunk_overlap_tokens, p.chunk_heading_path_mode)
         tables = {}
         if p.target == "cowork":
-            tables = {"postings": retrieval.postings(records, "chunk_id", "text", "source_file"), "lengths": retrieval.lengths(records, "chunk_id", "text", "source_file"), "vectors": retrieval.hash_embedding(records, "chunk_id", "text")}
-        return Result(manifest, records=records, tables=tables, warnings=p.warnings())
+            tables = {
+                "postings": retrieval.postings(chunks, "chunk_id", "text", "source_file"), "lengths": retrieval.lengths(chunks, "chunk_id", "text", "source_file"),
+                "vectors": retrieval.hash_embedding(chunks, "chunk_id", "text", embedder(p.embedding_model)),
+            }
+        guide = export.instructions(p.target, p.project_name, good.count(), chunks.count(), p.destination)
+        return Result(manifest, records=chunks, tables=tables, warnings=said, guide=guide)
     header = T.identity_header(F.col("doc_id"), F.col("source_file"), F.col("source_path"), F.col("extension"))
     sized = good.withColumn("token_estimate", T.estimate_tokens(F.concat(header, F.lit("\n"), F.col("body")))).withColumn("part", F.lit(0))
     order = ["place", "part"]
     if p.bundling_mode == "medium":
-        sized = bundling.split_at_headings(sized.drop("part"), p.budget, p.chunk_heading_level)
+        sized = bundling.stored(bundling.split_at_headings(sized.drop("part"), p.budget, p.chunk_heading_level))
+        whole = sized.filter((F.col("part") == 0) & (F.col("token_estimate") > p.budget)).select("doc_id", "source_file").orderBy("doc_id").limit(NAMED).collect()
+        said += [f"{r['doc_id']} ({r['source_file']}) is over the budget and has no headings to split at; kept whole" for r in whole]
     packed = bundling.tiered(sized, p.budget, order) if p.classify_documents else bundling.greedy(sized, p.budget, order)
     bundles = packed.withColumn("markdown", export.rendered(T.identity_header(F.col("doc_id"), F.col("source_file"), F.col("source_path"), F.col("extension")), F.col("body")))
     where = packed.groupBy("place").agg(F.min("bundle").alias("bundle")).select(T.document_id(F.col("place")).alias("doc_id"), "bundle")
-    return Result(manifest.join(where, "doc_id", "left"), bundles=bundles, warnings=p.warnings(), budget=p.budget)
+    if p.bundling_mode == "medium":  # the parts of a split document stand in its place
+        parts = sized.filter("part > 0")
+        texts = parts.select(
+            "doc_id", "source_file", "source_path", F.col("extension").alias("original_extension"), "file_type", F.lit("ok").alias("status"), "token_estimate", F.length("body").alias("char_count"), T.word_count(F.col("body")).alias("word_count"), "notes"
+        )
+        split = parts.select(T.document_id(F.col("place")).alias("doc_id")).distinct()
+        manifest = manifest.join(split, "doc_id", "left_anti").unionByName(texts)
+        where = packed.select("doc_id", "bundle")
+    guide = export.instructions(p.target, p.project_name, good.count(), packed.agg(F.max("bundle")).first()[0] or 0, p.destination)
+    return Result(manifest.join(where, "doc_id", "left"), bundles=bundles, warnings=said, budget=p.budget, guide=guide)
+
+
+def folder_name(p: Profile, at: datetime) -> str:
+    """The name of an export's folder: project, target, mode and time."""
+    name = "_".join(x for x in (p.project_name or "export", p.target, p.mode, at.strftime("%Y%m%d_%H%M%S")) if x)
+    return "".join(c if c.isalnum() or c in "-_." else "_" for c in name)
 
 
 def with_overrides(p: Profile, **given) -> Profile:

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from corpusloom.functions.text import canary_code
 
 FILLER = "The reviewer recorded the scope of the work and the office kept the papers for the next review of the case. "
+TOKENS = 110_000
 DEPTHS = (10, 30, 50, 70, 90, 110, 150)
 
 
-def bundles(spark: SparkSession, n: int = 8, tokens: int = 110_000) -> DataFrame:
+def bundles(spark: SparkSession, n: int = 8, tokens: int = TOKENS) -> DataFrame:
     """place, code, location, text: a file of about `tokens` tokens for each place with a canary in its middle."""
     half = F.expr(f"rtrim(repeat('{FILLER}', {max(1, tokens // 2 // ((len(FILLER) + 3) // 4))}))")
     rows = spark.range(1, n + 1).withColumnRenamed("id", "place").withColumn("code", canary_code(F.col("place")))
@@ -24,3 +25,15 @@ def depths(spark: SparkSession) -> DataFrame:
     """percent and code of the canaries at growing depths of one file."""
     rows = spark.createDataFrame([(x,) for x in DEPTHS], "percent int")
     return rows.withColumn("code", canary_code(F.col("percent") + 1000))
+
+
+def key(rows: DataFrame) -> DataFrame:
+    """The answers that a reader who has seen a file must give: place, location, code."""
+    return rows.select("place", "location", F.concat("code", F.lit("-CONFIRMED")).alias("answer"))
+
+
+def write(spark: SparkSession, folder: str, n: int = 8, tokens: int = TOKENS) -> None:
+    """The files of bundles(), a folder for each place, and their key as CSV."""
+    rows = bundles(spark, n, tokens)
+    rows.select("place", F.col("text").alias("value")).write.mode("overwrite").partitionBy("place").text(f"{folder}/probe")
+    key(rows).orderBy("place").write.mode("overwrite").option("header", True).csv(f"{folder}/probe_key")

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.text import file_type
 
+#: Folders and files that a scan passes over: fixed values.
 EXCLUDED = (".git", "__pycache__", "node_modules", ".venv", "venv", "dist", "build", ".DS_Store")
 PREVIEW_ROWS = 25
 
@@ -51,16 +52,35 @@ class _Html(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.blocks, self.line, self.skip, self.prefix, self.images, self.cells = [], [], [], "", [], None
+        self.marks = []
 
     def flush(self):
         text = " ".join("".join(self.line).split())
         if text:
             self.blocks.append(self.prefix + text)
-        self.line, self.prefix = [], ""
+        self.line, self.prefix, self.marks = [], "", []
+
+    def marked(self, tag):
+        """Emphasis and links: the text since the opening tag gets its marks, if there is any."""
+        while self.marks:
+            name, href, at = self.marks.pop()
+            if name == tag:
+                text = "".join(self.line[at:])
+                inner = " ".join(text.split())
+                mark = {"b": "**", "strong": "**", "i": "*", "em": "*"}.get(tag, "")
+                done = f"[{inner}]({href})" if tag == "a" and href else f"{mark}{inner}{mark}"
+                if inner:
+                    self.line[at:] = [text[: len(text) - len(text.lstrip())], done, text[len(text.rstrip()) :]]
+                return
 
     def handle_starttag(self, tag, attrs):
         if tag in self.SKIPPED:
             self.skip.append(tag)
+        elif self.skip and tag in ("h1", "main", "article", "body"):  # what was left open ends here
+            self.skip.clear()
+            self.handle_starttag(tag, attrs)
+        elif tag in ("b", "strong", "i", "em", "a") and not self.skip:
+            self.marks.append((tag, dict(attrs).get("href") or "", len(self.line)))
         elif tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
             self.flush()
             self.prefix = "#" * int(tag[1]) + " "
@@ -78,7 +98,9 @@ class _Html(HTMLParser):
             self.line.append(f" ![{dict(attrs).get('alt') or ''}]({src}) ")
 
     def handle_endtag(self, tag):
-        if tag in self.skip:
+        if tag in ("b", "strong", "i", "em", "a"):
+            self.marked(tag)
+        elif tag in self.skip:
             while self.skip and self.skip.pop() != tag:
                 pass
         elif tag in ("td", "th") and self.cells is not None:

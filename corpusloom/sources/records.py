@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import clean, normalize_newlines, strip
+from corpusloom.functions.text import clean, normalize_newlines, safe_filename, strip
 
 MOST_CITATIONS = 40
 
@@ -44,3 +44,102 @@ def render(title: Column, overview: list[tuple[str, Column]], cited: Column, sec
 def metadata(fields: dict[str, Column]) -> Column:
     """The filled fields as a map."""
     return F.map_filter(F.create_map(*[x for k, v in fields.items() for x in (F.lit(k), clean(v))]), lambda _, v: v != "")
+
+
+#: The overview's fields with the columns they come from, and the sections in their order: fixed values.
+FIELDS = (
+    ("Appellant", "final_appellant"), ("Recipient", "final_recipient"), ("PA ID", "final_pa_id"), ("URL", "source_url"), ("Source PDF", "pdf_name"), ("Disaster", "disaster"),
+    ("Decision signed", "final_decision_signed_date"), ("Declaration date", "final_declaration_date"), ("Region", "final_region"), ("Status", "final_status"),
+    ("PW / GMP", "final_pw_gmp_compact"), ("GMP number", "final_gmp_number"), ("PW number", "final_pw_number"), ("FEMA source key", "html_doc_key"),
+)
+SECTIONS = (
+    ("Summary", "final_summary_text"), ("Analysis", "final_analysis_text"), ("Conclusion", "final_conclusion_text"), ("Decision Letter", "final_letter_text"),
+    ("Headnotes", "final_headnotes_text"), ("Authorities", "final_authorities_text"), ("Footnotes", "final_footnotes_text"),
+)
+METADATA = (
+    ("appellant", "final_appellant"), ("recipient", "final_recipient"), ("pa_id", "final_pa_id"), ("decision_date", "final_decision_signed_date"), ("region", "final_region"), ("status", "final_status"),
+    ("url", "source_url"), ("pdf_filename", "pdf_name"), ("source_key", "html_doc_key"),
+)
+MAIN, PAGES, LINKS, FILES, CITED, LABELS = "final_appeal_authority", "src_html_appeal", "link_html_filename", "src_filename_pdf", "document_citation", "citation_reference"
+
+
+def probed(tables: dict[str, DataFrame], name: str, *columns: str) -> DataFrame | None:
+    """A table with these columns, those it lacks as nulls; None where there is no such table."""
+    df = tables.get(name)
+    return None if df is None else df.select(*[F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in columns])
+
+
+def documents(tables: dict[str, DataFrame], limit: int | None = None) -> DataFrame:
+    """Case records as documents, in the order of final_id: place, final_id, source_file, source_path, extension, file_type,
+    body, status, notes, category, title and metadata (a map). All tables but MAIN may be absent, and so may columns.
+
+    A record without an id cannot be ordered and is failed. Titles: title, appellant, recipient, else the id. The tables
+    are joined by their keys; citations and file names are aggregated before they are joined."""
+    if MAIN not in tables:
+        raise ValueError(f"no table {MAIN}: not a database of case records")
+    columns = ["final_id", "html_id", "final_title", "final_disaster_number_raw", "final_disaster_number_norm", "final_body_text"]
+    columns += [c for _, c in (*FIELDS, *SECTIONS) if c.startswith("final_")]
+    rows = probed(tables, MAIN, *columns)
+    if limit is not None:
+        rows = rows.orderBy("final_id").limit(limit)
+    pages = probed(tables, PAGES, "html_id", "html_doc_key", "source_url")
+    rows = rows.join(pages, "html_id", "left") if pages is not None else rows.withColumns({c: F.lit(None).cast("string") for c in ("html_doc_key", "source_url")})
+    links, names = probed(tables, LINKS, "html_id", "filename_id"), probed(tables, FILES, "filename_id", "name")
+    files = first_names(links, names, "html_id", "filename_id", "name").withColumnRenamed("name", "pdf_name") if links is not None and names is not None else None
+    rows = rows.join(files, "html_id", "left") if files is not None else rows.withColumn("pdf_name", F.lit(None).cast("string"))
+    cited, labels = probed(tables, CITED, "parent_doc_key", "citation_id"), probed(tables, LABELS, "citation_id", "canonical_label")
+    if cited is not None and labels is not None:
+        lists = citations(cited.join(labels, "citation_id"), "parent_doc_key", "canonical_label")
+        rows = rows.join(lists, clean(F.col("html_doc_key")) == F.col("parent_doc_key"), "left").drop("parent_doc_key")
+    else:
+        rows = rows.withColumn("citations", F.lit(None).cast("array<string>"))
+    norm = F.col("final_disaster_number_norm")
+    rows = rows.withColumn("disaster", F.concat_ws(" ", first_filled(F.col("final_disaster_number_raw")), F.when(clean(norm) != "", F.concat(F.lit("(norm "), clean(norm), F.lit(")")))))
+    number = F.col("final_id").cast("string")
+    rows = rows.withColumn("title", F.coalesce(first_filled(F.col("final_title"), F.col("final_appellant"), F.col("final_recipient")), F.concat(F.lit("Appeal "), number)))
+    body = render(F.col("title"), [(k, F.col(c)) for k, c in FIELDS], F.col("citations"), [(k, F.col(c)) for k, c in SECTIONS], F.col("final_body_text"))
+    said = {k: F.col(c) for k, c in METADATA} | {"title": F.col("title"), "final_id": number, "disaster_number": first_filled(norm, F.col("final_disaster_number_raw")), "citations": F.array_join("citations", "; ")}
+    name = F.concat(safe_filename(F.concat(F.lit("appeal_"), number, F.lit("_"), F.col("title")), 100), F.lit(".md"))
+    good = F.col("final_id").isNotNull()
+    return rows.select(
+        "final_id", F.when(good, name).otherwise("appeal_unknown.md").alias("source_file"), F.when(good, F.concat(F.lit("appeals/"), name)).otherwise("appeals/appeal_unknown.md").alias("source_path"),
+        F.lit(".md").alias("extension"), F.lit("appeal").alias("file_type"), F.when(good, body).otherwise("").alias("body"), F.when(good, "ok").otherwise("failed").alias("status"),
+        F.when(good, F.concat(F.lit("final_appeal_authority.final_id="), number)).otherwise("a record without an id").alias("notes"), F.lit("appeal").alias("category"), "title", metadata(said).alias("metadata"),
+    )
+
+
+def sqlite_tables(spark: SparkSession, path: str, rows_a_task: int = 50_000) -> dict[str, DataFrame]:
+    """The tables of a SQLite file that record sources use, as strings (ids as numbers), read in tasks by ranges of rowid. The
+    path must be one that every machine sees; the driver reads names, columns and the largest rowid."""
+    import sqlite3
+
+    out = {}
+    with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as con:
+        for (name,) in con.execute("select name from sqlite_master where type = 'table'").fetchall():
+            if name not in (MAIN, PAGES, LINKS, FILES, CITED, LABELS):
+                continue
+            columns = [r[1] for r in con.execute(f'pragma table_info("{name}")')]
+            last = con.execute(f'select max(rowid) from "{name}"').fetchone()[0] or 0
+            out[name] = _sqlite_table(spark, path, name, columns, last, rows_a_task)
+    return out
+
+
+def _sqlite_table(spark: SparkSession, path: str, name: str, columns: list[str], last: int, step: int) -> DataFrame:
+    numbers = ("final_id", "html_id", "filename_id", "citation_id")
+    shape = ", ".join(f"`{c}` {'long' if c in numbers else 'string'}" for c in columns)
+    listed = ", ".join(f'"{c}"' if c in numbers else f'cast("{c}" as text)' for c in columns)
+
+    def read(batches):
+        import sqlite3
+
+        import pandas as pd
+
+        with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as con:
+            for b in batches:
+                for k in b["id"].tolist():
+                    rows = con.execute(f'select {listed} from "{name}" where rowid > ? and rowid <= ?', (k * step, (k + 1) * step)).fetchall()
+                    frame = pd.DataFrame(rows, columns=columns, dtype=object)
+                    yield frame.astype({c: "Int64" for c in columns if c in numbers})
+
+    tasks = max(1, -(-last // step))
+    return spark.range(0, tasks, 1, tasks).mapInPandas(read, shape)

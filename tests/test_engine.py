@@ -4,17 +4,19 @@ import fnmatch
 import json
 import math
 import random
+import sqlite3
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from corpusloom import cli
 from corpusloom.functions import text as T
-from corpusloom.operators import bundling, retrieval
+from corpusloom.operators import audit, bundling, retrieval, rules
 from corpusloom.operators.chunking import Settings
 from corpusloom.operators.pages import restructure
 from corpusloom.plans import export, job, probe
-from corpusloom.sources import files
+from corpusloom.sources import files, records
 from corpusloom.streaming import ingest
 
 
@@ -122,6 +124,11 @@ def folder(tmp_path_factory):
     return str(root)
 
 
+def test_html_marks():
+    assert files.html_text("<nav>menu<h1>Top</h1><p>see <a href='u'>the <b>site</b></a> <i></i>and <em>more</em></p>") == "# Top\n\nsee [the **site**](u) and *more*"
+    assert files.html_text("<head><title>x<body><p>in</p>") == "in"
+
+
 def test_scan(spark, folder):
     got = {r["rel_path"]: r["file_type"] for r in files.scan(spark, folder, [".md", ".txt", ".html"]).collect()}
     assert got == {"notes/a.md": "text", "_b.txt": "text", ".c.md": "text", "e.exe": "unsupported", "manual.html": "html"}
@@ -133,7 +140,7 @@ def test_job(spark, folder, tmp_path):
     assert rows["e.exe"]["status"] == "skipped" and rows["manual.html"]["status"] == "ok" and rows["d.csv"]["doc_id"] == "DOC_0003"
     text = "".join(r["value"] for r in spark.read.text(str(tmp_path / "out/bundles"), wholetext=True).collect())
     assert text.index("plain") < text.index("## H\n") < text.index("# A")
-    assert cli.main([folder, "--profile", "Local hybrid retrieval", "--output", str(tmp_path / "rag")], spark) == 0
+    assert cli.main([folder, "--profile", "local search", "--output", str(tmp_path / "rag")], spark) == 0
     lines = [json.loads(r["value"]) for r in spark.read.text(str(tmp_path / "rag/chunks_jsonl")).collect()]
     assert {x["doc_id"] for x in lines} == {"DOC_0001", "DOC_0002", "DOC_0003", "DOC_0005", "DOC_0006"}
     assert spark.read.parquet(str(tmp_path / "rag/vectors")).count() > 0
@@ -150,7 +157,12 @@ def test_profiles(tmp_path):
         with pytest.raises(ValueError):
             job.Profile("x", **bad).validate()
     assert job.budget("rag", "full") == 50_000 and job.Profile("x", target="rag", chunk_token_budget=10, chunk_overlap_tokens=10).warnings()
-    assert len(job.TEMPLATES) == 11 and all(p.validate() for p in job.TEMPLATES.values())
+    assert {p.target for p in job.TEMPLATES.values()} == set(job.BUDGETS) and all(p.validate() for p in job.TEMPLATES.values())
+    assert job.delete("My Own", str(tmp_path)) and not job.delete("My Own", str(tmp_path)) and job.saved(str(tmp_path)) == {}
+    assert job.embedder("") == 256 and job.embedder("hashing:64") == 64
+    with pytest.raises(ValueError, match="voyage"):
+        job.Profile("x", embedding_model="voyage:voyage-3").validate()
+    assert job.folder_name(job.Profile("x", project_name="a b"), datetime(2024, 1, 2, 3, 4, 5)) == "a_b_chatgpt_balanced_20240102_030405"
 
 
 def test_probe(spark):
@@ -231,3 +243,65 @@ def test_hybrid_and_chunk(spark):
     assert len(both) == 79 and math.isclose(both[1], round(1 / 61 + 1 / 139, 9)) and math.isclose(both[79], round(1 / 61, 9))
     chunks = spark.createDataFrame([(f"d__c{i}", "d", i) for i in range(5)], "chunk_id string, doc_id string, idx int")
     assert [r["idx"] for r in retrieval.chunk(chunks, "d__c2", 1).collect()] == [1, 2, 3] and retrieval.chunk(chunks, "zz").count() == 0
+
+
+def test_job_rules(spark, tmp_path):
+    root = tmp_path / "in"
+    for name, content in {"a.md": "# Keep\n\nbody\n\n# Drop me\n\ngone", "b.md": "# Drop it\n\nall gone", "sub/c.md": "## X\n\n" + "word " * 900 + "\n\n## Y\n\n" + "term " * 900, "out/old.md": "old", "d.md": "word " * 3000}.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(content)
+    p = job.Profile("x", default_output_folder=str(root / "out"), exclude_files=("*.none",), included_files=("A.md", "b.md", "sub\\c.md", "zz.md", "d.md"), chunk_exclude_headings=("drop*",), chunk_strategy="headings", chunk_heading_level=1, bundling_mode="medium", max_bundle_tokens=1500)
+    said = []
+    docs = job.documents(spark, str(root), p, said)
+    assert said == ["included file was not found: zz.md", "exclusion pattern matched no files: '*.none'"]
+    p = job.with_overrides(p, chunk_heading_level=2)
+    result = job.run(docs, p, said)
+    rows = {r["doc_id"]: r for r in result.manifest.collect()}
+    assert rows["DOC_0002"]["status"] == "skipped" and rows["DOC_0001"]["status"] == "ok" and "out/old.md" not in {r["source_path"] for r in rows.values()}
+    assert {"DOC_0004_p01", "DOC_0004_p02"} <= set(rows) and "DOC_0004" not in rows and rows["DOC_0004_p02"]["bundle"]
+    assert any("DOC_0003" in w and "no headings" in w for w in result.warnings)
+    picked = spark.createDataFrame([("DOC_0001", 2)], "doc_id string, idx int")
+    assert "gone" in job.run(docs, p, selected=picked).bundles.filter("doc_id = 'DOC_0001'").first()["body"]
+    over = spark.createDataFrame([("/B.md", " Policy "), ("a.md", "nonsense")], "path string, category string")
+    assert {r["source_file"]: r["category"] for r in rules.categories(docs.drop("category"), over, "source_path").collect()} == {"a.md": "other", "b.md": "policy", "c.md": "other", "d.md": "other"}
+    tiers = audit.tier_counts(docs.withColumn("category", F.when(F.col("place") < 3, "b").otherwise("a")), "place").orderBy("first_seen").collect()
+    assert [(r["category"], r["documents"]) for r in tiers] == [("b", 2), ("a", 2)]
+    assert bundling.rough_bundles(spark.createDataFrame([(k, 400) for k in range(10)], "k int, size long"), 250, ["k"]).first()["bundles"] == 5
+    result.write(str(tmp_path / "o"))
+    assert spark.read.text(str(tmp_path / "o/instructions"), wholetext=True).first()[0].startswith("# How to use")
+    assert audit.folder_listing(spark, str(tmp_path / "o")).count() > 3
+
+
+def test_records_read_back(spark, tmp_path):
+    (tmp_path / "c.jsonl").write_text('{"chunk_id": "D__c002", "doc_id": "D", "text": "b"}\n\nbroken\n{"chunk_id": "D__c001", "doc_id": "D", "text": "a"}\n')
+    assert [(r["idx"], r["text"]) for r in export.read_records(spark, str(tmp_path / "c.jsonl")).orderBy("idx").collect()] == [(1, "a"), (2, "b")]
+    assert all(len(export.instructions(t, "p", 3, 4, "claude_project")) > 80 for t in job.BUDGETS)
+
+
+def test_case_records(spark, tmp_path):
+    path = tmp_path / "cases.sqlite3"
+    columns = ["final_id", "html_id", *[c for _, c in (*records.FIELDS, *records.SECTIONS) if c.startswith("final_")], "final_title", "final_disaster_number_raw", "final_disaster_number_norm", "final_body_text"]
+    with sqlite3.connect(path) as con:
+        con.execute(f"create table final_appeal_authority ({', '.join(columns)})")
+        row = dict.fromkeys(columns)
+        for extra in ({"final_id": 2, "html_id": 7, "final_title": " T ", "final_disaster_number_raw": "FEMA-1-DR", "final_disaster_number_norm": "1", "final_analysis_text": "why"}, {"final_id": 1, "final_recipient": "R", "final_body_text": "text"}, {"final_id": 3}):
+            con.execute(f"insert into final_appeal_authority values ({', '.join('?' * len(columns))})", list((row | extra).values()))
+        con.execute("create table src_html_appeal (html_id, html_doc_key)")
+        con.execute("insert into src_html_appeal values (7, 'k')")
+        con.execute("create table document_citation (parent_doc_key, citation_id)")
+        con.execute("create table citation_reference (citation_id, canonical_label)")
+        for k in range(43):
+            con.execute("insert into citation_reference values (?, ?)", (k, f"L{k:02}"))
+            con.executemany("insert into document_citation values ('k', ?)", [(k,)] * (2 if k == 42 else 1))
+    tables = records.sqlite_tables(spark, str(path), 2)
+    got = {r["final_id"]: r for r in job.records_of(tables).collect()}
+    assert [got[k]["place"] for k in (1, 2, 3)] == [1, 2, 3] and got[2]["source_file"] == "appeal_2_T.md"
+    cited = "; ".join(["L42", *[f"L{k:02}" for k in range(39)]])
+    assert got[2]["body"] == f"# T\n\n## Appeal Overview\n\n- **Disaster:** FEMA-1-DR (norm 1)\n- **FEMA source key:** k\n- **Cited authorities:** {cited} (+3 more)\n\n## Analysis\n\nwhy\n"
+    assert got[1]["body"] == "# R\n\n## Appeal Overview\n\n- **Recipient:** R\n- **Cited authorities:** none extracted\n\n## Decision\n\ntext\n"
+    assert got[3]["title"] == "Appeal 3" and got[2]["metadata"]["disaster_number"] == "1" and job.records_of(tables, 1).count() == 1
+    assert cli.main(["--appeals-db", str(path), "--target", "rag", "--output", str(tmp_path / "o")], spark) == 0
+    assert cli.main(["--context-probe", "2", "--max-bundle-tokens", "100", "--output", str(tmp_path / "p")], spark) == 0
+    assert spark.read.option("header", True).csv(str(tmp_path / "p/probe_key")).count() == 2
+    with pytest.raises(ValueError, match="final_appeal_authority"):
+        records.documents({})
