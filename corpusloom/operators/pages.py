@@ -9,20 +9,21 @@ from corpusloom.functions.text import HS, WS, exploded, let, strip, word_count
 
 #: What repeats on this share of the pages (two at least, of four pages or more) is a running header, if it is short.
 SHARE, LONGEST, LEAST_PAGES = 0.35, 60, 4
-_PAGE = rf"(?mid)^##{HS}+Page{HS}+\d+{HS}*$"
+_PAGE = rf"(?mid)^##{HS}+Page{HS}+\d+{HS}*$\n?"
 _NUMBER = r"\A\d{1,4}\z"
 
 
 def pages(text: Column) -> Column:
-    """The texts after each page marker; what comes before the first is left out."""
-    parts = F.split(text, _PAGE)
-    return F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
+    """The lines after each page marker; what comes before the first is left out, and so is a last page without lines."""
+    lines = lambda p: F.when(p == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(p, r"\n\z", ""), "\n"))
+    after = lambda parts: F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1 - (F.element_at(parts, -1) == "").cast("int"), F.lit(0)))
+    return F.transform(let(F.split(text, _PAGE), after), lines)
 
 
 def running(text: Column) -> Column:
     """The short lines that are on many pages of a text. Within the row: each page's distinct lines are sorted together, so a
     line is on so many pages if it still stands that many places on."""
-    lines = lambda p: F.filter(F.array_distinct(F.transform(F.split(p, "\n"), strip)), lambda x: (F.length(x) > 0) & (F.length(x) <= LONGEST) & ~x.rlike(_NUMBER))
+    lines = lambda p: F.filter(F.array_distinct(F.transform(p, strip)), lambda x: (F.length(x) > 0) & (F.length(x) <= LONGEST) & ~x.rlike(_NUMBER))
 
     def of_pages(p: Column) -> Column:
         most = F.greatest(F.lit(2), F.floor(F.size(p) * SHARE).cast("int"))
@@ -50,7 +51,7 @@ def restructure(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id and text: without running headers and page numbers, headings and bullets marked, wrapped lines joined into
     paragraphs. A text without page markers is unchanged."""
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), running(F.col(text_col)).alias("running"))
-    d = d.withColumn("lines", F.transform(F.flatten(F.transform(pages(F.col("t")), lambda p: F.split(p, "\n"))), strip))
+    d = d.withColumn("lines", F.transform(F.flatten(pages(F.col("t"))), strip))
     kept = F.filter("lines", lambda x: ~F.array_contains("running", x) & ~x.rlike(_NUMBER))
     alone = lambda x: x.startswith("#") | F.ltrim(x).startswith("- ")
     # Headings and list items stand alone: blank lines on both sides; then blank lines part the blocks.

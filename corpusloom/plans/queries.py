@@ -398,7 +398,14 @@ def bundle_tiered(s, d):
     return bundling.tiered(m, 4000, ["doc_id"]).select("doc_id", "category", "bundle")
 
 
-@query()
+@query(_sql_headed(2000, LEVEL) + f""", mm as (select *, substr(doc_id, 5)::int - 1 as k from ({_SQL_MANIFEST})), cnt as (select doc_id as k, count(*) as n from chunks group by doc_id),
+named as (select mm.*, n, idx, txt, mm.doc_id || '_p' || lpad(idx::varchar, 2, '0') as pid from mm join cnt using (k) join chunks on chunks.doc_id = k where n > 1 and token_estimate > 2000),
+parts as (select doc_id, 0 as part, notes, token_estimate::bigint as t from mm left join cnt using (k) where token_estimate <= 2000 or coalesce(n, 0) <= 1
+ union all select pid, idx, 'Part ' || idx || ' of ' || n || ' (medium heading split)', {_est(f"('---' || {_NL} || 'DOC_ID: ' || pid || {_NL} || 'SOURCE_FILE: ' || source_file || {_NL} || 'SOURCE_PATH: ' || source_path || {_NL} || 'ORIGINAL_EXTENSION: ' || original_extension || {_NL} || '---' || {_NL} || {_NL} || txt)")} from named),
+o as (select *, row_number() over (order by doc_id) as o from parts),
+g as (select o, t as s, 1::bigint as bundle from o where o = 1
+ union all select o.o, case when g.s + o.t <= 2000 then g.s + o.t else o.t end, case when g.s + o.t <= 2000 then g.bundle else g.bundle + 1 end from g join o on o.o = g.o + 1)
+select doc_id, part::int as part, notes, t::int as token_estimate, bundle from o join g using (o)""")
 def bundle_medium(s, d, md=markdown):
     m = _manifest(s, d)
     full = export.manifest(m).join(m.select(T.document_id(F.col("place")).alias("doc_id"), md(F.col("body")).alias("body"), "extension"), "doc_id")
@@ -450,6 +457,68 @@ def record_metadata(s, d):
     return _records(s, d).select("o_orderkey", F.explode(m))
 
 
+#: Orders, customers and parts as a case database: in words that Spark and DuckDB both read. Columns that are left out are absent.
+_CASES = {
+    records.MAIN: ("orders", """o_orderkey as final_id, o_custkey as html_id, case when o_orderkey % 4 = 0 then concat('Case ', o_orderkey) end as final_title, case when o_orderkey % 4 = 1 then concat(' Appellant ', o_custkey, ' ') end as final_appellant,
+ case when o_orderkey % 4 = 2 then concat('Recipient ', o_custkey) end as final_recipient, concat('PA', o_custkey % 7) as final_pa_id, case when o_orderkey % 2 = 0 then concat('FEMA-', o_custkey) end as final_disaster_number_raw,
+ case when o_orderkey % 5 < 3 then concat('', o_custkey) end as final_disaster_number_norm, concat('', cast(o_orderdate as date)) as final_decision_signed_date, o_orderstatus as final_status, case when o_orderkey % 3 = 1 then concat('', o_orderkey) end as final_pw_number,
+ case when o_orderkey % 3 > 0 then o_orderpriority end as final_summary_text, case when o_orderkey % 6 = 1 then concat('head ', o_orderpriority) end as final_headnotes_text, case when o_orderkey % 9 <> 0 then concat('body ', o_orderpriority) end as final_body_text"""),
+    records.PAGES: ("customer", "c_custkey as html_id, c_name as html_doc_key, case when c_custkey % 2 = 0 then concat('http://x/', c_custkey) end as source_url"),
+    records.LINKS: ("lineitem", "l_suppkey as html_id, l_partkey as filename_id"),
+    records.FILES: ("part", "p_partkey as filename_id, p_name as name"),
+    records.LABELS: ("part", "p_partkey as citation_id, concat(p_name, ' ', p_partkey % 60) as canonical_label"),
+}
+
+
+def _sql_field(label: str, value: str) -> str:
+    return f"case when trim({value}) <> '' then '- **{label}:** ' || trim({value}) end"
+
+
+def _sql_part(label: str, value: str) -> str:
+    return f"case when {value} <> '' then {_NL} || '## {label}' || {_NL} || {_NL} || {value} end"
+
+
+_SQL_CASES = f"""with {", ".join(f"{name} as (select {columns} from {t})" for name, (t, columns) in _CASES.items())},
+files as (select html_id, min(name) as pdf from {records.LINKS} join {records.FILES} using (filename_id) group by html_id),
+n as (select c_name as k, canonical_label as label, count(*) as n from orders join customer on c_custkey = o_custkey join lineitem on l_orderkey = o_orderkey join {records.LABELS} on citation_id = l_partkey group by all),
+cited as (select k, list(label order by n desc, label) as ls from n group by k),
+r as (select m.*, html_doc_key, source_url, pdf, ls, coalesce(nullif(trim(final_title), ''), nullif(trim(final_appellant), ''), nullif(trim(final_recipient), ''), 'Appeal ' || final_id) as title,
+  concat_ws(' ', final_disaster_number_raw, '(norm ' || final_disaster_number_norm || ')') as disaster from {records.MAIN} m left join {records.PAGES} using (html_id) left join files using (html_id) left join cited on k = html_doc_key),
+w as (select *, concat_ws({_NL}, {_sql_part("Summary", "final_summary_text")}, {_sql_part("Headnotes", "final_headnotes_text")}) as parts from r)
+select final_id, title, 'appeal_' || final_id || '_' || replace(title, ' ', '_') || '.md' as source_file,
+ rtrim('# ' || title || {_NL} || {_NL} || '## Appeal Overview' || {_NL} || {_NL} || concat_ws({_NL}, {_sql_field("Appellant", "final_appellant")}, {_sql_field("Recipient", "final_recipient")}, {_sql_field("PA ID", "final_pa_id")}, {_sql_field("URL", "source_url")},
+  {_sql_field("Source PDF", "pdf")}, {_sql_field("Disaster", "disaster")}, {_sql_field("Decision signed", "final_decision_signed_date")}, {_sql_field("Status", "final_status")}, {_sql_field("PW number", "final_pw_number")}, {_sql_field("FEMA source key", "html_doc_key")},
+  '- **Cited authorities:** ' || case when ls is null then 'none extracted' else array_to_string(ls[1:40], '; ') || case when len(ls) > 40 then ' (+' || (len(ls) - 40) || ' more)' else '' end end) || {_NL}
+  || case when parts <> '' then parts else coalesce({_sql_part("Decision", "final_body_text")}, '') end, {_NL}) || {_NL} as body from w"""
+
+
+@query(_SQL_CASES)
+def record_documents(s, d):
+    tables = {name: _docs(s, d, t).selectExpr(columns) if "," not in columns else _docs(s, d, t).select(F.expr(f"struct({columns}) as x")).select("x.*") for name, (t, columns) in _CASES.items()}
+    orders = _docs(s, d, "orders").join(_docs(s, d, "customer"), F.col("c_custkey") == F.col("o_custkey"))
+    tables[records.CITED] = orders.join(_docs(s, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("c_name").alias("parent_doc_key"), F.col("l_partkey").alias("citation_id"))
+    return records.documents(tables).select("final_id", "title", "source_file", "body")
+
+
+@query(f"""with recursive f as (select row_number() over (order by doc_id) as o, greatest(1, strlen(coalesce(text, '')) // 4)::bigint as t from documents),
+g as (select o, t as s, 1::bigint as b from f where o = 1 union all select f.o, case when g.s + f.t <= 4000 then g.s + f.t else f.t end, case when g.s + f.t <= 4000 then g.b else g.b + 1 end from g join f on f.o = g.o + 1) select coalesce(max(b), 0)::bigint as bundles from g""")
+def rough_bundles(s, d):
+    return bundling.rough_bundles(_docs(s, d).select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).alias("size")), 4000, ["doc_id"])
+
+
+@query("""select page_id, case page_id % 5 when 0 then 'policy' when 1 then 'other' else case when regexp_matches(lower(url), 'pappg|policy|guidance|guide|manual|handbook|directive|stafford|cfr|fact sheet|factsheet') then 'policy'
+ when regexp_matches(lower(url), '\\b\\d{3,4}\\s*-\\s*(dr|em)\\b') or regexp_matches(lower(url), 'appeal|project worksheet| pw|pws|gmp|dsr|pa id|determination') then 'appeal' else 'other' end end as category from pages""")
+def category_overrides(s, d):
+    p = _docs(s, d, "pages")
+    said = p.filter("page_id % 5 < 2").select(F.concat(F.lit("/"), F.upper("url")).alias("path"), F.when(F.col("page_id") % 5 == 0, " Policy").otherwise("nonsense").alias("category"))
+    return rules.categories(p, said, "url").select("page_id", "category")
+
+
+@query("select lang as category, count(*) as documents, min(doc_id) as first_seen from documents group by lang")
+def tier_counts(s, d):
+    return audit.tier_counts(_docs(s, d), "doc_id", "lang").withColumnRenamed("lang", "category")
+
+
 _SQL_RAG = _sql_headed(BUDGET, LEVEL) + f""", recs as (select 'DOC_' || lpad((doc_id + 1)::varchar, 4, '0') as d, doc_id, idx, txt from chunks union all select 'DOC_' || lpad((doc_id + 1)::varchar, 4, '0'), doc_id, 1, '' from md where txt = ''),
 rag as (select d || '__c' || case when idx < 1000 then lpad(idx::varchar, 3, '0') else idx::varchar end as chunk_id, d as doc_id, source || '_' || recs.doc_id || '.txt' as source_file, lang || '/' || source || '_' || recs.doc_id || '.txt' as source_path, txt as text, {_est('txt')}::int as token_estimate from recs join documents on documents.doc_id = recs.doc_id)"""
 
@@ -577,7 +646,20 @@ def page_boilerplate(s, d):
     return pages.boilerplate(_docs(s, d).select("doc_id", _PAGED(F.coalesce("text", F.lit(""))).alias("text")), "doc_id", "text")
 
 
-@query()
+_SQL_RESTRUCTURED = f"""with {_SQL_PAGED}, n as (select doc_id, max(page) + 1 as n from paged group by doc_id),
+every as (select doc_id, i, 1 as j, page, {_strip('line')} as line from paged union all select distinct doc_id, page * 3 + 1, 0, page, 'Running Header' from paged),
+run as (select doc_id, line from every join n using (doc_id) where n >= 4 and length(line) between 1 and 60 and not regexp_full_match(line, '\\d{{1,4}}') group by doc_id, n, line having count(distinct page) >= greatest(2, floor(n * 0.35))),
+kept as (select doc_id, i, j, case when regexp_matches(line, '^[•▪●]') then '- ' || trim(regexp_replace(line, '^[•▪●]\\s*', '')) when starts_with(line, 'o ') and length(line) > 2 then '  - ' || trim(substr(line, 3))
+  when regexp_matches(line, '^Chapter\\s+\\d+:\\s+[A-Z]') and not contains(line, '....') and not regexp_matches(line, '[.;,]$') then '## ' || line
+  when regexp_matches(line, '^[A-Z]\\.\\s+[A-Z(]') and length(line) <= 80 and not contains(line, '....') and len(list_filter(regexp_split_to_array(line, '\\s+'), lambda x: x <> '')) <= 10 and not regexp_matches(line, '[.:;]$') then '### ' || line else line end as line
+  from every where not regexp_full_match(line, '\\d{{1,4}}') and not exists (select 1 from run where run.doc_id = every.doc_id and run.line = every.line)),
+flags as (select *, starts_with(line, '#') or starts_with(ltrim(line), '- ') as alone from kept),
+cut as (select *, sum(case when line = '' or alone or before_ then 1 else 0 end) over (partition by doc_id order by i, j) as b from (select *, coalesce(lag(alone) over (partition by doc_id order by i, j), false) as before_ from flags)),
+blocks as (select doc_id, b, string_agg(line, ' ' order by i, j) as t from cut where line <> '' group by doc_id, b)
+select doc_id, {_strip("coalesce(string_agg(t, chr(10) || chr(10) order by b), '')")} || chr(10) as text from documents left join blocks using (doc_id) group by doc_id"""
+
+
+@query(_SQL_RESTRUCTURED)
 def page_restructure(s, d):
     return pages.restructure(_docs(s, d).select("doc_id", _PAGED(F.coalesce("text", F.lit(""))).alias("text")), "doc_id", "text")
 

@@ -104,6 +104,8 @@ def test_pages(spark):
     df = spark.createDataFrame([(1, text), (2, "no pages")], "id int, t string")
     got = {r["id"]: r["t"] for r in restructure(df, "id", "t").collect()}
     assert got[2] == "no pages"
+    across = spark.createDataFrame([(1, "## Page 1\none\n## Page 2\ntwo\n## Page 3\n## Page 4\nthree\n\nfour\n## Page 5\n")], "id int, t string")
+    assert restructure(across, "id", "t").first()["t"] == "one two three\n\nfour\n"
     assert got[1].startswith("## Chapter 1: Title\n\nsome text 1 wraps 1 here\n\n- item 1\n\n### A. Part 1\n\nend 1.\n\n## Chapter 2") and "Header" not in got[1]
 
 
