@@ -28,8 +28,8 @@ z as (select *, '<|im_start|>' || chat_role || case when name is null then '' el
 select c as conv_id, speaker, turn, chat_role, name, head || txt || '<|im_end|>' || chr(10) as segment,
  (case when chat_role = 'assistant' then length(head) else 0 end)::bigint as mask_start, (case when chat_role = 'assistant' then length(head) + length(txt) + 10 else 0 end)::bigint as mask_end from z"""
 
-DIALOGUES = f"""with s as ({CHAT}), a as (select *, turn // 1024 as part, coalesce(sum(length(segment)) over (partition by conv_id, speaker, turn // 1024 order by turn, segment rows between unbounded preceding and 1 preceding), 0) as at from s)
-select conv_id, speaker, part::bigint as part, string_agg(segment, '' order by at, segment) as text, coalesce(string_agg((at + mask_start)::bigint || '-' || (at + mask_end)::bigint, ',' order by at, segment) filter (mask_end > mask_start), '') as masks from a group by conv_id, speaker, part"""
+DIALOGUES = f"""with s as ({CHAT}), a as (select *, turn // 1024 as part, coalesce(sum(length(segment)) over (partition by conv_id, speaker, turn // 1024 order by turn, segment rows between unbounded preceding and 1 preceding), 0) as pos from s)
+select conv_id, speaker, part::bigint as part, string_agg(segment, '' order by pos, segment) as text, coalesce(string_agg((pos + mask_start)::bigint || '-' || (pos + mask_end)::bigint, ',' order by pos, segment) filter (mask_end > mask_start), '') as masks from a group by conv_id, speaker, part"""
 
 
 def _list(words: list[str]) -> str:
@@ -50,19 +50,28 @@ _N = len(COMMON["en"])
 OTHER = ["the", "der", "de", "of", "die", "la", "and", "und", "le", "que", "to", "den", "et", "el", "in", "von"]
 _CLASSES = ["\\p{Ll}", "\\p{Lu}", "\\p{N}", "[.,;:?''\"()-]", "[#*$%&|<>]"]
 _BY_LANG = "case lang " + " ".join(f"when '{k}' then {_list(v)}" for k, v in COMMON.items()) + f" else {_list(OTHER)} end"
-QUALITY = f"""with w as (select doc_id, coalesce(lang, '') as lang, coalesce(text, '') as t, {_WORDS} as w from documents),
+#: Without a language: that whose list has most of the words (of equal ones the last by name), if any has one.
+_HITS = "list_max([" + ", ".join(f"{{'n': len(list_filter(w, lambda x: list_contains({_list(v)}, x))), 'k': '{k}'}}" for k, v in COMMON.items()) + "])"
+
+
+def _mean(x: str) -> str:
+    return f"coalesce(avg({x}) filter (given), avg({x}))"
+
+
+QUALITY = f"""with w0 as (select doc_id, coalesce(lang, '') as said, coalesce(text, '') as t, {_WORDS} as w from documents),
+w as (select *, said <> '' as given, case when said <> '' then said when best.n > 0 then best.k else '' end as lang from (select *, {_HITS} as best from w0)),
 b as (select *, regexp_replace(t, '{_SPACES}', '', 'g') as bare, {_BY_LANG} as ls from w),
 r0 as (select *, {', '.join(f"regexp_replace({'bare' if i == 0 else f'c{i}'}, '{c}+', '', 'g') as c{i + 1}" for i, c in enumerate(_CLASSES))} from b),
 win as (select doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as k from (select doc_id, w, unnest(range(1, len(w) - 1)) as i from b where len(w) >= 3)),
 twice as (select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, k) as n from win) where n > 1),
 rep as (select doc_id, count(distinct p) as n from (select doc_id, unnest([i, i + 1, i + 2]) as p from twice) group by doc_id),
 lines as (select doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as ls from w),
-f as (select r0.doc_id, lang, len(w)::bigint as n_words, length(bare)::bigint as word_chars, (length(c4) - length(c5))::bigint as n_symbols, (len(lines.ls) - len(list_distinct(lines.ls)))::bigint as n_dup_lines, coalesce(rep.n, 0)::bigint as n_repeat_words,
+f as (select r0.doc_id, lang, given, len(w)::bigint as n_words, length(bare)::bigint as word_chars, (length(c4) - length(c5))::bigint as n_symbols, (len(lines.ls) - len(list_distinct(lines.ls)))::bigint as n_dup_lines, coalesce(rep.n, 0)::bigint as n_repeat_words,
   [length(bare) - length(c1), length(c1) - length(c2), length(c2) - length(c3), length(c3) - length(c4), length(c4) - length(c5), length(c5)] as classes,
   list_append(list_transform(r0.ls, lambda k: len(list_filter(w, lambda x: x = k))), len(list_filter(w, lambda x: not list_contains(r0.ls, x)))) as common
   from r0 join lines on lines.doc_id = r0.doc_id left join rep on rep.doc_id = r0.doc_id),
 s as (select *, n_words < {MIN_WORDS} or 100 * n_repeat_words > 50 * n_words as base_failed, {_shares([f'classes[{i}]' for i in range(1, 7)], 'word_chars')} as p_classes, {_shares([f'common[{i}]' for i in range(1, _N + 2)], 'n_words')} as p_common from f),
-q as (select lang, [{', '.join(f'avg(p_classes[{i}])' for i in range(1, 7))}] as q_classes, [{', '.join(f'avg(p_common[{i}])' for i in range(1, _N + 2))}] as q_common from s where not base_failed and word_chars >= {MIN_CHARS_FOR_CLASSES} and n_words >= {MIN_WORDS_FOR_COMMON} group by lang),
+q as (select lang, [{', '.join(_mean(f'p_classes[{i}]') for i in range(1, 7))}] as q_classes, [{', '.join(_mean(f'p_common[{i}]') for i in range(1, _N + 2))}] as q_common from s where lang <> '' and not base_failed and word_chars >= {MIN_CHARS_FOR_CLASSES} and n_words >= {MIN_WORDS_FOR_COMMON} group by lang),
 j as (select s.*, case when word_chars >= {MIN_CHARS_FOR_CLASSES} then {_distance('p_classes', 'q_classes')} end as class_distance, case when n_words >= {MIN_WORDS_FOR_COMMON} then {_distance('p_common', 'q_common')} end as common_distance from s left join q on q.lang = s.lang)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and coalesce(class_distance, 0) <= {MAX_CLASSES} and coalesce(common_distance, 0) <= {MAX_COMMON} as kept,
  round(class_distance, 9) as class_distance, round(common_distance, 9) as common_distance from j"""

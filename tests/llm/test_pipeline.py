@@ -7,6 +7,7 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from test_operators import WORD, classes, fill, lower, plain_fingerprint, plain_targets
 from tokenizers import Tokenizer
 
@@ -91,3 +92,13 @@ def test_oracle(name, spark, data):
     assert columns == sorted(sql.columns)
     key = lambda rows: sorted((tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in rows), key=repr)
     assert key(tuple(r) for r in got.select(columns).collect()) == key(sql.select(*columns).fetchall())
+
+
+def test_quality_oracle_without_languages(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("lang", F.expr("case doc_id % 4 when 0 then lang when 1 then 'it' when 2 then '' end"))
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    columns = ["doc_id", "kept", "class_distance", "common_distance", "n_repeat_words"]
+    got = quality_rules.judge(docs).select(columns).collect()
+    close = lambda rows: sorted(tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in rows)
+    assert close([tuple(-1.0 if v is None else v for v in r) for r in got]) == close([tuple(-1.0 if v is None else v for v in r) for r in con.sql(ORACLES["op2_quality_rules"]).select(*columns).fetchall()])
