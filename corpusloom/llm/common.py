@@ -15,6 +15,10 @@ SPACES = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: The folders that stored() has written and that are still there.
+_written: list[str] = []
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -38,14 +42,28 @@ def stored(df: DataFrame, *partitions: str) -> DataFrame:
     df.write.partitionBy(*partitions).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch = path
+    _written.append(path)
     return out
 
 
 def released(*tables: DataFrame) -> None:
     """Deletes what stored() wrote for these tables, once nothing that is still to run reads them."""
     for df in tables:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._scratch)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, df._scratch)
+
+
+def cleared(spark: SparkSession) -> None:
+    """Deletes all that stored() has written in this program: for when its results have been written elsewhere. Results are
+    read from these tables as long as they are not."""
+    while _written:
+        _delete(spark, _written[-1])
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if folder in _written:
+        _written.remove(folder)
 
 
 def ascii_lower(text: Column) -> Column:

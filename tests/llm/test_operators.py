@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import re
 import unicodedata
 import zlib
@@ -582,3 +583,13 @@ def test_quality_rules_without_languages(spark):
     foreign = [(i, " ".join(f"слово{i * 1000 + k}" for k in range(150)), None) for i in range(3)]
     rows = quality_rules.judge(spark.createDataFrame(foreign, "doc_id long, text string, lang string")).collect()
     assert all(r["kept"] for r in rows)
+
+
+def test_scratch(spark):
+    from corpusloom.llm import common
+
+    one, two = (common.stored(spark.range(n)) for n in (3, 4))
+    common.released(one)
+    assert two.count() == 4 and one._scratch not in common._written
+    common.cleared(spark)
+    assert common._written == [] and not os.path.exists(two._scratch.removeprefix("file:"))
