@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import exact_dedup, mixing, packing, quality_rules, simhash
-from corpusloom.llm.common import stored, table
+from corpusloom.llm.common import released, stored, table
 
 #: No SQL expresses the packing stage; tests hold run() against a plain version.
 ORACLE_SQL = None
@@ -74,7 +74,9 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = stored(docs)
+            if k:  # what the stage read was written by the one before it, and is read no more
+                released(before)
     return docs
