@@ -142,13 +142,13 @@ def _dealt(df: DataFrame, id_col: str, vector_col: str, blocks: int, block: str)
     return df.select(F.col(id_col).alias("id"), v.alias("v"), F.pmod(F.xxhash64(F.col(id_col), v), F.lit(blocks)).cast("int").alias(block))
 
 
-def vector_search_all(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vector_col: str) -> DataFrame:
-    """query, id, score, rank: the k rows (1 to 100) nearest to each query by cosine, exactly; ties by id.
+def vector_search_all(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vector_col: str, most: int = 100) -> DataFrame:
+    """query, id, score, rank: the k rows (1 to `most`) nearest to each query by cosine, exactly; ties by id.
 
     Both are dealt into blocks by hash; each pair of blocks is one group, which keeps k rows a query, and these are merged.
     Queries of one id count apart if their vectors differ. Null vectors and those of length zero have the score 0.
     """
-    k = max(1, min(100, k))
+    k = max(1, min(most, k))
     id_type = vectors.schema[id_col].dataType.simpleString()
     n_rows, n_queries = max(BLOCKS, -(-vectors.count() // BLOCK_ROWS)), max(1, -(-queries.count() // BLOCK_QUERIES))
     rows = _dealt(vectors, id_col, vector_col, n_rows, "i").withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.operators import audit, bundling, pages, retrieval, rules
+from corpusloom.operators import audit, bundling, pages, retrieval, rules, searches
 from corpusloom.operators import chunking as C
 from corpusloom.plans import export
 from corpusloom.sources import files, json_text, records
@@ -620,6 +620,35 @@ def hybrid_search(s, d):
     return retrieval.hybrid(_bm25(s, d, "with from"), v, v.filter("id = 3"), 10)
 
 
+_SQL_ASKED = f"""with {_SQL_POST}, tf as (select term, doc_id, dl, count(*) as tf from post group by all), df as (select term, count(*) as df from tf group by term),
+asked as (select query, term, count(*) over (partition by query) as m from (select doc_id as query, term from tf where doc_id % 20 = 0 and length(term) >= 4 qualify row_number() over (partition by doc_id order by tf desc, term) <= 2)),
+scored as (select query, doc_id as id, round(-sum((case when ln((n_docs - df + 0.5) / (df + 0.5)) <= 0 then 1e-6 else ln((n_docs - df + 0.5) / (df + 0.5)) end) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 9) as score
+ from asked join tf using (term) join df using (term), st group by query, doc_id, m having count(*) = m)"""
+
+
+def _asked(s, d):
+    """The queries of searches by many: each document whose id is divisible by 20, by its two most frequent terms of four letters."""
+    every = _docs(s, d).filter("doc_id % 20 = 0")
+    return searches.frequent_terms(every, "doc_id", "text", 2, 4)
+
+
+@query(_SQL_ASKED + "select query, id, score, row_number() over (partition by query order by score, id)::int as rank from scored qualify rank <= 20")
+def bm25_search_all(s, d):
+    return searches.bm25_all(_docs(s, d), _asked(s, d), 20, "doc_id", "text")
+
+
+@query(_SQL_ASKED + f""", kw as (select query, id, row_number() over (partition by query order by score, id) as rank from scored qualify rank <= 50), {_SQL_EMBED},
+pairs as (select q.id as query, v.id, sum(v.value * q.value) as score from vec v join vec q using (dim) where q.id % 20 = 0 group by q.id, v.id),
+near as (select query, id, row_number() over (partition by query order by score desc, id) as rank from (select q.doc_id as query, v.doc_id as id, round(coalesce(score, 0), 6) as score
+  from documents q cross join documents v left join pairs on pairs.query = q.doc_id and pairs.id = v.doc_id where q.doc_id % 20 = 0) qualify rank <= 50),
+fused as (select query, id, round(sum(1.0 / (60 + rank)), 9)::double as score from (select * from kw union all select * from near) group by query, id)
+select query, id, score, row_number() over (partition by query order by score desc, id)::int as rank from fused qualify rank <= 10""")
+def hybrid_search_all(s, d):
+    docs = _docs(s, d)
+    texts = docs.filter("doc_id % 20 = 0").select(F.col("doc_id").alias("query"), F.coalesce("text", F.lit("")).alias("text"))
+    return searches.hybrid_all(docs, texts.join(_asked(s, d), "query", "left"), 10, "doc_id", "text")
+
+
 @query(_sql_plain(SMALL) + "select doc_id, idx::int as idx, (lag(idx) over w)::int as previous, (lead(idx) over w)::int as next from chunks window w as (partition by doc_id order by idx)")
 def chunk_neighbours(s, d, md=markdown):
     return retrieval.neighbours(_chunks(_md(s, d, md), C.Settings(SMALL)))
