@@ -33,6 +33,12 @@ def size_histogram(chunks: DataFrame, budget: int) -> DataFrame:
     return chunks.groupBy(part.cast("int").alias("bucket")).agg(F.count("*").alias("n"))
 
 
+def size_buckets(chunks: DataFrame, budget: int) -> DataFrame:
+    """As size_histogram(), with a row for each of the five buckets, empty ones too."""
+    every = chunks.sparkSession.range(5).select(F.col("id").cast("int").alias("bucket"))
+    return every.join(size_histogram(chunks, budget), "bucket", "left").select("bucket", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def per_document(chunks: DataFrame, budget: int) -> DataFrame:
     return chunks.groupBy("doc_id").agg(
         F.count("*").alias("chunks"), F.sum("token_estimate").alias("tokens"), F.max("token_estimate").alias("largest"),
@@ -69,9 +75,13 @@ def guidance(chunks: DataFrame, budget: int, strategy: str, target: str) -> Data
     return c.select(F.explode(F.filter(tips, lambda t: t.isNotNull())).alias("t")).select("t.tip", "t.figure")
 
 
-def duplicate_names(paths: DataFrame, path_col: str) -> DataFrame:
-    """File names (lower case) that two or more paths share, with their number and the first and last path."""
+def duplicate_names(paths: DataFrame, path_col: str, every: bool = False) -> DataFrame:
+    """File names (lower case) that two or more paths share, with their number and the first and last path, or with the sorted
+    list of all (which is as long as a name's paths are many)."""
     name = F.lower(F.regexp_extract(path_col, r"([^/]*)\z", 1))
+    if every:
+        lists = paths.groupBy(name.alias("name")).agg(F.sort_array(F.collect_set(path_col)).alias("every_path"))
+        return lists.select("name", F.size("every_path").cast("long").alias("paths"), "every_path").filter("paths >= 2")
     return paths.groupBy(name.alias("name")).agg(F.count_distinct(path_col).alias("paths"), F.min(path_col).alias("first_path"), F.max(path_col).alias("last_path")).filter("paths >= 2")
 
 

@@ -275,6 +275,25 @@ def fence_paragraphs(s, d, md=markdown):
     return T.exploded(_md(s, d, md), C.paragraphs(t, True), "doc_id", at="i", each="paragraph").select("doc_id", (F.col("i") + 1).alias("k"), "paragraph")
 
 
+FENCED = 40
+_SQL_FENCED = f"""with recursive {_SQL_MD}, {_sql_lines("(select doc_id, 0 as k, txt from md where txt <> '')")},
+grouped as (select *, sum(case when f % 2 = 0 and trim(line) = '' then 1 else 0 end) over (partition by doc_id order by i) as g from lines),
+paras as (select doc_id, g as p, txt, {_est('txt')} as tok from (select doc_id, g, {_strip(f"string_agg(line, {_NL} order by i) filter (not (f % 2 = 0 and trim(line) = ''))")} as txt from grouped group by doc_id, g) where txt <> ''),
+{_sql_lines(f"(select doc_id, p as k, txt from paras where tok > {FENCED})", "plines")},
+pieces as (select doc_id, k as p, min(i) as i, bool_or(starts_with(ltrim(line), '```')) as fence, string_agg(line, {_NL} order by i) as txt
+  from (select *, case when f % 2 = 1 then f when starts_with(ltrim(line), '```') then f - 1 else -i end as piece from plines) group by doc_id, k, piece),
+units as (select *, row_number() over (partition by doc_id, k order by p, i) as u from (
+  select doc_id, 0 as k, p, 0 as i, 0 as j, 'p' as kind, -1 as par, -1 as ln, txt, tok from paras where tok <= {FENCED}
+  union all select doc_id, 0, p, i, 0, case when large and fence then 'f' else 'l' end, p, case when large and fence then i else -1 end, txt, {_est('txt')} from (select *, {_est('txt')} > {FENCED} as large from pieces))),
+{_sql_pack(FENCED).replace("case kind when 's' then", f"case kind when 'f' then '{C.FENCE}' when 's' then")}
+select doc_id, c::int as idx, txt as text, {_est('txt')}::int as token_estimate, reason from packed"""
+
+
+@query(_SQL_FENCED)
+def chunk_fences(s, d, md=markdown):
+    return _chunks(_md(s, d, md), C.Settings(FENCED, fence_aware=True))
+
+
 @query()
 def chunk_fence_aware(s, d, md=markdown):
     return _chunks(_md(s, d, md), C.Settings(40, "headings", LEVEL, 20, True, True), paths=True).withColumn("heading_path", F.array_join("heading_path", " > "))
@@ -295,6 +314,12 @@ def reason_histogram(s, d, md=markdown):
     return audit.reasons(_chunks(_md(s, d, md), C.Settings(SMALL)))
 
 
+@query(_sql_plain(SMALL) + f"""select b.bucket, count(t) as n from (select unnest(range(5))::int as bucket) b left join (select (case when t > {SMALL} then 4 else least(4 * t // {SMALL}, 3) end)::int as bucket, t
+ from (select {_est('txt')} as t from chunks)) c using (bucket) group by b.bucket""")
+def size_buckets(s, d, md=markdown):
+    return audit.size_buckets(_chunks(_md(s, d, md), C.Settings(SMALL)), SMALL)
+
+
 @query(_sql_plain(SMALL) + f"select (case when t > {SMALL} then 4 else least(4 * t // {SMALL}, 3) end)::int as bucket, count(*) as n from (select {_est('txt')} as t from chunks) group by 1")
 def size_histogram(s, d, md=markdown):
     return audit.size_histogram(_chunks(_md(s, d, md), C.Settings(SMALL)), SMALL)
@@ -693,6 +718,11 @@ def page_restructure(s, d):
     return pages.restructure(_docs(s, d).select("doc_id", _PAGED(F.coalesce("text", F.lit(""))).alias("text")), "doc_id", "text")
 
 
+@query("select lower(regexp_extract(url, '([^/]*)$', 1)) as name, count(distinct url) as paths, array_to_string(list_sort(list(distinct url)), chr(10)) as every_path from pages group by 1 having count(distinct url) >= 2")
+def duplicate_name_paths(s, d):
+    return audit.duplicate_names(_docs(s, d, "pages"), "url", every=True).select("name", "paths", F.array_join("every_path", "\n").alias("every_path"))
+
+
 @query("select lower(regexp_extract(url, '([^/]*)$', 1)) as name, count(distinct url) as paths, min(url) as first_path, max(url) as last_path from pages group by 1 having count(distinct url) >= 2")
 def duplicate_names(s, d):
     return audit.duplicate_names(_docs(s, d, "pages"), "url")
@@ -786,8 +816,8 @@ def record_limit(s, d):
 
 #: The queries over Markdown; each is also registered as NAME_whole, over lines that are not shortened.
 OVER_MARKDOWN = [
-    "chunk_paragraphs", "chunk_headings", "heading_sections", "chunk_merged", "chunk_overlap", "heading_paths", "structure_summary", "fence_paragraphs", "chunk_fence_aware",
-    "chunk_stats", "reason_histogram", "size_histogram", "chunk_audit", "heading_summary", "guidance", "heading_rules", "chunk_selection", "bundle_medium",
+    "chunk_paragraphs", "chunk_headings", "heading_sections", "chunk_merged", "chunk_overlap", "heading_paths", "structure_summary", "fence_paragraphs", "chunk_fences", "chunk_fence_aware",
+    "chunk_stats", "reason_histogram", "size_histogram", "size_buckets", "chunk_audit", "heading_summary", "guidance", "heading_rules", "chunk_selection", "bundle_medium",
     "rag_export", "source_map", "chunk_neighbours", "get_documents", "chunk_previews", "structure_descriptions", "page_outline", "partial_selections",
 ]
 for _name in OVER_MARKDOWN:
