@@ -179,6 +179,8 @@ class Result:
     warnings: list[str] = field(default_factory=list)
     budget: int = 0
     guide: str = ""
+    assets: DataFrame | None = None
+    source: str = ""
 
     def write(self, path: str) -> None:
         self.manifest.write.mode("overwrite").option("header", True).csv(f"{path}/manifest_csv")
@@ -190,6 +192,8 @@ class Result:
         if self.records is not None:
             export.json_lines(self.records).write.mode("overwrite").text(f"{path}/chunks_jsonl")
             export.source_map(self.records).write.mode("overwrite").json(f"{path}/source_map")
+        if self.assets is not None:
+            files.copy_assets(self.assets, self.source, f"{path}/{files.ASSETS}").write.mode("overwrite").json(f"{path}/asset_list")
         for name, df in self.tables.items():
             df.write.mode("overwrite").parquet(f"{path}/{name}")
 
@@ -200,7 +204,7 @@ NAMED = 100
 
 def documents(spark: SparkSession, folder: str, p: Profile, said: list[str] | None = None) -> DataFrame:
     """The folder's files, converted, in the order of their paths: place, source_file, source_path, extension, file_type,
-    body, status, notes, category. The output folder, if it lies in the source, is passed over. Files that are asked for but not there, and
+    body, status, notes, category, assets. The output folder, if it lies in the source, is passed over. Files that are asked for but not there, and
     patterns that match nothing, are told in `said`."""
     said = [] if said is None else said
     own = PurePosixPath(p.default_output_folder)
@@ -215,11 +219,11 @@ def documents(spark: SparkSession, folder: str, p: Profile, said: list[str] | No
     globs = [g.strip() for g in p.exclude_files if g.strip()]
     if globs:
         said += [f"exclusion pattern matched no files: {r['pattern']!r}" for r in rules.glob_hits(found, globs, "rel_path").filter("hits = 0").collect()]
-    read = files.read_files(rules.exclude_paths(found, globs, "rel_path"), spark)
-    rows = export.places(read.withColumn("__o", F.lower("rel_path")).drop("content"), ["__o"])
+    read = files.read_files(rules.exclude_paths(found, globs, "rel_path"), folder)
+    rows = export.places(read.withColumn("__o", F.lower("rel_path")), ["__o", "rel_path"])
     rows = rows.select(
         "place", F.regexp_extract("rel_path", r"([^/]*)\z", 1).alias("source_file"), F.col("rel_path").alias("source_path"), F.col("ext").alias("extension"), "file_type",
-        T.normalize_newlines(F.coalesce("markdown", F.lit(""))).alias("body"), "status", F.coalesce("notes", F.lit("")).alias("notes"), T.category(F.col("rel_path")).alias("category"),
+        T.normalize_newlines(F.coalesce("markdown", F.lit(""))).alias("body"), "status", F.coalesce("notes", F.lit("")).alias("notes"), T.category(F.col("rel_path")).alias("category"), "assets",
     )
     policy = (F.col("file_type") == "pdf") & (F.col("category") == "policy")
     repaired = pages.restructure(rows.filter(policy), "place", "body").withColumnRenamed("body", "__b")
@@ -234,6 +238,12 @@ def records_of(tables: dict[str, DataFrame], limit: int | None = None) -> DataFr
 def run(docs: DataFrame, p: Profile, said: list[str] | None = None, overrides: DataFrame | None = None, selected: DataFrame | None = None) -> Result:
     """The job over documents (as documents() or records_of() gives them). `said`: warnings so far. `overrides` (path, category)
     decide on categories. `selected` (doc_id, idx): the chunks to keep of the documents that it names."""
+    assets = docs.select(F.explode("assets").alias("path")) if "assets" in docs.columns else None
+    result = _run(docs.drop("assets"), p, said, overrides, selected)
+    return replace(result, assets=assets, source=p.default_source_folder)
+
+
+def _run(docs: DataFrame, p: Profile, said: list[str] | None, overrides: DataFrame | None, selected: DataFrame | None) -> Result:
     p.validate()
     said = [*(said or []), *p.warnings()]
     if overrides is not None:

@@ -8,8 +8,14 @@ from __future__ import annotations
 import csv
 import io
 import json
+import os
+import posixpath
+import re
 import zipfile
+from collections.abc import Callable
+from functools import reduce
 from html.parser import HTMLParser
+from urllib.parse import unquote, urlsplit
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -17,29 +23,63 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import file_type
+from corpusloom.operators.bundling import stored
 
 #: Folders and files that a scan passes over: fixed values.
 EXCLUDED = (".git", "__pycache__", "node_modules", ".venv", "venv", "dist", "build", ".DS_Store")
 PREVIEW_ROWS = 25
 
 
+#: About how many bytes of files one task reads.
+PART = 128 << 20
+#: How many converted files, or characters of them, a task hands on at once.
+FILES, CHARS = 64, 16 << 20
+
+
+def _store(folder: str):
+    """The file system of a folder and the folder's path in it; on machines' local disks only if all see the same files there.
+    Stores take their keys from the machines' environment, as pyarrow does."""
+    from pyarrow import fs
+
+    if "://" in folder and not folder.startswith("file:"):
+        store, path = fs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", folder))
+    else:
+        store, path = fs.LocalFileSystem(), os.path.abspath(re.sub(r"^file:/*", "/", folder))
+    return store, path.rstrip("/")
+
+
 def scan(spark: SparkSession, folder: str, extensions: list[str], excluded: tuple[str, ...] = EXCLUDED) -> DataFrame:
-    """path, rel_path, ext, file_type, size, content of a folder's files in any store that Spark reads; names that begin with
-    a dot or underscore too. Files of other extensions are kept if their type is unsupported, so that they are recorded."""
-    # Spark's file sources skip hidden names, so the listing goes through the store's own file system.
-    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    store = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    base = store.makeQualified(root).toString().rstrip("/")
-    found, open_ = [], [root]
-    while open_:
-        for s in store.listStatus(open_.pop()):
-            if s.getPath().getName() in excluded:
-                continue
-            if s.isDirectory():
-                open_.append(s.getPath())
-            else:
-                found.append((s.getPath().toString(), s.getPath().toString()[len(base) + 1 :], s.getLen()))
-    rows = spark.createDataFrame(found, "path string, rel_path string, size long")
+    """path, rel_path, ext, file_type, size of a folder's files, names that begin with a dot or underscore too. Files of other
+    extensions are kept if their type is unsupported, so that they are recorded.
+
+    One job for each level of folders, whose folders are listed in tasks; no name passes through the driver. A folder that
+    goes away meanwhile is empty; one that is not there at first is an error.
+    """
+    from pyarrow import fs
+
+    store, base = _store(folder)
+    if store.get_file_info(base).type != fs.FileType.Directory:
+        raise FileNotFoundError(f"no such folder: {folder}")
+    cores = spark.sparkContext.defaultParallelism
+
+    def listed(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        store, _ = _store(folder)
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                there = [i for i in store.get_file_info(fs.FileSelector(path, allow_not_found=True)) if i.base_name not in excluded]
+                folders = [i.type == fs.FileType.Directory for i in there]
+                yield pa.RecordBatch.from_arrays([pa.array([i.path for i in there], pa.string()), pa.array([i.size or 0 for i in there], pa.int64()), pa.array(folders, pa.bool_())], names=["path", "size", "folder"])
+
+    level, found, n = spark.createDataFrame([(base,)], "path string"), [], 1
+    while n:
+        below = stored(level.repartition(min(n, 4 * cores), "path").mapInArrow(listed, "path string, size long, folder boolean"))
+        found.append(below.filter("not folder").drop("folder"))
+        level = below.filter("folder").select("path")
+        n = level.count()
+    rows = reduce(DataFrame.unionByName, found).withColumn("rel_path", F.substring("path", F.lit(len(base) + 2), F.length("path")))
     rows = rows.withColumn("ext", F.lower(F.regexp_extract("rel_path", r"[^/](\.[^./]*)\z", 1))).withColumn("file_type", file_type(F.col("ext")))
     return rows.filter((F.col("file_type") == "unsupported") | F.lower("ext").isin([e.lower() for e in extensions]))
 
@@ -49,9 +89,9 @@ class _Html(HTMLParser):
 
     SKIPPED = ("script", "style", "nav", "footer", "noscript", "head")
 
-    def __init__(self):
+    def __init__(self, image: Callable[[str], str]):
         super().__init__(convert_charrefs=True)
-        self.blocks, self.line, self.skip, self.prefix, self.images, self.cells = [], [], [], "", [], None
+        self.blocks, self.line, self.skip, self.prefix, self.image, self.cells = [], [], [], "", image, None
         self.marks = []
 
     def flush(self):
@@ -93,8 +133,7 @@ class _Html(HTMLParser):
             self.flush()
             self.cells = []
         elif tag == "img":
-            src = dict(attrs).get("src") or ""
-            self.images.append(src)
+            src = self.image(dict(attrs).get("src") or "")
             self.line.append(f" ![{dict(attrs).get('alt') or ''}]({src}) ")
 
     def handle_endtag(self, tag):
@@ -118,8 +157,9 @@ class _Html(HTMLParser):
             self.line.append(data)
 
 
-def html_text(source: str) -> str:
-    parser = _Html()
+def html_text(source: str, image: Callable[[str], str] = str) -> str:
+    """`image` gives the address that stands for an image's own."""
+    parser = _Html(image)
     parser.feed(source)
     parser.close()
     parser.flush()
@@ -143,15 +183,22 @@ def _scalar(v) -> str:
     return "(null)" if v is None else str(v).lower() if isinstance(v, bool) else str(v)
 
 
-def csv_text(source: str) -> str:
-    rows = list(csv.reader(io.StringIO(source)))
-    if not rows:
-        return "Rows: 0"
-    head, body = rows[0], rows[1:]
+def csv_text(source: str, name: str = "", copy: str = "") -> str:
+    """A title, counts and a table of the first rows. Rows are read one by one; only those that are shown are kept."""
+    rows = csv.reader(io.StringIO(source))
+    head = next(rows, None)
+    if head is None:
+        return "[CSV is empty.]"
+    shown, n = [], 0
+    for n, row in enumerate(rows, 1):
+        if n <= PREVIEW_ROWS:
+            shown.append(row)
     cell = lambda x: x.replace("\\", "\\\\").replace("|", "\\|").replace("\n", " ")
     line = lambda r: "| " + " | ".join(cell(x) for x in (r + [""] * len(head))[: len(head)]) + " |"
-    table = [line(head), line(["---"] * len(head)), *map(line, body[:PREVIEW_ROWS])]
-    return f"Rows: {len(body)}\n\nColumns ({len(head)}): {', '.join(head)}\n\n" + "\n".join(table)
+    # The labels of the counts.
+    facts = {"Row count": n, "Column count": len(head), "Columns": ", ".join(head) or "(none)"} | ({"Original copied to": f"`{copy}`"} if copy else {})
+    table = "\n".join([f"## Preview (first {len(shown)} rows)\n", line(head), line(["---"] * len(head)), *map(line, shown)]) if shown else "[No data rows.]"
+    return f"# CSV: {name}\n\n" + "\n".join(f"- **{k}:** {v}" for k, v in facts.items()) + "\n\n" + table
 
 
 def docx_text(content: bytes) -> str:
@@ -176,18 +223,26 @@ def decoded(content: bytes) -> str:
         return content.decode("latin-1")
 
 
-def _read(kind: str, content: bytes, name: str) -> tuple[str, str, str]:
+#: Where the files that a document shows lie beside an export, by their path in the source folder.
+ASSETS = "assets"
+
+
+def _read(kind: str, content: bytes, name: str, image: Callable[[str], str] = str, copy: str = "") -> tuple[str, str, str]:
     try:
         if kind == "unsupported":
             return "", "skipped", "unsupported file type"
         if kind == "image":
-            return f"![{name}]({name})", "ok", "image"
+            return f"# Image: {name}\n\n![{name}]({copy or name})", "ok", "image; no text is read from it"
         if kind == "docx":
             return docx_text(content), "ok", ""
         if kind in ("pdf", "xlsx"):
             return "", "failed", f"no reader for {kind} is installed"
         text = decoded(content)
-        return {"html": html_text, "json": lambda t: json_text(json.loads(t)), "csv": csv_text}.get(kind, lambda t: t)(text), "ok", ""
+        if kind == "html":
+            return html_text(text, image), "ok", ""
+        if kind == "csv":
+            return csv_text(text, name, copy), "ok", ""
+        return json_text(json.loads(text)) if kind == "json" else text, "ok", ""
     except Exception as e:  # any fault of a file is its row's status
         return "", "failed", f"{type(e).__name__}: {e}"
 
@@ -203,27 +258,100 @@ def convert(kind: Column, content: Column, name: Column) -> Column:
     return read(kind, content, name)
 
 
-def _bytes(spark: SparkSession, path: str) -> bytes:
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    stream = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(at)
-    try:
-        return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
-    finally:
-        stream.close()
-
-
-def read_files(files: DataFrame, spark: SparkSession) -> DataFrame:
-    """The scanned files with markdown, status and notes. Contents are read by Spark, a path at a time."""
-    paths = [r["path"] for r in files.select("path").toLocalIterator()]
-    if not paths:
-        return files.select("*", F.lit("").alias("markdown"), F.lit("").alias("status"), F.lit("").alias("notes"))
-    # Spark's readers leave out names that begin with a dot or underscore, however they are given; those few files are opened
-    # one by one through the store's file system.
-    plain = [p for p in paths if p.rsplit("/", 1)[-1][0] not in "._"]
-    hidden = [(p, _bytes(spark, p)) for p in paths if p.rsplit("/", 1)[-1][0] in "._"]
-    content = spark.createDataFrame(hidden, "__p string, content binary")
-    if plain:
-        content = content.unionByName(spark.read.format("binaryFile").load(plain).select(F.col("path").alias("__p"), "content"))
-    joined = files.join(content, F.regexp_replace("path", "^file:/+", "/") == F.regexp_replace("__p", "^file:/+", "/"), "left")
-    return joined.withColumn("__r", convert(F.col("file_type"), F.col("content"), F.regexp_extract("rel_path", r"([^/]*)\z", 1))).select(*files.columns, "__r.*")
+class _Images:
+    """The images of one page: those of the web stay; those in the source folder go by their copy; all others are missing."""
+
+    def __init__(self, there: Callable[[str], bool], page: str):
+        self.there, self.page, self.copied, self.notes = there, page, [], []
+
+    def __call__(self, src: str) -> str:
+        try:
+            parts = urlsplit(src)
+        except ValueError:
+            parts = urlsplit("")
+        if not src or parts.scheme in ("http", "https", "data", "mailto") or (parts.netloc and not parts.scheme):
+            return src
+        # An address from the root, or above the source folder, is not followed.
+        path = posixpath.normpath(posixpath.join(posixpath.dirname(self.page), unquote(parts.path)))
+        if not parts.path or parts.scheme or path.startswith(("/", "..")) or not self.there(path):
+            self.notes.append(f"Missing image asset: {src}")
+            return f"MISSING/{src}"
+        self.copied.append(path)
+        return f"{ASSETS}/{path}"
+
+
+def read_files(files: DataFrame, folder: str) -> DataFrame:
+    """The scanned files of the folder with markdown, status, notes and assets (paths in the folder of what an export has to
+    copy: images, those that pages show, CSV files). Each is opened and converted in a task, one at a time. A file that is
+    gone or may not be read is failed; other faults of the store are errors, so that the task is tried again."""
+    n_files, size = files.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    cores = files.sparkSession.sparkContext.defaultParallelism
+    parts = max(1, min(n_files, max(cores, -(-size // PART))))
+
+    def read(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        store, base = _store(folder)
+        there = lambda rel: store.get_file_info(f"{base}/{rel}").type == fs.FileType.File
+
+        def one(path, rel, kind):
+            images, copy = _Images(there, rel), kind in ("image", "csv")
+            content = b""
+            if kind not in ("unsupported", "image", "pdf", "xlsx"):
+                try:
+                    with store.open_input_stream(path) as stream:
+                        content = stream.read()
+                except (FileNotFoundError, PermissionError) as e:
+                    return "", "failed", f"{type(e).__name__}: {e}", []
+            markdown, status, notes = _read(kind, content, posixpath.basename(rel), images, f"{ASSETS}/{rel}" if copy else "")
+            assets = [rel] if copy else images.copied
+            return markdown, status, "; ".join([*filter(None, [notes]), *images.notes]), assets if status == "ok" else []
+
+        names = ["path", "markdown", "status", "notes", "assets"]
+        types = [pa.string()] * 4 + [pa.list_(pa.string())]
+        rows, chars = [], 0
+        for batch in batches:
+            for path, rel, kind in zip(*(batch.column(c).to_pylist() for c in ("path", "rel_path", "file_type")), strict=True):
+                rows.append((path, *one(path, rel, kind)))
+                chars += len(rows[-1][1])
+                if len(rows) == FILES or chars > CHARS:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+                    rows, chars = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+
+    named = files.select("path", "rel_path", "file_type").repartition(parts, "path")
+    return files.join(named.mapInArrow(read, "path string, markdown string, status string, notes string, assets array<string>"), "path")
+
+
+def copy_assets(assets: DataFrame, folder: str, target: str) -> DataFrame:
+    """assets (path in the folder; repeats count once) copied to the target in tasks, in pieces; path and size of each. A copy
+    takes its name only once it is whole, so that tasks that are tried again or run twice do no harm; a file that is gone by
+    then has no row."""
+
+    def copied(batches):
+        import uuid
+
+        import pyarrow as pa
+
+        (store, base), (to, root) = _store(folder), _store(target)
+        for batch in batches:
+            done = []
+            for rel in batch.column(0).to_pylist():
+                path = f"{root}/{rel}"
+                part = f"{path}.{uuid.uuid4().hex}"
+                try:
+                    source = store.open_input_stream(f"{base}/{rel}")
+                except FileNotFoundError:
+                    continue
+                to.create_dir(posixpath.dirname(path), recursive=True)
+                size = 0
+                with source, to.open_output_stream(part) as out:
+                    while piece := source.read(1 << 22):
+                        size += out.write(piece)
+                to.move(part, path)
+                done.append((rel, size))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in done], pa.string()), pa.array([x[1] for x in done], pa.int64())], names=["path", "size"])
+
+    return assets.select("path").distinct().mapInArrow(copied, "path string, size long")

@@ -136,6 +136,32 @@ def test_scan(spark, folder):
     assert got == {"notes/a.md": "text", "_b.txt": "text", ".c.md": "text", "e.exe": "unsupported", "manual.html": "html"}
 
 
+def test_assets(spark, tmp_path):
+    root = tmp_path / "in"
+    page = "<p>x<img src='../i%20a.png?v=1' alt='z'><img src='http://h/w.png'><img src='no.png'><img src='../../secret.png'><img src='/etc/passwd'><img src=''></p>"
+    for name, content in {"sub/p.html": page, "i a.png": "P", "t.csv": "x,y\n1,a|b\n2,c\n", "e.csv": "", "h.csv": "x\n", "_h.md": "hidden", "deep/er/.d/f.md": "f", "bad.json": "{"}.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(content)
+    (tmp_path / "secret.png").write_text("s")
+    (root / "empty").mkdir()
+    p = job.Profile("x", target="rag", default_source_folder=str(root))
+    docs = job.documents(spark, str(root), p)
+    rows = {r["source_path"]: r for r in docs.collect()}
+    assert rows["sub/p.html"]["body"] == "x ![z](assets/i a.png) ![](http://h/w.png) ![](MISSING/no.png) ![](MISSING/../../secret.png) ![](MISSING//etc/passwd) ![]()\n"
+    assert rows["sub/p.html"]["notes"] == "Missing image asset: no.png; Missing image asset: ../../secret.png; Missing image asset: /etc/passwd"
+    assert rows["t.csv"]["body"] == "# CSV: t.csv\n\n- **Row count:** 2\n- **Column count:** 2\n- **Columns:** x, y\n- **Original copied to:** `assets/t.csv`\n\n## Preview (first 2 rows)\n\n| x | y |\n| --- | --- |\n| 1 | a\\|b |\n| 2 | c |\n"
+    assert rows["e.csv"]["body"] == "[CSV is empty.]\n" and rows["h.csv"]["body"].endswith("[No data rows.]\n") and rows["bad.json"]["status"] == "failed"
+    assert {"_h.md", "deep/er/.d/f.md"} <= set(rows)
+    out = tmp_path / "out"
+    job.run(docs, p).write(str(out))
+    assert {r["path"]: r["size"] for r in spark.read.json(str(out / "asset_list")).collect()} == {"i a.png": 1, "t.csv": 14, "e.csv": 0, "h.csv": 2}
+    assert sorted(x.name for x in (out / "assets").iterdir()) == ["e.csv", "h.csv", "i a.png", "t.csv"] and (out / "assets/i a.png").read_text() == "P"
+    (tmp_path / "none").mkdir()
+    assert job.documents(spark, str(tmp_path / "none"), p).count() == 0
+    with pytest.raises(FileNotFoundError):
+        files.scan(spark, str(tmp_path / "not there"), [".md"])
+
+
 def test_job(spark, folder, tmp_path):
     assert cli.main([folder, "--target", "chatgpt", "--output", str(tmp_path / "out")], spark) == 0
     rows = {r["source_path"]: r for r in spark.read.option("header", True).csv(str(tmp_path / "out/manifest_csv")).collect()}
