@@ -816,11 +816,11 @@ def record_limit(s, d):
 
 #: The queries over Markdown; each is also registered as NAME_whole, over lines that are not shortened.
 OVER_MARKDOWN = [
-    "chunk_paragraphs", "chunk_headings", "heading_sections", "chunk_merged", "chunk_overlap", "heading_paths", "structure_summary", "fence_paragraphs", "chunk_fences", "chunk_fence_aware",
-    "chunk_stats", "reason_histogram", "size_histogram", "size_buckets", "chunk_audit", "heading_summary", "guidance", "heading_rules", "chunk_selection", "bundle_medium",
+    "chunk_paragraphs", "chunk_headings", "heading_sections", "chunk_merged", "chunk_overlap", "heading_paths", "structure_summary", "fence_paragraphs", "chunk_fence_aware",
+    "chunk_stats", "reason_histogram", "size_histogram", "chunk_audit", "heading_summary", "guidance", "heading_rules", "chunk_selection", "bundle_medium",
     "rag_export", "source_map", "chunk_neighbours", "get_documents", "chunk_previews", "structure_descriptions", "page_outline", "partial_selections",
 ]
-for _name in OVER_MARKDOWN:
+for _name in [*OVER_MARKDOWN, "chunk_fences", "size_buckets"]:
     QUERIES[f"{_name}_whole"] = partial(QUERIES[_name], md=whole_markdown)
     if _name in SQL:
         SQL[f"{_name}_whole"] = SQL[_name].replace(_SQL_MD, _SQL_MD_WHOLE)
