@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import chat, classifier, exact_dedup, katz, mixing, packing, quality_rules, sharding, simhash, substring_dedup
-from corpusloom.llm.common import table
+from corpusloom.llm import chat, classifier, divergence, exact_dedup, katz, mixing, packing, quality_rules, repair, sharding, simhash, substring_dedup, token_files
+from corpusloom.llm.common import scratch, table
 from corpusloom.llm.oracles import ORACLES
 
 
@@ -61,8 +61,24 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    folder = scratch(spark)
+    token_files.write(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"), size=49_408, end_id=2)
+    return token_files.read(spark, folder, ids=False)
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_quality_rules, op3_substring_dedup, op4_katz_scoring, op5_sharding, op6_exact_dedup, op7_chat_perspectives, op8_mixing, op9_best_fit_packing, op10_simhash_near_dedup, chat_dialogues)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_quality_rules, op3_substring_dedup, op4_katz_scoring, op5_sharding, op6_exact_dedup, op7_chat_perspectives, op8_mixing, op9_best_fit_packing, op10_simhash_near_dedup, op11_token_ids, op12_source_divergence, op13_conversation_repair, chat_dialogues)}
 
 
 def oracle_sql() -> dict[str, str]:

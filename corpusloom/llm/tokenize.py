@@ -48,6 +48,61 @@ def ranks(settings: dict) -> dict[bytes, int] | None:
     return {bytes(of[c] for c in token): i for token, i in model["vocab"].items() if token not in added}
 
 
+@lru_cache(maxsize=1)
+def spaced(path: str) -> SpacedEncoder:
+    """The Python worker's own encoder by words, kept from task to task."""
+    return SpacedEncoder(path)
+
+
+class SpacedEncoder:
+    """many(texts): the ids of each, as bytes (little-endian unsigned 32-bit), as encode(text, add_special_tokens=False) of the tokenizers
+    library gives them.
+
+    A tokenizer that drops white space and never lets a word reach over it encodes words by themselves; so each distinct word
+    is given to the library once, and what it returns is put together again. A sign that ends a word and stands before a space is
+    a word of its own. Texts that hold an added token, and all texts under other tokenizers, are given to the library whole.
+    """
+
+    #: The steps before and the words of a tokenizer that drops white space.
+    STEPS = ["NFC", "Replace", "Lowercase"]
+    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    #: A sign after a letter and before a space: a place where PATTERN always cuts.
+    SIGN = re.compile("(?<=[A-Za-z0-9À-ÖØ-öø-ÿ])[.,;:!?](?=[ \n])")
+    #: Words remembered at most; then all are forgotten.
+    MOST = 400_000
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            settings = json.load(f)
+        before, cuts = (settings["normalizer"] or {}).get("normalizers", []), (settings["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        added = settings["added_tokens"]
+        self.cuts = (
+            [x["type"] for x in before] == self.STEPS and before[1]["pattern"] == {"Regex": r"\s+"} and before[1]["content"] == " "
+            and cuts[0].get("type") == "Split" and cuts[0]["pattern"] == {"Regex": self.PATTERN} and cuts[0]["behavior"] == "Removed" and cuts[0]["invert"]
+            and not settings["truncation"] and not settings["padding"] and not any(a["single_word"] or a["lstrip"] or a["rstrip"] or " " in a["content"] for a in added)
+        )
+        self.added = re.compile("|".join(re.escape(a["content"]) for a in added) or r"(?!)")
+        self.known: dict[str, bytes] = {}
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def many(self, texts: list[str]) -> list[bytes]:
+        if not self.cuts:
+            return self._whole(texts)
+        words = [None if self.added.search(t) else self.SIGN.sub(r" \g<0>", t).replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
+        if len(self.known) > self.MOST:
+            self.known = {}
+        new = [w for w in set().union(*(w for w in words if w)) if w not in self.known]
+        self.known.update(zip(new, self._whole(new), strict=True))
+        return [self._whole([t])[0] if w is None else b"".join(map(self.known.__getitem__, w)) for t, w in zip(texts, words, strict=True)]
+
+
 class Encoder:
     """ids(text): what Tokenizer.encode(text, add_special_tokens=False).ids is for the tokenizer file at `path`.
 
