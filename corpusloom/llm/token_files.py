@@ -14,8 +14,8 @@ from corpusloom.llm.common import released, stored
 
 #: The first and the last bytes of a file.
 MAGIC = b"IDBITS01"
-#: Ids of a block (a multiple of eight: blocks end at a byte) and bytes of packed ids that a file is made for.
-BLOCK, FILE_BYTES, LEAST_FILES = 8192, 64 << 20, 8
+#: Ids of a block (a multiple of eight: blocks end at a byte), bytes of text that a file is made for, and files at least.
+BLOCK, FILE_BYTES, LEAST_FILES = 8192, 128 << 20, 32
 #: Documents are read in runs of about this many ids.
 RUN = 1 << 20
 _HEAD = np.dtype([("magic", "S8"), ("bits", "<u4"), ("block", "<u4")])
@@ -131,43 +131,26 @@ class Reader:
         self.file.close()
 
 
-def _encoded(vocabulary: str, end_id: int, bits: int):
-    """Of rows (key, tie, row, text): the same with the ids of the text and the end id, packed."""
+def _written(folder: str, vocabulary: str, bits: int, end_id: int):
+    """Encodes a task's rows (key, text; in order), writes them as one file and returns what is in it. A second attempt of a task
+    writes a file of its own; only that of the attempt whose row Spark commits is ever read."""
 
     def run(batches):
         import pyarrow as pa
+        from pyspark import TaskContext
 
         from corpusloom.llm.tokenize import spaced
 
-        words = spaced(vocabulary)
-        end = np.array([end_id], "<u4").tobytes()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                found = [np.frombuffer(x + end, "<u4") for x in words.many(part.column(3).to_pylist())]
-                arrays = [*part.columns[:3], pa.array([len(x) for x in found], pa.int64()), pa.array([pack(x, bits) for x in found], pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, names=["key", "tie", "row", "n", "ids"])
-
-    return run
-
-
-def _written(folder: str, bits: int):
-    """Writes a task's rows (key, n, ids; in order) as one file and returns what is in it. A second attempt of a task writes a
-    file of its own; only that of the attempt whose row Spark commits is ever read."""
-
-    def run(batches):
-        import pyarrow as pa
-        from pyspark import TaskContext
-
+        words, end = spaced(vocabulary), np.array([end_id], "<u4").tobytes()
         part = TaskContext.get().partitionId()
         path, writer, keys = f"{folder.rstrip('/')}/ids-{part:07d}-{uuid.uuid4().hex}.bin", None, []
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            writer = writer or Writer(path, bits)
-            keys.append(batch.column(0))
-            for n, data in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
-                writer.add(unpack(data.as_buffer(), bits, n))
+            for at in range(0, batch.num_rows, 200):
+                some = batch.slice(at, 200)
+                writer = writer or Writer(path, bits)
+                keys.append(some.column(0))
+                for ids in words.many(some.column(1).to_pylist()):
+                    writer.add(np.frombuffer(ids + end, "<u4"))
         if writer:
             writer.close(pa.chunked_array(keys))
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "file": [path], "docs": [len(writer.ends)], "ids": [writer.ids]})
@@ -181,21 +164,17 @@ def write(docs: DataFrame, folder: str, vocabulary: str, size: int, end_id: int,
 
     `vocabulary`: a tokenizer file's path; `size`: how many ids there are, which sets the bits of each. Documents lie in ascending
     order of id (null first; equal ids by a hash of the text; equal rows in any order), each followed by `end_id`. Null text: the end id
-    alone. Empty input: no files. Texts are encoded where they are read; the packed ids are sorted into ranges, one file each. Rows
-    that share an id are spread over files as any others.
+    alone. Empty input: no files. Texts are sorted into ranges, one file each, and encoded there: they are shuffled once and nothing
+    else is stored. Rows that share an id are spread over files as any others.
     """
-    bits = width(size)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("key"), F.xxhash64(text).alias("tie"), F.monotonically_increasing_id().alias("row"), text.alias("t"))
-    kind = rows.schema["key"].dataType.simpleString()
-    encoded = stored(rows.mapInArrow(_encoded(vocabulary, end_id, bits), f"key {kind}, tie long, row long, n long, ids binary"))
-    total = encoded.agg(F.sum("n")).first()[0] or 0
+    total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     by = ["key", "tie", "row"]
-    ranges = encoded.repartitionByRange(max(LEAST_FILES, -(-total * bits // (8 * file_bytes))), *by).sortWithinPartitions(*by).select("key", "n", "ids")
-    files = ranges.mapInArrow(_written(folder, bits), "part int, file string, docs long, ids long")
+    ranges = rows.repartitionByRange(max(LEAST_FILES, -(-total // file_bytes)), *by).sortWithinPartitions(*by).select("key", "t")
+    files = ranges.mapInArrow(_written(folder, vocabulary, width(size), end_id), "part int, file string, docs long, ids long")
     before = F.coalesce(F.sum("ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     found = stored(files)  # a row for each file
-    released(encoded)
     found.withColumn("start", before).write.parquet(f"{folder.rstrip('/')}/files")
     released(found)
     return docs.sparkSession.read.parquet(f"{folder.rstrip('/')}/files")
