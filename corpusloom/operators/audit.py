@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import strip
+from corpusloom.functions.text import matching_globs, strip
 
 
 def statistics(chunks: DataFrame, budget: int) -> DataFrame:
@@ -46,6 +46,11 @@ def per_document(chunks: DataFrame, budget: int) -> DataFrame:
     )
 
 
+def heading_matches(summary: DataFrame, globs: list[str]) -> DataFrame:
+    """heading_summary() with matched_by: the patterns that exclude a heading, in their order."""
+    return summary.withColumn("matched_by", matching_globs(F.col("heading"), globs))
+
+
 def heading_summary(chunks: DataFrame) -> DataFrame:
     """Chunks by their first heading, ignoring case (the first seen is shown): chunks, tokens, documents, share of tokens."""
     h = strip(F.coalesce(F.get("structure.headings", F.lit(0)), F.lit("")))

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import CATEGORIES, bundle_name, estimate_tokens, exploded, identity_header, strip
@@ -24,13 +24,35 @@ def stored(df: DataFrame) -> DataFrame:
         base = tempfile.mkdtemp(prefix="corpusloom-")
     path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _next(sums: np.ndarray, budget: int) -> np.ndarray:
-    """For each document the first one after it that a bundle beginning there no longer holds. sums: prefix sums from 0."""
+#: The folders that stored() has written and that are still there.
+_written: list[str] = []
+
+
+def counted(df: DataFrame, **figures: Column) -> tuple[DataFrame, dict[str, int]]:
+    """stored(), with aggregates of the rows that are taken as they are written (0 where there are none): no second pass."""
+    seen = Observation()
+    out = stored(df.observe(seen, *[F.coalesce(v, F.lit(0)).alias(k) for k, v in figures.items()]))
+    return out, seen.get
+
+
+def cleared(spark: SparkSession) -> None:
+    """Deletes all that stored() has written in this program: for when results have been written elsewhere, as they are read from it."""
+    while _written:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def _next(sums: np.ndarray, budget: int, tiers: np.ndarray) -> np.ndarray:
+    """For each document the first one after it that a bundle beginning there no longer holds. sums: prefix sums from 0; tiers: equal
+    ones stand together, and a bundle ends with its own."""
     n = len(sums) - 1
-    return np.maximum(np.arange(n) + 1, np.searchsorted(sums, sums[:-1] + budget, side="right") - 1)
+    edges = np.append(np.flatnonzero(tiers[1:] != tiers[:-1]) + 1, n)
+    ends = edges[np.searchsorted(edges, np.arange(n), side="right")]
+    return np.minimum(ends, np.maximum(np.arange(n) + 1, np.searchsorted(sums, sums[:-1] + budget, side="right") - 1))
 
 
 #: About how many documents a range of a fold holds.
@@ -49,8 +71,14 @@ def _ends(after: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.append(sums[n] - sums[:n], 0)[last], began
 
 
-def greedy(docs: DataFrame, budget: int, order: list[str], tokens_col: str = "token_estimate") -> DataFrame:
-    """docs with bundle (from 1): documents in order join the open bundle while it fits; one above the budget stands alone.
+def _joining(sums: np.ndarray, first: int, open_: int | None, budget: int) -> int:
+    """How many of a range's documents, `first` at the most, join the bundle that comes in with so many tokens (None: none does)."""
+    return 0 if open_ is None else max(0, min(first, int(np.searchsorted(sums, budget - open_, side="right")) - 1))
+
+
+def greedy(docs: DataFrame, budget: int, order: list[str], tokens_col: str = "token_estimate", tiers: bool = False) -> DataFrame:
+    """docs with bundle (from 1): documents in order join the open bundle while it fits; one above the budget stands alone. With
+    `tiers`, a bundle also ends where the first column of the order changes.
 
     Exact at any size: rows are range-partitioned in order, and each range says, for every document at which the bundle that
     comes in may break off, what stays open at its end and how many bundles began (as many entries as a bundle has documents).
@@ -69,29 +97,38 @@ def greedy(docs: DataFrame, budget: int, order: list[str], tokens_col: str = "to
         names.append("__tie")
     ranged = stored(narrow.repartitionByRange(ranges, *names).withColumn("__r", F.spark_partition_id()))
 
-    def summary(pdf: pd.DataFrame) -> pd.DataFrame:
-        sums = np.concatenate(([0], np.cumsum(pdf.sort_values(names)["__t"].to_numpy())))
-        still, began = _ends(_next(sums, budget), sums)
-        few = int(np.searchsorted(sums, budget, side="right"))
-        return pd.DataFrame({"r": [int(pdf["__r"].iloc[0])], "n": [len(pdf)], "sums": [sums[:few].tolist()], "still": [still[:few].tolist()], "began": [began[:few].tolist()]})
+    def tier(pdf: pd.DataFrame) -> np.ndarray:
+        return pdf["__o0"].astype(str).to_numpy() if tiers else np.zeros(len(pdf), np.int8)
 
-    entries, still, count = {}, None, 0
-    for x in ranged.groupBy("__r").applyInPandas(summary, "r int, n long, sums array<long>, still array<long>, began array<long>").orderBy("r").toLocalIterator():
+    def summary(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(names)
+        of = tier(pdf)
+        sums, first = np.concatenate(([0], np.cumsum(pdf["__t"].to_numpy()))), int((of == of[0]).argmin()) or len(of)
+        still, began = _ends(_next(sums, budget, of), sums)
+        few = min(first + 1, int(np.searchsorted(sums, budget, side="right")))
+        lists = {"sums": [sums[:few].tolist()], "still": [still[:few].tolist()], "began": [began[:few].tolist()]}
+        return pd.DataFrame({"r": [int(pdf["__r"].iloc[0])], "n": [len(pdf)], "first": [first], "opens": [str(of[0])], "closes": [str(of[-1])]} | lists)
+
+    entries, still, count, last = {}, None, 0, None
+    for x in ranged.groupBy("__r").applyInPandas(summary, "r int, n long, first long, opens string, closes string, sums array<long>, still array<long>, began array<long>").orderBy("r").toLocalIterator():
+        still = still if x["opens"] == last else None
         entries[x["r"]] = (still, count)
-        at = 0 if still is None else max(0, int(np.searchsorted(x["sums"], budget - still, side="right")) - 1)
+        at = _joining(x["sums"], x["first"], still, budget)
         if still is not None and at == x["n"]:
             still += x["sums"][at]
         else:
             still, count = x["still"][at], count + x["began"][at]
+        last = x["closes"]
 
     shape = ", ".join(f"{n} {t}" for n, t in ranged.dtypes if n in names) + ", bundle long"
 
     def number(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(names)
         sums = np.concatenate(([0], np.cumsum(pdf["__t"].to_numpy())))
+        of = tier(pdf)
         came, bundle = entries[int(pdf["__r"].iloc[0])]
-        at = 0 if came is None else max(0, int(np.searchsorted(sums, budget - came, side="right")) - 1)
-        begins, after = np.zeros(len(pdf), np.int64), _next(sums, budget)
+        at = _joining(sums, int((of == of[0]).argmin()) or len(of), came, budget)
+        begins, after = np.zeros(len(pdf), np.int64), _next(sums, budget, of)
         while at < len(pdf):  # a step for each bundle
             begins[at] = 1
             at = after[at]
@@ -122,14 +159,10 @@ def split_at_headings(docs: DataFrame, target: int, level: int = 2) -> DataFrame
 
 
 def tiered(docs: DataFrame, budget: int, order: list[str], category_col: str = "category") -> DataFrame:
-    """Greedy bundles of each category, in the fixed order of categories, numbered through."""
-    before, out = 0, None
-    for name in CATEGORIES:
-        part = greedy(docs.filter(F.col(category_col) == name), budget, order)
-        part = part.withColumn("bundle", F.col("bundle") + before)
-        out = part if out is None else out.unionByName(part)
-        before = part.agg(F.max("bundle")).first()[0] or before
-    return out
+    """Greedy bundles of each category, in the fixed order of categories, numbered through: one fold over all of them."""
+    tier = F.array_position(F.array(*[F.lit(c) for c in CATEGORIES]), F.col(category_col)).cast("int")
+    rows = docs.withColumn("__tier", tier).filter("__tier > 0")
+    return greedy(rows, budget, ["__tier", *order], tiers=True).drop("__tier")
 
 
 def summary(bundled: DataFrame, budget: int, bytes_col: str) -> DataFrame:

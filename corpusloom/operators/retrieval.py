@@ -18,7 +18,7 @@ _BARE = [unicodedata.normalize("NFD", c)[0].lower() for c in _MARKED]
 _MARKS = "[\u0300-\u036f]+"
 #: BM25: saturation and length normalisation of the reference's index, its least idf, and the fusion's offset.
 K1, B, LEAST_IDF, FUSION = 1.2, 0.75, 1e-6, 60
-#: Searches by many queries: rows and queries in a block at about most, and the least number of blocks of rows.
+#: Vector searches by many queries: rows and queries in a block at about most, and the least number of blocks of rows.
 BLOCK_ROWS, BLOCK_QUERIES, BLOCKS = 16384, 2048, 16
 
 
@@ -113,15 +113,38 @@ def top(scored: DataFrame, k: int, best_first: Column, most: int = 100) -> DataF
     return scored.orderBy(best_first, "id").limit(k).withColumn("rank", F.row_number().over(Window.orderBy(best_first, "id")))
 
 
+def dense_embedding(docs: DataFrame, id_col: str, text_col: str, dims: int = 256) -> DataFrame:
+    """id, v: what hash_embedding() gives, as one array a row; zeros for a text without words. No shuffle."""
+    id_type = docs.schema[id_col].dataType.simpleString()
+    words = F.array_remove(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), WS + "+"), "")
+
+    def embed(batches):
+        import hashlib
+
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            lists = batch.column("w")
+            flat = lists.flatten().dictionary_encode()
+            digests = [hashlib.md5(w.encode(), usedforsecurity=False).digest() for w in flat.dictionary.to_pylist()]
+            places = np.array([int.from_bytes(d[:4], "little") % dims for d in digests], np.int64)
+            signs = np.array([1.0 if d[4] % 2 else -1.0 for d in digests])
+            m, at = np.zeros((len(batch), dims)), np.repeat(np.arange(len(batch)), np.diff(lists.offsets.to_numpy()))
+            if len(digests):
+                codes = flat.indices.to_numpy()
+                np.add.at(m, (at, places[codes]), signs[codes])
+            norms = np.sqrt((m * m).sum(axis=1, keepdims=True))
+            values = pa.array((m / np.where(norms > 0, norms, 1)).ravel())
+            v = pa.ListArray.from_arrays(pa.array(np.arange(0, len(values) + 1, dims, dtype=np.int32)), values)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), v], names=["id", "v"])
+
+    return docs.select(F.col(id_col).alias("id"), words.alias("w")).mapInArrow(embed, f"id {id_type}, v array<double>")
+
+
 def hash_embedding(docs: DataFrame, id_col: str, text_col: str, dims: int = 256) -> DataFrame:
-    """id, dim, value: each lower-case word adds or takes one at a place that its MD5 gives; rows of a unit length."""
-    w = F.array_remove(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), WS + "+"), "")
-    rows = exploded(docs, w, F.col(id_col).alias("id"), each="w").withColumn("h", F.md5(F.col("w").cast("binary")))
-    four = F.concat(*[F.substring("h", i, 2) for i in (7, 5, 3, 1)])
-    rows = rows.select("id", (F.conv(four, 16, 10).cast("long") % dims).cast("int").alias("dim"), F.when(F.conv(F.substring("h", 9, 2), 16, 10).cast("int") % 2 == 1, 1).otherwise(-1).alias("s"))
-    sums = rows.groupBy("id", "dim").agg(F.sum("s").alias("s")).filter("s <> 0")
-    norm = F.sqrt(F.sum(F.col("s") * F.col("s")).over(Window.partitionBy("id")))  # `dims` rows at most
-    return sums.select("id", "dim", (F.col("s") / norm).alias("value"))
+    """id, dim, value: each lower-case word adds or takes one at a place that its MD5 gives; rows of a unit length, zeros left out."""
+    return exploded(dense_embedding(docs, id_col, text_col, dims), F.col("v"), "id", at="dim", each="value").filter("value <> 0")
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -142,27 +165,19 @@ def _dealt(df: DataFrame, id_col: str, vector_col: str, blocks: int, block: str)
     return df.select(F.col(id_col).alias("id"), v.alias("v"), F.pmod(F.xxhash64(F.col(id_col), v), F.lit(blocks)).cast("int").alias(block))
 
 
-def vector_search_all(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vector_col: str, most: int = 100) -> DataFrame:
-    """query, id, score, rank: the k rows (1 to `most`) nearest to each query by cosine, exactly; ties by id.
+def unit(column):
+    """Vectors (an Arrow column of lists) as rows of length 1; null ones and those of length zero as zeros."""
+    import numpy as np
 
-    Both are dealt into blocks by hash; each pair of blocks is one group, which keeps k rows a query, and these are merged.
-    Queries of one id count apart if their vectors differ. Null vectors and those of length zero have the score 0.
-    """
-    k = max(1, min(most, k))
-    id_type = vectors.schema[id_col].dataType.simpleString()
-    n_rows, n_queries = max(BLOCKS, -(-vectors.count() // BLOCK_ROWS)), max(1, -(-queries.count() // BLOCK_QUERIES))
-    rows = _dealt(vectors, id_col, vector_col, n_rows, "i").withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))))
-    asked = _dealt(queries, id_col, vector_col, n_queries, "j").dropDuplicates().withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n_rows - 1))))
-    asked = asked.withColumn("h", F.xxhash64("v"))
+    lists = column.to_pylist()
+    width = max((len(x) for x in lists if x), default=0)
+    m = np.array([x or [0.0] * width for x in lists], np.float64).reshape(len(lists), width)
+    norms = np.sqrt((m * m).sum(axis=1, keepdims=True))
+    return m / np.where(norms > 0, norms, 1)
 
-    def unit(column):
-        import numpy as np
 
-        lists = column.to_pylist()
-        width = max((len(x) for x in lists if x), default=0)
-        m = np.array([x or [0.0] * width for x in lists], np.float64).reshape(len(lists), width)
-        norms = np.sqrt((m * m).sum(axis=1, keepdims=True))
-        return m / np.where(norms > 0, norms, 1)
+def nearest(k: int):
+    """Of a block of rows (id, v) and one of queries (id, v, h): the k best rows of each query."""
 
     def nearest(left, right):
         import numpy as np
@@ -189,7 +204,23 @@ def vector_search_all(vectors: DataFrame, queries: DataFrame, k: int, id_col: st
         of_id = left.schema.field("id").type
         return pa.table({"query": pa.array(out["query"], of_id), "h": pa.array(out["h"], pa.int64()), "id": pa.array(out["id"], of_id), "score": pa.array(out["score"], pa.float64())})
 
-    best = rows.groupBy("i", "j").cogroup(asked.groupBy("i", "j")).applyInArrow(nearest, f"query {id_type}, h long, id {id_type}, score double")
+    return nearest
+
+
+def vector_search_all(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vector_col: str, most: int = 100) -> DataFrame:
+    """query, id, score, rank: the k rows (1 to `most`) nearest to each query by cosine, exactly; ties by id.
+
+    Both are dealt into blocks by hash; each pair of blocks is one group, which keeps k rows a query, and these are merged.
+    Queries of one id count apart if their vectors differ. Null vectors and those of length zero have the score 0.
+    """
+    k = max(1, min(most, k))
+    id_type = vectors.schema[id_col].dataType.simpleString()
+    n_rows, n_queries = max(BLOCKS, -(-vectors.count() // BLOCK_ROWS)), max(1, -(-queries.count() // BLOCK_QUERIES))
+    rows = _dealt(vectors, id_col, vector_col, n_rows, "i").withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))))
+    asked = _dealt(queries, id_col, vector_col, n_queries, "j").dropDuplicates().withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n_rows - 1))))
+    asked = asked.withColumn("h", F.xxhash64("v"))
+
+    best = rows.groupBy("i", "j").cogroup(asked.groupBy("i", "j")).applyInArrow(nearest(k), f"query {id_type}, h long, id {id_type}, score double")
     place = F.row_number().over(Window.partitionBy("query", "h").orderBy(F.col("score").desc(), F.col("id").asc_nulls_last()))
     return best.withColumn("rank", place).filter(F.col("rank") <= k).drop("h")
 

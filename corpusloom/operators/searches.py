@@ -1,13 +1,14 @@
-"""Searches by many queries at once, exactly: blocks of rows meet blocks of queries, and the best of each are merged."""
+"""Searches by many queries at once, exactly: keywords from the stored index, vectors by blocks, and both together."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import WS, exploded
+from corpusloom.functions.text import exploded
+from corpusloom.operators import index
 from corpusloom.operators.bundling import stored
-from corpusloom.operators.retrieval import B, BLOCK_QUERIES, BLOCK_ROWS, BLOCKS, FUSION, K1, LEAST_IDF, terms, vector_search_all
+from corpusloom.operators.retrieval import FUSION, dense_embedding, terms, vector_search_all
 
 
 def frequent_terms(docs: DataFrame, id_col: str, text_col: str, n: int, least: int) -> DataFrame:
@@ -25,94 +26,29 @@ def _ranked(scored: DataFrame, k: int, best_first: Column) -> DataFrame:
     return scored.withColumn("rank", place).filter(F.col("rank") <= k)
 
 
-def bm25_all(docs: DataFrame, queries: DataFrame, k: int, id_col: str, text_col: str, most: int = 100) -> DataFrame:
+def as_parts(queries: DataFrame) -> DataFrame:
+    """query and parts, as index.search() takes them, of query and terms (array; nulls are left out)."""
+    return queries.select("query", F.transform(F.filter("terms", lambda t: t.isNotNull()), lambda t: F.array(t)).alias("parts"))
+
+
+def frequent_pairs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """query and parts: of each document the two neighbouring terms it has most often (ties: the first by code point), as a phrase."""
+    w = terms(F.coalesce(F.col(text_col), F.lit("")))
+    rows = exploded(docs.select(F.col(id_col).alias("query"), w.alias("w")), F.arrays_zip(F.slice("w", 1, F.greatest(F.lit(0), F.size("w") - 1)).alias("a"), F.slice("w", 2, F.size("w")).alias("b")), "query", each="p")
+    counts = rows.groupBy("query", F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.col("n").desc(), "a", "b"))
+    return counts.withColumn("k", place).filter("k = 1").select("query", F.array(F.array("a", "b")).alias("parts"))
+
+
+def bm25_all(docs: DataFrame, queries: DataFrame, k: int, id_col: str, text_col: str, most: int = 100, file_col: str | None = None) -> DataFrame:
     """query, id, score, rank: for each query the k documents (1 to `most`) that hold all of its terms with the best BM25
     (more negative: better; rounded to nine places), ties by id.
 
     queries: query, terms (array of strings as terms() gives them; repeats count once, rows of one query are put together,
-    those without a term find nothing). Null texts have no terms. Documents of one id are documents each. Document
-    frequencies are counted over all documents first; each pair of blocks is one group, which keeps k documents a query.
+    those without a term find nothing). Null texts have no terms. Documents of one id are documents each. An index is
+    built for this search; index.build() makes one for many.
     """
-    k = max(1, min(most, k))
-    id_type, query_type = docs.schema[id_col].dataType.simpleString(), queries.schema["query"].dataType.simpleString()
-    rows = stored(docs.select(F.col(id_col).alias("id"), terms(F.coalesce(F.col(text_col), F.lit(""))).alias("w")))
-    asked = stored(exploded(queries, F.array_distinct("terms"), "query", each="term").select("query", "term").filter("term is not null").distinct())
-    found = exploded(rows, F.array_distinct("w"), each="term").groupBy("term").agg(F.count("*").alias("df"))
-    stats = rows.agg(F.count("*").alias("n_docs"), F.avg(F.size("w")).alias("avgdl")).first()  # two numbers
-    idf = F.log((F.lit(stats["n_docs"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighed = asked.join(found, "term", "left").withColumn("idf", F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf))
-    weighed = weighed.groupBy("query").agg(F.collect_list(F.struct("term", F.coalesce("idf", F.lit(0.0)).alias("idf"))).alias("terms"))
-    weighed = stored(weighed)
-    n_rows, n_queries = max(BLOCKS, -(-stats["n_docs"] // BLOCK_ROWS)), max(1, -(-weighed.count() // BLOCK_QUERIES))
-    block = lambda n, *c: F.pmod(F.xxhash64(*c), F.lit(n)).cast("int")
-    left = rows.withColumn("i", block(n_rows, "id", "w")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))))
-    right = weighed.withColumn("j", block(n_queries, "query")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n_rows - 1))))
-    mean = stats["avgdl"] or 1.0
-
-    def best(left, right):
-        import numpy as np
-        import pyarrow as pa
-
-        left = left.combine_chunks().sort_by([("id", "ascending")])
-        out = {"query": [], "id": [], "score": []}
-        if len(left) and len(right):
-            ids, lists = left.column("id").to_pylist(), left.column("w").combine_chunks()
-            lengths = np.diff(lists.offsets.to_numpy()).astype(np.int64)
-            coded = lists.flatten().dictionary_encode()
-            code_of = {w: c for c, w in enumerate(coded.dictionary.to_pylist())}
-            # A posting is a term's code and a document's place in one number, so that sorting them makes the index.
-            pairs, counts = np.unique(coded.indices.to_numpy().astype(np.int64) * len(ids) + np.repeat(np.arange(len(ids)), lengths), return_counts=True)
-            of_term, of_doc = pairs // len(ids), pairs % len(ids)
-            part = counts * (K1 + 1) / (counts + K1 * (1 - B + B * lengths[of_doc] / mean))
-            cuts = np.searchsorted(of_term, np.arange(len(code_of) + 1))
-            for query, wanted in zip(right.column("query").to_pylist(), right.column("terms").to_pylist(), strict=True):
-                codes = [code_of.get(t["term"]) for t in wanted]
-                if None in codes:
-                    continue
-                held, scores = np.zeros(len(ids), np.int64), np.zeros(len(ids))
-                for c, t in zip(codes, wanted, strict=True):
-                    span = slice(cuts[c], cuts[c + 1])
-                    held[of_doc[span]] += 1
-                    scores[of_doc[span]] -= t["idf"] * part[span]
-                hits = np.flatnonzero(held == len(wanted))
-                value = np.round(scores[hits], 9)
-                order = np.argsort(value, kind="stable")[:k]  # rows are in the order of ids
-                out["query"] += [query] * len(order)
-                out["id"] += [ids[x] for x in hits[order]]
-                out["score"] += value[order].tolist()
-        return pa.table({"query": pa.array(out["query"], right.schema.field("query").type), "id": pa.array(out["id"], left.schema.field("id").type), "score": pa.array(out["score"], pa.float64())})
-
-    pairs = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(best, f"query {query_type}, id {id_type}, score double")
-    return _ranked(pairs, k, F.col("score").asc())
-
-
-def dense_embedding(docs: DataFrame, id_col: str, text_col: str, dims: int = 256) -> DataFrame:
-    """id, v: what hash_embedding() gives, as one array a row, without a shuffle; zeros for a text without words."""
-    id_type = docs.schema[id_col].dataType.simpleString()
-    words = F.array_remove(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), WS + "+"), "")
-
-    def embed(batches):
-        import hashlib
-
-        import numpy as np
-        import pyarrow as pa
-
-        for batch in batches:
-            lists = batch.column("w")
-            flat = lists.flatten().dictionary_encode()
-            digests = [hashlib.md5(w.encode(), usedforsecurity=False).digest() for w in flat.dictionary.to_pylist()]
-            places = np.array([int.from_bytes(d[:4], "little") % dims for d in digests], np.int64)
-            signs = np.array([1.0 if d[4] % 2 else -1.0 for d in digests])
-            m, at = np.zeros((len(batch), dims)), np.repeat(np.arange(len(batch)), np.diff(lists.offsets.to_numpy()))
-            if len(digests):
-                codes = flat.indices.to_numpy()
-                np.add.at(m, (at, places[codes]), signs[codes])
-            norms = np.sqrt((m * m).sum(axis=1, keepdims=True))
-            values = pa.array((m / np.where(norms > 0, norms, 1)).ravel())
-            v = pa.ListArray.from_arrays(pa.array(np.arange(0, len(values) + 1, dims, dtype=np.int32)), values)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), v], names=["id", "v"])
-
-    return docs.select(F.col(id_col).alias("id"), words.alias("w")).mapInArrow(embed, f"id {id_type}, v array<double>")
+    return index.search(index.build(docs, id_col, text_col, file_col), as_parts(queries), k, most)
 
 
 def hybrid_all(docs: DataFrame, queries: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:

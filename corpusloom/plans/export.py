@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import _EACH, document_id, estimate_tokens, exploded, identity_header, strip, table_cell, word_count
+from corpusloom.functions.text import _EACH, CATEGORIES, ESTIMATOR, bundle_name, document_id, estimate_tokens, exploded, identity_header, strip, table_cell, word_count
 from corpusloom.operators.bundling import stored
 from corpusloom.operators.chunking import Settings, chunk_array, heading_paths, overlap
+from corpusloom.sources.connect import registered
 
 #: What stands between documents in a bundle: a fixed value.
 DIVIDER = "\n\n<!-- ================================================== -->\n\n"
@@ -28,12 +31,13 @@ def manifest_totals(rows: DataFrame) -> DataFrame:
 
 
 def chunk_records(docs: DataFrame, s: Settings, overlap_tokens: int = 0, path_mode: str = "off") -> DataFrame:
-    """docs (doc_id, source_file, source_path, body): a row per chunk as it is exported. Paths are those of the chunks before
-    they overlap; the estimate is that of the final text. A blank body still gives one empty chunk."""
+    """docs (doc_id, source_file, source_path, body and, of case records, metadata): a row per chunk as it is exported. Paths are those
+    of the chunks before they overlap; the estimate is that of the final text. A blank body still gives one empty chunk."""
+    more = ["metadata"] if "metadata" in docs.columns else []
     d = docs.withColumn("__c", chunk_array(strip(F.coalesce("body", F.lit(""))), s)).withColumn("__p", heading_paths(F.transform("__c", lambda c: c["text"])))
     empty = F.array(F.struct(F.lit("").alias("text"), F.lit("").alias("reason")))
     d = d.withColumn("__o", F.when(F.size("__c") == 0, empty).otherwise(overlap(F.col("__c"), overlap_tokens)))
-    rows = exploded(d, F.col("__o"), "doc_id", "source_file", "source_path", "__p", each="__t")
+    rows = exploded(d, F.col("__o"), "doc_id", "source_file", "source_path", *more, "__p", each="__t")
     crumb = F.array_join(F.coalesce(F.get("__p", F.col("__i")), F.array().cast("array<string>")), " > ")
     text = F.col("__t.text")
     if path_mode in ("prefix", "both"):
@@ -41,13 +45,69 @@ def chunk_records(docs: DataFrame, s: Settings, overlap_tokens: int = 0, path_mo
     out = rows.withColumn("text", text).withColumn("heading_path", crumb)
     chunk_id = F.concat("doc_id", F.lit("__c"), F.when(F.col("__i") < 999, F.lpad((F.col("__i") + 1).cast("string"), 3, "0")).otherwise((F.col("__i") + 1).cast("string")))
     columns = [chunk_id.alias("chunk_id"), "doc_id", "source_file", "source_path", "text", estimate_tokens(F.col("text")).alias("token_estimate")]
-    return out.select(*columns, *(["heading_path"] if path_mode in ("metadata", "both") else []))
+    return out.select(*columns, *(["heading_path"] if path_mode in ("metadata", "both") else []), *more)
 
 
 def json_lines(rows: DataFrame) -> DataFrame:
     return rows.select(F.to_json(F.struct(*rows.columns)).alias("value"))
 
 
+def manifest_entry(rows: DataFrame, doc_id: str) -> DataFrame:
+    """The manifest's row of a document; no rows for an unknown one."""
+    return rows.filter(F.col("doc_id") == doc_id)
+
+
+#: The columns of a manifest file: fixed values.
+MANIFEST = ("doc_id", "source_file", "source_path", "original_extension", "file_type", "status", "token_estimate", "char_count", "word_count", "notes", "output_bundle")
+
+
+def _thousands(n: Column) -> Column:
+    return F.format_number(n, 0)
+
+
+def _in_order(rows: DataFrame) -> DataFrame:
+    """By document, whose ids grow longer with their numbers: sorted into ranges, so that tasks write one after another's part."""
+    return rows.orderBy(F.length(F.regexp_extract("doc_id", r"^[^_]*_[^_]*", 0)), "doc_id")
+
+
+def write_manifest(rows: DataFrame, folder: str, project: str, target: str, mode: str) -> None:
+    """The manifest as manifest.csv, manifest.json and 01_SOURCE_MANIFEST.md, each one file in the order of documents, whose rows
+    tasks write."""
+    registered(rows.sparkSession)
+    bundle = F.col("output_bundle") if "output_bundle" in rows.columns else F.lit(None).cast("string")
+    rows = _in_order(rows.withColumn("output_bundle", F.coalesce(bundle, F.lit(""))).select(*MANIFEST))
+    put = lambda df, name, **options: df.write.format("corpus_file").options(**options).mode("overwrite").save(f"{folder}/{name}")
+    put(rows.select(F.to_csv(F.struct(*MANIFEST), {"escape": '"'}).alias("value")), "manifest.csv", head=",".join(MANIFEST) + "\n", tail="\n")
+    said = {"project_name": project, "target": target, "mode": mode, "token_estimator": ESTIMATOR}
+    put(rows.select(F.concat(F.lit("    "), F.to_json(F.struct(*MANIFEST))).alias("value")), "manifest.json", head=json.dumps(said, ensure_ascii=False)[:-1] + ', "entries": [\n', between=",\n", tail="\n]}\n")
+    c = rows.agg(F.count("*").alias("n"), *[F.count_if(F.col("status") == x).alias(x) for x in ("ok", "skipped", "failed")], F.coalesce(F.sum("token_estimate"), F.lit(0)).alias("t")).first()  # five numbers
+    # The labels of the head and of the columns.
+    head = [f"# Source Manifest — {project}", "", f"- **Target:** {target}", f"- **Mode:** {mode}", f"- **Token estimator backend:** {ESTIMATOR}", f"- **Total documents:** {c['n']}", f"- **OK:** {c['ok']}  |  **Skipped:** {c['skipped']}  |  **Failed:** {c['failed']}", f"- **Estimated total tokens:** {c['t']:,}", ""]
+    names = ("DOC_ID", "Source File", "Path", "Type", "Status", "Tokens", "Chars", "Words", "Bundle", "Notes")
+    cells = ["doc_id", "source_file", "source_path", "file_type", "status", *[_thousands(F.col(x)) for x in ("token_estimate", "char_count", "word_count")], *[F.when(F.col(x) == "", "-").otherwise(F.col(x)) for x in ("output_bundle", "notes")]]
+    line = F.concat(F.lit("| "), F.array_join(F.array(*[table_cell(F.col(x) if isinstance(x, str) else x) for x in cells]), " | "), F.lit(" |"))
+    rule = "| " + " | ".join(names) + " |\n| " + " | ".join(["---"] * len(names)) + " |\n"
+    put(rows.select(line.alias("value")), "01_SOURCE_MANIFEST.md", head="\n".join(head) + "\n" + rule, tail="\n")
+
+
+def write_overview(rows: DataFrame, packed: DataFrame, folder: str, project: str) -> None:
+    """00_CORPUS_OVERVIEW.md: each document that is ok with its tokens and bundle file and, where packed has category, its tier, after the
+    counts of the tiers. packed: doc_id, output_bundle and perhaps category."""
+    registered(rows.sparkSession)
+    tiers = "category" in packed.columns
+    joined = _in_order(rows.filter("status = 'ok'").drop("output_bundle").join(packed, "doc_id", "left"))
+    c = joined.agg(F.count("*").alias("n"), F.count_distinct("output_bundle").alias("b"), F.coalesce(F.sum("token_estimate"), F.lit(0)).alias("t")).first()  # three numbers
+    head = [f"# Corpus Overview — {project}", "", f"- **Documents:** {c['n']}", f"- **Bundles:** {c['b']}", f"- **Estimated total tokens:** {c['t']:,}", "", "Look a document up here, then open the bundle file that it names.", ""]
+    if tiers:
+        counts = {r[0]: r[1] for r in joined.groupBy("category").count().collect()}  # a row for each category
+        head += ["**Tiers, the highest authority first:**", "", *[f"- {k}: {counts[k]} document(s)" for k in (*CATEGORIES, None) if k in counts], ""]
+    names = ("DOC_ID", "Source File", *(("Tier",) if tiers else ()), "Tokens", "Bundle")
+    cells = [F.col("doc_id"), F.col("source_file"), *([F.coalesce("category", F.lit("-"))] if tiers else []), _thousands(F.col("token_estimate")), F.coalesce("output_bundle", F.lit("-"))]
+    line = F.concat(F.lit("| "), F.array_join(F.array(*map(table_cell, cells)), " | "), F.lit(" |"))
+    rule = "| " + " | ".join(names) + " |\n| " + " | ".join(["---"] * len(names)) + " |\n"
+    joined.select(line.alias("value")).write.format("corpus_file").options(head="\n".join(head) + "\n" + rule, tail="\n").mode("overwrite").save(f"{folder}/00_CORPUS_OVERVIEW.md")
+
+
 def source_map(records: DataFrame) -> DataFrame:
     # Ids of one document differ in their number alone: the longer is the later.
     ids = F.transform(F.array_sort(F.collect_list(F.struct(F.length("chunk_id").alias("n"), F.col("chunk_id").alias("id")))), lambda x: x["id"])
@@ -70,7 +130,7 @@ def overview_tiers(rows: DataFrame, bundles: DataFrame) -> DataFrame:
 
 
 #: Chunk records as they are written, one JSON object a line.
-RECORD = "chunk_id string, doc_id string, source_file string, source_path string, text string, token_estimate int, heading_path string"
+RECORD = "chunk_id string, doc_id string, source_file string, source_path string, text string, token_estimate int, heading_path string, metadata map<string,string>"
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
@@ -86,7 +146,7 @@ INSTRUCTIONS = {
     "claude": "Add the {parts} bundle files of {project} as project knowledge. Have answers rest on the {documents} documents in them, quoted with DOC_ID and SOURCE_FILE.",
     "generic": "Paste or attach the {parts} bundle files of {project}, one at a time if space is short. Each document opens with its DOC_ID, to be cited.",
     "rag": "Load chunks_jsonl ({parts} records of {documents} documents) into the index. Keep chunk_id and doc_id with each vector; source_map leads back to the documents.",
-    "cowork": "Query the tables postings, lengths and vectors of {project} with the functions of operators/retrieval.py; {parts} chunks of {documents} documents are in them.",
+    "cowork": "Load the folder index of {project} with operators/index.py and the table vectors with operators/vectors.py; {parts} chunks of {documents} documents are in them.",
 }
 #: What matters where an export goes.
 ADVICE = {
@@ -110,24 +170,32 @@ def rendered(header: Column, body: Column) -> Column:
     return F.concat(header, F.lit("\n"), F.rtrim(body, F.lit(_EACH)), F.lit("\n"))
 
 
-def bundle_heads(docs: DataFrame, budget: int) -> DataFrame:
+def bundle_heads(docs: DataFrame, budget: int, project: str = "") -> DataFrame:
     """bundle, place (before all documents) and the lines that open each bundle's file. A bundle's list of ids is as short as
     its budget."""
     ids = F.transform(F.sort_array(F.collect_list(F.struct("place", "doc_id"))), lambda x: x["doc_id"])
     by = docs.groupBy("bundle").agg(F.count("*").alias("n"), F.sum("token_estimate").alias("t"), F.array_join(ids, ", ").alias("ids"))
-    lines = [("Bundle", F.col("bundle")), ("Estimated tokens", F.col("t")), ("Token budget", F.lit(budget)), ("Documents in bundle", F.col("n")), ("Included DOC_IDs", F.col("ids"))]
-    items = F.concat_ws("\n", *[F.concat(F.lit(f"- **{k}:** "), v.cast("string")) for k, v in lines])
+    # The labels.
+    lines = [("Bundle", F.col("bundle")), ("Estimated tokens", _thousands(F.col("t"))), ("Token budget", F.lit(f"{budget:,}")), ("Token estimator backend", F.lit(ESTIMATOR)), ("Documents in bundle", F.col("n")), ("Included DOC_IDs", F.col("ids"))]
+    items = F.concat_ws("\n", *[F.concat(F.lit(f"- **{k}:** "), v.cast("string")) for k, v in ([("Project", F.lit(project))] if project else []) + lines])
     cite = "## How to cite\n\nName the `DOC_ID` and the `SOURCE_FILE` of each document that an answer rests on, and quote figures and dates exactly.\n"
     return by.select("bundle", F.lit(0).cast("long").alias("place"), F.concat(F.format_string("# BUNDLE_%03d\n\n", "bundle"), items, F.lit(f"\n\n{cite}")).alias("markdown"))
 
 
-def write_bundles(docs: DataFrame, path: str, budget: int) -> None:
-    """docs (bundle, place, doc_id, token_estimate, markdown) as text, a folder for each bundle, in order; each task writes its
-    own bundles."""
-    parts = docs.select("bundle", "place", F.concat(F.lit(DIVIDER), F.col("markdown")).alias("markdown")).unionByName(bundle_heads(docs, budget))
-    # The writer ends each row with a line end of its own.
-    rows = parts.select("bundle", "place", F.regexp_replace("markdown", r"\n\z", "").alias("value"))
-    rows.repartition("bundle").sortWithinPartitions("bundle", "place").select("bundle", "value").write.mode("overwrite").partitionBy("bundle").text(path)
+def bundle_names(packed: DataFrame) -> DataFrame:
+    """bundle and output_bundle, the name of its file, which depends on how many bundles there are."""
+    bundles = packed.select("bundle").distinct()
+    total = bundles.agg(F.max("bundle").alias("__n"))
+    return bundles.join(F.broadcast(total)).select("bundle", bundle_name(F.col("bundle"), F.col("__n")).alias("output_bundle"))  # one row
+
+
+def write_bundles(docs: DataFrame, path: str, budget: int, project: str = "") -> None:
+    """docs (bundle, place, doc_id, token_estimate, markdown) as a Markdown file for each bundle, by the names of bundle_names(). A task
+    writes whole bundles; files take their names once all tasks are done."""
+    registered(docs.sparkSession)
+    parts = docs.select("bundle", "place", F.concat(F.lit(DIVIDER), F.col("markdown")).alias("value")).unionByName(bundle_heads(docs, budget, project).withColumnRenamed("markdown", "value"))
+    rows = parts.join(bundle_names(docs), "bundle").withColumnRenamed("output_bundle", "name")
+    rows.repartition("name").sortWithinPartitions("name", "place").select("name", "value").write.format("corpus_files").mode("overwrite").save(path)
 
 
 def places(docs: DataFrame, order: list[str]) -> DataFrame:

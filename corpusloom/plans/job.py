@@ -5,15 +5,17 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass, field, fields, replace
 from datetime import datetime
+from functools import reduce
 from pathlib import Path, PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.operators import bundling, chunking, pages, retrieval, rules
+from corpusloom.operators import bundling, chunking, index, pages, retrieval, rules
 from corpusloom.plans import export
 from corpusloom.sources import files, records
+from corpusloom.sources.connect import registered
 
 #: Token budgets by target and mode: fixed values.
 MODES = ("lean", "balanced", "full", "visual_manual")
@@ -181,14 +183,33 @@ class Result:
     guide: str = ""
     assets: DataFrame | None = None
     source: str = ""
+    #: All that is to be told about documents (text); `warnings` has the first of it.
+    notices: DataFrame | None = None
+    profile: Profile | None = None
+    index: index.Index | None = None
 
     def write(self, path: str) -> None:
+        """Tables as folders, and for people: the manifest (CSV, JSON, Markdown), the overview, the instructions and the warnings as one
+        file each, and a file for each bundle."""
+        registered(self.manifest.sparkSession)
+        p = self.profile or Profile("export")
+        project = p.project_name or p.profile_name
+        export.write_manifest(self.manifest, path, project, p.target, p.mode)
+        if self.guide:
+            lines = self.manifest.sparkSession.createDataFrame([(self.guide,)], "value string")
+            lines.write.format("corpus_file").mode("overwrite").save(f"{path}/00_INSTRUCTIONS.md")
+        if self.notices is not None:
+            self.notices.orderBy("text").select(F.col("text").alias("value")).write.format("corpus_file").option("tail", "\n").mode("overwrite").save(f"{path}/warnings.txt")
+        if self.index is not None:
+            index.write(self.index, f"{path}/index")
         self.manifest.write.mode("overwrite").option("header", True).csv(f"{path}/manifest_csv")
         if self.guide:
-            self.manifest.sparkSession.createDataFrame([(self.guide,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/instructions")
+            lines.write.mode("overwrite").text(f"{path}/instructions")
         self.manifest.write.mode("overwrite").json(f"{path}/manifest_json")
         if self.bundles is not None:
-            export.write_bundles(self.bundles, f"{path}/bundles", self.budget)
+            export.write_bundles(self.bundles, f"{path}/bundles", self.budget, project)
+            packed = self.bundles.select("doc_id", "bundle", *(["category"] if p.classify_documents else [])).join(export.bundle_names(self.bundles), "bundle").drop("bundle")
+            export.write_overview(self.manifest, packed, path, project)
         if self.records is not None:
             export.json_lines(self.records).write.mode("overwrite").text(f"{path}/chunks_jsonl")
             export.source_map(self.records).write.mode("overwrite").json(f"{path}/source_map")
@@ -198,7 +219,7 @@ class Result:
             df.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
-#: The most misses that a warning names one by one.
+#: How many of the notices about documents are among a job's warnings; all are in its notices.
 NAMED = 100
 
 
@@ -213,7 +234,7 @@ def documents(spark: SparkSession, folder: str, p: Profile, said: list[str] | No
     found = files.scan(spark, folder, extensions, files.EXCLUDED + p.exclude_dirs + ((own.relative_to(folder).parts[0],) if inside else ()))
     if p.included_files:
         wanted = spark.createDataFrame([(f,) for f in p.included_files], "path string")
-        lost = rules.missing_paths(found, wanted, "rel_path").orderBy("path").limit(NAMED).collect()
+        lost = rules.missing_paths(found, wanted, "rel_path").orderBy("path").collect()  # some of those that the settings name
         said += [f"included file was not found: {r['path']}" for r in lost]
         found = rules.include_paths(found, wanted, "rel_path")
     globs = [g.strip() for g in p.exclude_files if g.strip()]
@@ -235,49 +256,77 @@ def records_of(tables: dict[str, DataFrame], limit: int | None = None) -> DataFr
     return export.places(records.documents(tables, limit), ["final_id"])
 
 
-def run(docs: DataFrame, p: Profile, said: list[str] | None = None, overrides: DataFrame | None = None, selected: DataFrame | None = None) -> Result:
-    """The job over documents (as documents() or records_of() gives them). `said`: warnings so far. `overrides` (path, category)
-    decide on categories. `selected` (doc_id, idx): the chunks to keep of the documents that it names."""
-    assets = docs.select(F.explode("assets").alias("path")) if "assets" in docs.columns else None
-    result = _run(docs.drop("assets"), p, said, overrides, selected)
-    return replace(result, assets=assets, source=p.default_source_folder)
+def preview(spark: SparkSession, folder: str, path: str, p: Profile) -> DataFrame:
+    """The chunks that the settings would make of one file of the folder: idx, text on one line, tokens and reason; nothing is written."""
+    docs = documents(spark, folder, replace(p, included_files=(path,)))
+    cut = chunking.chunk_documents(docs.filter("status = 'ok'").select(F.lit("DOC_0000").alias("doc_id"), F.col("body").alias("text")), p.settings)
+    return cut.select("idx", T.preview(F.col("text")).alias("preview"), "token_estimate", "reason")
 
 
-def _run(docs: DataFrame, p: Profile, said: list[str] | None, overrides: DataFrame | None, selected: DataFrame | None) -> Result:
+def run(docs: DataFrame, p: Profile, said: list[str] | None = None, overrides: DataFrame | None = None, selected: DataFrame | None = None, selections: DataFrame | None = None) -> Result:
+    """The job over documents (as documents() or records_of() gives them). `said`: warnings so far. `overrides` (path, category)
+    decide on categories. `selected` (doc_id, idx): the chunks to keep of the documents that it names; `selections` (path, chunks): the
+    same by path, where an empty array means none.
+
+    Documents and chunks are worked out once, stored, and counted as they are written."""
     p.validate()
     said = [*(said or []), *p.warnings()]
+    assets = docs.select(F.explode("assets").alias("path")) if "assets" in docs.columns else None
+    docs = docs.drop("assets")
     if overrides is not None:
         docs = rules.categories(docs.drop("category"), overrides, "source_path")
-    manifest = export.manifest(docs)
+    docs = bundling.stored(docs)
+    manifest, notices = export.manifest(docs), []
     good = docs.filter("status = 'ok'").withColumn("doc_id", T.document_id(F.col("place")))
-    if p.chunk_exclude_headings or selected is not None:
-        cut = chunking.chunk_documents(good.select("doc_id", F.col("body").alias("text")), p.settings)
-        rebuilt = rules.apply_heading_rules(cut, list(p.chunk_exclude_headings))
+    if p.chunk_exclude_headings or selected is not None or selections is not None:
+        cut = bundling.stored(chunking.chunk_documents(good.select("doc_id", F.col("body").alias("text")), p.settings))
+        rest, rebuilt = cut, None
         if selected is not None:  # a document with a selection goes by that alone
             named = selected.select("doc_id").distinct()
-            rebuilt = rebuilt.join(named, "doc_id", "left_anti").unionByName(rules.apply_selection(cut.join(named, "doc_id", "left_semi"), selected))
-        rebuilt = rebuilt.select("doc_id", F.col("body").alias("__b"), F.col("status").alias("__s"), F.col("note").alias("__n"))
-        manifest = manifest.join(rebuilt.drop("__b"), "doc_id", "left").withColumn("status", F.coalesce("__s", "status"))
-        manifest = manifest.withColumn("notes", F.trim(F.concat_ws(" ", "notes", "__n"))).drop("__s", "__n")
-        good = good.join(rebuilt.filter("__s = 'ok'").drop("__s", "__n"), "doc_id").withColumn("body", F.col("__b")).drop("__b")
+            rest, rebuilt = cut.join(named, "doc_id", "left_anti"), rules.apply_selection(cut.join(named, "doc_id", "left_semi"), selected)
+        if selections is not None:
+            by_path, told = rules.select_by_path(rest, good, selections)
+            by_path = bundling.stored(by_path)
+            notices.append(told)
+            rest = rest.join(by_path.select("doc_id"), "doc_id", "left_anti")
+            rebuilt = by_path.drop("warning") if rebuilt is None else rebuilt.unionByName(by_path.drop("warning"))
+        ruled = rules.apply_heading_rules(rest, list(p.chunk_exclude_headings))
+        rebuilt = ruled if rebuilt is None else ruled.unionByName(rebuilt)
+        said += [f"heading exclusion rule matched no chunks: {g!r}" for g in rules.unmatched_rules(rest, list(p.chunk_exclude_headings))]
+        rebuilt = bundling.stored(rebuilt.select("doc_id", F.col("body").alias("__b"), F.col("status").alias("__s"), F.col("note").alias("__n"), F.when(F.col("status") != "ok", 0).alias("__t")))
+        manifest = manifest.join(rebuilt.drop("__b"), "doc_id", "left").withColumn("status", F.coalesce("__s", "status")).withColumn("token_estimate", F.coalesce("__t", "token_estimate"))
+        manifest = manifest.withColumn("notes", T.joined_notes("notes", "__n")).drop("__s", "__n", "__t")
+        good = good.join(rebuilt.select("doc_id", "__b", "__s"), "doc_id", "left").filter("__s is null or __s = 'ok'")  # no chunks: as it is
+        good = good.withColumn("body", F.coalesce("__b", "body")).drop("__b", "__s")
+    done = replace(_exported(good, manifest, p, said, notices), assets=assets, source=p.default_source_folder, profile=p)
+    if notices:
+        every = reduce(DataFrame.unionByName, notices)
+        first = [r["text"] for r in every.orderBy("text").limit(NAMED + 1).collect()]
+        more = [f"more than {NAMED} notices about documents: all are in warnings.txt"] if len(first) > NAMED else []
+        done = replace(done, notices=every, warnings=[*said, *first[:NAMED], *more])
+    return done
+
+
+def _exported(good: DataFrame, manifest: DataFrame, p: Profile, said: list[str], notices: list[DataFrame]) -> Result:
     if p.target in CHUNKED:
-        chunks = export.chunk_records(good, p.settings, p.chunk_overlap_tokens, p.chunk_heading_path_mode)
-        tables = {}
+        made = export.chunk_records(good, p.settings, p.chunk_overlap_tokens, p.chunk_heading_path_mode)
+        chunks, figures = bundling.counted(made, chunks=F.count("*"), tokens=F.sum("token_estimate"), documents=F.approx_count_distinct("doc_id"))
+        tables, found = {}, None
         if p.target == "cowork":
-            tables = {
-                "postings": retrieval.postings(chunks, "chunk_id", "text", "source_file"), "lengths": retrieval.lengths(chunks, "chunk_id", "text", "source_file"),
-                "vectors": retrieval.hash_embedding(chunks, "chunk_id", "text", embedder(p.embedding_model)),
-            }
-        guide = export.instructions(p.target, p.project_name, good.count(), chunks.count(), p.destination)
-        return Result(manifest, records=chunks, tables=tables, warnings=said, guide=guide)
+            found = index.build(chunks, "chunk_id", "text", "source_file")
+            tables = {"vectors": retrieval.dense_embedding(chunks, "chunk_id", "text", embedder(p.embedding_model))}
+        guide = export.instructions(p.target, p.project_name, good.count(), figures["chunks"], p.destination)
+        return Result(manifest, records=chunks, tables=tables, warnings=said, guide=guide, index=found)
     header = T.identity_header(F.col("doc_id"), F.col("source_file"), F.col("source_path"), F.col("extension"))
     sized = good.withColumn("token_estimate", T.estimate_tokens(F.concat(header, F.lit("\n"), F.col("body")))).withColumn("part", F.lit(0))
     order = ["place", "part"]
     if p.bundling_mode == "medium":
-        sized = bundling.stored(bundling.split_at_headings(sized.drop("part"), p.budget, p.chunk_heading_level))
-        whole = sized.filter((F.col("part") == 0) & (F.col("token_estimate") > p.budget)).select("doc_id", "source_file").orderBy("doc_id").limit(NAMED).collect()
-        said += [f"{r['doc_id']} ({r['source_file']}) is over the budget and has no headings to split at; kept whole" for r in whole]
-    packed = bundling.tiered(sized, p.budget, order) if p.classify_documents else bundling.greedy(sized, p.budget, order)
+        sized = bundling.split_at_headings(sized.drop("part"), p.budget, p.chunk_heading_level)
+    sized, figures = bundling.counted(sized, rows=F.count("*"), whole=F.count_if(F.col("part") <= 1))
+    if p.bundling_mode == "medium":
+        whole = sized.filter((F.col("part") == 0) & (F.col("token_estimate") > p.budget))
+        notices.append(whole.select(F.concat("doc_id", F.lit(" ("), "source_file", F.lit(") is over the budget and has no headings to split at; kept whole")).alias("text")))
+    packed = bundling.stored(bundling.tiered(sized, p.budget, order) if p.classify_documents else bundling.greedy(sized, p.budget, order))
     bundles = packed.withColumn("markdown", export.rendered(T.identity_header(F.col("doc_id"), F.col("source_file"), F.col("source_path"), F.col("extension")), F.col("body")))
     where = packed.groupBy("place").agg(F.min("bundle").alias("bundle")).select(T.document_id(F.col("place")).alias("doc_id"), "bundle")
     if p.bundling_mode == "medium":  # the parts of a split document stand in its place
@@ -288,7 +337,8 @@ def _run(docs: DataFrame, p: Profile, said: list[str] | None, overrides: DataFra
         split = parts.select(T.document_id(F.col("place")).alias("doc_id")).distinct()
         manifest = manifest.join(split, "doc_id", "left_anti").unionByName(texts)
         where = packed.select("doc_id", "bundle")
-    guide = export.instructions(p.target, p.project_name, good.count(), packed.agg(F.max("bundle")).first()[0] or 0, p.destination)
+    where = where.join(export.bundle_names(packed), "bundle", "left")
+    guide = export.instructions(p.target, p.project_name, figures["whole"], packed.agg(F.max("bundle")).first()[0] or 0, p.destination)
     return Result(manifest.join(where, "doc_id", "left"), bundles=bundles, warnings=said, budget=p.budget, guide=guide)
 
 

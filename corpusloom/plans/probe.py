@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import canary_code
+from corpusloom.sources.connect import registered
 
 FILLER = "The reviewer recorded the scope of the work and the office kept the papers for the next review of the case. "
 TOKENS = 110_000
@@ -32,8 +33,21 @@ def key(rows: DataFrame) -> DataFrame:
     return rows.select("place", "location", F.concat("code", F.lit("-CONFIRMED")).alias("answer"))
 
 
+def depth_file(spark: SparkSession, tokens: int = TOKENS) -> DataFrame:
+    """percent, code and text of one long file in the order of its canaries: before each as much filler as brings it to its depth, in
+    percent of `tokens`."""
+    words = max(1, (len(FILLER) + 3) // 4)
+    rows = depths(spark).withColumn("before", F.coalesce(F.lag("percent").over(Window.orderBy("percent")), F.lit(0)))  # seven rows
+    filler = F.expr(f"rtrim(repeat('{FILLER}', cast(greatest(1, (percent - before) * {tokens} / 100 / {words}) as int)))")
+    line = F.concat(F.lit("CANARY "), "code", F.lit(": the pass phrase for depth "), F.col("percent").cast("string"), F.lit(' percent is "'), "code", F.lit('-CONFIRMED".'))
+    return rows.select("percent", "code", F.concat_ws("\n\n", filler, line).alias("text"))
+
+
 def write(spark: SparkSession, folder: str, n: int = 8, tokens: int = TOKENS) -> None:
-    """The files of bundles(), a folder for each place, and their key as CSV."""
+    """The files of bundles(), a folder for each place, their key as CSV, and the file of growing depths with its key."""
     rows = bundles(spark, n, tokens)
     rows.select("place", F.col("text").alias("value")).write.mode("overwrite").partitionBy("place").text(f"{folder}/probe")
     key(rows).orderBy("place").write.mode("overwrite").option("header", True).csv(f"{folder}/probe_key")
+    deep = depth_file(registered(spark), tokens).orderBy("percent")
+    deep.select(F.col("text").alias("value")).write.format("corpus_file").options(head="# Probe Depth File\n\n", between="\n\n", tail="\n").mode("overwrite").save(f"{folder}/probe_depth.md")
+    deep.select("percent", F.concat("code", F.lit("-CONFIRMED")).alias("answer")).write.mode("overwrite").option("header", True).csv(f"{folder}/probe_depth_key")

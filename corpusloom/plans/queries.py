@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.operators import audit, bundling, pages, retrieval, rules, searches
+from corpusloom.operators import audit, bundling, index, pages, retrieval, rules, searches, vectors
 from corpusloom.operators import chunking as C
 from corpusloom.plans import export
 from corpusloom.sources import files, json_text, records
@@ -37,19 +36,7 @@ def _docs(s: SparkSession, d: str, name: str = "documents") -> DataFrame:
 
 
 def markdown(text: Column) -> Column:
-    """Plain text given Markdown's forms: every few lines a title, a heading, a fence or a list item; blank lines between."""
-    line = lambda x, i: (
-        F.when(i % 12 == 0, F.concat(F.lit("# "), F.substring(x, 1, 30)))
-        .when(i % 4 == 1, F.concat(F.lit("## "), F.substring(x, 1, 24)))
-        .when(i % 10 == 5, F.concat(F.lit("```\n"), x, F.lit("\n\n# in a fence\n```")))
-        .when(i % 6 == 3, F.concat(F.lit("- "), F.substring(x, 1, 40)))
-        .otherwise(x)
-    )
-    return F.array_join(F.transform(F.split(text, "\n"), line), "\n\n")
-
-
-def whole_markdown(text: Column) -> Column:
-    """As markdown(), with every line whole: the line itself is the title, the heading or the list item."""
+    """Plain text given Markdown's forms: every few lines are a title, a heading, fenced or a list item; blank lines between."""
     line = lambda x, i: (
         F.when(i % 12 == 0, F.concat(F.lit("# "), x))
         .when(i % 4 == 1, F.concat(F.lit("## "), x))
@@ -60,8 +47,8 @@ def whole_markdown(text: Column) -> Column:
     return F.array_join(F.transform(F.split(text, "\n"), line), "\n\n")
 
 
-def _md(s: SparkSession, d: str, md: Callable[[Column], Column] = markdown) -> DataFrame:
-    return _docs(s, d).select("doc_id", md(F.coalesce("text", F.lit(""))).alias("text"))
+def _md(s: SparkSession, d: str) -> DataFrame:
+    return _docs(s, d).select("doc_id", markdown(F.coalesce("text", F.lit(""))).alias("text"))
 
 
 # SQL parts. est: tokens of a text.
@@ -77,10 +64,6 @@ def _strip(x: str) -> str:
 
 
 _SQL_MD = f"""md as (select doc_id, {_strip(f'''array_to_string(list_transform(string_split(coalesce(text, ''), {_NL}), lambda x, i: case
-  when (i - 1) % 12 = 0 then '# ' || substr(x, 1, 30) when (i - 1) % 4 = 1 then '## ' || substr(x, 1, 24)
-  when (i - 1) % 10 = 5 then '```' || {_NL} || x || {_NL} || {_NL} || '# in a fence' || {_NL} || '```'
-  when (i - 1) % 6 = 3 then '- ' || substr(x, 1, 40) else x end), {_NL} || {_NL})''')} as txt from documents)"""
-_SQL_MD_WHOLE = f"""md as (select doc_id, {_strip(f'''array_to_string(list_transform(string_split(coalesce(text, ''), {_NL}), lambda x, i: case
   when (i - 1) % 12 = 0 then '# ' || x when (i - 1) % 4 = 1 then '## ' || x
   when (i - 1) % 10 = 5 then '```' || {_NL} || x || {_NL} || {_NL} || '# in a fence' || {_NL} || '```'
   when (i - 1) % 6 = 3 then '- ' || x else x end), {_NL} || {_NL})''')} as txt from documents)"""
@@ -201,8 +184,8 @@ def chunk_lines(s, d):
 
 
 @query(_sql_plain(SMALL) + _CHUNK_ROWS)
-def chunk_paragraphs(s, d, md=markdown):
-    return _chunks(_md(s, d, md), C.Settings(SMALL))
+def chunk_paragraphs(s, d):
+    return _chunks(_md(s, d), C.Settings(SMALL))
 
 
 @query(_sql_plain(24, _SQL_RAW, True) + _CHUNK_ROWS)
@@ -211,14 +194,14 @@ def chunk_sentences(s, d):
 
 
 @query(_sql_headed(BUDGET, LEVEL) + _CHUNK_ROWS)
-def chunk_headings(s, d, md=markdown):
-    return _chunks(_md(s, d, md), C.Settings(BUDGET, "headings", LEVEL))
+def chunk_headings(s, d):
+    return _chunks(_md(s, d), C.Settings(BUDGET, "headings", LEVEL))
 
 
 @query(f"""with recursive {_SQL_MD}, {_sql_sections(LEVEL)} select doc_id, k::int as k, txt as section, headed from sections""")
-def heading_sections(s, d, md=markdown):
+def heading_sections(s, d):
     t = T.strip(F.col("text"))
-    rows = T.exploded(_md(s, d, md).filter(t != ""), C.sections(t, LEVEL), "doc_id", at="i", each="section")
+    rows = T.exploded(_md(s, d).filter(t != ""), C.sections(t, LEVEL), "doc_id", at="i", each="section")
     return rows.select("doc_id", (F.col("i") + 1).alias("k"), "section", F.substring_index("section", "\n", 1).rlike(r"^\s*#{1,2}\s+\S").alias("headed"))
 
 
@@ -226,17 +209,17 @@ def heading_sections(s, d, md=markdown):
  union all select c.doc_id, c.idx, case when {(join_ := f"({_est('c.txt')} < 30 or {_est('g.txt')} < 30) and {_est(f'(g.txt || {_NL} || {_NL} || c.txt)')} <= {BUDGET}")} then g.txt || {_NL} || {_NL} || c.txt else c.txt end,
  case when {join_} then '{C.MERGED}' else c.reason end, case when {join_} then g.m else g.m + 1 end from merged g join chunks c on c.doc_id = g.doc_id and c.idx = g.idx + 1)
 select doc_id, m::int as idx, arg_max(txt, idx) as text, {_est('arg_max(txt, idx)')}::int as token_estimate, arg_max(reason, idx) as reason from merged group by doc_id, m""")
-def chunk_merged(s, d, md=markdown):
-    return _chunks(_md(s, d, md), C.Settings(BUDGET, "headings", LEVEL, least=30))
+def chunk_merged(s, d):
+    return _chunks(_md(s, d), C.Settings(BUDGET, "headings", LEVEL, least=30))
 
 
 @query(_sql_plain(SMALL) + f""", tails as (select doc_id, idx, txt, coalesce({_strip(f'''(select string_agg(line, {_NL} order by i) from (select line, i, sum({_est('line')}) over (order by i desc) - {_est('line')} as after_
    from (select unnest(string_split(prev, {_NL})) as line, generate_subscripts(string_split(prev, {_NL}), 1) as i)) where after_ < 12)''')}, '') as tail
    from (select doc_id, idx, txt, lag(txt) over (partition by doc_id order by idx) as prev from chunks))
 select doc_id, idx::int as idx, case when tail = '' then txt else tail || {_NL} || {_NL} || txt end as text from tails""")
-def chunk_overlap(s, d, md=markdown):
+def chunk_overlap(s, d):
     t = T.strip(F.col("text"))
-    rows = T.exploded(_md(s, d, md), C.overlap(C.chunk_array(t, C.Settings(SMALL)), 12), "doc_id", at="i", each="c")
+    rows = T.exploded(_md(s, d), C.overlap(C.chunk_array(t, C.Settings(SMALL)), 12), "doc_id", at="i", each="c")
     return rows.select("doc_id", (F.col("i") + 1).alias("idx"), F.col("c.text").alias("text"))
 
 
@@ -249,8 +232,8 @@ heads as (select doc_id, k as idx, i, length(regexp_extract(trim(line), '^#+'))
 live as (select b.* from before_ b where not exists (select 1 from before_ o where o.doc_id = b.doc_id and o.idx = b.idx and o.level < b.level and o.at > b.at))
 select c.doc_id, c.idx::int as idx, coalesce(p.path, '') as heading_path from chunks c left join (
   select l.doc_id, l.idx, string_agg(h.title, ' > ' order by l.level) as path from live l join heads h on h.doc_id = l.doc_id and (h.idx, h.i) = l.at group by all) p using (doc_id, idx)""")
-def heading_paths(s, d, md=markdown):
-    return _chunks(_md(s, d, md), C.Settings(SMALL), paths=True).select("doc_id", "idx", F.array_join("heading_path", " > ").alias("heading_path"))
+def heading_paths(s, d):
+    return _chunks(_md(s, d), C.Settings(SMALL), paths=True).select("doc_id", "idx", F.array_join("heading_path", " > ").alias("heading_path"))
 
 
 _SQL_STRUCTURE = f""", {_SQL_CHUNK_HEADS}, plain as (select doc_id, k as idx, line from clines where f % 2 = 0 and not starts_with(ltrim(line), '```') and not regexp_matches(trim(line), '^#{{1,6}}\\s+\\S')),
@@ -261,8 +244,8 @@ structure as (select c.doc_id, c.idx, c.txt, c.reason, {_est('c.txt')} as tok, c
 
 
 @query(_sql_plain(SMALL) + _SQL_STRUCTURE + "select doc_id, idx::int as idx, n_headings::int as headings, first_heading, paras::int as paragraphs, items::int as list_items, rows_::int as table_rows from structure")
-def structure_summary(s, d, md=markdown):
-    c = _chunks(_md(s, d, md), C.Settings(SMALL), structures=True)
+def structure_summary(s, d):
+    c = _chunks(_md(s, d), C.Settings(SMALL), structures=True)
     x = F.col("structure")
     return c.select("doc_id", "idx", F.size(x["headings"]).alias("headings"), F.coalesce(F.get(x["headings"], F.lit(0)), F.lit("")).alias("first_heading"), x["paragraph_count"].alias("paragraphs"), x["list_item_count"].alias("list_items"), x["table_row_count"].alias("table_rows"))
 
@@ -270,9 +253,9 @@ def structure_summary(s, d, md=markdown):
 @query(f"""with {_SQL_MD}, {_sql_lines("(select doc_id, 0 as k, txt from md where txt <> '')")},
 grouped as (select *, sum(case when f % 2 = 0 and trim(line) = '' then 1 else 0 end) over (partition by doc_id order by i) as g from lines)
 select doc_id, row_number() over (partition by doc_id order by g)::int as k, txt as paragraph from (select doc_id, g, {_strip(f"string_agg(line, {_NL} order by i) filter (not (f % 2 = 0 and trim(line) = ''))")} as txt from grouped group by doc_id, g) where txt <> ''""")
-def fence_paragraphs(s, d, md=markdown):
+def fence_paragraphs(s, d):
     t = T.strip(F.col("text"))
-    return T.exploded(_md(s, d, md), C.paragraphs(t, True), "doc_id", at="i", each="paragraph").select("doc_id", (F.col("i") + 1).alias("k"), "paragraph")
+    return T.exploded(_md(s, d), C.paragraphs(t, True), "doc_id", at="i", each="paragraph").select("doc_id", (F.col("i") + 1).alias("k"), "paragraph")
 
 
 FENCED = 40
@@ -290,58 +273,58 @@ select doc_id, c::int as idx, txt as text, {_est('txt')}::int as token_estimate,
 
 
 @query(_SQL_FENCED)
-def chunk_fences(s, d, md=markdown):
-    return _chunks(_md(s, d, md), C.Settings(FENCED, fence_aware=True))
+def chunk_fences(s, d):
+    return _chunks(_md(s, d), C.Settings(FENCED, fence_aware=True))
 
 
 @query()
-def chunk_fence_aware(s, d, md=markdown):
-    return _chunks(_md(s, d, md), C.Settings(40, "headings", LEVEL, 20, True, True), paths=True).withColumn("heading_path", F.array_join("heading_path", " > "))
+def chunk_fence_aware(s, d):
+    return _chunks(_md(s, d), C.Settings(40, "headings", LEVEL, 20, True, True), paths=True).withColumn("heading_path", F.array_join("heading_path", " > "))
 
 
-def _audited(s, d, md=markdown):
-    return _chunks(_md(s, d, md), C.Settings(SMALL), structures=True)
+def _audited(s, d):
+    return _chunks(_md(s, d), C.Settings(SMALL), structures=True)
 
 
 @query(_sql_plain(SMALL) + f"""select count(*) as chunk_count, sum({_est('txt')})::bigint as total_tokens, sum(strlen(txt))::bigint as total_bytes, min({_est('txt')})::int as smallest,
  list_sort(list({_est('txt')}))[count(*) // 2 + 1]::int as median, max({_est('txt')})::int as largest, count(*) filter ({_est('txt')} > {SMALL})::bigint as over_budget from chunks""")
-def chunk_stats(s, d, md=markdown):
-    return audit.statistics(_chunks(_md(s, d, md), C.Settings(SMALL)), SMALL)
+def chunk_stats(s, d):
+    return audit.statistics(_chunks(_md(s, d), C.Settings(SMALL)), SMALL)
 
 
 @query(_sql_plain(SMALL) + "select reason, count(*) as n from chunks group by reason")
-def reason_histogram(s, d, md=markdown):
-    return audit.reasons(_chunks(_md(s, d, md), C.Settings(SMALL)))
+def reason_histogram(s, d):
+    return audit.reasons(_chunks(_md(s, d), C.Settings(SMALL)))
 
 
 @query(_sql_plain(SMALL) + f"""select b.bucket, count(t) as n from (select unnest(range(5))::int as bucket) b left join (select (case when t > {SMALL} then 4 else least(4 * t // {SMALL}, 3) end)::int as bucket, t
  from (select {_est('txt')} as t from chunks)) c using (bucket) group by b.bucket""")
-def size_buckets(s, d, md=markdown):
-    return audit.size_buckets(_chunks(_md(s, d, md), C.Settings(SMALL)), SMALL)
+def size_buckets(s, d):
+    return audit.size_buckets(_chunks(_md(s, d), C.Settings(SMALL)), SMALL)
 
 
 @query(_sql_plain(SMALL) + f"select (case when t > {SMALL} then 4 else least(4 * t // {SMALL}, 3) end)::int as bucket, count(*) as n from (select {_est('txt')} as t from chunks) group by 1")
-def size_histogram(s, d, md=markdown):
-    return audit.size_histogram(_chunks(_md(s, d, md), C.Settings(SMALL)), SMALL)
+def size_histogram(s, d):
+    return audit.size_histogram(_chunks(_md(s, d), C.Settings(SMALL)), SMALL)
 
 
 @query(_sql_plain(SMALL) + _SQL_STRUCTURE + f"select doc_id, count(*) as chunks, sum(tok)::bigint as tokens, max(tok)::int as largest, count(*) filter (tok > {SMALL}) as over_budget, sum(n_headings)::bigint as headings, count(*) = 1 as single from structure group by doc_id")
-def chunk_audit(s, d, md=markdown):
-    return audit.per_document(_audited(s, d, md), SMALL)
+def chunk_audit(s, d):
+    return audit.per_document(_audited(s, d), SMALL)
 
 
 @query(_sql_plain(SMALL) + _SQL_STRUCTURE + """select lower(first_heading) as heading_key, arg_min(first_heading, (doc_id, idx)) as heading, count(*) as chunk_count, sum(tok)::bigint as token_estimate, count(distinct doc_id) as document_count,
  round(100.0 * sum(tok) / greatest(sum(sum(tok)) over (), 1), 4)::double as token_share from structure group by lower(first_heading)""")
-def heading_summary(s, d, md=markdown):
-    return audit.heading_summary(_audited(s, d, md))
+def heading_summary(s, d):
+    return audit.heading_summary(_audited(s, d))
 
 
 @query(_sql_plain(SMALL) + _SQL_STRUCTURE + f""", by_doc as (select doc_id, count(*) as n, count(*) filter (tok > {SMALL}) as over_, sum(n_headings) as heads, count(*) filter (tok < 30) as tiny from structure group by doc_id),
 one as (select count(*) as docs, sum(n) as n, sum(over_) as over_, sum(heads) as heads, sum(tiny) as tiny, count(*) filter (n = 1) as single from by_doc)
 select 'over_budget' as tip, over_::bigint as figure from one where over_ > 0 union all select 'heading_rich', heads::bigint from one where heads >= 3 * docs
 union all select 'single_chunk_documents', single from one where single > docs // 2 and docs > 1""")
-def guidance(s, d, md=markdown):
-    return audit.guidance(_audited(s, d, md), SMALL, "tokens", "rag")
+def guidance(s, d):
+    return audit.guidance(_audited(s, d), SMALL, "tokens", "rag")
 
 
 _GLOBS = ["*the*", "e[a-m]*", "*.", "[!a-s]*"]
@@ -351,8 +334,8 @@ _SQL_GLOB = "(h like '%the%' or regexp_matches(h, '^e[a-m].*') or h like '%.' or
 @query(_sql_plain(SMALL) + _SQL_STRUCTURE + f""", m as (select *, not (first_heading <> '' and {_SQL_GLOB.replace('h like', 'lower(first_heading) like').replace('(h,', '(lower(first_heading),')}) as keep from structure),
 b as (select doc_id, count(*) as total, count(*) filter (keep) as kept, coalesce(string_agg(txt, {_NL} || {_NL} order by idx) filter (keep), '') as body from m group by doc_id)
 select doc_id, total, kept, body, case when kept = 0 then 'skipped' else 'ok' end as status, {_est('body')}::int as token_estimate, case when total > kept then (total - kept) || ' of ' || total || ' chunk(s) excluded by heading rules' else '' end as note from b""")
-def heading_rules(s, d, md=markdown):
-    return rules.apply_heading_rules(_audited(s, d, md), _GLOBS)
+def heading_rules(s, d):
+    return rules.apply_heading_rules(_audited(s, d), _GLOBS)
 
 
 @query(_sql_plain(SMALL) + f""", sel as (select doc_id, idx from chunks where doc_id % 3 = 0 and idx % 2 = 1 union select doc_id, 100000 from documents where doc_id % 5 = 0),
@@ -360,8 +343,8 @@ v as (select c.doc_id, count(s.idx) as valid, bool_or(n.doc_id is not null) as n
 m as (select c.*, not named or valid = 0 or s.idx is not null as keep from chunks c join v using (doc_id) left join sel s on s.doc_id = c.doc_id and s.idx = c.idx),
 b as (select doc_id, count(*) as total, count(*) filter (keep) as kept, coalesce(string_agg(txt, {_NL} || {_NL} order by idx) filter (keep), '') as body from m group by doc_id)
 select doc_id, total, kept, body, case when kept = 0 then 'skipped' else 'ok' end as status, {_est('body')}::int as token_estimate, case when total > kept then (total - kept) || ' of ' || total || ' chunk(s) deselected' else '' end as note from b""")
-def chunk_selection(s, d, md=markdown):
-    c = _chunks(_md(s, d, md), C.Settings(SMALL))
+def chunk_selection(s, d):
+    c = _chunks(_md(s, d), C.Settings(SMALL))
     chosen = c.filter("doc_id % 3 = 0 and idx % 2 = 1").select("doc_id", "idx")
     other = _docs(s, d).filter("doc_id % 5 = 0").select("doc_id", F.lit(100000).alias("idx"))
     return rules.apply_selection(c, chosen.unionByName(other))
@@ -431,7 +414,7 @@ o as (select *, row_number() over (order by doc_id) as o from parts),
 g as (select o, t as s, 1::bigint as bundle from o where o = 1
  union all select o.o, case when g.s + o.t <= 2000 then g.s + o.t else o.t end, case when g.s + o.t <= 2000 then g.bundle else g.bundle + 1 end from g join o on o.o = g.o + 1)
 select doc_id, part::int as part, notes, t::int as token_estimate, bundle from o join g using (o)""")
-def bundle_medium(s, d, md=markdown):
+def bundle_medium(s, d):
     m = _manifest(s, d)
     full = export.manifest(m).join(m.select(T.document_id(F.col("place")).alias("doc_id"), md(F.col("body")).alias("body"), "extension"), "doc_id")
     parts = bundling.split_at_headings(full.select("doc_id", "source_file", "source_path", "extension", "body", "notes", "token_estimate"), 2000)
@@ -548,19 +531,19 @@ _SQL_RAG = _sql_headed(BUDGET, LEVEL) + f""", recs as (select 'DOC_' || lpad((do
 rag as (select d || '__c' || case when idx < 1000 then lpad(idx::varchar, 3, '0') else idx::varchar end as chunk_id, d as doc_id, source || '_' || recs.doc_id || '.txt' as source_file, lang || '/' || source || '_' || recs.doc_id || '.txt' as source_path, txt as text, {_est('txt')}::int as token_estimate from recs join documents on documents.doc_id = recs.doc_id)"""
 
 
-def _rag(s, d, md=markdown):
+def _rag(s, d):
     m = _manifest(s, d).select(T.document_id(F.col("place")).alias("doc_id"), "source_file", "source_path", md(F.col("body")).alias("body"))
     return export.chunk_records(m, C.Settings(BUDGET, "headings", LEVEL))
 
 
 @query(_SQL_RAG.replace("lpad((doc_id + 1)::varchar, 4, '0')", "case when doc_id + 1 < 10000 then lpad((doc_id + 1)::varchar, 4, '0') else (doc_id + 1)::varchar end") + "select * from rag")
-def rag_export(s, d, md=markdown):
-    return _rag(s, d, md)
+def rag_export(s, d):
+    return _rag(s, d)
 
 
 @query(_SQL_RAG.replace("lpad((doc_id + 1)::varchar, 4, '0')", "case when doc_id + 1 < 10000 then lpad((doc_id + 1)::varchar, 4, '0') else (doc_id + 1)::varchar end") + "select doc_id, source_file, source_path, string_agg(chunk_id, ',' order by length(chunk_id), chunk_id) as chunk_ids, sum(token_estimate)::bigint as token_estimate from rag group by all")
-def source_map(s, d, md=markdown):
-    return export.source_map(_rag(s, d, md)).withColumn("chunk_ids", F.array_join("chunk_ids", ","))
+def source_map(s, d):
+    return export.source_map(_rag(s, d)).withColumn("chunk_ids", F.array_join("chunk_ids", ","))
 
 
 @query(_SQL_BUNDLED + "select doc_id, '| ' || doc_id || ' | ' || source_file || ' | ' || m.token_estimate || ' | BUNDLE_' || lpad(bundle::varchar, greatest(3, length(bundle::varchar))::int, '0') || ' |' as line from m join g using (doc_id) where status = 'ok'")
@@ -574,38 +557,30 @@ _SQL_POST = f"""toks as (select doc_id, len(w) as dl, w from (select doc_id, {_T
 st as (select count(*) as n_docs, avg(dl) as avgdl from toks)"""
 
 
-def _sql_bm25(words: tuple[str, ...]) -> str:
-    n = len(words)
-    return f"""with {_SQL_POST}, tf as (select term, doc_id, dl, count(*) as tf from post where term in ({', '.join(f"'{w}'" for w in words)}) group by all), df as (select term, count(*) as df from tf group by term),
-scored as (select doc_id as id, -sum((case when ln((n_docs - df + 0.5) / (df + 0.5)) <= 0 then 1e-6 else ln((n_docs - df + 0.5) / (df + 0.5)) end) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) as score from tf join df using (term), st group by doc_id having count(*) = {n})"""
-
+_RUN = r"[\p{L}\p{N}\x{300}-\x{36f}]*[\p{L}\p{N}][\p{L}\p{N}\x{300}-\x{36f}]*"
 
-_WORDS = ("with", "from")
 
+def _sql_terms(x: str) -> str:
+    return _TERMS.replace("coalesce(text, '')", x)
 
-def _bm25(s, d, query: str):
-    """id and score, from one pass over the documents."""
-    return retrieval.bm25(*retrieval.searched(_docs(s, d), "doc_id", "text", query), query).select("id", F.round("score", 9).alias("score"))
 
-
-@query(_sql_bm25(_WORDS) + "select id, round(score, 9) as score from scored")
-def bm25_search(s, d):
-    return _bm25(s, d, '"with" from')
-
-
-_OF_FILE = _TERMS.replace("text", "source || '_' || doc_id || '.txt'")
-
-
-@query(_sql_bm25(("with", "txt")).replace(f"{_TERMS} as w", f"list_concat({_OF_FILE}, {_TERMS}) as w") + "select id, round(score, 9) as score from scored")
-def bm25_search_files(s, d):
-    docs = _docs(s, d).withColumn("source_file", F.concat("source", F.lit("_"), F.col("doc_id").cast("string"), F.lit(".txt")))
-    return retrieval.bm25(*retrieval.searched(docs, "doc_id", "text", "with txt", "source_file"), "with txt").select("id", F.round("score", 9).alias("score"))
-
-
-@query(f"""with {_SQL_POST}, hits as (select a.doc_id, a.dl, count(*) as tf from post a join post b on b.doc_id = a.doc_id and b.at = a.at + 1 and b.term = 'the' where a.term = 'of' group by all),
- df as (select count(*) as df from hits) select doc_id as id, round(-(case when ln((n_docs - df + 0.5) / (df + 0.5)) <= 0 then 1e-6 else ln((n_docs - df + 0.5) / (df + 0.5)) end) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)), 9) as score from hits, df, st""")
-def bm25_phrase(s, d):
-    return _bm25(s, d, "of-the !")
+def _sql_search(rows: str, asked: str, k: int, *more: str, first: str = "") -> str:
+    """The k best of rows (id, txt, file, more) for each of asked (query, part: a term or two that follow one another), with snippets."""
+    columns = "".join(f", {c}" for c in more)
+    return f"""with {first} r as ({rows}), asked as ({asked}),
+toks as (select id, len(list_filter(w, lambda x: x <> '')) as dl, w from (select id, list_concat({_sql_terms("file")}, [''], {_sql_terms("txt")}) as w from r)),
+post as (select id, dl, unnest(w) as term, generate_subscripts(w, 1) as at from toks), st as (select count(*) as n_docs, avg(dl) as avgdl from toks),
+tf as (select p.part, a.id, a.dl, count(*) as tf from (select distinct part from asked) p join post a on a.term = p.part[1] left join post b on b.id = a.id and b.at = a.at + 1 and b.term = p.part[2] where len(p.part) = 1 or b.id is not null group by all),
+df as (select part, count(*) as df from tf group by part), every as (select query, count(*) as m, list_distinct(flatten(list(part))) as q from asked group by query),
+scored as (select query, id, round(-sum((case when ln((n_docs - df + 0.5) / (df + 0.5)) <= 0 then 1e-6 else ln((n_docs - df + 0.5) / (df + 0.5)) end) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 9) as score
+  from asked join tf using (part) join df using (part) join every using (query), st group by query, id, m having count(*) = m),
+best as (select *, row_number() over (partition by query order by score, id)::int as rank from scored qualify rank <= {k}),
+s1 as (select best.*, q, regexp_replace(txt, '\\s+', ' ', 'g') as t{columns} from best join every using (query) join r using (id)),
+s2 as (select *, regexp_extract_all(t, '{_RUN}') as shown, regexp_split_to_array(t, '{_RUN}') as gaps, {_sql_terms("t")} as w from s1),
+s3 as (select *, list_filter(range(1, len(w) + 1), lambda i: list_contains(q, w[i])) as hits from s2),
+s4 as (select *, greatest(1, least(coalesce(list_min(list_transform(hits, lambda h: {{'n': -len(list_distinct(list_filter(w[h:h + 23], lambda x: list_contains(q, x)))), 'at': h}})).at, 1), len(w) - 23)) as b from s3)
+select query, id, score, rank{columns}, case when len(w) = 0 then '' else (case when b > 1 then '...' else ltrim(gaps[1]) end) || array_to_string(list_transform(range(b, least(len(w), b + 23) + 1), lambda i: (case when i = b then '' else gaps[i] end)
+ || case when list_contains(q, w[i]) then '[[' || shown[i] || ']]' else shown[i] end), '') || (case when b + 23 < len(w) then '...' else rtrim(gaps[len(w) + 1]) end) end as snippet from s4"""
 
 
 @query(f"with {_SQL_POST} select term, count(distinct doc_id) as documents, count(*) as occurrences from post group by term")
@@ -623,13 +598,6 @@ def hash_embed(s, d):
     return retrieval.hash_embedding(_docs(s, d), "doc_id", "text").select("id", "dim", F.round("value", 9).alias("value"))
 
 
-@query("""select id, round(score, 6) as score, row_number() over (order by round(score, 6) desc, id)::int as rank from (select v.vec_id as id, list_cosine_similarity(v.embedding::double[], q.embedding::double[]) as score from embeddings v, (select embedding from embeddings where vec_id = 7) q) order by round(score, 6) desc, id limit 20""")
-def vector_search(s, d):
-    e = _docs(s, d, "embeddings")
-    q = e.filter("vec_id = 7").first()["embedding"]
-    return retrieval.vector_search(e, q, 20, "vec_id", "embedding")
-
-
 @query("""select query, id, score, rank from (select *, row_number() over (partition by query order by score desc, id)::int as rank from (select q.vec_id as query, v.vec_id as id, round(list_cosine_similarity(v.embedding::double[], q.embedding::double[]), 6) as score
  from embeddings v, embeddings q where q.vec_id % 20 = 0)) where rank <= 20""")
 def vector_search_all(s, d):
@@ -637,12 +605,10 @@ def vector_search_all(s, d):
     return retrieval.vector_search_all(e, e.filter("vec_id % 20 = 0"), 20, "vec_id", "embedding")
 
 
-@query(_sql_bm25(_WORDS) + f""", kw as (select id, row_number() over (order by round(score, 9), id) as rank from scored qualify rank <= 50), {_SQL_EMBED},
-q as (select dim, value from vec where id = 3), vs as (select id, row_number() over (order by score desc, id) as rank from (select v.id, round(sum(v.value * q.value), 6) as score from vec v join q using (dim) group by v.id) qualify rank <= 50)
-select id, round(sum(1.0 / (60 + rank)), 9)::double as score, row_number() over (order by round(sum(1.0 / (60 + rank)), 9) desc, id)::int as rank from (select * from kw union all select * from vs) group by id order by 2 desc, id limit 10""")
-def hybrid_search(s, d):
-    v = bundling.stored(retrieval.hash_embedding(_docs(s, d), "doc_id", "text"))
-    return retrieval.hybrid(_bm25(s, d, "with from"), v, v.filter("id = 3"), 10)
+@query(SQL["vector_search_all"])
+def vector_index_search_all(s, d):
+    e = _docs(s, d, "embeddings")
+    return vectors.search(vectors.build(e, "vec_id", "embedding"), e.filter("vec_id % 20 = 0"), 20, "vec_id", "embedding")
 
 
 _SQL_ASKED = f"""with {_SQL_POST}, tf as (select term, doc_id, dl, count(*) as tf from post group by all), df as (select term, count(*) as df from tf group by term),
@@ -657,9 +623,43 @@ def _asked(s, d):
     return searches.frequent_terms(every, "doc_id", "text", 2, 4)
 
 
-@query(_SQL_ASKED + "select query, id, score, row_number() over (partition by query order by score, id)::int as rank from scored qualify rank <= 20")
+_FILE = "coalesce(source, '') || '_' || doc_id || '.txt'"
+_SQL_ROWS = f"select doc_id as id, {_FILE} as file, {_FILE} as source_file, coalesce(text, '') as txt from documents"
+_SQL_FREQUENT = f"""select query, [term] as part from (select doc_id as query, term, count(*) as n from (select doc_id, unnest({_TERMS}) as term from documents where doc_id % 20 = 0) where length(term) >= 4 group by all)
+ qualify row_number() over (partition by query order by n desc, term) <= 2"""
+_SQL_PAIRS = f"""select query, [a, b] as part from (select query, a, b, count(*) as n from (select doc_id as query, unnest(w[:len(w) - 1]) as a, unnest(w[2:]) as b from (select doc_id, {_TERMS} as w from documents where doc_id % 20 = 0) where len(w) > 1) group by all)
+ qualify row_number() over (partition by query order by n desc, a, b) = 1"""
+
+
+def _filed(s, d):
+    return _docs(s, d).withColumn("source_file", F.concat(F.coalesce("source", F.lit("")), F.lit("_"), F.col("doc_id").cast("string"), F.lit(".txt")))
+
+
+def _searched(rows: DataFrame, asked: DataFrame, k: int, id_col: str, text_col: str, *more: str) -> DataFrame:
+    """Hits with snippets from an index of text and file name."""
+    return index.hits(index.search(index.build(rows, id_col, text_col, "source_file"), asked, k), asked, rows, id_col, text_col, *more)
+
+
+@query(_sql_search(_SQL_ROWS, _SQL_FREQUENT, 20, "source_file"))
 def bm25_search_all(s, d):
-    return searches.bm25_all(_docs(s, d), _asked(s, d), 20, "doc_id", "text")
+    return _searched(_filed(s, d), searches.as_parts(_asked(s, d)), 20, "doc_id", "text", "source_file")
+
+
+@query(_sql_search(_SQL_ROWS, _SQL_PAIRS, 20, "source_file"))
+def phrase_search_all(s, d):
+    return _searched(_filed(s, d), searches.frequent_pairs(_docs(s, d).filter("doc_id % 20 = 0"), "doc_id", "text"), 20, "doc_id", "text", "source_file")
+
+
+_SQL_CHUNKS = f"select lpad(doc_id::varchar, 9, '0') || '_' || lpad(idx::varchar, 6, '0') as id, doc_id, idx::int as idx, txt as text, txt, {_FILE.replace('source', 'd.source').replace('doc_id', 'd.doc_id')} as file, {_FILE.replace('source', 'd.source').replace('doc_id', 'd.doc_id')} as source_file from chunks join documents d using (doc_id)"
+
+
+@query(_sql_search(_SQL_CHUNKS, _SQL_FREQUENT, 10, "doc_id", "idx", "source_file", "text", first=_sql_plain(BUDGET, _SQL_RAW).removeprefix("with ") + ","))
+def chunk_search_all(s, d):
+    """Hits in chunks, with the chunk's own text and its place in its document."""
+    names = _filed(s, d).select("doc_id", "source_file")
+    chunks = _chunks(_docs(s, d).select("doc_id", "text"), C.Settings(BUDGET)).join(names, "doc_id")
+    chunks = bundling.stored(chunks.select(F.format_string("%09d_%06d", "doc_id", "idx").alias("chunk_id"), "doc_id", "idx", "source_file", "text"))
+    return _searched(chunks, searches.as_parts(_asked(s, d)), 10, "chunk_id", "text", "doc_id", "idx", "source_file", "text")
 
 
 @query(_SQL_ASKED + f""", kw as (select query, id, row_number() over (partition by query order by score, id) as rank from scored qualify rank <= 50), {_SQL_EMBED},
@@ -675,11 +675,15 @@ def hybrid_search_all(s, d):
 
 
 @query(_sql_plain(SMALL) + "select doc_id, idx::int as idx, (lag(idx) over w)::int as previous, (lead(idx) over w)::int as next from chunks window w as (partition by doc_id order by idx)")
-def chunk_neighbours(s, d, md=markdown):
-    return retrieval.neighbours(_chunks(_md(s, d, md), C.Settings(SMALL)))
+def chunk_neighbours(s, d):
+    return retrieval.neighbours(_chunks(_md(s, d), C.Settings(SMALL)))
 
 
-@query()
+@query(f"""with a as (select page_id, regexp_replace(regexp_replace(coalesce(html, ''), '(?s)^.*<body[^>]*>', ''), '(?s)<!--.*?-->|<nav>.*?</nav>|<script>.*?</script>|<style>.*?</style>|<footer>.*?(</footer>|$)', '', 'g') as h from pages),
+b as (select page_id, list_transform(string_split(regexp_replace(replace(h, '<h1>', chr(1) || '# '), '</?(p|div|article|section|h1|body|html)( [^>]*)?>', chr(1), 'g'), chr(1)),
+  lambda x: array_to_string(list_filter(list_transform(string_split(case when contains(x, '<b>') then regexp_replace(regexp_replace(x, '(<br>|\\s)*$', ''), '<b>\\s*', '**') || '**' else x end, '<br>'), lambda y: trim(regexp_replace(y, '\\s+', ' ', 'g'))), lambda y: y <> ''), {_NL})) as t from a),
+c as (select page_id, list_filter(t, lambda x: x not in ('', '#', '****')) as t from b)
+select page_id, regexp_replace(replace(replace(replace(replace(array_to_string(t, {_NL} || {_NL}), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&amp;?', '&', 'g') as markdown, 'ok' as status, '' as notes from c""")
 def html_to_markdown(s, d):
     r = files.convert(F.lit("html"), F.col("html").cast("binary"), F.col("url"))
     return _docs(s, d, "pages").select("page_id", r.alias("r")).select("page_id", "r.*")
@@ -757,24 +761,24 @@ def markdown_tables(s, d):
 
 
 @query(_sql_plain(SMALL) + f"select doc_id, string_agg(txt, {_NL} || {_NL} order by idx) as text, count(*) as chunks from chunks group by doc_id")
-def get_documents(s, d, md=markdown):
-    return retrieval.assembled(_chunks(_md(s, d, md), C.Settings(SMALL)))
+def get_documents(s, d):
+    return retrieval.assembled(_chunks(_md(s, d), C.Settings(SMALL)))
 
 
 @query(_sql_plain(SMALL) + f"select doc_id, idx::int as idx, case when length(t) > 160 then substr(t, 1, 160) || '…' else t end as preview from (select doc_id, idx, trim(regexp_replace(txt, '\\s+', ' ', 'g')) as t from chunks)")
-def chunk_previews(s, d, md=markdown):
-    return _chunks(_md(s, d, md), C.Settings(SMALL)).select("doc_id", "idx", T.preview(F.col("text")).alias("preview"))
+def chunk_previews(s, d):
+    return _chunks(_md(s, d), C.Settings(SMALL)).select("doc_id", "idx", T.preview(F.col("text")).alias("preview"))
 
 
 @query(_sql_plain(SMALL) + _SQL_STRUCTURE + """select doc_id, idx::int as idx, concat_ws(', ', case when n_headings > 0 then n_headings || ' heading(s)' end, paras || ' paragraph(s)', case when items > 0 then items || ' list item(s)' end, case when rows_ > 0 then rows_ || ' table row(s)' end) as described from structure""")
-def structure_descriptions(s, d, md=markdown):
-    return _audited(s, d, md).select("doc_id", "idx", C.described(F.col("structure")).alias("described"))
+def structure_descriptions(s, d):
+    return _audited(s, d).select("doc_id", "idx", C.described(F.col("structure")).alias("described"))
 
 
 @query(f"""with {_SQL_MD}, l as (select doc_id, i, line from (select doc_id, unnest(string_split(txt, {_NL})) as line, generate_subscripts(string_split(txt, {_NL}), 1) as i from md))
 select doc_id, row_number() over (partition by doc_id order by i)::int as k, length(regexp_extract(line, '^#+'))::int as level, trim(regexp_extract(line, '^#{{1,6}}\\s+(.*)$', 1)) as title from l where regexp_matches(line, '^#{{1,6}}\\s+.*$')""")
-def page_outline(s, d, md=markdown):
-    rows = T.exploded(_md(s, d, md), C.outline(T.strip(F.col("text"))), "doc_id", at="i", each="h")
+def page_outline(s, d):
+    rows = T.exploded(_md(s, d), C.outline(T.strip(F.col("text"))), "doc_id", at="i", each="h")
     return rows.select("doc_id", (F.col("i") + 1).alias("k"), "h.level", "h.title")
 
 
@@ -791,8 +795,8 @@ def bundle_averages(s, d):
 
 
 @query(_sql_plain(SMALL) + """select doc_id, count(*) filter (idx % 2 = 1) as selected, count(*) as total from chunks where doc_id % 3 = 0 group by doc_id having count(*) filter (idx % 2 = 1) < count(*)""")
-def partial_selections(s, d, md=markdown):
-    c = _chunks(_md(s, d, md), C.Settings(SMALL))
+def partial_selections(s, d):
+    c = _chunks(_md(s, d), C.Settings(SMALL))
     return rules.partial_selections(c, c.filter("doc_id % 3 = 0 and idx % 2 = 1").select("doc_id", "idx"))
 
 
@@ -814,13 +818,13 @@ def record_limit(s, d):
     return o.join(_docs(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("c_name", "o_orderkey").orderBy("o_orderkey").limit(100)
 
 
-#: The queries over Markdown; each is also registered as NAME_whole, over lines that are not shortened.
+#: The queries over the Markdown form of whole texts go by NAME_whole.
 OVER_MARKDOWN = [
     "chunk_paragraphs", "chunk_headings", "heading_sections", "chunk_merged", "chunk_overlap", "heading_paths", "structure_summary", "fence_paragraphs", "chunk_fence_aware",
     "chunk_stats", "reason_histogram", "size_histogram", "chunk_audit", "heading_summary", "guidance", "heading_rules", "chunk_selection", "bundle_medium",
-    "rag_export", "source_map", "chunk_neighbours", "get_documents", "chunk_previews", "structure_descriptions", "page_outline", "partial_selections",
+    "rag_export", "source_map", "chunk_neighbours", "get_documents", "chunk_previews", "structure_descriptions", "page_outline", "partial_selections", "chunk_fences", "size_buckets",
 ]
-for _name in [*OVER_MARKDOWN, "chunk_fences", "size_buckets"]:
-    QUERIES[f"{_name}_whole"] = partial(QUERIES[_name], md=whole_markdown)
+for _name in OVER_MARKDOWN:
+    QUERIES[f"{_name}_whole"] = QUERIES.pop(_name)
     if _name in SQL:
-        SQL[f"{_name}_whole"] = SQL[_name].replace(_SQL_MD, _SQL_MD_WHOLE)
+        SQL[f"{_name}_whole"] = SQL.pop(_name)

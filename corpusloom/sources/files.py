@@ -13,8 +13,6 @@ import posixpath
 import re
 import zipfile
 from collections.abc import Callable
-from functools import reduce
-from html.parser import HTMLParser
 from urllib.parse import unquote, urlsplit
 from xml.etree import ElementTree
 
@@ -23,7 +21,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import file_type
-from corpusloom.operators.bundling import stored
+from corpusloom.sources.connect import registered
+from corpusloom.sources.html import html_text
 
 #: Folders and files that a scan passes over: fixed values.
 EXCLUDED = (".git", "__pycache__", "node_modules", ".venv", "venv", "dist", "build", ".DS_Store")
@@ -52,120 +51,14 @@ def scan(spark: SparkSession, folder: str, extensions: list[str], excluded: tupl
     """path, rel_path, ext, file_type, size of a folder's files, names that begin with a dot or underscore too. Files of other
     extensions are kept if their type is unsupported, so that they are recorded.
 
-    One job for each level of folders, whose folders are listed in tasks; no name passes through the driver. A folder that
-    goes away meanwhile is empty; one that is not there at first is an error.
+    Listed by the source corpus_folder (sources/connect.py): folders are walked in tasks, each file comes once also where links lead
+    back to a folder above. A folder that goes away meanwhile is empty; one that is not there at first is an error.
     """
-    from pyarrow import fs
-
-    store, base = _store(folder)
-    if store.get_file_info(base).type != fs.FileType.Directory:
-        raise FileNotFoundError(f"no such folder: {folder}")
-    cores = spark.sparkContext.defaultParallelism
-
-    def listed(batches):
-        import pyarrow as pa
-        from pyarrow import fs
-
-        store, _ = _store(folder)
-        for batch in batches:
-            for path in batch.column(0).to_pylist():
-                there = [i for i in store.get_file_info(fs.FileSelector(path, allow_not_found=True)) if i.base_name not in excluded]
-                folders = [i.type == fs.FileType.Directory for i in there]
-                yield pa.RecordBatch.from_arrays([pa.array([i.path for i in there], pa.string()), pa.array([i.size or 0 for i in there], pa.int64()), pa.array(folders, pa.bool_())], names=["path", "size", "folder"])
-
-    level, found, n = spark.createDataFrame([(base,)], "path string"), [], 1
-    while n:
-        below = stored(level.repartition(min(n, 4 * cores), "path").mapInArrow(listed, "path string, size long, folder boolean"))
-        found.append(below.filter("not folder").drop("folder"))
-        level = below.filter("folder").select("path")
-        n = level.count()
-    rows = reduce(DataFrame.unionByName, found).withColumn("rel_path", F.substring("path", F.lit(len(base) + 2), F.length("path")))
-    rows = rows.withColumn("ext", F.lower(F.regexp_extract("rel_path", r"[^/](\.[^./]*)\z", 1))).withColumn("file_type", file_type(F.col("ext")))
+    source = registered(spark).read.format("corpus_folder").option("exclude", "\n".join(excluded)).option("tasks", 4 * spark.sparkContext.defaultParallelism)
+    rows = source.load(folder)
     return rows.filter((F.col("file_type") == "unsupported") | F.lower("ext").isin([e.lower() for e in extensions]))
 
 
-class _Html(HTMLParser):
-    """ATX headings, paragraphs, list items, table rows and images of an HTML text."""
-
-    SKIPPED = ("script", "style", "nav", "footer", "noscript", "head")
-
-    def __init__(self, image: Callable[[str], str]):
-        super().__init__(convert_charrefs=True)
-        self.blocks, self.line, self.skip, self.prefix, self.image, self.cells = [], [], [], "", image, None
-        self.marks = []
-
-    def flush(self):
-        text = " ".join("".join(self.line).split())
-        if text:
-            self.blocks.append(self.prefix + text)
-        self.line, self.prefix, self.marks = [], "", []
-
-    def marked(self, tag):
-        """Emphasis and links: the text since the opening tag gets its marks, if there is any."""
-        while self.marks:
-            name, href, at = self.marks.pop()
-            if name == tag:
-                text = "".join(self.line[at:])
-                inner = " ".join(text.split())
-                mark = {"b": "**", "strong": "**", "i": "*", "em": "*"}.get(tag, "")
-                done = f"[{inner}]({href})" if tag == "a" and href else f"{mark}{inner}{mark}"
-                if inner:
-                    self.line[at:] = [text[: len(text) - len(text.lstrip())], done, text[len(text.rstrip()) :]]
-                return
-
-    def handle_starttag(self, tag, attrs):
-        if tag in self.SKIPPED:
-            self.skip.append(tag)
-        elif self.skip and tag in ("h1", "main", "article", "body"):  # what was left open ends here
-            self.skip.clear()
-            self.handle_starttag(tag, attrs)
-        elif tag in ("b", "strong", "i", "em", "a") and not self.skip:
-            self.marks.append((tag, dict(attrs).get("href") or "", len(self.line)))
-        elif tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
-            self.flush()
-            self.prefix = "#" * int(tag[1]) + " "
-        elif tag == "li":
-            self.flush()
-            self.prefix = "- "
-        elif tag in ("p", "div", "ul", "ol", "section", "article", "table", "br", "body", "blockquote", "pre"):
-            self.flush()
-        elif tag == "tr":
-            self.flush()
-            self.cells = []
-        elif tag == "img":
-            src = self.image(dict(attrs).get("src") or "")
-            self.line.append(f" ![{dict(attrs).get('alt') or ''}]({src}) ")
-
-    def handle_endtag(self, tag):
-        if tag in ("b", "strong", "i", "em", "a"):
-            self.marked(tag)
-        elif tag in self.skip:
-            while self.skip and self.skip.pop() != tag:
-                pass
-        elif tag in ("td", "th") and self.cells is not None:
-            self.cells.append(" ".join("".join(self.line).split()).replace("|", "\\|"))
-            self.line = []
-        elif tag == "tr" and self.cells is not None:
-            if self.cells:
-                self.blocks.append("| " + " | ".join(self.cells) + " |")
-            self.cells = None
-        elif tag in ("h1", "h2", "h3", "h4", "h5", "h6", "p", "li", "div", "table", "section", "article"):
-            self.flush()
-
-    def handle_data(self, data):
-        if not self.skip:
-            self.line.append(data)
-
-
-def html_text(source: str, image: Callable[[str], str] = str) -> str:
-    """`image` gives the address that stands for an image's own."""
-    parser = _Html(image)
-    parser.feed(source)
-    parser.close()
-    parser.flush()
-    return "\n\n".join(parser.blocks)
-
-
 def json_text(value, key: str | None = None, depth: int = 0) -> str:
     """A heading for each key, bullets for lists of scalars, items by number, nulls and empties said."""
     head = [f"{'#' * min(6, depth + 1)} {key}"] if key is not None else []
@@ -185,6 +78,7 @@ def _scalar(v) -> str:
 
 def csv_text(source: str, name: str = "", copy: str = "") -> str:
     """A title, counts and a table of the first rows. Rows are read one by one; only those that are shown are kept."""
+    csv.field_size_limit(1 << 30)
     rows = csv.reader(io.StringIO(source))
     head = next(rows, None)
     if head is None:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import clean, normalize_newlines, safe_filename, strip
+from corpusloom.sources.connect import registered
 
 MOST_CITATIONS = 40
 
@@ -108,38 +109,17 @@ def documents(tables: dict[str, DataFrame], limit: int | None = None) -> DataFra
     )
 
 
-def sqlite_tables(spark: SparkSession, path: str, rows_a_task: int = 50_000) -> dict[str, DataFrame]:
-    """The tables of a SQLite file that record sources use, as strings (ids as numbers), read in tasks by ranges of rowid. The
-    path must be one that every machine sees; the driver reads names, columns and the largest rowid."""
-    import sqlite3
-
-    out = {}
-    with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as con:
-        for (name,) in con.execute("select name from sqlite_master where type = 'table'").fetchall():
-            if name not in (MAIN, PAGES, LINKS, FILES, CITED, LABELS):
-                continue
-            columns = [r[1] for r in con.execute(f'pragma table_info("{name}")')]
-            last = con.execute(f'select max(rowid) from "{name}"').fetchone()[0] or 0
-            out[name] = _sqlite_table(spark, path, name, columns, last, rows_a_task)
-    return out
-
+#: The columns that are whole numbers.
+NUMBERS = ("final_id", "html_id", "filename_id", "citation_id")
 
-def _sqlite_table(spark: SparkSession, path: str, name: str, columns: list[str], last: int, step: int) -> DataFrame:
-    numbers = ("final_id", "html_id", "filename_id", "citation_id")
-    shape = ", ".join(f"`{c}` {'long' if c in numbers else 'string'}" for c in columns)
-    listed = ", ".join(f'"{c}"' if c in numbers else f'cast("{c}" as text)' for c in columns)
 
-    def read(batches):
-        import sqlite3
-
-        import pandas as pd
-
-        with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as con:
-            for b in batches:
-                for k in b["id"].tolist():
-                    rows = con.execute(f'select {listed} from "{name}" where rowid > ? and rowid <= ?', (k * step, (k + 1) * step)).fetchall()
-                    frame = pd.DataFrame(rows, columns=columns, dtype=object)
-                    yield frame.astype({c: "Int64" for c in columns if c in numbers})
+def sqlite_tables(spark: SparkSession, path: str, rows_a_task: int = 50_000) -> dict[str, DataFrame]:
+    """The tables and views of a SQLite file that record sources use, as strings (ids as numbers), by the source corpus_sqlite. The path
+    must be one that every machine sees; the driver reads names, columns and the bounds of partitions."""
+    import sqlite3
+    from contextlib import closing
 
-    tasks = max(1, -(-last // step))
-    return spark.range(0, tasks, 1, tasks).mapInPandas(read, shape)
+    with closing(sqlite3.connect(f"file:{path}?mode=ro", uri=True)) as con:
+        names = [r[0] for r in con.execute("select name from sqlite_master where type in ('table', 'view')")]
+    source = lambda n: registered(spark).read.format("corpus_sqlite").options(path=path, table=n, rows=str(rows_a_task), numbers=",".join(NUMBERS))
+    return {n: source(n).load() for n in names if n in (MAIN, PAGES, LINKS, FILES, CITED, LABELS)}

@@ -111,7 +111,7 @@ def test_pages(spark):
 
 def test_readers():
     html = "<html><head><title>t</title></head><body><nav>skip</nav><h1>Top</h1><p>one <b>two</p><ul><li>x<li>y</ul><table><tr><th>a</th><td>b</td></tr></table><img src='i.png' alt='z'></body></html>"
-    assert files.html_text(html) == "# Top\n\none two\n\n- x\n\n- y\n\n| a | b |\n\n![z](i.png)"
+    assert files.html_text(html) == "# Top\n\none **two**\n\n- x\n- y\n\n|  |  |\n| --- | --- |\n| a | b |\n\n![z](i.png)"
     assert files.json_text(json.loads('{"a": null, "b": [1, true], "c": [{"d": 2}], "e": {}}')) == "## a\n\n(null)\n\n## b\n\n- 1\n- true\n\n## c\n\n### item 1\n\n#### d\n\n2\n\n## e\n\n(empty object)"
     assert files._read("json", b"{", "x")[1] == "failed" and files._read("text", b"\xff", "x")[0] == "ÿ"
 

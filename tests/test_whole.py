@@ -8,7 +8,7 @@ from corpusloom.plans import queries as Q
 
 def test_markdown_keeps_lines(spark):
     lines = [f"{i} " + "abcdefghi " * 9 + f"end{i}" for i in range(25)]
-    t = spark.createDataFrame([("\n".join(lines),)], "t string").select(Q.whole_markdown(F.col("t"))).first()[0]
+    t = spark.createDataFrame([("\n".join(lines),)], "t string").select(Q.markdown(F.col("t"))).first()[0]
     assert all(x in t for x in lines)
 
 
@@ -18,9 +18,9 @@ def test_documents_keep_words(spark, data):
         assert sum(len(w) for w in r["text"].split()) <= sum(len(w) for w in got[r["doc_id"]].split())
 
 
-def test_each_query_over_markdown_has_a_whole_one():
-    assert len(Q.OVER_MARKDOWN) == 26
-    assert all(Q.SQL[f"{n}_whole"] != Q.SQL[n] for n in Q.OVER_MARKDOWN if n in Q.SQL)
+def test_queries_over_markdown_are_the_whole_ones():
+    assert len(Q.OVER_MARKDOWN) == 28 and all(f"{n}_whole" in Q.QUERIES and n not in Q.QUERIES for n in Q.OVER_MARKDOWN)
+    assert not {"vector_search", "hybrid_search", "bm25_search", "bm25_search_files", "bm25_phrase"} & set(Q.QUERIES)
 
 
 def test_vector_search_of_many(spark, monkeypatch):
