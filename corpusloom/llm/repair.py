@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,8 @@ from corpusloom.llm.common import released, stored
 
 #: Turns of a segment, a power of two (1 << TURN_BITS), and bytes of its texts; segments of a sorted range.
 TURN_BITS, SEGMENT_BYTES, NTH_BITS = 9, 8 << 20, 24
+#: Segments handed on at once; turns up to which the paths of equal segments are remembered, and how many.
+SEGMENTS, SHORT, REMEMBERED = 256, 12, 1 << 15
 KEEP, REROLE, DELETE, INSERT, CUT_SHORT = 0, 1, 2, 5, 5
 SOUND, BLANK, TRUNCATED, REPEATED = range(4)
 ROLES = {"u": "user", "a": "assistant"}
@@ -124,6 +127,15 @@ def paths(initials: list[str], faults: list[int], starts) -> list[tuple[int, int
     return [(start, end, cost, rank[audit], audit) for start, end, cost, audit in found]
 
 
+@lru_cache(maxsize=REMEMBERED)
+def _short_paths(initials: tuple[str, ...], faults: tuple[int, ...], starts: tuple[int, ...]) -> list[dict]:
+    return _ways(initials, faults, starts)
+
+
+def _ways(initials, faults, starts) -> list[dict]:
+    return [{"start": s, "end": e, "cost": c, "rank": k, "audit": a} for s, e, c, k, a in paths(initials, faults, starts)]
+
+
 def rendered(roles: list[str], texts: list[str], audit: str, node: int) -> list[str]:
     """The repaired turns `role:text`, from the edits and the node they start from."""
     lines, k = [], 0
@@ -164,32 +176,34 @@ def _segments(batches):
     import pyarrow as pa
     from pyspark import TaskContext
 
-    base, nth, now = TaskContext.get().partitionId() << NTH_BITS, 0, None
-    conv_type = None
+    base = TaskContext.get().partitionId() << NTH_BITS
+    kinds = {"seg": pa.int64(), "first": pa.bool_(), "roles": pa.list_(pa.string()), "texts": pa.list_(pa.string()), "digests": pa.list_(pa.binary()), "faults": pa.list_(pa.int32()), **dict.fromkeys(("least", "most", "turns"), pa.int64())}
 
-    def closed(rows, conv, first):
+    def segment(nth, rows, conv, first):
         turns = [r[0] for r in rows if r[0] is not None]
-        known = set(turns)
-        row = {
-            "seg": base + nth, "conv": conv, "first": first, "roles": [r[1] for r in rows], "texts": [r[2] for r in rows], "digests": [r[4] for r in rows],
-            "faults": [BLANK if not r[3] else SOUND if r[3] in ".!?" else TRUNCATED for r in rows], "least": min(turns, default=None), "most": max(turns, default=None), "turns": len(known),
-        }
-        return pa.RecordBatch.from_pydict({k: pa.array([v], conv_type if k == "conv" else _ARROW.get(k)) for k, v in row.items()})
-
-    _ARROW = {"roles": pa.list_(pa.string()), "texts": pa.list_(pa.string()), "digests": pa.list_(pa.binary()), "faults": pa.list_(pa.int32()), "least": pa.int64(), "most": pa.int64(), "turns": pa.int64()}
-    rows, size, first, begun = [], 0, False, False
+        faults = [BLANK if not r[3] else SOUND if r[3] in ".!?" else TRUNCATED for r in rows]
+        lists = {"roles": [r[1] for r in rows], "texts": [r[2] for r in rows], "digests": [r[4] for r in rows], "faults": faults}
+        return {"seg": base + nth, "conv": conv, "first": first, **lists, "least": min(turns, default=None), "most": max(turns, default=None), "turns": len(set(turns))}
+
+    def batch_of(done, conv_type):
+        return pa.RecordBatch.from_pydict({k: pa.array([r[k] for r in done], conv_type if k == "conv" else kinds[k]) for k in ("seg", "conv", "first", "roles", "texts", "digests", "faults", "least", "most", "turns")})
+
+    rows, size, now, first, nth, done, held, conv_type = [], 0, None, False, 0, [], 0, None
     for batch in batches:
         conv_type = batch.schema.field(0).type
         for conv, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if rows and (conv != now or len(rows) == 1 << TURN_BITS or size > SEGMENT_BYTES):
-                yield closed(rows, now, first)
-                rows, size, nth = [], 0, nth + 1
-                first = conv != now
-            now, begun = conv, True
+                done.append(segment(nth, rows, now, first))
+                held += size
+                rows, size, nth, first = [], 0, nth + 1, conv != now
+                if len(done) == SEGMENTS or held > SEGMENT_BYTES:
+                    yield batch_of(done, conv_type)
+                    done, held = [], 0
+            now = conv
             rows.append(row)
             size += len(row[2])
-    if begun:
-        yield closed(rows, now, first)
+    if rows:
+        yield batch_of([*done, segment(nth, rows, now, first)], conv_type)
 
 
 def segments(turns: DataFrame) -> DataFrame:
@@ -216,11 +230,12 @@ def _walked(batches):
         for r in batch.to_pylist():
             own, initials = set(r["own"] or ()), r["initials"]
             faults = [f if f == BLANK or k in own else REPEATED for k, f in enumerate(r["faults"])]
-            found = paths(initials, faults, [0] if r["first"] else range(len(STACKS.nodes)))
+            starts = (0,) if r["first"] else tuple(range(len(STACKS.nodes)))
+            ways = _short_paths(tuple(initials), tuple(faults), starts) if len(faults) <= SHORT else _ways(initials, faults, starts)
             rows.append({
                 "seg": r["seg"], "conv": r["conv"], "least": r["least"], "most": r["most"], "turns": r["turns"], "opens": initials[0], "closes": initials[-1],
                 "blank": faults.count(BLANK), "duplicate": faults.count(REPEATED), "truncated": faults.count(TRUNCATED), "illegal": sum(a + b not in LEGAL for a, b in zip(initials, initials[1:], strict=False)),
-                "ways": [{"start": s, "end": e, "cost": c, "rank": k, "audit": a} for s, e, c, k, a in found],
+                "ways": ways,
             })
         yield pa.RecordBatch.from_pylist(rows, _schema(batch.schema.field("conv").type))
 
