@@ -104,6 +104,18 @@ def hot_join(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFra
     return direct.unionByName(others.select(*rows.columns, *columns))
 
 
+def with_copies(rows: DataFrame, keys: list[str], out: str = "copy") -> DataFrame:
+    """The rows, stored, with the number of each among those that are equal in `keys`, from 0: numbered by the partition they are read
+    in, whose counts are summed in order, so that no task holds all of a group. Which of equal rows gets which number is open."""
+    kept = stored(rows.withColumn("__p", F.spark_partition_id()).withColumn("__m", F.monotonically_increasing_id()))
+    counts = kept.groupBy(*keys, "__p").agg(F.count("*").alias("__n"))
+    over = Window.partitionBy(*keys).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    starts = counts.withColumn("__s", F.coalesce(F.sum("__n").over(over), F.lit(0))).filter("__s > 0").drop("__n")
+    within = kept.withColumn("__k", F.row_number().over(Window.partitionBy(*keys, "__p").orderBy("__m")).cast("long") - 1)
+    same = [within[c].eqNullSafe(starts[c]) for c in (*keys, "__p")]
+    return within.join(starts, same, "left").select(*[within[c] for c in rows.columns], (F.col("__k") + F.coalesce("__s", F.lit(0))).alias(out))
+
+
 def rank_in(df: DataFrame, group: list[str], key: Column, ties: list[str], out: str, per_part: int = 200_000) -> DataFrame:
     """`out`: the row's place, from 0, in the order of `key` (0 to 1, spread evenly) and `ties` within its group.
 

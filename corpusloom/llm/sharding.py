@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import hot_join, rank_in, stored, unit
+from corpusloom.llm.common import hot_join, rank_in, stored, unit, with_copies
 
 
 def interleave(docs: DataFrame, shards: int = 8, seed: str = "shards", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -23,8 +23,9 @@ def interleave(docs: DataFrame, shards: int = 8, seed: str = "shards", id_col: s
         F.col(id_col).alias("id"), F.array(F.col(source_col).cast("string")).alias("s"),
         (F.octet_length(t) + 1).cast("long").alias("size"), F.crc32(t.cast("binary")).alias("text_crc32"),
     )
-    rows = stored(rows)
-    ranked = rank_in(rows, ["s"], unit(seed, F.col("id"), F.col("text_crc32")), ["id", "text_crc32"], "r")
+    rows = stored(with_copies(rows, ["id", "text_crc32"]))  # rows that are equal are shuffled as any others
+    key = F.when(F.col("copy") == 0, unit(seed, F.col("id"), F.col("text_crc32"))).otherwise(unit(seed, F.col("id"), F.col("text_crc32"), F.col("copy")))
+    ranked = rank_in(rows, ["s"], key, ["id", "text_crc32", "copy"], "r")
     sizes = stored(rows.groupBy("s").agg(F.count("*").alias("n")))
     ranked = stored(hot_join(ranked, sizes, "s", "n").withColumn("f", (F.col("r") + 0.5) / F.col("n")))
     total = ranked.count()
