@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import WORD, stored, unit
+from corpusloom.llm.common import WORD, stored, unit, with_copies
 
 #: Key ranges: at least so many for each doubling of the key, more where one would hold over PER_PART rows.
 STEPS, PER_PART = 256, 200_000
@@ -63,19 +63,20 @@ def mix(
     sums over key ranges (equal steps of the key's logarithm, so that none holds over a thousandth of a source at any
     weights), joined back by range: no task holds a source.
     Null text: no words. Null source: a source of its own, last. Null id: kept. Repeated rows: each counts. Ties go by id,
-    then by text hash; wholly equal rows may swap. Empty input: no rows. `carry`: further columns to return; no others are read.
+    then by text hash; wholly equal rows have keys by their number. Empty input: no rows. `carry`: further columns to return; no others are read.
     """
     size = F.regexp_count(F.col("t"), F.lit(WORD)).cast("long")
     rows = docs.select(F.col(id_col).alias("id"), F.array(F.col(source_col).cast("string")).alias("s"), F.coalesce(F.col(text_col), F.lit("")).alias("t"), F.struct(F.lit(0), *carry).alias("carry"))
     rows = rows.withColumn("size", size).withColumn("weight", quality_weight(F.col("t"), F.col("size"))).withColumn("h", F.xxhash64("t")).drop("t")
-    rows = stored(rows.withColumn("key", -F.log(unit(seed, F.col("id"), F.col("h"))) / F.col("weight")))
+    u = F.when(F.col("copy") == 0, unit(seed, F.col("id"), F.col("h"))).otherwise(unit(seed, F.col("id"), F.col("h"), F.col("copy")))
+    rows = stored(with_copies(rows, ["id", "h"]).withColumn("key", -F.log(u) / F.col("weight")))  # equal rows have keys of their own
     steps = max(STEPS, rows.count() // (4 * PER_PART))  # a step holds a quarter of a source's rows, divided by steps, at most
     rows = rows.withColumn("part", F.floor(F.log2("key") * steps).cast("long"))
     plan = targets(rows.groupBy("s").agg(F.sum("size").alias("n")), weights, share, most)
     parts = rows.groupBy("s", "part").agg(F.sum("size").alias("words"))
     before = F.sum("words").over(Window.partitionBy("s").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     parts = parts.select("s", "part", F.coalesce(before, F.lit(0)).alias("start")).join(plan, "s")
-    run = F.sum("size").over(Window.partitionBy("s", "part").orderBy("key", "id", "h").rowsBetween(Window.unboundedPreceding, 0))
+    run = F.sum("size").over(Window.partitionBy("s", "part").orderBy("key", "id", "h", "copy").rowsBetween(Window.unboundedPreceding, 0))
     taken = rows.withColumn("upto", run).join(parts, ["s", "part"])
     rest = F.col("target") - F.col("epochs") * F.col("source_size")
     extra = F.when(F.col("start") + F.col("upto") - F.col("size") / 2 <= rest, F.col("size")).otherwise(F.lit(0))
