@@ -144,7 +144,8 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, per_task: int = PER_TASK) ->
     Empty input: no rows. Equal pieces are placed each.
     """
     spark = cut.sparkSession
-    table = left = stored(cut.select(F.struct(*cut.columns).alias("p"), F.col("length").cast("int").alias("size")))
+    # A number of its own for each piece: equal ones are spread over ranges as any others.
+    table = left = stored(cut.select(F.struct(*cut.columns, F.monotonically_increasing_id().alias("__row")).alias("p"), F.col("length").cast("int").alias("size")))
     out = left.filter("false").select("p.*", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     lengths = {r["size"]: r["n"] for r in left.groupBy("size").agg(F.count("*").alias("n")).collect()}
     open_, opened, settled, few = {}, 0, None, False
@@ -165,7 +166,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, per_task: int = PER_TASK) ->
         out = out.unionByName(settled.filter("p is not null").select("p.*", F.col("seq").alias("sequence_id"), F.col("offset").cast("long").alias("offset")))
         lengths, open_ = _counts(left, settled)
         few = bool(lengths) and sum(lengths.values()) > 0.875 * n and max(lengths) > 0.75 * longest
-    return out
+    return out.drop("__row")
 
 
 def best_fit(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
