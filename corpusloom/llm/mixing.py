@@ -53,7 +53,7 @@ def quality_weight(text: Column, size: Column) -> Column:
 
 
 def mix(
-    docs: DataFrame, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, carry: tuple[str, ...] = ()
+    docs: DataFrame, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, carry: tuple[str, ...] = (), weight_col: str | None = None
 ) -> DataFrame:
     """Every document with how many of its words the mix takes, so that each source's taken words come near its target.
 
@@ -62,12 +62,14 @@ def mix(
     while the words before a document fall short of the rest by at least half its size. Sums over a source are made of
     sums over key ranges (equal steps of the key's logarithm, so that none holds over a thousandth of a source at any
     weights), joined back by range: no task holds a source.
-    Null text: no words. Null source: a source of its own, last. Null id: kept. Repeated rows: each counts. Ties go by id,
+    `weight_col`: a column of quality weights (a classifier's scores, say) to be used in place of quality_weight(); null, and what is not
+    above 0: 0.1, so that no document is shut out. Null text: no words. Null source: a source of its own, last. Null id: kept. Repeated rows: each counts. Ties go by id,
     then by text hash; wholly equal rows have keys by their number. Empty input: no rows. `carry`: further columns to return; no others are read.
     """
     size = F.regexp_count(F.col("t"), F.lit(WORD)).cast("long")
-    rows = docs.select(F.col(id_col).alias("id"), F.array(F.col(source_col).cast("string")).alias("s"), F.coalesce(F.col(text_col), F.lit("")).alias("t"), F.struct(F.lit(0), *carry).alias("carry"))
-    rows = rows.withColumn("size", size).withColumn("weight", quality_weight(F.col("t"), F.col("size"))).withColumn("h", F.xxhash64("t")).drop("t")
+    rows = docs.select(F.col(id_col).alias("id"), F.array(F.col(source_col).cast("string")).alias("s"), F.coalesce(F.col(text_col), F.lit("")).alias("t"), F.struct(F.lit(0), *carry).alias("carry"), *([F.col(weight_col).cast("double").alias("w")] if weight_col else []))
+    weight = quality_weight(F.col("t"), F.col("size")) if weight_col is None else F.when(F.col("w") > 0, F.col("w")).otherwise(F.lit(0.1))
+    rows = rows.withColumn("size", size).withColumn("weight", weight).withColumn("h", F.xxhash64("t")).drop("t", "w")
     u = F.when(F.col("copy") == 0, unit(seed, F.col("id"), F.col("h"))).otherwise(unit(seed, F.col("id"), F.col("h"), F.col("copy")))
     rows = stored(with_copies(rows, ["id", "h"]).withColumn("key", -F.log(u) / F.col("weight")))  # equal rows have keys of their own
     steps = max(STEPS, rows.count() // (4 * PER_PART))  # a step holds a quarter of a source's rows, divided by steps, at most

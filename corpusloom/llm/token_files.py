@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -47,7 +48,9 @@ def _opened(path: str):
     """The file system of a path or URI that all machines see, and the path in it (local, hdfs://, s3://, gs://, abfs://)."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1) if "://" in path or path.startswith("file:") else f"file://{path}")
+    if path.startswith("file:") or "://" not in path:
+        return fs.LocalFileSystem(), re.sub("^file:/*", "/", path)
+    return fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", path))
 
 
 class Writer:

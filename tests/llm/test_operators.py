@@ -12,9 +12,11 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm import chat, classifier, exact_dedup, hashing, katz, mixing, packing, quality_rules, sharding, simhash, substring_dedup
+from corpusloom.llm.common import unit, with_copies
 from corpusloom.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -191,7 +193,10 @@ def test_mixing_by_hand(which, request):
     """Keys, order and budget anew, in plain Python, from Spark's hash function alone."""
     df = request.getfixturevalue(which)
     hashed = df.select("doc_id", "source", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
-    hashed = hashed.withColumn("u", (F.shiftrightunsigned(F.xxhash64(F.lit("mix"), "doc_id", "h"), 11) + 0.5) / 2.0**53).collect()
+    # The copies of a row have numbers, and from 1 on keys by them.
+    hashed = hashed.withColumn("copy", F.row_number().over(Window.partitionBy("doc_id", "h").orderBy("doc_id")).cast("long") - 1)
+    hashed = hashed.withColumn("x", F.when(F.col("copy") == 0, F.xxhash64(F.lit("mix"), "doc_id", "h")).otherwise(F.xxhash64(F.lit("mix"), "doc_id", "h", "copy")))
+    hashed = hashed.withColumn("u", (F.shiftrightunsigned("x", 11) + 0.5) / 2.0**53).collect()
     of = defaultdict(list)
     for r in hashed:
         t = r["text"] or ""
@@ -211,6 +216,18 @@ def test_mixing_by_hand(which, request):
     assert Counter((r["doc_id"], r["taken"]) for r in mixing.mix(df).collect()) == want
 
 
+def test_mixing_by_given_weights(spark):
+    """Where the mix takes a part of a source, documents of a high weight are taken before those of a low one."""
+    rows = [(i, f"some words number {i}", "a", 5.0 if i % 2 else 0.01) for i in range(400)] + [(1000 + i, "b " * 30, "b", None) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, source string, score double")
+    got = mixing.mix(df, weights=(1, 1), share=1.0, weight_col="score").collect()
+    more = Counter(r["doc_id"] % 2 for r in got if r["doc_id"] >= 1000 and r["taken"] > 0)
+    assert {r["quality_weight"] for r in got if r["doc_id"] >= 1000} == {0.1} and abs(more[0] - more[1]) < 60
+    half = mixing.mix(df.filter("source = 'a'"), weights=(1,), share=0.5, weight_col="score").collect()
+    taken = Counter(r["doc_id"] % 2 for r in half if r["taken"])
+    assert taken[1] > 190 > 20 > taken[0]
+
+
 def test_mixing_of_nothing(none):
     assert mixing.mix(none).collect() == []
 
@@ -593,3 +610,26 @@ def test_scratch(spark):
     assert two.count() == 4 and one._scratch not in common._written
     common.cleared(spark)
     assert common._written == [] and not os.path.exists(two._scratch.removeprefix("file:"))
+
+
+def largest_share(df, group):
+    counts = [r["count"] for r in df.groupBy(*group).count().collect()]
+    return max(counts) / sum(counts)
+
+
+def test_equal_rows_are_numbered_and_spread(spark):
+    """20,000 wholly equal rows are not one key: their numbers are gapless, and they lie in many parts, ranges and shards."""
+    same = spark.range(20_000, numPartitions=8).selectExpr("cast(null as long) as doc_id", "'the same text' as text", "'s' as source")
+    rows = with_copies(same.select("doc_id", "text"), ["doc_id", "text"])
+    assert sorted(r["copy"] for r in rows.collect()) == list(range(20_000))
+    got = sharding.interleave(same).collect()
+    assert Counter(r["shard"] for r in got) == dict.fromkeys(range(8), 2500)
+    assert all(sorted(r["slot"] for r in got if r["shard"] == k) == list(range(2500)) for k in range(8))
+    keyed = rows.withColumn("part", F.floor(unit("shards", F.col("doc_id"), F.lit(1), F.col("copy")) * 1024))
+    assert largest_share(keyed, ["part"]) < 0.01
+    mixed = mixing.mix(same).collect()
+    assert len(mixed) == 20_000 and sum(r["taken"] for r in mixed) == pytest.approx(1.5 * 60_000, abs=3) and {r["taken"] for r in mixed} == {3, 6}
+    pieces = same.select("doc_id", F.lit(700).alias("length"))
+    packed = packing.pack(pieces, 2048).collect()
+    per = Counter(r["sequence_id"] for r in packed)
+    assert len(packed) == 20_000 and max(per.values()) == 2 and len(per) == 10_000 and set(packed[0].asDict()) == {"doc_id", "length", "sequence_id", "offset"}
