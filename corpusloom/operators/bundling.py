@@ -13,19 +13,22 @@ from corpusloom.functions.text import CATEGORIES, bundle_name, estimate_tokens,
 from corpusloom.operators.chunking import pack_sections
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """The rows written to the shared checkpoint folder (a temporary one where none is set and there is one machine only) and
-    read back."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession) -> str:
+    """A new folder's path in the shared checkpoint folder (a temporary one where none is set and there is one machine only)."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         base = tempfile.mkdtemp(prefix="corpusloom-")
-    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    _written.append(f"{base.rstrip('/')}/{uuid.uuid4().hex}")
+    return _written[-1]
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows written to a scratch() folder and read back."""
+    path = scratch(df.sparkSession)
     df.write.parquet(path)
-    _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 #: The folders that stored() has written and that are still there.
@@ -36,7 +39,8 @@ def counted(df: DataFrame, **figures: Column) -> tuple[DataFrame, dict[str, int]
     """stored(), with aggregates of the rows that are taken as they are written (0 where there are none): no second pass."""
     seen = Observation()
     out = stored(df.observe(seen, *[F.coalesce(v, F.lit(0)).alias(k) for k, v in figures.items()]))
-    return out, seen.get
+    found = seen.get
+    return out, {k: found.get(k, 0) for k in figures}  # where Spark finds that there are no rows, it counts none
 
 
 def cleared(spark: SparkSession) -> None:

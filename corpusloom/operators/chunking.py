@@ -180,18 +180,25 @@ def merge_small(chunks: Column, least: int, budget: int) -> Column:
     if least <= 0:
         return chunks
 
-    state = F.struct(F.lit(None).cast("struct<text:string,reason:string>").alias("last"), *_gathered("struct<text:string,reason:string>"))
+    # The fold sees lengths alone and finds where chunks start; texts are joined once.
+    state = F.struct(F.lit(0).alias("i"), F.lit(0).cast("long").alias("sum"), *_gathered("int"))
 
     def step(a: Column, c: Column) -> Column:
-        last = a["last"]
-        small = (estimate_tokens(c["text"]) < least) | (estimate_tokens(last["text"]) < least)
-        fits = F.lit(True) if budget <= 0 else F.shiftright(F.length(last["text"]) + F.length(c["text"]) + 5, 2) <= budget
-        both = F.struct(F.concat(last["text"], F.lit("\n\n"), c["text"]).alias("text"), F.lit(MERGED).alias("reason"))
-        same = [a["run"].alias("run"), a["full"].alias("full")]
-        first = F.struct(c.alias("last"), *same)
-        return F.when(last.isNull(), first).when(small & fits, F.struct(both.alias("last"), *same)).otherwise(F.struct(c.alias("last"), *_with(a, last)))
-
-    return F.aggregate(chunks, state, step, lambda a: F.when(a["last"].isNull(), F.array().cast(_CHUNKS)).otherwise(F.concat(_all(a), F.array(a["last"]))))
+        n = F.length(c["text"]).cast("long")
+        joined = a["sum"] + n + 2
+        small = (F.shiftright(n + 3, 2) < least) | (F.shiftright(a["sum"] + 3, 2) < least)
+        fits = F.lit(True) if budget <= 0 else F.shiftright(joined + 3, 2) <= budget
+        i = (a["i"] + 1).alias("i")
+        return F.when((a["i"] > 0) & small & fits, F.struct(i, joined.alias("sum"), a["run"].alias("run"), a["full"].alias("full"))).otherwise(F.struct(i, n.alias("sum"), *_with(a, a["i"])))
+
+    def merged(cs: Column, at: Column) -> Column:
+        def one(parts: Column) -> Column:
+            text = F.array_join(F.transform(parts, lambda x: x["text"]), "\n\n")
+            return F.when(F.size(parts) == 1, F.get(parts, F.lit(0))).otherwise(F.struct(text.alias("text"), F.lit(MERGED).alias("reason")))
+
+        return F.transform(at, lambda start, k: let(F.slice(cs, start + 1, F.coalesce(F.get(at, k + 1), F.size(cs)) - start), one))
+
+    return let(chunks, lambda cs: let(F.aggregate(cs, state, step, _all), lambda at: merged(cs, at)))
 
 
 def overlap(chunks: Column, tokens: int) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.functions.tokens import count_tokens, label
 from corpusloom.operators import bundling, chunking, index, pages, retrieval, rules
 from corpusloom.plans import export
 from corpusloom.sources import files, records
@@ -73,6 +74,8 @@ class Profile:
     embedding_model: str = ""
     classify_documents: bool = False
     included_files: tuple[str, ...] = ()
+    #: A .tiktoken file, to count tokens exactly in place of estimating them.
+    token_vocabulary: str = ""
 
     def validate(self) -> Profile:
         checks = [
@@ -96,6 +99,17 @@ class Profile:
             embedder(self.embedding_model)
         return self
 
+    def validate_source(self, records_path: str | None = None) -> Profile:
+        """That there is something to read: the file of case records, if one is named, else the folder; and that the job has a name."""
+        if records_path is not None:
+            if not records_path or not Path(records_path).is_file():
+                raise ValueError(f"case records do not exist or are not a file: {records_path or '(none)'}")
+        elif not files.is_folder(self.default_source_folder):
+            raise ValueError(f"source folder does not exist or is not a folder: {self.default_source_folder or '(none)'}")
+        if self.token_vocabulary and not Path(self.token_vocabulary).is_file():
+            raise ValueError(f"token vocabulary is not a file: {self.token_vocabulary}")
+        return self
+
     @property
     def budget(self) -> int:
         own = self.chunk_token_budget if self.target in CHUNKED else self.max_bundle_tokens
@@ -194,7 +208,7 @@ class Result:
         registered(self.manifest.sparkSession)
         p = self.profile or Profile("export")
         project = p.project_name or p.profile_name
-        export.write_manifest(self.manifest, path, project, p.target, p.mode)
+        export.write_manifest(self.manifest, path, project, p.target, p.mode, label(p.token_vocabulary))
         if self.guide:
             lines = self.manifest.sparkSession.createDataFrame([(self.guide,)], "value string")
             lines.write.format("corpus_file").mode("overwrite").save(f"{path}/00_INSTRUCTIONS.md")
@@ -207,7 +221,7 @@ class Result:
             lines.write.mode("overwrite").text(f"{path}/instructions")
         self.manifest.write.mode("overwrite").json(f"{path}/manifest_json")
         if self.bundles is not None:
-            export.write_bundles(self.bundles, f"{path}/bundles", self.budget, project)
+            export.write_bundles(self.bundles, f"{path}/bundles", self.budget, project, label(p.token_vocabulary))
             packed = self.bundles.select("doc_id", "bundle", *(["category"] if p.classify_documents else [])).join(export.bundle_names(self.bundles), "bundle").drop("bundle")
             export.write_overview(self.manifest, packed, path, project)
         if self.records is not None:
@@ -276,7 +290,7 @@ def run(docs: DataFrame, p: Profile, said: list[str] | None = None, overrides: D
     if overrides is not None:
         docs = rules.categories(docs.drop("category"), overrides, "source_path")
     docs = bundling.stored(docs)
-    manifest, notices = export.manifest(docs), []
+    manifest, notices = export.manifest(docs, p.token_vocabulary), []
     good = docs.filter("status = 'ok'").withColumn("doc_id", T.document_id(F.col("place")))
     if p.chunk_exclude_headings or selected is not None or selections is not None:
         cut = bundling.stored(chunking.chunk_documents(good.select("doc_id", F.col("body").alias("text")), p.settings))
@@ -309,20 +323,20 @@ def run(docs: DataFrame, p: Profile, said: list[str] | None = None, overrides: D
 
 def _exported(good: DataFrame, manifest: DataFrame, p: Profile, said: list[str], notices: list[DataFrame]) -> Result:
     if p.target in CHUNKED:
-        made = export.chunk_records(good, p.settings, p.chunk_overlap_tokens, p.chunk_heading_path_mode)
-        chunks, figures = bundling.counted(made, chunks=F.count("*"), tokens=F.sum("token_estimate"), documents=F.approx_count_distinct("doc_id"))
+        made = export.chunk_records(good, p.settings, p.chunk_overlap_tokens, p.chunk_heading_path_mode, p.token_vocabulary)
+        chunks, figures = bundling.counted(made, chunks=F.count("*"), tokens=F.sum("token_estimate"))
         tables, found = {}, None
         if p.target == "cowork":
             found = index.build(chunks, "chunk_id", "text", "source_file")
             tables = {"vectors": retrieval.dense_embedding(chunks, "chunk_id", "text", embedder(p.embedding_model))}
-        guide = export.instructions(p.target, p.project_name, good.count(), figures["chunks"], p.destination)
+        guide = export.instructions(p.target, p.project_name, good.count(), figures["chunks"], p.destination, p.mode, p.budget, figures["tokens"], label(p.token_vocabulary))
         return Result(manifest, records=chunks, tables=tables, warnings=said, guide=guide, index=found)
     header = T.identity_header(F.col("doc_id"), F.col("source_file"), F.col("source_path"), F.col("extension"))
-    sized = good.withColumn("token_estimate", T.estimate_tokens(F.concat(header, F.lit("\n"), F.col("body")))).withColumn("part", F.lit(0))
+    sized = good.withColumn("token_estimate", count_tokens(F.concat(header, F.lit("\n"), F.col("body")), p.token_vocabulary)).withColumn("part", F.lit(0))
     order = ["place", "part"]
     if p.bundling_mode == "medium":
         sized = bundling.split_at_headings(sized.drop("part"), p.budget, p.chunk_heading_level)
-    sized, figures = bundling.counted(sized, rows=F.count("*"), whole=F.count_if(F.col("part") <= 1))
+    sized, figures = bundling.counted(sized, tokens=F.sum("token_estimate"), whole=F.count_if(F.col("part") <= 1))
     if p.bundling_mode == "medium":
         whole = sized.filter((F.col("part") == 0) & (F.col("token_estimate") > p.budget))
         notices.append(whole.select(F.concat("doc_id", F.lit(" ("), "source_file", F.lit(") is over the budget and has no headings to split at; kept whole")).alias("text")))
@@ -338,7 +352,7 @@ def _exported(good: DataFrame, manifest: DataFrame, p: Profile, said: list[str],
         manifest = manifest.join(split, "doc_id", "left_anti").unionByName(texts)
         where = packed.select("doc_id", "bundle")
     where = where.join(export.bundle_names(packed), "bundle", "left")
-    guide = export.instructions(p.target, p.project_name, figures["whole"], packed.agg(F.max("bundle")).first()[0] or 0, p.destination)
+    guide = export.instructions(p.target, p.project_name, figures["whole"], packed.agg(F.max("bundle")).first()[0] or 0, p.destination, p.mode, p.budget, figures["tokens"], label(p.token_vocabulary))
     return Result(manifest.join(where, "doc_id", "left"), bundles=bundles, warnings=said, budget=p.budget, guide=guide)
 
 

@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.operators import audit, bundling, index, pages, retrieval, rules, searches, vectors
+from corpusloom.functions import tokens
+from corpusloom.operators import audit, bundling, index, pages, retrieval, rules, searches, store, vectors
 from corpusloom.operators import chunking as C
-from corpusloom.plans import export
-from corpusloom.sources import files, json_text, records
+from corpusloom.plans import export, job
+from corpusloom.sources import connect, files, json_text, records
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -338,6 +339,29 @@ def heading_rules(s, d):
     return rules.apply_heading_rules(_audited(s, d), _GLOBS)
 
 
+@query(_sql_plain(SMALL) + _SQL_STRUCTURE + """, b as (select lower(first_heading) as heading_key, arg_min(first_heading, (doc_id, idx)) as heading, count(*) as chunk_count, sum(tok)::bigint as token_estimate, count(distinct doc_id) as document_count,
+ round(100.0 * sum(tok) / greatest(sum(sum(tok)) over (), 1), 4)::double as token_share from structure group by lower(first_heading))
+select *, case when heading_key = '' then '' else array_to_string(list_filter([case when heading_key like '%the%' then '*the*' end, case when regexp_matches(heading_key, '^e[a-m].*') then 'e[a-m]*' end, case when heading_key like '%.' then '*.' end,
+ case when regexp_matches(heading_key, '^[^a-s]') then '[!a-s]*' end], lambda x: x is not null), ', ') end as matched_by from b""")
+def heading_matches(s, d):
+    found = audit.heading_matches(audit.heading_summary(_audited(s, d)), _GLOBS)
+    return found.withColumn("matched_by", F.array_join("matched_by", ", "))
+
+
+@query(_sql_plain(SMALL) + f""", n as (select doc_id, count(*) as n from chunks group by doc_id),
+w as (select doc_id, n, case when doc_id % 3 = 0 then [1, 3, 5, 50] else []::int[] end as w, coalesce(source, '') || '/' || doc_id as path from documents join n using (doc_id) where doc_id % 3 = 0 or doc_id % 6 = 1),
+v as (select *, list_filter(w, lambda i: i <= n) as valid, list_filter(w, lambda i: i > n) as lost from w),
+b as (select v.doc_id, any_value(path) as path, any_value(w) as w, any_value(lost) as lost, any_value(n) as n, count(*) filter (len(valid) = 0 or list_contains(valid, idx)) as found, coalesce(string_agg(txt, {_NL} || {_NL} order by idx) filter (len(valid) = 0 or list_contains(valid, idx)), '') as t from v join chunks using (doc_id) group by v.doc_id),
+z as (select *, case when len(w) = 0 then 0 else found end as kept, case when len(w) = 0 then '' else t end as body from b)
+select doc_id, n as total, kept, body, case when kept = 0 then 'skipped' else 'ok' end as status, {_est('body')}::int as token_estimate,
+ case when len(w) = 0 then 'All chunks were deselected during chunk review; content omitted.' when kept < n then (n - kept) || ' of ' || n || ' chunk(s) deselected' else '' end as note,
+ case when len(w) = 0 then doc_id || ' ' || path || ': all chunks deselected; document omitted from export.' when len(lost) > 0 then doc_id || ' ' || path || ': chunk indices out of range were ignored: [' || array_to_string(lost, ', ') || '] (document has ' || n || ' chunks)' end as warning from z""")
+def path_selection(s, d):
+    docs = _docs(s, d).select("doc_id", F.concat(F.coalesce("source", F.lit("")), F.lit("/"), F.col("doc_id").cast("string")).alias("source_path"))
+    wanted = docs.filter("doc_id % 3 = 0 or doc_id % 6 = 1").select(F.upper("source_path").alias("path"), F.expr("if(doc_id % 3 = 0, array(1, 3, 5, 50), cast(array() as array<int>))").alias("chunks"))
+    return rules.select_by_path(_chunks(_md(s, d), C.Settings(SMALL)), docs, wanted)[0]
+
+
 @query(_sql_plain(SMALL) + f""", sel as (select doc_id, idx from chunks where doc_id % 3 = 0 and idx % 2 = 1 union select doc_id, 100000 from documents where doc_id % 5 = 0),
 v as (select c.doc_id, count(s.idx) as valid, bool_or(n.doc_id is not null) as named from chunks c left join sel s using (doc_id, idx) left join (select distinct doc_id from sel) n on n.doc_id = c.doc_id group by c.doc_id),
 m as (select c.*, not named or valid = 0 or s.idx is not null as keep from chunks c join v using (doc_id) left join sel s on s.doc_id = c.doc_id and s.idx = c.idx),
@@ -416,7 +440,7 @@ g as (select o, t as s, 1::bigint as bundle from o where o = 1
 select doc_id, part::int as part, notes, t::int as token_estimate, bundle from o join g using (o)""")
 def bundle_medium(s, d):
     m = _manifest(s, d)
-    full = export.manifest(m).join(m.select(T.document_id(F.col("place")).alias("doc_id"), md(F.col("body")).alias("body"), "extension"), "doc_id")
+    full = export.manifest(m).join(m.select(T.document_id(F.col("place")).alias("doc_id"), markdown(F.col("body")).alias("body"), "extension"), "doc_id")
     parts = bundling.split_at_headings(full.select("doc_id", "source_file", "source_path", "extension", "body", "notes", "token_estimate"), 2000)
     return bundling.greedy(parts, 2000, ["doc_id"]).select("doc_id", "part", "notes", "token_estimate", "bundle")
 
@@ -532,7 +556,7 @@ rag as (select d || '__c' || case when idx < 1000 then lpad(idx::varchar, 3, '0'
 
 
 def _rag(s, d):
-    m = _manifest(s, d).select(T.document_id(F.col("place")).alias("doc_id"), "source_file", "source_path", md(F.col("body")).alias("body"))
+    m = _manifest(s, d).select(T.document_id(F.col("place")).alias("doc_id"), "source_file", "source_path", markdown(F.col("body")).alias("body"))
     return export.chunk_records(m, C.Settings(BUDGET, "headings", LEVEL))
 
 
@@ -650,6 +674,15 @@ def phrase_search_all(s, d):
     return _searched(_filed(s, d), searches.frequent_pairs(_docs(s, d).filter("doc_id % 20 = 0"), "doc_id", "text"), 20, "doc_id", "text", "source_file")
 
 
+@query(_sql_plain(BUDGET, _SQL_RAW) + """select doc_id::varchar as doc_id, idx::int as idx, text, token_estimate, previous, next from (select doc_id, idx, txt as text, """ + _est("txt") + """::int as token_estimate, (lag(idx) over w)::int as previous, (lead(idx) over w)::int as next
+ from chunks window w as (partition by doc_id order by idx)) where doc_id % 20 = 0""")
+def chunk_lookup_all(s, d):
+    """Of every document whose id is divisible by 20 the chunks with their neighbours, from the store by document."""
+    chunks = _chunks(_docs(s, d).select("doc_id", "text"), C.Settings(BUDGET)).select("doc_id", "idx", "text", "token_estimate")
+    kept = store.write(bundling.stored(chunks), bundling.scratch(s))
+    return kept.of(_docs(s, d).filter("doc_id % 20 = 0").select("doc_id")).select("doc_id", "idx", "text", "token_estimate", "previous", "next")
+
+
 _SQL_CHUNKS = f"select lpad(doc_id::varchar, 9, '0') || '_' || lpad(idx::varchar, 6, '0') as id, doc_id, idx::int as idx, txt as text, txt, {_FILE.replace('source', 'd.source').replace('doc_id', 'd.doc_id')} as file, {_FILE.replace('source', 'd.source').replace('doc_id', 'd.doc_id')} as source_file from chunks join documents d using (doc_id)"
 
 
@@ -679,16 +712,56 @@ def chunk_neighbours(s, d):
     return retrieval.neighbours(_chunks(_md(s, d), C.Settings(SMALL)))
 
 
-@query(f"""with a as (select page_id, regexp_replace(regexp_replace(coalesce(html, ''), '(?s)^.*<body[^>]*>', ''), '(?s)<!--.*?-->|<nav>.*?</nav>|<script>.*?</script>|<style>.*?</style>|<footer>.*?(</footer>|$)', '', 'g') as h from pages),
+_SQL_HTML = f"""with a as (select page_id, regexp_replace(regexp_replace(coalesce(html, ''), '(?s)^.*<body[^>]*>', ''), '(?s)<!--.*?-->|<nav>.*?</nav>|<script>.*?</script>|<style>.*?</style>|<footer>.*?(</footer>|$)', '', 'g') as h from pages),
 b as (select page_id, list_transform(string_split(regexp_replace(replace(h, '<h1>', chr(1) || '# '), '</?(p|div|article|section|h1|body|html)( [^>]*)?>', chr(1), 'g'), chr(1)),
   lambda x: array_to_string(list_filter(list_transform(string_split(case when contains(x, '<b>') then regexp_replace(regexp_replace(x, '(<br>|\\s)*$', ''), '<b>\\s*', '**') || '**' else x end, '<br>'), lambda y: trim(regexp_replace(y, '\\s+', ' ', 'g'))), lambda y: y <> ''), {_NL})) as t from a),
 c as (select page_id, list_filter(t, lambda x: x not in ('', '#', '****')) as t from b)
-select page_id, regexp_replace(replace(replace(replace(replace(array_to_string(t, {_NL} || {_NL}), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&amp;?', '&', 'g') as markdown, 'ok' as status, '' as notes from c""")
+select page_id, regexp_replace(replace(replace(replace(replace(array_to_string(t, {_NL} || {_NL}), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&amp;?', '&', 'g') as markdown, 'ok' as status, '' as notes from c"""
+
+
+@query(_SQL_HTML)
 def html_to_markdown(s, d):
     r = files.convert(F.lit("html"), F.col("html").cast("binary"), F.col("url"))
     return _docs(s, d, "pages").select("page_id", r.alias("r")).select("page_id", "r.*")
 
 
+def _folder(s: SparkSession, rows: DataFrame) -> str:
+    """A new folder with a file for each row (name, value)."""
+    folder = bundling.scratch(s)
+    connect.registered(s)
+    rows.repartition("name").sortWithinPartitions("name").write.format("corpus_files").mode("overwrite").save(folder)
+    return folder
+
+
+_SQL_FOLDER = "coalesce(nullif(source, ''), 'none') || '/' || doc_id"
+
+
+@query(f"select {_SQL_FOLDER} || e as rel_path, lower(e) as ext, case when e = '.md' then 'text' else 'unsupported' end as file_type, strlen(coalesce(text, ''))::bigint as size from (select *, ['.md', '.TXT', '.exe', ''][(doc_id % 4 + 1)::int] as e from documents) where e <> '.TXT'")
+def folder_scan(s, d):
+    """The documents as files of several kinds, and what a scan for one kind finds."""
+    ext = F.element_at(F.array(*map(F.lit, (".md", ".TXT", ".exe", ""))), (F.col("doc_id") % 4 + 1).cast("int"))
+    name = F.concat(F.coalesce(F.nullif("source", F.lit("")), F.lit("none")), F.lit("/"), F.col("doc_id").cast("string"), ext)
+    found = files.scan(s, _folder(s, _docs(s, d).select(name.alias("name"), F.coalesce("text", F.lit("")).alias("value"))), [".md"])
+    return found.select("rel_path", "ext", "file_type", "size")
+
+
+def _sql_normal(x: str) -> str:
+    return f"case when {x} = '' then '' else {_strip(f"""regexp_replace(replace(replace({x}, chr(13) || {_NL}, {_NL}), chr(13), {_NL}), '[ \\t]+' || {_NL}, {_NL}, 'g')""")} || {_NL} end"
+
+
+@query(f"""with web as ({_SQL_HTML}), f as (select {_SQL_FOLDER} || case when doc_id % 5 = 0 then '.exe' else '.md' end as path, coalesce(text, '') as t, case when doc_id % 5 = 0 then 'unsupported' else 'text' end as kind from documents
+ union all select 'web/' || page_id || '.html', markdown, 'html' from web)
+select row_number() over (order by lower(path), path)::bigint as place, regexp_extract(path, '[^/]*$') as source_file, path as source_path, regexp_extract(path, '[.][a-z]+$') as extension, kind as file_type,
+ case when kind = 'unsupported' then '' else {_sql_normal('t')} end as body, case when kind = 'unsupported' then 'skipped' else 'ok' end as status, case when kind = 'unsupported' then 'unsupported file type' else '' end as notes from f""")
+def folder_documents(s, d):
+    """Documents and pages as files, and the documents that a job makes of their folder, in order."""
+    ext = F.when(F.col("doc_id") % 5 == 0, ".exe").otherwise(".md")
+    texts = _docs(s, d).select(F.concat(F.coalesce(F.nullif("source", F.lit("")), F.lit("none")), F.lit("/"), F.col("doc_id").cast("string"), ext).alias("name"), F.coalesce("text", F.lit("")).alias("value"))
+    pages_ = _docs(s, d, "pages").select(F.concat(F.lit("web/"), F.col("page_id").cast("string"), F.lit(".html")).alias("name"), F.coalesce("html", F.lit("")).alias("value"))
+    folder = _folder(s, texts.unionByName(pages_))
+    return job.documents(s, folder, job.Profile("all")).select("place", "source_file", "source_path", "extension", "file_type", "body", "status", "notes")
+
+
 @query(f"""select event_id, array_to_string(list_transform(json_keys(props), lambda k: '## ' || k || {_NL} || {_NL} || coalesce(json_extract_string(props, '$.' || k), '(null)')), {_NL} || {_NL}) as text from events""")
 def json_to_markdown(s, d):
     return _docs(s, d, "events").select("event_id", json_text.flat_object(F.col("props")).alias("text"))
@@ -782,6 +855,14 @@ def page_outline(s, d):
     return rows.select("doc_id", (F.col("i") + 1).alias("k"), "h.level", "h.title")
 
 
+@query()
+def token_counts(s, d):
+    """Tokens by both backends: the estimate and the exact count."""
+    import public_tokenizers
+
+    return _docs(s, d).select("doc_id", tokens.count_tokens(F.col("text")).alias("estimated"), tokens.count_tokens(F.col("text"), public_tokenizers.path("byte_bpe_50k.tiktoken")).alias("counted"))
+
+
 @query("select doc_id, greatest(1, strlen(coalesce(text, '')) // 4)::int as tokens from documents")
 def rough_tokens(s, d):
     return _docs(s, d).select("doc_id", F.greatest(F.lit(1), F.floor(F.octet_length(F.coalesce("text", F.lit(""))) / 4)).cast("int").alias("tokens"))
@@ -822,7 +903,7 @@ def record_limit(s, d):
 OVER_MARKDOWN = [
     "chunk_paragraphs", "chunk_headings", "heading_sections", "chunk_merged", "chunk_overlap", "heading_paths", "structure_summary", "fence_paragraphs", "chunk_fence_aware",
     "chunk_stats", "reason_histogram", "size_histogram", "chunk_audit", "heading_summary", "guidance", "heading_rules", "chunk_selection", "bundle_medium",
-    "rag_export", "source_map", "chunk_neighbours", "get_documents", "chunk_previews", "structure_descriptions", "page_outline", "partial_selections", "chunk_fences", "size_buckets",
+    "rag_export", "source_map", "chunk_neighbours", "get_documents", "chunk_previews", "structure_descriptions", "page_outline", "partial_selections", "chunk_fences", "size_buckets", "heading_matches", "path_selection",
 ]
 for _name in OVER_MARKDOWN:
     QUERIES[f"{_name}_whole"] = QUERIES.pop(_name)

@@ -52,8 +52,8 @@ class _Staged(D.DataSourceWriter):
 
 
 class NamedFiles(D.DataSource):
-    """Rows (name, value) as files: the values of one name, in order, are one file of the folder `path`. A name's rows are in one task
-    and come together. Mode overwrite replaces the folder, append adds to it (and replaces files of the same names)."""
+    """Rows (name, value) as files: the values of one name, in order, are one file of the folder `path` (or of one below it, where the
+    name has slashes). A name's rows are in one task and come together. Mode overwrite replaces the folder, append adds to it (and replaces files of the same names)."""
 
     @classmethod
     def name(cls) -> str:
@@ -74,6 +74,10 @@ class _NamedWriter(_Staged):
                 if out:
                     out.close()
                 now = row["name"]
+                if now.startswith("/") or ".." in now.split("/"):
+                    raise ValueError(f"outside the folder: {now}")
+                if "/" in now:
+                    store.create_dir(posixpath.dirname(f"{folder}/{now}"), recursive=True)
                 out = store.open_output_stream(f"{folder}/{now}")
             out.write(row["value"].encode())
         if out:
@@ -88,8 +92,12 @@ class _NamedWriter(_Staged):
             store.delete_dir(base)
         store.create_dir(base, recursive=True)
         for m in filter(None, messages):
-            for f in store.get_file_info(fs.FileSelector(m.folder)):
-                store.move(f.path, f"{base}/{f.base_name}")
+            for f in store.get_file_info(fs.FileSelector(m.folder, recursive=True)):
+                to = f"{base}/{f.path[f.path.index(m.folder) + len(m.folder) + 1 :]}"
+                if f.type == fs.FileType.Directory:
+                    store.create_dir(to, recursive=True)
+                else:
+                    store.move(f.path, to)
         self.abort(messages)
 
 

@@ -47,6 +47,15 @@ def _store(folder: str):
     return store, path.rstrip("/")
 
 
+def is_folder(folder: str) -> bool:
+    from pyarrow import fs
+
+    if not folder:
+        return False
+    store, base = _store(folder)
+    return store.get_file_info(base).type == fs.FileType.Directory
+
+
 def scan(spark: SparkSession, folder: str, extensions: list[str], excluded: tuple[str, ...] = EXCLUDED) -> DataFrame:
     """path, rel_path, ext, file_type, size of a folder's files, names that begin with a dot or underscore too. Files of other
     extensions are kept if their type is unsupported, so that they are recorded.
@@ -54,6 +63,8 @@ def scan(spark: SparkSession, folder: str, extensions: list[str], excluded: tupl
     Listed by the source corpus_folder (sources/connect.py): folders are walked in tasks, each file comes once also where links lead
     back to a folder above. A folder that goes away meanwhile is empty; one that is not there at first is an error.
     """
+    if not is_folder(folder):
+        raise FileNotFoundError(f"no such folder: {folder}")
     source = registered(spark).read.format("corpus_folder").option("exclude", "\n".join(excluded)).option("tasks", 4 * spark.sparkContext.defaultParallelism)
     rows = source.load(folder)
     return rows.filter((F.col("file_type") == "unsupported") | F.lower("ext").isin([e.lower() for e in extensions]))

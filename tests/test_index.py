@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators import index, retrieval, searches, vectors
+from corpusloom.operators import index, retrieval, searches, store, vectors
 
 VOCABULARY = [f"{a}{b}" for a in "kmnprst" for b in ("a", "el", "io", "un")]
 
@@ -170,3 +170,37 @@ def test_vector_index_of_alike_and_of_nothing(spark, monkeypatch):
     none = vectors.build(df.limit(0), "id", "v")
     assert vectors.search(none, df.limit(3), 3, "id", "v").count() == 0
     assert vectors.search(ix, df.limit(0), 3, "id", "v").count() == 0
+
+
+# Chunks by document
+
+
+def test_chunk_store(spark, tmp_path):
+    chunks = spark.range(2000).selectExpr("concat('D', id div 10) as doc_id", "cast(id % 10 + 1 as int) as idx", "concat('D', id div 10, '__c', lpad(id % 10 + 1, 3, '0')) as chunk_id", "concat('text ', id) as text").repartition(4)
+    made = store.write(chunks, str(tmp_path / "s"), 8)
+    assert sorted(p.name for p in (tmp_path / "s/buckets=8").iterdir() if p.is_dir()) == sorted(f"bucket={k}" for k in range(8))
+    again = store.load(spark, str(tmp_path / "s"), 8)
+    one = again.document("D7")
+    assert [r["text"] for r in one.collect()] == [f"text {i}" for i in range(70, 80)] and one.columns == ["doc_id", "idx", "chunk_id", "text"]
+    plan = again.chunks.filter((F.col("bucket") == again._bucket(F.lit("D7"))) & (F.col("doc_id") == "D7"))
+    assert len(plan.inputFiles()) == 8 and "PartitionFilters: [isnotnull(bucket" in plan._jdf.queryExecution().executedPlan().toString()
+    assert [r["idx"] for r in made.chunk("D7__c001", 2).collect()] == [1, 2, 3] and [r["idx"] for r in made.chunk("D7__c005", 1).collect()] == [4, 5, 6]
+    assert made.chunk("D7__c099").count() == 0 and made.chunk("zz").count() == 0 and made.document("none").count() == 0
+    wanted = spark.createDataFrame([("D1",), ("D150",), ("D1",), ("none",)], "doc_id string")
+    got = made.of(wanted).orderBy("doc_id", "idx").collect()
+    assert [(r["doc_id"], r["idx"], r["previous"], r["next"]) for r in got] == [(d, i, i - 1 or None, i + 1 if i < 10 else None) for d in ("D1", "D150") for i in range(1, 11)]
+
+
+def test_asset_paths(tmp_path):
+    (tmp_path / "o/assets").mkdir(parents=True)
+    (tmp_path / "o/assets/a b.png").write_text("P")
+    (tmp_path / "secret").write_text("s")
+    (tmp_path / "o/link").symlink_to(tmp_path / "secret")
+    folder = str(tmp_path / "o")
+    assert store.asset(folder, "assets/a b.png") == f"{folder}/assets/a b.png" == store.asset(folder, "assets/../assets/a b.png")
+    for bad in ("../secret", "/etc/passwd", "assets/../../secret", "link", "..\\secret", "."):
+        with pytest.raises(ValueError, match="outside"):
+            store.asset(folder, bad)
+    for gone in ("none", "assets"):
+        with pytest.raises(FileNotFoundError):
+            store.asset(folder, gone)

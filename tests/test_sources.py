@@ -217,3 +217,52 @@ def test_pages_never_fail():
     parts = ["<p>", "</p>", "<table>", "<tr>", "<td>", "</table>", "<ul>", "<li>", "</ul>", "<b>", "</b>", "<a href=x>", "</a>", "<pre>", "</pre>", "text", " ", "\n", "<h2>", "</h2>", "<nav>", "</nav>", "<br>", "<dl>", "<dd>", "<blockquote>", "<", "&", "<img>", "<ol start=x>", "<td colspan=99999999999>"]
     for _ in range(3000):
         html_text("".join(rng.choice(parts) for _ in range(rng.randint(0, 40))))
+
+
+def test_tokens_by_both_backends(session, tmp_path):
+    import json
+
+    import public_tokenizers
+    import tiktoken  # noqa: F401
+    from tokenizers import Tokenizer
+
+    from corpusloom.functions import tokens
+
+    vocabulary, whole = public_tokenizers.path("byte_bpe_50k.tiktoken"), Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    whole.encode_special_tokens = True
+    texts = [r["text"] for r in session.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()] + ["", None, "don't  stop\n\n12 ünï <|endoftext|> 文"]
+    df = session.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r["i"]: (r["a"], r["b"]) for r in df.select("i", tokens.count_tokens(F.col("t")).alias("a"), tokens.count_tokens(F.col("t"), vocabulary).alias("b")).collect()}
+    assert got == {i: (-(-len(t or "") // 4), len(whole.encode(t or "", add_special_tokens=False).ids)) for i, t in enumerate(texts)}
+    assert tokens.label() == "heuristic (chars/4)" and tokens.label(vocabulary) == "tiktoken (byte_bpe_50k)"
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.md").write_text("alpha beta gamma " * 40)
+    p = job.Profile("x", token_vocabulary=vocabulary, default_source_folder=str(tmp_path / "in"))
+    assert p.validate_source() is p
+    job.run(job.documents(session, str(tmp_path / "in"), p), p).write(str(tmp_path / "o"))
+    said = json.loads((tmp_path / "o/manifest.json").read_text())
+    assert said["token_estimator"] == "tiktoken (byte_bpe_50k)" and "tiktoken (byte_bpe_50k)" in (tmp_path / "o/bundles/02_BUNDLE_001.md").read_text()
+    for bad in (job.Profile("x", default_source_folder=str(tmp_path / "none")), job.Profile("x", token_vocabulary="/none", default_source_folder=str(tmp_path / "in"))):
+        with pytest.raises(ValueError):
+            bad.validate_source()
+    with pytest.raises(ValueError, match="case records"):
+        p.validate_source(str(tmp_path / "none.db"))
+
+
+@pytest.mark.parametrize("target", ["claude", "cowork"])
+def test_a_job_of_nothing(session, tmp_path, target):
+    (tmp_path / "in").mkdir()
+    p = job.Profile("x", target=target, bundling_mode="medium", default_source_folder=str(tmp_path / "in"))
+    for docs in (job.documents(session, str(tmp_path / "in"), p), job.documents(session, str(tmp_path / "in"), p).limit(0)):
+        result = job.run(docs, p)
+        result.write(str(tmp_path / "o"))
+        assert result.warnings == [] and (tmp_path / "o/manifest.csv").read_text().count("\n") in (1, 2)
+
+
+def test_counts_taken_while_rows_are_written(session):
+    from corpusloom.operators import bundling
+
+    out, figures = bundling.counted(session.range(100).repartition(4), n=F.count("*"), s=F.sum("id"), odd=F.count_if(F.col("id") % 2 == 1))
+    assert figures == {"n": 100, "s": 4950, "odd": 50} and out.count() == 100
+    _, figures = bundling.counted(session.range(0), n=F.count("*"), s=F.sum("id"))
+    assert figures == {"n": 0, "s": 0}

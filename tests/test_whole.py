@@ -19,7 +19,7 @@ def test_documents_keep_words(spark, data):
 
 
 def test_queries_over_markdown_are_the_whole_ones():
-    assert len(Q.OVER_MARKDOWN) == 28 and all(f"{n}_whole" in Q.QUERIES and n not in Q.QUERIES for n in Q.OVER_MARKDOWN)
+    assert len(Q.OVER_MARKDOWN) == 30 and all(f"{n}_whole" in Q.QUERIES and n not in Q.QUERIES for n in Q.OVER_MARKDOWN)
     assert not {"vector_search", "hybrid_search", "bm25_search", "bm25_search_files", "bm25_phrase"} & set(Q.QUERIES)
 
 
