@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import clean, normalize_newlines, safe_filename, strip
+from corpusloom.functions.text import clean, let, normalize_newlines, safe_filename, strip
 from corpusloom.sources.connect import registered
 
 MOST_CITATIONS = 40
@@ -27,19 +27,19 @@ def first_filled(*values: Column) -> Column:
     return F.coalesce(*[F.when(clean(v) != "", clean(v)) for v in values])
 
 
-def render(title: Column, overview: list[tuple[str, Column]], cited: Column, sections: list[tuple[str, Column]], body: Column) -> Column:
+def render(title: Column, overview: list[tuple[str, Column]], cited: Column, sections: list[tuple[str, Column]], body: Column, n_cited: Column | None = None) -> Column:
     """A title, an overview of the filled fields with up to MOST_CITATIONS citations, then the filled sections, or the body
-    where none is filled."""
+    where none is filled. `n_cited`: how many citations there are, where `cited` has the first alone."""
     field = lambda k, v: F.when(clean(v) != "", F.concat(F.lit(f"- **{k}:** "), clean(v)))
-    n = F.size(F.coalesce(cited, F.array().cast("array<string>")))
+    n = F.coalesce(F.size(F.coalesce(cited, F.array().cast("array<string>"))) if n_cited is None else n_cited, F.lit(0))
     more = F.when(n > MOST_CITATIONS, F.concat(F.lit(" (+"), (n - MOST_CITATIONS).cast("string"), F.lit(" more)"))).otherwise("")
     names = F.when(n > 0, F.concat(F.array_join(F.slice(cited, 1, MOST_CITATIONS), "; "), more)).otherwise("none extracted")
     part = lambda k, v: F.when(clean(v) != "", F.concat(F.lit(f"\n## {k}\n\n"), clean(v)))
     filled = F.filter(F.array(*[part(k, v) for k, v in sections]), lambda x: x.isNotNull())
-    whole = F.when(F.size(filled) > 0, F.array_join(filled, "\n")).otherwise(F.coalesce(part("Decision", body), F.lit("")))
+    whole = let(filled, lambda x: F.when(F.size(x) > 0, F.array_join(x, "\n")).otherwise(F.coalesce(part("Decision", body), F.lit(""))))
     lines = F.filter(F.array(*[field(k, v) for k, v in overview]), lambda x: x.isNotNull())
     head = F.concat(F.lit("# "), title, F.lit("\n\n## Appeal Overview\n\n"))
-    return normalize_newlines(F.concat(head, F.array_join(F.concat(lines, F.array(F.concat(F.lit("- **Cited authorities:** "), names))), "\n"), F.lit("\n"), whole))
+    return let(F.concat(head, F.array_join(F.concat(lines, F.array(F.concat(F.lit("- **Cited authorities:** "), names))), "\n"), F.lit("\n"), whole), normalize_newlines)
 
 
 def metadata(fields: dict[str, Column]) -> Column:
@@ -90,16 +90,18 @@ def documents(tables: dict[str, DataFrame], limit: int | None = None) -> DataFra
     rows = rows.join(files, "html_id", "left") if files is not None else rows.withColumn("pdf_name", F.lit(None).cast("string"))
     cited, labels = probed(tables, CITED, "parent_doc_key", "citation_id"), probed(tables, LABELS, "citation_id", "canonical_label")
     if cited is not None and labels is not None:
+        # A record takes what its text shows; all of a source's labels, which are many in many records, go along only where they are read.
         lists = citations(cited.join(labels, "citation_id"), "parent_doc_key", "canonical_label")
+        lists = lists.select("parent_doc_key", F.slice("citations", 1, MOST_CITATIONS).alias("first_cited"), F.size("citations").alias("n_cited"), F.array_join("citations", "; ").alias("citations"))
         rows = rows.join(lists, clean(F.col("html_doc_key")) == F.col("parent_doc_key"), "left").drop("parent_doc_key")
     else:
-        rows = rows.withColumn("citations", F.lit(None).cast("array<string>"))
+        rows = rows.withColumns({"first_cited": F.lit(None).cast("array<string>"), "n_cited": F.lit(0), "citations": F.lit(None).cast("string")})
     norm = F.col("final_disaster_number_norm")
     rows = rows.withColumn("disaster", F.concat_ws(" ", first_filled(F.col("final_disaster_number_raw")), F.when(clean(norm) != "", F.concat(F.lit("(norm "), clean(norm), F.lit(")")))))
     number = F.col("final_id").cast("string")
     rows = rows.withColumn("title", F.coalesce(first_filled(F.col("final_title"), F.col("final_appellant"), F.col("final_recipient")), F.concat(F.lit("Appeal "), number)))
-    body = render(F.col("title"), [(k, F.col(c)) for k, c in FIELDS], F.col("citations"), [(k, F.col(c)) for k, c in SECTIONS], F.col("final_body_text"))
-    said = {k: F.col(c) for k, c in METADATA} | {"title": F.col("title"), "final_id": number, "disaster_number": first_filled(norm, F.col("final_disaster_number_raw")), "citations": F.array_join("citations", "; ")}
+    body = render(F.col("title"), [(k, F.col(c)) for k, c in FIELDS], F.col("first_cited"), [(k, F.col(c)) for k, c in SECTIONS], F.col("final_body_text"), F.col("n_cited"))
+    said = {k: F.col(c) for k, c in METADATA} | {"title": F.col("title"), "final_id": number, "disaster_number": first_filled(norm, F.col("final_disaster_number_raw")), "citations": F.col("citations")}
     name = F.concat(safe_filename(F.concat(F.lit("appeal_"), number, F.lit("_"), F.col("title")), 100), F.lit(".md"))
     good = F.col("final_id").isNotNull()
     return rows.select(
