@@ -20,17 +20,17 @@ def pages(text: Column) -> Column:
     return F.transform(let(F.split(text, _PAGE), after), lines)
 
 
-def running(text: Column) -> Column:
-    """The short lines that are on many pages of a text. Within the row: each page's distinct lines are sorted together, so a
-    line is on so many pages if it still stands that many places on."""
+def _running(p: Column) -> Column:
     lines = lambda p: F.filter(F.array_distinct(F.transform(p, strip)), lambda x: (F.length(x) > 0) & (F.length(x) <= LONGEST) & ~x.rlike(_NUMBER))
+    most = F.greatest(F.lit(2), F.floor(F.size(p) * SHARE).cast("int"))
+    often = let(F.sort_array(F.flatten(F.transform(p, lines))), lambda all_: F.array_distinct(F.filter(all_, lambda x, i: x == F.get(all_, i + most - 1))))
+    return F.when(F.size(p) >= LEAST_PAGES, often).otherwise(F.array().cast("array<string>"))
 
-    def of_pages(p: Column) -> Column:
-        most = F.greatest(F.lit(2), F.floor(F.size(p) * SHARE).cast("int"))
-        often = let(F.sort_array(F.flatten(F.transform(p, lines))), lambda all_: F.array_distinct(F.filter(all_, lambda x, i: x == F.get(all_, i + most - 1))))
-        return F.when(F.size(p) >= LEAST_PAGES, often).otherwise(F.array().cast("array<string>"))
 
-    return let(pages(text), of_pages)
+def running(text: Column) -> Column:
+    """The short lines that are on many pages of a text. Within the row: each page's distinct lines are sorted together, so a
+    line is on so many pages if it still stands that many places on."""
+    return let(pages(text), _running)
 
 
 def boilerplate(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -47,15 +47,22 @@ def _rendered(line: Column) -> Column:
     return F.when(line.rlike(r"\A[•▪●]"), bullet).when(line.startswith("o ") & (F.length(line) > 2), sub).when(chapter, F.concat(F.lit("## "), line)).when(letter, F.concat(F.lit("### "), line)).otherwise(line)
 
 
-def restructure(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id and text: without running headers and page numbers, headings and bullets marked, wrapped lines joined into
-    paragraphs. A text without page markers is unchanged."""
-    d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), running(F.col(text_col)).alias("running"))
-    d = d.withColumn("lines", F.transform(F.flatten(pages(F.col("t"))), strip))
-    kept = F.filter("lines", lambda x: ~F.array_contains("running", x) & ~x.rlike(_NUMBER))
+def restructured(text: Column) -> Column:
+    """The text without running headers and page numbers, headings and bullets marked, wrapped lines joined into paragraphs. A text
+    without page markers is unchanged. Pages and running lines are found once for a text, not for each of its lines."""
     alone = lambda x: x.startswith("#") | F.ltrim(x).startswith("- ")
-    # Headings and list items stand alone: blank lines on both sides; then blank lines part the blocks.
-    spaced = F.array_join(F.transform(F.transform(kept, _rendered), lambda x: F.when(alone(x), F.concat(F.lit("\n"), x, F.lit("\n"))).otherwise(x)), "\n")
-    blocks = F.filter(F.transform(F.split(spaced, "\n\n+"), lambda b: F.replace(F.regexp_replace(b, r"\A\n+|\n+\z", ""), F.lit("\n"), F.lit(" "))), lambda b: b != "")
-    body = F.concat(strip(F.array_join(blocks, "\n\n")), F.lit("\n"))
-    return d.select(F.col("id").alias(id_col), F.when(F.col("t").rlike(_PAGE), body).otherwise(F.col("t")).alias(text_col))
+
+    def shown(x: Column) -> Column:
+        kept = F.filter(F.transform(F.flatten(x["pages"]), strip), lambda line: ~F.array_contains(x["running"], line) & ~line.rlike(_NUMBER))
+        # Headings and list items stand alone: blank lines on both sides; then blank lines part the blocks.
+        spaced = F.transform(kept, lambda line: let(_rendered(line), lambda r: F.when(alone(r), F.concat(F.lit("\n"), r, F.lit("\n"))).otherwise(r)))
+        blocks = F.filter(F.transform(F.split(F.array_join(spaced, "\n"), "\n\n+"), lambda b: F.replace(F.regexp_replace(b, r"\A\n+|\n+\z", ""), F.lit("\n"), F.lit(" "))), lambda b: b != "")
+        return F.concat(strip(F.array_join(blocks, "\n\n")), F.lit("\n"))
+
+    found = let(pages(text), lambda p: F.struct(p.alias("pages"), _running(p).alias("running")))
+    return F.when(text.rlike(_PAGE), let(found, shown)).otherwise(text)
+
+
+def restructure(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id and text: restructured()."""
+    return docs.select(id_col, let(F.col(text_col), restructured).alias(text_col))
