@@ -261,8 +261,7 @@ def documents(spark: SparkSession, folder: str, p: Profile, said: list[str] | No
         T.normalize_newlines(F.coalesce("markdown", F.lit(""))).alias("body"), "status", F.coalesce("notes", F.lit("")).alias("notes"), T.category(F.col("rel_path")).alias("category"), "assets",
     )
     policy = (F.col("file_type") == "pdf") & (F.col("category") == "policy")
-    repaired = pages.restructure(rows.filter(policy), "place", "body").withColumnRenamed("body", "__b")
-    return rows.join(repaired, "place", "left").withColumn("body", F.coalesce("__b", "body")).drop("__b")
+    return rows.withColumn("body", F.when(policy, T.let(F.col("body"), pages.restructured)).otherwise(F.col("body")))
 
 
 def records_of(tables: dict[str, DataFrame], limit: int | None = None) -> DataFrame:

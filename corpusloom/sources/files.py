@@ -213,21 +213,26 @@ def read_files(files: DataFrame, folder: str) -> DataFrame:
             assets = [rel] if copy else images.copied
             return markdown, status, "; ".join([*filter(None, [notes]), *images.notes]), assets if status == "ok" else []
 
-        names = ["path", "markdown", "status", "notes", "assets"]
-        types = [pa.string()] * 4 + [pa.list_(pa.string())]
-        rows, chars = [], 0
+        names = ["markdown", "status", "notes", "assets"]
+        types = [pa.string()] * 3 + [pa.list_(pa.string())]
+        def made(listed, rows):
+            found = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
+            return pa.RecordBatch.from_arrays([*listed.columns, *found], names=[*listed.schema.names, *names])
+
         for batch in batches:
+            rows, chars, first = [], 0, 0
             for path, rel, kind in zip(*(batch.column(c).to_pylist() for c in ("path", "rel_path", "file_type")), strict=True):
-                rows.append((path, *one(path, rel, kind)))
-                chars += len(rows[-1][1])
+                rows.append(one(path, rel, kind))
+                chars += len(rows[-1][0])
                 if len(rows) == FILES or chars > CHARS:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
-                    rows, chars = [], 0
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
-
-    named = files.select("path", "rel_path", "file_type").repartition(parts, "path")
-    return files.join(named.mapInArrow(read, "path string, markdown string, status string, notes string, assets array<string>"), "path")
+                    yield made(batch.slice(first, len(rows)), rows)
+                    rows, chars, first = [], 0, first + len(rows)
+            if rows:
+                yield made(batch.slice(first, len(rows)), rows)
+
+    listed = files.repartition(parts, "path")
+    kinds = ", ".join(f"`{n}` {t}" for n, t in listed.dtypes)
+    return listed.mapInArrow(read, f"{kinds}, markdown string, status string, notes string, assets array<string>")
 
 
 def copy_assets(assets: DataFrame, folder: str, target: str) -> DataFrame:
