@@ -71,7 +71,7 @@ def _unit(kind: str | Column, par: Column, line: Column, text: Column) -> Column
     return F.struct(kind.alias("kind"), par.cast("int").alias("par"), line.cast("int").alias("line"), text.alias("text"))
 
 
-def _units(text: Column, budget: int, sentences: bool, fence_aware: bool) -> Column:
+def _units(paras: Column, budget: int, sentences: bool, fence_aware: bool) -> Column:
     none = F.lit(-1)
 
     def of_line(line: Column, par: Column, at: Column) -> Column:
@@ -93,7 +93,7 @@ def _units(text: Column, budget: int, sentences: bool, fence_aware: bool) -> Col
         lines = F.flatten(F.transform(_lines(p, fence_aware), lambda line, j: of_line(line, i, j)))
         return F.when(estimate_tokens(p) <= budget, F.array(_unit("p", none, none, p))).otherwise(lines)
 
-    return F.flatten(F.transform(paragraphs(text, fence_aware), of_paragraph))
+    return F.flatten(F.transform(paras, of_paragraph))
 
 
 #: How many elements a fold gathers before they are set aside: an append copies no more, however long the result.
@@ -156,8 +156,8 @@ def pack(text: Column, budget: int, sentences: bool = False, fence_aware: bool =
 
         return F.transform(at, chunk)
 
-    done = let(_units(text, budget, sentences, fence_aware), lambda u: let(_starts(u, budget), lambda at: chunks(u, at)))
-    return F.when(F.size(paragraphs(text, fence_aware)) == 0, whole).otherwise(done)
+    done = lambda paras: let(_units(paras, budget, sentences, fence_aware), lambda u: let(_starts(u, budget), lambda at: chunks(u, at)))
+    return let(paragraphs(text, fence_aware), lambda paras: F.when(F.size(paras) == 0, whole).otherwise(done(paras)))
 
 
 def pack_sections(text: Column, budget: int, level: int = 2, sentences: bool = False, fence_aware: bool = False) -> Column:
@@ -297,11 +297,12 @@ def chunk_documents(docs: DataFrame, s: Settings, text_col: str = "text", paths:
     cut = docs.withColumn("__body", strip(F.coalesce(F.col(text_col), F.lit("")))).withColumn("__chunks", chunk_array(F.col("__body"), s))
     if paths:
         cut = cut.withColumn("__paths", heading_paths(F.transform("__chunks", lambda c: c["text"])))
-    rows = exploded(cut, F.col("__chunks"), *others, *(["__paths"] if paths else []))
+    each = F.zip_with("__chunks", "__paths", lambda c, p: F.struct(c["text"].alias("text"), c["reason"].alias("reason"), p.alias("path"))) if paths else F.col("__chunks")
+    rows = exploded(cut, each, *others)  # a row has its own path alone
     text = F.col("__c.text")
     out = [*others, (F.col("__i") + 1).alias("idx"), text.alias("text"), estimate_tokens(text).alias("token_estimate"), F.col("__c.reason").alias("reason")]
     if paths:
-        out.append(F.get("__paths", F.col("__i")).alias("heading_path"))
+        out.append(F.col("__c.path").alias("heading_path"))
     if structures:
         out.append(structure(text).alias("structure"))
     return rows.select(*out)
